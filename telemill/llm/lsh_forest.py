@@ -128,8 +128,10 @@ def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             reps = [m["rep"] for m in both]
             s = np.frombuffer(b"".join(m["sketch"] for m in both), dtype=np.uint8).reshape(len(both), SKETCH)
             equal = np.stack([(s == row).sum(axis=1) for row in s]) >= SKETCH_CUT * SKETCH
-            root = labelled(equal)
-            for i in np.flatnonzero(root != np.arange(len(both))).tolist():
+            root, split = labelled(equal), len(a) if b else 0
+            # two blocks: what joins within either comes from the block's own row, here only the joints between
+            own = np.append(labelled(equal[:split, :split]), split + labelled(equal[split:, split:])) if split else np.arange(len(both))
+            for i in np.flatnonzero((root != np.arange(len(both))) & (own == np.arange(len(both)))).tolist():
                 x.append(reps[i])
                 y.append(reps[root[i]])
         yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], ["a", "b"])
@@ -196,7 +198,9 @@ def verified(docs: DataFrame, classes: DataFrame, groups: DataFrame, threshold:
     rows = one_text.groupBy("component", "n", "node", "weight").agg(F.min("text").alias("text"))
     blocks = _blocked(rows.withColumnRenamed("node", "rep"), "component", "n", ["rep", "weight", "text"], BLOCK)
     out = "rep long, root long, links long, found long, expected double"
-    return staged(_paired(staged(blocks), "component").mapInArrow(_verifier(threshold, depth, trees), out))
+    # few rows with much work each: dealt evenly by number, not by size
+    pairs = _paired(staged(blocks), "component").repartition(2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return staged(pairs.mapInArrow(_verifier(threshold, depth, trees), out))
 
 
 def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, trees: int = TREES, max_depth: int = DEPTH, recall: float = RECALL) -> DataFrame:
