@@ -83,12 +83,11 @@ def sketch(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     return docs.select("text").mapInArrow(run, "cell long, n int").groupBy("cell").agg(F.sum("n").alias("n"))
 
 
-def repeated_bitmaps(merged: DataFrame) -> list[np.ndarray]:
-    """For each row the bitmap of cells that count twice or more, folded to 2**MAP_BITS bits."""
+def bitmaps(cells: DataFrame) -> list[np.ndarray]:
+    """For each row of cells (cell * ROWS + row) their bitmap, folded to 2**MAP_BITS bits."""
     bit = F.expr(f"cell div {ROWS} % {1 << MAP_BITS}")
     rows = (
-        merged.filter("n >= 2")
-        .select((F.col("cell") % ROWS).alias("row"), bit.alias("bit"))
+        cells.select((F.col("cell") % ROWS).alias("row"), bit.alias("bit"))
         .groupBy("row", F.expr(f"bit div {_BUCKET}").alias("bucket"))
         .agg(F.bitmap_construct_agg(F.expr(f"bit % {_BUCKET}")).alias("bits"))
     )
@@ -98,7 +97,7 @@ def repeated_bitmaps(merged: DataFrame) -> list[np.ndarray]:
     return maps
 
 
-def _maybe_repeated(keys: np.ndarray, maps: list[np.ndarray]) -> np.ndarray:
+def _in(keys: np.ndarray, maps: list[np.ndarray]) -> np.ndarray:
     held = np.ones(len(keys), dtype=bool)
     for row, m in enumerate(maps):
         bit = _cells(keys, row) & np.uint64((1 << MAP_BITS) - 1)
@@ -106,40 +105,55 @@ def _maybe_repeated(keys: np.ndarray, maps: list[np.ndarray]) -> np.ndarray:
     return held
 
 
-def suspects(docs: DataFrame, maps: Broadcast, window: int = WINDOW) -> DataFrame:
-    """The runs that may be repeated: key, span, doc_id, start, n, windows (hashes)."""
+def cells_of(keys: DataFrame) -> DataFrame:
+    """The cells of keys, in both rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            k = b.column("key").to_numpy(zero_copy_only=False).view(np.uint64)
+            for row in range(ROWS):
+                yield pa.RecordBatch.from_arrays([pa.array(signed(_cells(k, row)) * ROWS + row)], ["cell"])
+
+    return keys.select("key").mapInArrow(run, "cell long")
+
+
+def suspects(docs: DataFrame, maps: Broadcast, window: int = WINDOW, windows: bool = False) -> DataFrame:
+    """The runs whose minimizer the bitmaps hold: key, span, doc_id, start, n, and with `windows` their windows' hashes."""
+    columns = f"key long, span long, doc_id {dict(docs.dtypes)['doc_id']}, start int, n int" + ", windows array<long>" * windows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
             r = runs(Words(b.column("text"), _SPACE), window)
-            held = _maybe_repeated(r["key"], maps.value)
-            some = np.repeat(held, r["n"])
+            held = _in(r["key"], maps.value)
             ids = b.column("doc_id").take(pa.array(r["doc"][held]))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(signed(r["key"][held])), pa.array(signed(r["span"][held])), ids, pa.array(r["start"][held].astype(np.int32)),
-                 pa.array(r["n"][held].astype(np.int32)), lists(signed(r["windows"][some]), r["n"][held], pa.int64())],
-                ["key", "span", "doc_id", "start", "n", "windows"],
-            )
+            out = {
+                "key": pa.array(signed(r["key"][held])), "span": pa.array(signed(r["span"][held])), "doc_id": ids,
+                "start": pa.array(r["start"][held].astype(np.int32)), "n": pa.array(r["n"][held].astype(np.int32)),
+            }
+            if windows:
+                out["windows"] = lists(signed(r["windows"][np.repeat(held, r["n"])]), r["n"][held], pa.int64())
+            yield pa.RecordBatch.from_arrays(list(out.values()), list(out))
 
-    return docs.select("doc_id", "text").filter("doc_id is not null").mapInArrow(run, f"key long, span long, doc_id {dict(docs.dtypes)['doc_id']}, start int, n int, windows array<long>")
+    return docs.select("doc_id", "text").filter("doc_id is not null").mapInArrow(run, columns)
 
 
 def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id and spans (array of start, stop in words) that windows of a smaller doc_id's text cover."""
-    maps = docs.sparkSession.sparkContext.broadcast(repeated_bitmaps(sketch(docs, window)))
-    found = staged(suspects(docs, maps, window))
-    runs_seen = staged(found.groupBy("key", "span").agg(F.min("doc_id").alias("earliest"), F.max("doc_id").alias("latest"), F.count("*").alias("times")))
-    mixed = runs_seen.groupBy("key").agg(F.count("*").alias("kinds")).filter("kinds > 1").select("key")
+    share = docs.sparkSession.sparkContext.broadcast  # bitmaps of a fixed size
+    found = staged(suspects(docs, share(bitmaps(sketch(docs, window).filter("n >= 2"))), window))
+    runs_seen = staged(found.groupBy("key", "span").agg(F.min("doc_id").alias("earliest"), F.max("doc_id").alias("latest")))
     # whole runs that an earlier document has
     again = runs_seen.filter("latest > earliest").select("key", "span", "earliest")
-    whole = found.select("key", "span", "doc_id", "start", "n").join(again, ["key", "span"]).filter("doc_id > earliest")
+    whole = found.join(again, ["key", "span"]).filter("doc_id > earliest")
     # single windows of each different run, in its earliest document, where a minimizer has several runs
-    firsts = found.join(runs_seen.join(mixed, "key").select("key", "span", "earliest"), ["key", "span"]).filter("doc_id = earliest")
-    opened = staged(firsts.select("key", "doc_id", "start", F.posexplode("windows").alias("at", "w")))
-    seen = opened.groupBy("key", "w").agg(F.min("doc_id").alias("earliest"), F.max("doc_id").alias("latest")).filter("latest > earliest")
-    single = opened.join(seen.drop("latest"), ["key", "w"]).filter("doc_id > earliest")
+    mixed = staged(runs_seen.groupBy("key").agg(F.count("*").alias("kinds")).filter("kinds > 1").select("key"))
+    opened = suspects(docs, share(bitmaps(cells_of(mixed))), window, windows=True)
+    firsts = opened.join(runs_seen.join(mixed, "key").select("key", "span", "earliest"), ["key", "span"]).filter("doc_id = earliest")
+    single = staged(firsts.select("key", "doc_id", "start", F.posexplode("windows").alias("at", "w")))
+    seen = single.groupBy("key", "w").agg(F.min("doc_id").alias("earliest"), F.max("doc_id").alias("latest")).filter("latest > earliest")
+    later = single.join(seen.drop("latest"), ["key", "w"]).filter("doc_id > earliest")
     spans = whole.select("doc_id", "start", (F.col("start") + F.col("n") - 1 + window).alias("stop")).unionByName(
-        single.select("doc_id", (F.col("start") + F.col("at")).alias("start"), (F.col("start") + F.col("at") + window).alias("stop"))
+        later.select("doc_id", (F.col("start") + F.col("at")).alias("start"), (F.col("start") + F.col("at") + window).alias("stop"))
     )
     return spans.groupBy("doc_id").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
 
