@@ -72,7 +72,9 @@ def drop_boilerplate(pages: DataFrame, host: Column, lines: Column, ratio: float
 
 def page_lines(pages: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
     """page_id, host, n_lines, n_dropped and text (the lines that stay) of every page."""
-    made = drop_boilerplate(pages.select("page_id", "url", "html"), host_of(F.col("url")), html_lines(F.col("html")), ratio, min_pages)
+    # the lines are needed twice and their patterns are the work: they are extracted once and written
+    lines = staged(pages.select("page_id", host_of(F.col("url")).alias("host"), html_lines(F.col("html")).alias("lines")))
+    made = drop_boilerplate(lines, F.col("host"), F.col("lines"), ratio, min_pages)
     size = lambda c: F.coalesce(F.size(c), F.lit(0)).cast("long")
     return made.select(
         "page_id",
