@@ -25,7 +25,7 @@ MODEL = public_tokenizers.path("piece_bpe_32k.model")
 MEASURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_tokens long, chars_per_token double, byte_share double, entropy double"
 _SPACE, _NOT_LINE = separators(WHITE), separators(b"\n")
 _SYMBOL = separators(b"#*$%&|<>")
-_CACHE_WORDS = 1_000_000
+_CACHE_WORDS = 1_500_000
 
 
 class _Pieces:

@@ -28,7 +28,7 @@ from .common import shared_dir, slices, staged
 TOKENIZER, END = public_tokenizers.path("word_bpe_49k.json"), 2
 #: The sample that the dictionary is trained on (documents, and ids of each), the dictionary's size, a file row's size.
 SAMPLE, SAMPLE_IDS, DICTIONARY_BYTES, ROW_BYTES = 512, 4096, 64 << 10, 4 << 20
-_CACHE = 1_000_000
+_CACHE = 2_000_000
 
 
 class _Encoder:
@@ -43,7 +43,8 @@ class _Encoder:
         self.type = np.dtype("<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
 
     def encode(self, texts: list[bytes], end: int) -> list[bytes]:
-        chunks = [t.split() for t in texts]
+        # the tokenizer lowers case itself; to lower A-Z before makes more chunks equal (not near special tokens' marks)
+        chunks = [(t if b"<|" in t else t.lower()).split() for t in texts]
         if len(self.known) > _CACHE:
             self.known.clear()
         missing = list(set().union(*chunks).difference(self.known))
