@@ -16,6 +16,7 @@ from functools import lru_cache
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import sentencepiece
 import tiktoken
@@ -105,30 +106,47 @@ class Codec:
         self.map = {b: of[b] for b in range(256)}
         inverse = {c: b for b, c in enumerate(of)}
         self.cache: dict[str, bytes] = {}
-        self.bytes_of = [bytes(inverse[c] for c in self.model.id_to_piece(i + 1)) for i in range(len(self.tokens))]
+        bytes_of = [bytes(inverse[c] for c in self.model.id_to_piece(i + 1)) for i in range(len(self.tokens))]
+        self.token_bytes = np.frombuffer(b"".join(bytes_of), dtype=np.uint8)
+        self.token_sizes = np.array([len(t) for t in bytes_of], dtype=np.int64)
+        self.token_starts = np.cumsum(self.token_sizes) - self.token_sizes
         # letters and digits of a later Unicode than the tokenizer's are neither to it, as unassigned ones
         self.newer = {ord(c): "\u0378" for c in _newer(r"\p{L}") | _newer(r"\p{N}")}
+        self.oldest_newer = chr(min(self.newer, default=0x10FFFF))
 
     def pretokens(self, unit: str) -> list[str]:
-        if unit.isascii() or (plain := unit.translate(self.newer)) == unit:
+        old = max(unit) < self.oldest_newer
+        if old:  # the commonest units need no pattern: a word, or a word and a stop
+            if unit.lstrip(" ").isalpha() and unit[:2] != "  ":
+                return [unit]
+            if unit[-1] in ",." and unit[:-1].lstrip(" ").isalpha() and unit[:2] != "  ":
+                return [unit[:-1], unit[-1]]
             return self.split.findall(unit)
-        return [unit[m.start() : m.end()] for m in self.split.finditer(plain)]
+        plain = unit.translate(self.newer)
+        return self.split.findall(unit) if plain == unit else [unit[m.start() : m.end()] for m in self.split.finditer(plain)]
+
+    def piece_text(self, raw: bytes) -> str:
+        if raw.isascii() and raw.lstrip(b" ").isalpha():
+            return raw.decode().replace(" ", self.map[32])
+        return raw.decode("latin-1").translate(self.map)
 
     def _learn(self, units: set[str]) -> None:
-        known: dict[str, list[int]] = {}
         parts = {u: self.pretokens(u) for u in units}
-        rest = []
+        known: dict[str, bytes] = {}
+        rest, texts = [], []
         for t in {t for p in parts.values() for t in p}:
             raw = t.encode()
             if (rank := self.whole.get(raw)) is not None:
-                known[t] = [rank]
+                known[t] = rank.to_bytes(4, "little")
             else:
-                rest.append((t, raw.decode("latin-1").translate(self.map)))
-        made = self.model.encode([m for _, m in rest], num_threads=1) if rest else []
-        known.update((t, [i - 1 for i in ids]) for (t, _), ids in zip(rest, made))
-        for u, p in parts.items():
-            ids = known[p[0]] if len(p) == 1 else [i for t in p for i in known[t]]
-            self.cache[u] = struct.pack(f"<{len(ids)}i", *ids)
+                rest.append(t)
+                texts.append(self.piece_text(raw))
+        made = self.model.encode(texts, num_threads=1) if rest else []
+        flat = np.fromiter((i for ids in made for i in ids), dtype="<i4") - 1  # ranks follow the unknown piece
+        data, at = flat.astype("<i4").tobytes(), 0
+        for t, ids in zip(rest, made):
+            known[t] = data[at : (at := at + 4 * len(ids))]
+        self.cache.update((u, known[p[0]] if len(p) == 1 else b"".join([known[t] for t in p])) for u, p in parts.items())
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian 32-bit integers."""
@@ -147,9 +165,13 @@ class Codec:
         get = self.cache.__getitem__
         return [b"".join(map(get, u)) for u in units]
 
-    def decode(self, ids: list[int]) -> bytes:
-        """The bytes that ids stand for."""
-        return b"".join(map(self.bytes_of.__getitem__, ids))
+    def decode(self, ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes of texts of so many ids each, and each text's length in bytes."""
+        size = self.token_sizes[ids]
+        ends = np.cumsum(size)
+        data = self.token_bytes[np.repeat(self.token_starts[ids] - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
+        before = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])]
+        return data, np.diff(before)
 
 
 @lru_cache(maxsize=2)
@@ -181,10 +203,12 @@ def decode(encoded: DataFrame, path: str = RANKS, pattern: str = public_tokenize
         c = codec(path, pattern)
         for b in batches:
             column = b.column("ids")
-            for at in range(0, b.num_rows, 64):
-                ids = column.slice(at, 64)
-                out = pa.array([c.decode(x or []) for x in ids.to_pylist()], type=pa.binary())
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(at, 64), ids, out], ["doc_id", "ids", "decoded"])
+            counts = pc.list_value_length(column).fill_null(0).to_numpy(zero_copy_only=False)
+            data, sizes = c.decode(column.flatten().to_numpy(zero_copy_only=False), counts)
+            at = np.zeros(len(sizes) + 1, dtype=np.int32)
+            np.cumsum(sizes, out=at[1:])
+            out = pa.BinaryArray.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(at.tobytes()), pa.py_buffer(data.tobytes())])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), column, out], ["doc_id", "ids", "decoded"])
 
     e = encoded.select("doc_id", "ids")
     return e.mapInArrow(run, f"doc_id {dict(e.dtypes)['doc_id']}, ids array<int>, decoded binary")
