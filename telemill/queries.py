@@ -230,7 +230,7 @@ _query("q35_reach", f"SELECT (SELECT count(DISTINCT install_id) {_MET('cli.count
     lambda d: _rounded(vendor.reach(d.rolled("counters", "day"), d.rolled("session_activity"), ALL, "vulns.found"))
 )
 _query("q35_reach_series", f"SELECT {_B('day')}, count(DISTINCT install_id) AS reached {_MET('cli.counter')} AND name = 'vulns.found' GROUP BY ALL")(lambda d: vendor.reach_series(d.rolled("counters", "day"), ALL, "vulns.found", "day"))
-_query("q36_ratio", f"SELECT bucket, coalesce(sum(a), 0) AS numerator, coalesce(sum(b), 0) AS denominator, round(CASE WHEN coalesce(sum(b), 0) <> 0 THEN coalesce(sum(a), 0) / sum(b) * 100 END, 6) AS value FROM (SELECT {_B('day')}, obs AS a, NULL AS b {_MET('cli.counter')} AND name = 'vulns.found' UNION ALL SELECT {_B('day')}, NULL, 1.0 {_STARTED}) GROUP BY GROUPING SETS ((bucket), ())")(
+_query("q36_ratio", f"SELECT bucket, coalesce(sum(a), 0) AS numerator, coalesce(sum(b), 0) AS denominator, round(CASE WHEN coalesce(sum(b), 0) <> 0 THEN coalesce(sum(a), 0) / sum(b) * 100 END, 6) AS value FROM (SELECT {_B('day')}, obs AS a, NULL AS b {_MET('cli.counter')} AND name = 'vulns.found' UNION ALL SELECT {_B('day')}, NULL, CAST(1 AS DOUBLE) {_STARTED}) GROUP BY GROUPING SETS ((bucket), ())")(
     lambda d: _rounded(
         vendor.ratio(
             vendor.operand(vendor._rows(d.rolled("counters", "day"), ALL, "vulns.found"), "total", "day", "day"),
