@@ -54,14 +54,21 @@ def capped_metrics(batch: DataFrame, names: DataFrame, labels: DataFrame, name_c
 
 
 def capped_dimensions(batch: DataFrame, known: DataFrame, cap: int) -> tuple[DataFrame, DataFrame]:
-    """Values of each dimension of labels capped within (tenant, name, key), before the labels themselves."""
-    rows = batch.withColumn("__row", F.monotonically_increasing_id())
-    parts = rows.filter("label is not null").select("__row", "tenant_id", "name", F.explode(dims_of(F.col("label"))).alias("key", "value"))
+    """Values of each dimension of labels capped within (tenant, name, key), before the labels themselves.
+
+    Labels are rewritten once for each distinct one and joined back by value: rows get no numbers, so a batch
+    that is computed twice may come in another order.
+    """
     keys = ["tenant_id", "name", "key"]
-    known = admitted(parts, known, keys, "value", cap)
-    back = capped(parts, known, keys, "value").groupBy("__row").agg(label_of(F.map_from_entries(F.collect_list(F.struct("key", "value")))).alias("__label"), F.bool_or("__folded").alias("dim_folded"))
-    out = rows.join(back, "__row", "left").withColumn("label", F.coalesce("__label", "label")).withColumn("dim_folded", F.coalesce("dim_folded", F.lit(False)))
-    return out.drop("__row", "__label"), known
+    split = lambda rows: rows.filter("label is not null").select("tenant_id", "name", "label", F.explode(dims_of(F.col("label"))).alias("key", "value"))
+    known = admitted(split(batch), known, keys, "value", cap)
+    parts = capped(split(batch.select("tenant_id", "name", "label").distinct()), known, keys, "value")
+    new = label_of(F.map_from_entries(F.collect_list(F.struct("key", "value"))))
+    back = parts.groupBy("tenant_id", "name", "label").agg(new.alias("__label"), F.bool_or("__folded").alias("dim_folded"))
+    back = back.withColumnsRenamed({"tenant_id": "__tenant", "name": "__name", "label": "__old"})
+    same = F.col("tenant_id").eqNullSafe(F.col("__tenant")) & F.col("name").eqNullSafe(F.col("__name")) & (F.col("label") == F.col("__old"))
+    out = batch.join(back, same, "left").withColumn("label", F.coalesce("__label", "label")).withColumn("dim_folded", F.coalesce("dim_folded", F.lit(False)))
+    return out.drop("__tenant", "__name", "__old", "__label"), known
 
 
 def touched(vocabulary: DataFrame, seen: DataFrame, keys: list[str], at: Column) -> DataFrame:

@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from datetime import datetime
+from datetime import date, datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.messages import fingerprint, normalised
 from .functions.versions import version_order
-from .operators import commands, errors, installs, sessions, vendor, vocabulary
+from .operators import commands, errors, installs, maintenance, sessions, vendor, vocabulary
 from .operators.rollups import rollups
 from .plans.scope import Filters
 from .sources import telemetry
@@ -279,6 +279,49 @@ _query("t7_capped_reasons", """SELECT tenant_id, error_type, count(*) AS n, coun
   (SELECT tenant_id AS vt, error_type AS ve, row_number() OVER (PARTITION BY tenant_id ORDER BY count(*) DESC, error_type) AS r FROM tel WHERE error_type IS NOT NULL GROUP BY 1, 2) v ON vt = tenant_id AND ve = error_type) GROUP BY 1, 2""")(
     lambda d: (lambda rows: vocabulary.capped(rows, vocabulary.admitted(rows, rows.limit(0), ["tenant_id"], "error_type", 1), ["tenant_id"], "error_type").groupBy("tenant_id", "error_type").agg(F.count("*").alias("n"), F.count_if("__folded").alias("folded")))(d.logs().select("tenant_id", "error_type"))
 )
+
+def _capped_metrics(d: _Data) -> DataFrame:
+    points = d.metrics().select("tenant_id", "name", "label")
+    rows, _, _ = vocabulary.capped_metrics(points, points.select("tenant_id", "name").limit(0), points.limit(0), 1, 2)
+    return rows.groupBy("tenant_id", "name", "label").agg(F.count("*").alias("n"), F.count_if("name_folded").alias("names_folded"), F.count_if("label_folded").alias("labels_folded"))
+
+
+_query("t8_capped_metrics", """SELECT * FROM (WITH nv AS (SELECT tenant_id AS vt, name AS vn FROM (SELECT tenant_id, name, row_number() OVER (PARTITION BY tenant_id ORDER BY count(*) DESC, name) AS r FROM met WHERE name <> 'other' GROUP BY 1, 2) WHERE r <= 1),
+  named AS (SELECT tenant_id, CASE WHEN vn IS NULL THEN 'other' ELSE name END AS name, vn IS NULL AND name <> 'other' AS nf, CASE WHEN vn IS NOT NULL THEN label END AS label FROM met LEFT JOIN nv ON vt = tenant_id AND vn = name),
+  lv AS (SELECT tenant_id AS lt, name AS ln, label AS ll FROM (SELECT tenant_id, name, label, row_number() OVER (PARTITION BY tenant_id, name ORDER BY count(*) DESC, label) AS r FROM named WHERE label <> 'other' GROUP BY 1, 2, 3) WHERE r <= 2),
+  done AS (SELECT tenant_id, name, nf, label IS NOT NULL AND label <> 'other' AND ll IS NULL AS lf, CASE WHEN label IS NOT NULL AND ll IS NULL THEN 'other' ELSE label END AS label FROM named LEFT JOIN lv ON lt = tenant_id AND ln = name AND ll = label)
+  SELECT tenant_id, name, label, count(*) AS n, count(*) FILTER (nf) AS names_folded, count(*) FILTER (lf) AS labels_folded FROM done GROUP BY ALL)""")(_capped_metrics)
+
+
+def _capped_dimensions(d: _Data) -> DataFrame:
+    points = d.metrics().select("tenant_id", "name", "label")
+    known = points.select("tenant_id", "name", F.col("name").alias("key"), F.col("label").alias("value")).limit(0)
+    rows, _ = vocabulary.capped_dimensions(points, known, 1)
+    return rows.groupBy("tenant_id", "name", "label").agg(F.count("*").alias("n"), F.count_if("dim_folded").alias("folded"))
+
+
+_TOP = lambda c: f"(SELECT tenant_id AS t_{c}, name AS n_{c}, {c} AS top_{c} FROM (SELECT tenant_id, name, {c}, row_number() OVER (PARTITION BY tenant_id, name ORDER BY count(*) DESC, {c}) AS r FROM b WHERE {c} <> '' GROUP BY 1, 2, 3) WHERE r = 1) ON t_{c} = tenant_id AND n_{c} = name"
+_query("t9_capped_dimensions", f"""SELECT * FROM (WITH b AS (SELECT tenant_id, name, label, regexp_extract(label, '(?:^|;)check=([^;]*)', 1) AS c, regexp_extract(label, '(?:^|;)severity=([^;]*)', 1) AS s FROM met),
+  j AS (SELECT tenant_id, name, CASE WHEN c <> '' THEN concat('check=', CASE WHEN c = top_c THEN c ELSE 'other' END, ';severity=', CASE WHEN s = top_s THEN s ELSE 'other' END) ELSE label END AS label, coalesce(c <> '' AND (c <> top_c OR s <> top_s), false) AS f
+    FROM b LEFT JOIN {_TOP('c')} LEFT JOIN {_TOP('s')})
+  SELECT tenant_id, name, label, count(*) AS n, count(*) FILTER (f) AS folded FROM j GROUP BY ALL)""")(_capped_dimensions)
+
+_TODAY, _CUTOFF = date(2024, 1, 30), datetime(2024, 1, 30, 1, 50)
+_query("m3_retained_logs", "SELECT tenant_id, count(*) AS n, min(t) AS first FROM tel WHERE CAST(t AS DATE) >= DATE '2024-01-30' - CASE tenant_id WHEN 't1' THEN 5 ELSE 14 END GROUP BY tenant_id")(
+    lambda d: maintenance.within_retention(d.logs(), d.logs().select("tenant_id", F.when(F.col("tenant_id") == "t1", 5).alias("log_days")).distinct(), "log_days", _TODAY, 14)
+    .groupBy("tenant_id").agg(F.count("*").alias("n"), F.min("time").alias("first"))
+)
+
+
+def _swept(d: _Data) -> DataFrame:
+    kept = maintenance.sweep_state(d.installs(), d.changes(), installs.discoveries(d.logs()), _CUTOFF)
+    counts = [x.select("tenant_id", F.lit(kind).alias("kind")).groupBy("tenant_id", "kind").agg(F.count("*").alias("n")) for x, kind in zip(kept, ("installs", "changes", "discoveries"))]
+    return counts[0].unionByName(counts[1]).unionByName(counts[2])
+
+
+_query("m4_swept_state", """SELECT * FROM (WITH alive AS (SELECT tenant_id, install_id FROM installs WHERE last_seen >= TIMESTAMP '2024-01-30 01:50:00')
+  SELECT tenant_id, 'installs' AS kind, count(*) AS n FROM alive GROUP BY 1 UNION ALL SELECT tenant_id, 'changes', count(*) FROM changes JOIN alive USING (tenant_id, install_id) WHERE changed_at >= TIMESTAMP '2024-01-30 01:50:00' GROUP BY 1
+  UNION ALL SELECT tenant_id, 'discoveries', count(*) FROM found JOIN alive USING (tenant_id, install_id) GROUP BY 1)""", True)(_swept)
 _query("x10_versions", "SELECT v AS cli_version, CAST(row_number() OVER (ORDER BY k NULLS LAST) AS INT) AS position FROM (SELECT DISTINCT cli_version AS v, CASE WHEN cli_version = 'dev' THEN NULL WHEN cli_version = '1.0.0-rc.1' THEN 0 ELSE 1 + CAST(split_part(cli_version, '.', 2) AS INT) END AS k FROM tel)")(
     lambda d: _positions(d.logs().select("cli_version").distinct())
 )
