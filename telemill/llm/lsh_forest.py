@@ -148,9 +148,11 @@ def candidate_groups(reps: DataFrame) -> DataFrame:
     return connected_components(_paired(staged(once), "key").mapInArrow(_alike, "a long, b long"))
 
 
-def _shingles(text: str) -> set[tuple[bytes, ...]]:
+def _shingles(text: str, known: dict[tuple[bytes, ...], int]) -> set[int]:
+    """A text's shingles by their numbers in `known`: texts that share a shingle hold its words once."""
     w = (text or "").encode().split()
-    return set(zip(*(w[k:] for k in range(SHINGLE)))) if len(w) >= SHINGLE else {tuple(w)} if w else set()
+    grams = zip(*(w[k:] for k in range(SHINGLE))) if len(w) >= SHINGLE else [tuple(w)] if w else []
+    return {known.setdefault(g, len(known)) for g in grams}
 
 
 def _verifier(threshold: float, depth: int, trees: int):
@@ -160,7 +162,8 @@ def _verifier(threshold: float, depth: int, trees: int):
             for at in range(batch.num_rows):
                 a, b = (batch.column(c)[at].as_py() for c in ("a", "b"))
                 both, split = a + (b or []), len(a) if b else 0
-                sets = [_shingles(m["text"]) for m in both]
+                known: dict[tuple[bytes, ...], int] = {}
+                sets = [_shingles(m["text"], known) for m in both]
                 n = len(both)
                 linked, links, found, expected = np.zeros((n, n), dtype=bool), np.zeros(n, dtype=np.int64), 0, 0.0
                 for i in range(n):
