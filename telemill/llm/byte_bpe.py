@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import lists, slices
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-_CACHE = 1_500_000
+_CACHE = 600_000
 
 # Bytes that stand for themselves; the others take characters from 256 on.
 _VISIBLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
