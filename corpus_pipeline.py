@@ -18,8 +18,16 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents without their source's boilerplate lines."""
-    return line_frequency.document_lines(docs)
+    """The documents without their source's boilerplate lines; linked near copies count as one document.
+
+    The links are those of the next stage.  A row without links or doc_id is told by its own text's hash, so
+    exact copies count as one even without a shingle.
+    """
+    own = F.concat_ws(" ", F.xxhash64("text"), F.xxhash64(F.lit(7), "text"))
+    linked = lsh_forest.jaccard_join(docs).filter("n_links > 0").groupBy("doc_id").agg(F.min("class_id").alias("__class"))
+    told = docs.join(linked.withColumnRenamed("doc_id", "__id"), F.col("doc_id").cast("long") == F.col("__id"), "left")
+    told = told.withColumn("__content", F.coalesce(F.col("__class").cast("string"), own)).drop("__id", "__class")
+    return line_frequency.document_lines(told, content="__content").drop("__content")
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

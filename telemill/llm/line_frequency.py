@@ -9,6 +9,8 @@ from .common import staged
 
 #: A line on more than this share of its site's pages goes; sites of fewer pages give no verdict.
 RATIO, MIN_PAGES = 0.1, 10
+#: Where pages of one content count once, a boilerplate line is on at least so many contents; no site is exempt for its size.
+MIN_CONTENTS = 3
 
 # Fixed patterns, the same in Java and RE2.
 HIDDEN = r"(?is)<(?:script|style)[^>]*>.*?</(?:script|style)>|<!--.*?-->"
@@ -42,28 +44,40 @@ def _key(line: Column) -> Column:
     return F.struct(F.xxhash64(line).alias("a"), F.xxhash64(F.lit(7), line).alias("b"))
 
 
-def boilerplate(pages: DataFrame, host: str, lines: str, ratio: float, min_pages: int) -> DataFrame:
+def boilerplate(pages: DataFrame, host: str, lines: str, ratio: float, min_pages: int, content: str | None = None) -> DataFrame:
     """host and the array of its boilerplate lines' keys.
 
     A page counts once for a line however often it has it.  An array holds at most (mean lines of a page) /
-    ratio keys, whatever the site's size, as each line in it takes up `ratio` of the site's pages.
+    ratio keys, whatever the site's size, as each line in it takes up `ratio` of the site's pages.  With
+    `content` the pages of a site that agree in it count as one, in a line's share and in the total, and a
+    line needs MIN_CONTENTS contents in place of a site of `min_pages` pages.
     """
-    total = pages.groupBy(host).agg(F.count("*").alias("__pages"))
     full = F.filter(lines, lambda x: _trimmed(x) != "")
+    if content is not None:
+        total = pages.groupBy(host, content).agg(F.lit(1).alias("__one")).groupBy(host).agg(F.count("*").alias("__pages"))
+        per_page = pages.select(host, content, F.explode(F.array_distinct(F.transform(full, _key))).alias("__key")).distinct()
+        counts = per_page.groupBy(host, "__key").agg(F.count("*").alias("__n")).filter(F.col("__n") >= MIN_CONTENTS)
+        often = counts.join(total, host).filter(F.col("__n") > ratio * F.col("__pages"))
+        return often.groupBy(host).agg(F.collect_set("__key").alias("__often"))
+    total = pages.groupBy(host).agg(F.count("*").alias("__pages"))
     per_page = pages.select(host, F.explode(F.array_distinct(F.transform(full, _key))).alias("__key"))
     counts = per_page.groupBy(host, "__key").agg(F.count("*").alias("__n"))
     often = counts.join(total, host).filter((F.col("__pages") >= min_pages) & (F.col("__n") > ratio * F.col("__pages")))
     return often.groupBy(host).agg(F.collect_set("__key").alias("__often"))
 
 
-def drop_boilerplate(pages: DataFrame, host: Column, lines: Column, ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+def drop_boilerplate(
+    pages: DataFrame, host: Column, lines: Column, ratio: float = RATIO, min_pages: int = MIN_PAGES, content: str | None = None
+) -> DataFrame:
     """All columns, with __host, __lines and __kept (lines that stay; null where __lines is null).
 
-    A row whose host is null belongs to no site and keeps its lines.  Rows given twice count as two pages.
-    Blank lines neither count nor go.  An empty table gives no rows.
+    A row whose host is null belongs to no site and keeps its lines.  Rows given twice count as two pages,
+    or as one where a column `content` tells which rows are copies.  Blank lines neither count nor go.  An
+    empty table gives no rows.
     """
     work = pages.withColumn("__host", host).withColumn("__lines", lines)
-    often = staged(boilerplate(work.select("__host", "__lines").filter("__host is not null and __lines is not null"), "__host", "__lines", ratio, min_pages))
+    counted = work.select("__host", "__lines", *[content] * (content is not None)).filter("__host is not null and __lines is not null")
+    often = staged(boilerplate(counted, "__host", "__lines", ratio, min_pages, content))
     # the written table's size is known, so the optimizer broadcasts it only where it is small
     joined = work.join(often.withColumnRenamed("__host", "__site"), F.col("__host") == F.col("__site"), "left").drop("__site")
     stays = lambda x: (_trimmed(x) == "") | ~F.array_contains(F.col("__often"), _key(x))
@@ -85,8 +99,8 @@ def page_lines(pages: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAGE
     )
 
 
-def document_lines(docs: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+def document_lines(docs: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAGES, content: str | None = None) -> DataFrame:
     """The documents with their source's boilerplate lines taken out of text; n_chars follows; all columns."""
-    made = drop_boilerplate(docs, F.col("source"), text_lines(F.col("text")), ratio, min_pages)
+    made = drop_boilerplate(docs, F.col("source"), text_lines(F.col("text")), ratio, min_pages, content)
     out = made.withColumn("text", F.array_join("__kept", "\n")).drop("__host", "__lines", "__kept")
     return out.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"])) if "n_chars" in docs.columns else out

@@ -323,3 +323,23 @@ def test_pipeline(spark):
     assert sorted(r.doc_id for r in stages["benchmark_decontamination"](spark, docs, SF).collect()) == sorted(w[0] for w in want if not w[-1])
     out = c.run(spark, SF)
     assert set(out.columns) == {"doc_id", "ids", "n_tokens", "decoded_sha256"} and 0 < out.count() <= good.count()
+
+
+def test_pipeline_lines_count_copies_once(spark):
+    import corpus_pipeline as c
+
+    words = iter(range(100, 1000))
+    own = lambda n: [" ".join(phrase(next(words), 40)) for _ in range(n)]
+    base = phrase(50, 120)
+    copies = ["\n".join([" ".join(base[:60]), " ".join(base[60:])])] * 10
+    # near copies too: each has one word of its own
+    near = ["\n".join([" ".join(base[:60]), " ".join([*base[60 : 60 + i], f"w{i}", *base[61 + i :]])]) for i in range(10)]
+    texts = own(40) + copies + near
+    rows, want = [("copied", t) for t in texts], texts
+    # (documents of a source, how many carry the line, does it go)
+    for n, m, goes in ((2, 2, False), (9, 9, True), (9, 3, True), (9, 2, False), (10, 3, True), (10, 2, False), (11, 3, True), (11, 2, False), (40, 4, False), (40, 5, True)):
+        bare = own(n)
+        full = [("menu\n" if i < m else "") + t for i, t in enumerate(bare)]
+        rows, want = rows + [(f"{n} {m}", t) for t in full], want + (bare if goes else full)
+    df = common.tuned(spark).createDataFrame([(i, t, s, len(t)) for i, (s, t) in enumerate(rows)], "doc_id long, text string, source string, n_chars long")
+    assert [r.text for r in c.lines(spark, df, SF).orderBy("doc_id").collect()] == want
