@@ -3,7 +3,8 @@
 A public vocabulary with byte fallback splits every word; a document's measures are characters per token,
 the share of byte-fallback tokens and the entropy of its tokens.  Text that is not prose of its language
 (shouting, symbol noise, tables, repetition) splits into other pieces than its language does and leaves
-the band.  Entropy depends on length, so bands are set per language and per octave of tokens.
+the band.  Entropy depends on length, so bands are set per language and per octave of tokens; an octave
+with few texts takes its language's neighbouring ones in, and copies weigh as one text.
 """
 
 from __future__ import annotations
@@ -16,16 +17,18 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import sentencepiece
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WHITE, Words, mix64, runs_of, separators, slices, staged
+from .common import WHITE, Words, mix64, runs_of, separators, signed, slices, staged
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
 MEASURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_tokens long, chars_per_token double, byte_share double, entropy double"
 _SPACE, _NOT_LINE = separators(WHITE), separators(b"\n")
 _SYMBOL = separators(b"#*$%&|<>")
 _CACHE_WORDS = 1_500_000
+#: Distinct texts that set a band, at least; a language that has fewer sets its bands by all it has.
+SUPPORT = 20
 
 
 class _Pieces:
@@ -89,8 +92,18 @@ def _entropies(docs: np.ndarray, ids: np.ndarray, totals: np.ndarray) -> np.ndar
     return np.where(totals > 0, np.log2(some) - weighted / some, 0.0)
 
 
+def _sketches(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """For each text the least hash of its five-word runs (0 without one): equal for copies and mostly for near copies."""
+    grams, _ = runs_of(hashes, counts, 5)
+    n = np.maximum(counts - 4, 0)
+    out = np.zeros(len(counts), dtype=np.uint64)
+    if len(grams):
+        out[n > 0] = np.minimum.reduceat(grams, (np.cumsum(n) - n)[n > 0])
+    return signed(out)
+
+
 def measure_batch(texts: pa.Array, model: str) -> dict[str, pa.Array]:
-    """The columns of MEASURES for a batch of texts; null counts as empty."""
+    """The columns of MEASURES and the sketch for a batch of texts; null counts as empty."""
     words = Words(texts, _SPACE)
     n, docs, hashes = words.counts, words.docs(), words.hashes
     # a code point begins at every byte that is not a continuation
@@ -122,18 +135,19 @@ def measure_batch(texts: pa.Array, model: str) -> dict[str, pa.Array]:
         "chars_per_token": pa.array(points / some),
         "byte_share": pa.array(fallback / some),
         "entropy": pa.array(_entropies(token_docs, ids, tokens)),
+        "sketch": pa.array(_sketches(hashes, n)),
     }
 
 
 def measure(docs: DataFrame, model: str = MODEL) -> DataFrame:
-    """doc_id, lang and MEASURES for every row; one pass over the texts, no shuffle."""
+    """doc_id, lang, MEASURES and sketch for every row; one pass over the texts, no shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
             made = measure_batch(b.column("text"), model)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("lang"), *made.values()], ["doc_id", "lang", *made])
 
-    return docs.select("doc_id", "lang", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, lang string, {MEASURES}")
+    return docs.select("doc_id", "lang", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, lang string, {MEASURES}, sketch long")
 
 
 def _octave() -> Column:
@@ -143,13 +157,28 @@ def _octave() -> Column:
 def bands(measured: DataFrame, reach: float = 4.0, slack: tuple[float, float, float] = (0.35, 0.02, 0.5)) -> DataFrame:
     """Per language and octave of tokens the lowest and highest accepted value of each measure.
 
-    A band runs `reach` half-ranges (quarter to three quarters of all documents that pass the base rule)
+    A band runs `reach` half-ranges (quarter to three quarters of the distinct texts that pass the base rule)
     from the median, and at least `slack` (characters per token, byte share, bits): a language whose
-    documents all agree does not turn on small differences.  Quantiles merge across tasks.
+    documents all agree does not turn on small differences.  Texts of one sketch in a cell weigh as one, so
+    copies move no quartile.  A cell's band is set by the octaves of its language within the least distance
+    that holds SUPPORT distinct texts, or by the whole language.  Quantiles merge across tasks.
     """
     names = ("chars_per_token", "byte_share", "entropy")
+    values = F.struct(*names)
+    good = measured.filter("not base_failed")
+    # any one of the copies, told by no measure's size
+    distinct = staged(good.groupBy("lang", "octave", "sketch").agg(F.min_by(values, F.xxhash64(*names)).alias("v")).select("lang", "octave", "v.*"))
+    cells = distinct.groupBy("lang", "octave").agg(F.count("*").alias("n"))
+    other = cells.select(F.col("lang").alias("o_lang"), F.col("octave").alias("o_octave"), F.col("n").alias("o_n"))
+    far = F.abs(F.col("octave") - F.col("o_octave"))
+    near = cells.join(other, F.col("lang").eqNullSafe(F.col("o_lang"))).withColumn("far", far)
+    # o_n of all octaves nearer than this one: it is needed while they are too few
+    nearer = Window.partitionBy("lang", "octave").orderBy("far").rangeBetween(Window.unboundedPreceding, -1)
+    pooled = near.withColumn("have", F.coalesce(F.sum("o_n").over(nearer), F.lit(0))).filter(F.col("have") < SUPPORT)
+    pooled = pooled.select(F.col("lang").alias("p_lang"), F.col("octave").alias("cell"), F.col("o_octave"))
+    texts = distinct.join(pooled, F.col("lang").eqNullSafe(F.col("p_lang")) & (F.col("octave") == F.col("o_octave")))
     quarters = [F.percentile_approx(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.lit(1000)).alias(f"q_{c}") for c in names]
-    table = measured.filter("not base_failed").groupBy("lang", "octave").agg(*quarters)
+    table = texts.groupBy("lang", F.col("cell").alias("octave")).agg(*quarters)
     for c, least in zip(names, slack):
         q = F.col(f"q_{c}")
         wide = F.greatest(F.lit(reach) * (q[2] - q[0]) / 2, F.lit(least))

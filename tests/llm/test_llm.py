@@ -73,6 +73,21 @@ def test_fertility_keeps_prose_and_drops_noise(spark):
     assert share[1] > 0.97 and share[0] < 0.4
 
 
+def test_fertility_bands_are_not_set_by_copies_or_one_document(spark):
+    def prose(seed, n):
+        return " ".join(np.random.default_rng(seed).choice(vocabulary, n))
+
+    vocabulary = [w for k in range(8) for w in phrase(300 + k, 50)]
+    clean = [prose(k, 200) for k in range(60)]
+    junk = " ".join(f"{a}###" for a in prose(99, 180).split())
+    near = [junk + f" x{k}###" for k in range(20)]
+    # 40 % of a cell are copies of junk, and half of those near copies; one junk document is alone in its octave
+    texts = clean + [junk] * 20 + near + [" ".join(f"{a}{chr(0x3400 + k)}" for k, a in enumerate(prose(98, 6000).split()))]
+    df = common.tuned(spark).createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    got = fertility.judge(df).collect()
+    assert {r.doc_id for r in got if r.kept} == set(range(60)) and not any(r.base_failed for r in got)
+
+
 def changed_rollup(spark, path):
     store = token_rollup.Rollup(spark, path)
     count = lambda s, t, n: (s, "en", t, n)
