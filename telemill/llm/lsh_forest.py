@@ -1,9 +1,9 @@
 """N-gram Jaccard join: a MinHash LSH forest proposes documents, word five-grams verify them exactly.
 
-Each tree orders documents by a sequence of min-hashes.  Documents that agree on the first d hashes of a
-tree are a node of its prefix trie at depth d.  Matching starts at the full depth and shortens the prefix
-until a pair at the threshold is met in some tree with the target probability; what verification then finds
-also gives a measured recall, and while that is below the target the prefix is shortened again.
+Each tree keys documents by a prefix of min-hashes.  Its length is fixed before any data is read: the longest
+at which a pair at the threshold is met in some tree, and kept by its sketch, with the target probability.
+Documents that agree on the whole prefix in a tree are a node.  Longer prefixes would only find a part of
+these pairs, so the deeper levels of the tries are not built.
 
 Equal texts are folded into one representative first.  Inside a trie node documents are compared by short
 sketches, in blocks, and only a spanning set of edges leaves a task; so neither copies nor a large group of
@@ -15,6 +15,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
+from math import ceil, comb
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +26,8 @@ from .common import WHITE, Words, connected_components, labelled, lists, mix64,
 
 _SPACE = separators(WHITE)
 SHINGLE, THRESHOLD, TREES, DEPTH, RECALL = 5, 0.8, 40, 10, 0.9999
-#: Bytes of a document's sketch, and the estimated similarity from which two are kept together: 0.8 less 4 sigma.
-SKETCH, SKETCH_CUT = 64, 0.6
+#: Bytes of a document's sketch, and the estimated similarity from which two are kept together: 0.8 less 5 sigma.
+SKETCH, SKETCH_CUT = 64, 0.55
 BLOCK = 64
 
 
@@ -35,9 +36,15 @@ def met(similarity: float, depth: int, trees: int) -> float:
     return 1 - (1 - similarity**depth) ** trees
 
 
+def sketched(similarity: float) -> float:
+    """The probability that the sketches of two documents of a similarity agree in enough bytes."""
+    same = similarity + (1 - similarity) / 256
+    return sum(comb(SKETCH, k) * same**k * (1 - same) ** (SKETCH - k) for k in range(ceil(SKETCH_CUT * SKETCH), SKETCH + 1))
+
+
 def matching_depth(threshold: float, trees: int, depth: int, recall: float) -> int:
-    """The longest prefix at which a pair at the threshold is still met with the target recall."""
-    while depth > 1 and met(threshold, depth, trees) < recall:
+    """The longest prefix at which a pair at the threshold is still met, and kept by its sketch, with the target recall."""
+    while depth > 1 and met(threshold, depth, trees) * sketched(threshold) < recall:
         depth -= 1
     return depth
 
@@ -138,7 +145,7 @@ def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def candidate_groups(reps: DataFrame) -> DataFrame:
-    """(node, component) of the representatives that some tree's trie node and their sketches bring together."""
+    """(node, component) of the representatives that some tree's node and their sketches bring together."""
     keyed = reps.select("rep", F.explode("keys").alias("key"))
     nodes = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
     members = keyed.join(nodes, "key").join(reps.select("rep", "sketch"), "rep")
@@ -155,9 +162,9 @@ def _shingles(text: str, known: dict[tuple[bytes, ...], int]) -> set[int]:
     return {known.setdefault(g, len(known)) for g in grams}
 
 
-def _verifier(threshold: float, depth: int, trees: int):
+def _verifier(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Of blocks of (rep, weight, text): each document's links, a spanning edge, pairs found and expected."""
+        """Of blocks of (rep, weight, text): each document's links and a spanning edge."""
         for batch in batches:
             for at in range(batch.num_rows):
                 a, b = (batch.column(c)[at].as_py() for c in ("a", "b"))
@@ -165,7 +172,7 @@ def _verifier(threshold: float, depth: int, trees: int):
                 known: dict[tuple[bytes, ...], int] = {}
                 sets = [_shingles(m["text"], known) for m in both]
                 n = len(both)
-                linked, links, found, expected = np.zeros((n, n), dtype=bool), np.zeros(n, dtype=np.int64), 0, 0.0
+                linked, links = np.zeros((n, n), dtype=bool), np.zeros(n, dtype=np.int64)
                 for i in range(n):
                     for j in range(max(i + 1, split) if i < split or not split else n, n):
                         small, large = sorted((len(sets[i]), len(sets[j])))
@@ -177,22 +184,18 @@ def _verifier(threshold: float, depth: int, trees: int):
                             linked[i, j] = linked[j, i] = True
                             links[i] += both[j]["weight"]
                             links[j] += both[i]["weight"]
-                            found, expected = found + 1, expected + 1 / met(similarity, depth, trees)
                 root, reps = labelled(linked), [m["rep"] for m in both]
                 some = np.flatnonzero(links).tolist()
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([reps[i] for i in some], pa.int64()), pa.array([reps[root[i]] for i in some], pa.int64()), pa.array(links[some], pa.int64()),
-                        pa.array([found * (k == 0) for k in range(len(some))], pa.int64()), pa.array([expected * (k == 0) for k in range(len(some))], pa.float64()),
-                    ],
-                    ["rep", "root", "links", "found", "expected"],
-                )
+                    [pa.array([reps[i] for i in some], pa.int64()), pa.array([reps[root[i]] for i in some], pa.int64()), pa.array(links[some], pa.int64())],
+                    ["rep", "root", "links"],
+                )
 
     return run
 
 
-def verified(docs: DataFrame, classes: DataFrame, groups: DataFrame, threshold: float, depth: int, trees: int) -> DataFrame:
-    """Links, spanning edges and recall figures of all pairs inside the candidate groups, on whole texts."""
+def verified(docs: DataFrame, classes: DataFrame, groups: DataFrame, threshold: float) -> DataFrame:
+    """Links and spanning edges of all pairs inside the candidate groups, on whole texts."""
     sizes = groups.groupBy("component").agg(F.count("*").alias("n"))
     members = groups.join(sizes, "component").join(classes.select(F.col("rep").alias("node"), F.col("copies").alias("weight")), "node")
     # many texts and few members: the members are the built side, the texts stream past it unsorted
@@ -200,10 +203,10 @@ def verified(docs: DataFrame, classes: DataFrame, groups: DataFrame, threshold:
     # a document id given twice keeps the text that its representative stands for: the least of them
     rows = one_text.groupBy("component", "n", "node", "weight").agg(F.min("text").alias("text"))
     blocks = _blocked(rows.withColumnRenamed("node", "rep"), "component", "n", ["rep", "weight", "text"], BLOCK)
-    out = "rep long, root long, links long, found long, expected double"
+    out = "rep long, root long, links long"
     # few rows with much work each: dealt evenly by number, not by size
     pairs = _paired(staged(blocks), "component").repartition(2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return staged(pairs.mapInArrow(_verifier(threshold, depth, trees), out))
+    return staged(pairs.mapInArrow(_verifier(threshold), out))
 
 
 def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, trees: int = TREES, max_depth: int = DEPTH, recall: float = RECALL) -> DataFrame:
@@ -218,18 +221,13 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, trees: int = TRE
     table gives no rows; other columns are not read.
     """
     depth = matching_depth(threshold, trees, max_depth, recall)
-    while True:
-        signed_docs = staged(signatures(docs, depth, trees))
-        full = signed_docs.filter("doc_id is not null and f1 is not null")
-        classes = staged(full.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")))
-        first = full.groupBy("doc_id").agg(F.min_by("keys", "f1").alias("keys"), F.min_by("sketch", "f1").alias("sketch"))
-        reps = classes.select("rep").distinct().join(first, F.col("rep") == F.col("doc_id")).select("rep", "keys", "sketch")
-        by_rep = classes.groupBy("rep").agg(F.sum("copies").alias("copies"))
-        found = verified(docs, by_rep, candidate_groups(staged(reps)), threshold, depth, trees)
-        n, expected = found.agg(F.coalesce(F.sum("found"), F.lit(0)), F.coalesce(F.sum("expected"), F.lit(0.0))).first()
-        if depth == 1 or n >= recall * expected or met(threshold, depth, trees) >= recall:
-            break
-        depth -= 1
+    signed_docs = staged(signatures(docs, depth, trees))
+    full = signed_docs.filter("doc_id is not null and f1 is not null")
+    classes = staged(full.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")))
+    first = full.groupBy("doc_id").agg(F.min_by("keys", "f1").alias("keys"), F.min_by("sketch", "f1").alias("sketch"))
+    reps = classes.select("rep").distinct().join(first, F.col("rep") == F.col("doc_id")).select("rep", "keys", "sketch")
+    by_rep = classes.groupBy("rep").agg(F.sum("copies").alias("copies"))
+    found = verified(docs, by_rep, candidate_groups(staged(reps)), threshold)
     components = connected_components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     told = by_rep.join(links, "rep", "left").join(components.withColumnRenamed("node", "rep"), "rep", "left")

@@ -172,6 +172,13 @@ def test_jaccard_join_of_a_large_group(spark):
     assert lsh_forest.matching_depth(0.8, 40, 10, 0.9999) == 7
 
 
+def test_jaccard_join_loses_few_links_at_the_threshold():
+    met = lsh_forest.met(0.8, lsh_forest.matching_depth(0.8, 40, 10, 0.9999), 40)
+    same = np.random.default_rng(0).binomial(lsh_forest.SKETCH, 0.8 + 0.2 / 256, 2_000_000)
+    kept = (same >= lsh_forest.SKETCH_CUT * lsh_forest.SKETCH).mean()
+    assert 1 - met * kept < 1e-4 and abs(lsh_forest.sketched(0.8) - kept) < 1e-5
+
+
 def test_components(spark):
     e = spark.createDataFrame([(1, 2), (3, 2), (3, 4), (9, 8), (8, 9), (7, 7), (None, 1), *((100, k) for k in range(101, 160)), *((k, k + 1) for k in range(200, 260))], "a long, b long")
     got = {r.node: r.component for r in common.connected_components(e).collect()}
