@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -175,7 +176,8 @@ def _search(phrases: Phrases, slack: int | None):
                         own.append([s, s + n])
                 found[d] = [{"item_id": phrases.names[i], "start": s, "stop": e} for i, own in spans.items() for s, e in own]
             kind = pa.list_(pa.struct([("item_id", pa.string()), ("start", pa.int32()), ("stop", pa.int32())]))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n_words"), pa.array(found, type=kind)], ["doc_id", "n_words", "spans"])
+            columns = [b.column("doc_id"), b.column("n_words"), pa.array(found, type=kind), b.column("row")]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_words", "spans", "row"])
 
     return run
 
@@ -187,31 +189,34 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, slack:
     them), joined where they touch, or with `slack` where a window's words stand within that many words
     more, in any order.  A-Z count as a-z; null, empty and wordless texts have no words and match nothing;
     an empty benchmark gives no spans; items given twice count as one; other columns are not read.  A null
-    item_id is left out.  Test items are read by the driver, as they are small by nature; what is shipped to
-    tasks at once is bounded by `pass_bytes`, and a larger benchmark takes several passes over the index.
+    item_id is left out.  Test items are read by the driver, as they are small by nature; the items shipped
+    to tasks at once are bounded by `pass_bytes` of text, and a larger benchmark takes several passes over the
+    index.  The index is written once, so the hashes of all items' distinct words are shipped with it.
     """
     items = [(str(r[0]), r[1] or "") for r in benchmark.select("item_id", "text").filter("item_id is not null").distinct().orderBy("item_id", "text").toLocalIterator()]
     spark = docs.sparkSession
     kind = dict(docs.dtypes)["doc_id"]
+    parts = list(_passes(items, pass_bytes)) or [[]]
+    words = [words_of(pa.array([t for _, t in part], type=pa.string())) for part in parts]
+    hashed = [w.hashes for w in words]
+    terms = np.unique(np.concatenate([np.unique(h) for h in hashed]))
+    # written once for all passes: a row keeps its number in each of them
+    stored = staged(index(docs, terms).withColumn("row", F.monotonically_increasing_id()))
+    used = stored.select(F.explode(F.arrays_zip("terms", "counts")).alias("t")).groupBy("t.terms").agg(F.sum("t.counts"))
+    frequency = {int(t): int(n) for t, n in used.toLocalIterator()}  # one row for each term of the test items
     out: list[DataFrame] = []
-    for part in _passes(items, pass_bytes) if items else [[]]:
-        words = words_of(pa.array([t for _, t in part], type=pa.string())) if part else words_of(pa.array([], type=pa.string()))
-        hashes, bounds = words.hashes, words.bounds
-        terms = np.unique(hashes)
-        stored = staged(index(docs, terms))
-        used = stored.select(F.explode(F.arrays_zip("terms", "counts")).alias("t")).groupBy("t.terms").agg(F.sum("t.counts"))
-        frequency = {int(t): int(n) for t, n in used.toLocalIterator()}  # one row for each term of the test items
+    for part, w, hashes in zip(parts, words, hashed):
         ids = np.searchsorted(terms, hashes).tolist()
-        phrases = spark.sparkContext.broadcast(Phrases([i for i, _ in part], [ids[a:b] for a, b in zip(bounds, bounds[1:])], window, frequency))
+        phrases = spark.sparkContext.broadcast(Phrases([i for i, _ in part], [ids[a:b] for a, b in zip(w.bounds, w.bounds[1:])], window, frequency))
         run = lambda batches, p=phrases: _search(p.value, slack)(batches)
-        got = stored.mapInArrow(run, f"doc_id {kind}, n_words long, spans array<struct<item_id:string,start:int,stop:int>>")
-        out.append(got)
+        out.append(stored.mapInArrow(run, f"doc_id {kind}, n_words long, spans array<struct<item_id:string,start:int,stop:int>>, row long"))
     if len(out) == 1:
-        return out[0]
-    every = out[0]
-    for more in out[1:]:
-        every = every.unionByName(more.filter("size(spans) > 0"))
-    return every.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"))
+        return out[0].drop("row")
+    found = [got.filter("size(spans) > 0").select("row", F.lit(k).alias("pass"), "spans") for k, got in enumerate(out)]
+    every = reduce(DataFrame.unionByName, found).groupBy("row").agg(F.array_sort(F.collect_list(F.struct("pass", "spans"))).alias("passes"))
+    none = F.array().cast(out[0].schema["spans"].dataType)
+    spans = F.coalesce(F.flatten(F.transform("passes", lambda p: p["spans"])), none).alias("spans")
+    return stored.select("row", "doc_id", "n_words").join(every, "row", "left").select("doc_id", "n_words", spans)
 
 
 def report(matched: DataFrame) -> DataFrame:

@@ -228,6 +228,17 @@ def test_decontamination(docs, empty, spark):
     assert {r.doc_id for r in decontaminate.drop_contaminated(docs, bench).collect()} == {r[0] for r in rows()} - {w[0] for w in want if w[-1]}
 
 
+def test_decontamination_in_passes_keeps_rows(docs, spark):
+    passage = phrase(2, 60)
+    bench = spark.createDataFrame([(1, " ".join(passage[5:20])), (2, "one two"), (3, " ".join(passage[30:50])), (4, "no id")], "item_id long, text string")
+    more = [(None, "one two"), (None, "nothing"), (10, "one two"), (10, " ".join(passage[:40])), (2, None)]
+    df = docs.select("doc_id", "text").unionByName(spark.createDataFrame(more, "doc_id long, text string"))
+    spans = lambda n: sorted(((r.doc_id, r.n_words, [tuple(s) for s in r.spans]) for r in decontaminate.matches(df, bench, pass_bytes=n).collect()), key=repr)
+    assert spans(1) == spans(1 << 20)
+    items = [(r.item_id, r.text) for r in bench.collect()]
+    assert asked(decontaminate.report(decontaminate.matches(df, bench, pass_bytes=1)), *COLUMNS) == contamination([tuple(r) for r in df.collect()], items)
+
+
 def test_proximity(spark):
     docs = spark.createDataFrame([(1, "b x a c"), (2, "a b x x x x c"), (3, "a b")], "doc_id long, text string")
     got = decontaminate.matches(docs, spark.createDataFrame([(1, "a b c")], "item_id long, text string"), slack=1)
