@@ -19,8 +19,11 @@ from .common import staged
 HONORIFIC = {"m": ("Mr", "Herr", "Señor", "Monsieur", "г-н"), "f": ("Mrs", "Ms", "Miss", "Frau", "Señora", "Madame", "Mme", "г-жа")}
 _TITLES = "|".join(sorted((t for ts in HONORIFIC.values() for t in ts), key=len, reverse=True))
 _WORD = r"[\p{L}\p{N}]"
+_NAME = rf"(?!(?:{_TITLES})\b)\p{{Lu}}(?:\.|[\p{{L}}'’-]+)"
+# lower-case words inside a name
+_PARTICLES = "von|van|vom|zu|zur|der|den|de|del|della|di|da|dos|du|la|le|las|los"
 PATTERNS = {
-    "name": rf"(?<!{_WORD})(?:{_TITLES})\.? \p{{Lu}}[\p{{L}}'’-]+(?: \p{{Lu}}[\p{{L}}'’-]+)?",
+    "name": rf"(?<!{_WORD})(?:{_TITLES})\.? (?:(?:{_PARTICLES}) ){{0,3}}{_NAME}(?:(?: (?:{_PARTICLES})){{0,3}} {_NAME})*",
     "email": r"(?<![\w.%+-])[\w.%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
     "secret": r"\bAKIA[0-9A-Z]{16}\b|(?<=\bpassword=)[^\s\"']{6,}|(?<=\b(?:token|secret|api_key) = \")[^\s\"]{16,}(?=\")",
     "phone": r"\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{2,4})(?:[ .-]?\d{2,4}){2,3}(?!\d)",
@@ -70,7 +73,7 @@ def parts(value: Column, kind: Column) -> Column:
     named = F.transform(
         words,
         lambda w, i: F.struct(
-            i.alias("at"), F.when(i == F.size(words) - 1, "family").when(male, "given_m").otherwise("given_f").alias("type"), F.lower(w).alias("canon")
+            i.alias("at"), F.when(w.rlike(rf"^(?:{_PARTICLES})$"), "particle").when(i == F.size(words) - 1, "family").when(male, "given_m").otherwise("given_f").alias("type"), F.lower(w).alias("canon")
         ),
     )
     return (
@@ -177,7 +180,7 @@ def _rendered(value: Column, kind: Column, new: Column) -> Column:
         lambda a: a["out"],
     )
     title = F.regexp_extract(value, rf"^((?:{_TITLES})\.? )", 1)
-    return F.when(kind == "name", F.concat(title, F.array_join(F.transform(new, F.initcap), " "))).when(kind.isin(*DIGITS), put(r"\d")).when(kind == "iban", put("[A-Z0-9]")).otherwise(new[0])
+    return F.when(kind == "name", F.concat(title, F.array_join(F.transform(new, lambda w: F.when(w.rlike(rf"^(?:{_PARTICLES})$"), w).otherwise(F.initcap(w))), " "))).when(kind.isin(*DIGITS), put(r"\d")).when(kind == "iban", put("[A-Z0-9]")).otherwise(new[0])
 
 
 def pseudonymised(docs: DataFrame, key: str) -> DataFrame:
@@ -192,7 +195,9 @@ def pseudonymised(docs: DataFrame, key: str) -> DataFrame:
     per_doc = docs.select(F.col("doc_id").alias("__id"), F.explode(F.array_distinct(entities(F.col("text")))).alias("value"))
     typed = per_doc.withColumn("kind", type_of(F.col("value")))
     found = staged(typed.select("__id", "value", "kind", F.posexplode(parts(F.col("value"), F.col("kind"))).alias("i", "part")).select("__id", "value", "kind", "part.*"))
-    names = dictionary(found, key)
+    # a particle names nobody and stays
+    same = found.filter("type = 'particle'").select("type", "canon", F.col("canon").alias("surrogate")).distinct()
+    names = dictionary(found.filter("type <> 'particle'"), key).select("type", "canon", "surrogate").unionByName(same)
     # by distinct entity first: a hot entity is rendered once, and joined back as one row
     values = found.select("value", "kind", "at", "type", "canon").distinct().join(names, ["type", "canon"])
     drawn = values.groupBy("value", "kind").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "surrogate"))), lambda x: x["surrogate"]).alias("new"))

@@ -320,6 +320,16 @@ def test_surrogates(spark):
     assert surrogates.pseudonymised(df.limit(0), "k").count() == 0
 
 
+def test_surrogates_of_long_names(spark):
+    texts = ["Mrs. Mary Ann Evans and Mrs. Evans", "Herr Karl J. von der Heide kam, Herr Heide ging", "Mr. Evans Mrs. Mary Heide"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    new = {r.doc_id: r.text for r in surrogates.pseudonymised(df, "k").collect()}
+    evans = re.fullmatch(r"Mrs\. \w+la \w+la (\w+) and Mrs\. (\w+)", new[0]).groups()
+    heide = re.fullmatch(r"Herr \w+n \w+n von der (\w+) kam, Herr (\w+) ging", new[1]).groups()
+    assert evans[0] == evans[1] != "Evans" and heide[0] == heide[1] != "Heide"
+    assert re.fullmatch(rf"Mr\. {evans[0]} Mrs\. \w+la {heide[0]}", new[2])
+
+
 def test_surrogates_stay_distinct(spark):
     found = spark.createDataFrame([("family", f"name{k}") for k in range(9000)] + [("ip", f"10.0.{k % 250}.{k // 250}") for k in range(3000)], "type string, canon string")
     names = surrogates.dictionary(found, "k")
