@@ -26,7 +26,9 @@ from pyspark.sql import functions as F
 from .common import lists, slices
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-_CACHE = 600_000
+#: What a worker's cache of units holds at most, in bytes (a unit, its ids and what Python needs for them), and the
+#: longest unit that it keeps: longer ones, as in texts without spaces, are encoded each time.
+CACHE_BYTES, CACHE_UNIT, _ENTRY = 64 << 20, 64, 230
 
 # Bytes that stand for themselves; the others take characters from 256 on.
 _VISIBLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -83,29 +85,33 @@ _UNIT = regex.compile(r"\s*\S+|\s+")
 
 def _newer(pattern_class: str) -> set[str]:
     """The code points that this machine's pattern engine has in a class and the tokenizer's tables don't."""
-    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
-    one_byte = {bytes([i]): i for i in range(256)}
-    probe = tiktoken.Encoding("probe", pat_str=pattern_class, mergeable_ranks=one_byte, special_tokens={})
-    known = probe.decode_bytes(probe.encode_ordinary(every)).decode()
-    return set(regex.findall(pattern_class, every)) - set(known)
+    probe = tiktoken.Encoding("probe", pat_str=pattern_class, mergeable_ranks={bytes([i]): i for i in range(256)}, special_tokens={})
+    mine, out = regex.compile(pattern_class), set()
+    for lo in range(0, 0x110000, 0x2000):  # in pieces: all at once would need 100 MB in each worker
+        every = "".join(map(chr, (c for c in range(lo, lo + 0x2000) if not 0xD800 <= c < 0xE000)))
+        if own := set(mine.findall(every)):
+            out |= own - set(probe.decode_bytes(probe.encode_ordinary(every)).decode())
+    return out
 
 
 class Codec:
     """Encodes and decodes with one vocabulary; kept by each Python worker.
 
-    A text falls into units, each some white space and the word after it.  No pre-token reaches from a word
-    into the white space behind it, so a unit's ids depend on the unit alone and are kept in a bounded cache.
+    A text falls into units, each some white space and the word after it.  No pre-token of the tokenizers'
+    pattern reaches from a word into the white space behind it, so a unit's ids depend on the unit alone and
+    are kept in a cache bounded in bytes.
     """
 
-    def __init__(self, path: str, pattern: str) -> None:
+    def __init__(self, path: str) -> None:
         self.tokens = read_ranks(path)
         self.whole = {t: r for r, t in enumerate(self.tokens)}
         self.model = sentencepiece.SentencePieceProcessor(model_proto=serialise(self.tokens))
-        self.split = regex.compile(pattern)
+        self.split = regex.compile(public_tokenizers.PATTERN)
         of = byte_characters()
         self.map = {b: of[b] for b in range(256)}
         inverse = {c: b for b, c in enumerate(of)}
         self.cache: dict[str, bytes] = {}
+        self.cached = 0
         bytes_of = [bytes(inverse[c] for c in self.model.id_to_piece(i + 1)) for i in range(len(self.tokens))]
         self.token_bytes = np.frombuffer(b"".join(bytes_of), dtype=np.uint8)
         self.token_sizes = np.array([len(t) for t in bytes_of], dtype=np.int64)
@@ -130,7 +136,8 @@ class Codec:
             return raw.decode().replace(" ", self.map[32])
         return raw.decode("latin-1").translate(self.map)
 
-    def _learn(self, units: set[str]) -> None:
+    def _learn(self, units: set[str]) -> dict[str, bytes]:
+        """The ids of units."""
         parts = {u: self.pretokens(u) for u in units}
         known: dict[str, bytes] = {}
         rest, texts = [], []
@@ -146,7 +153,7 @@ class Codec:
         data, at = flat.astype("<i4").tobytes(), 0
         for t, ids in zip(rest, made):
             known[t] = data[at : (at := at + 4 * len(ids))]
-        self.cache.update((u, known[p[0]] if len(p) == 1 else b"".join([known[t] for t in p])) for u, p in parts.items())
+        return {u: known[p[0]] if len(p) == 1 else b"".join([known[t] for t in p]) for u, p in parts.items()}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian 32-bit integers."""
@@ -159,11 +166,17 @@ class Codec:
                 units.append([*([first] if first else []), *[" " + x for x in others]])
             else:
                 units.append([])
-        if len(self.cache) > _CACHE:
-            self.cache.clear()
-        self._learn(set().union(*units).difference(self.cache))
+        if self.cached > CACHE_BYTES:
+            self.cache, self.cached = {}, 0
+        missing = set().union(*units).difference(self.cache)
+        long = self._learn({u for u in missing if len(u) > CACHE_UNIT})
+        made = self._learn(missing.difference(long))
+        self.cache.update(made)
+        self.cached += _ENTRY * len(made)
         get = self.cache.__getitem__
-        return [b"".join(map(get, u)) for u in units]
+        if not long:
+            return [b"".join(map(get, u)) for u in units]
+        return [b"".join([long[x] if x in long else get(x) for x in u]) for u in units]
 
     def decode(self, ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The bytes of texts of so many ids each, and each text's length in bytes."""
@@ -175,48 +188,66 @@ class Codec:
 
 
 @lru_cache(maxsize=2)
-def codec(path: str, pattern: str) -> Codec:
-    return Codec(path, pattern)
+def codec(path: str) -> Codec:
+    return Codec(path)
 
 
-def encode(docs: DataFrame, path: str = RANKS, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
+def _encoded(c: Codec, texts: pa.Array) -> pa.Array:
+    made = c.encode([t or "" for t in texts.to_pylist()])
+    return lists(np.frombuffer(b"".join(made), dtype="<i4"), np.fromiter(map(len, made), np.int64, len(made)) // 4, pa.int32())
+
+
+def _decoded(c: Codec, ids: pa.Array) -> pa.Array:
+    counts = pc.list_value_length(ids).fill_null(0).to_numpy(zero_copy_only=False)
+    data, sizes = c.decode(ids.flatten().to_numpy(zero_copy_only=False), counts)
+    at = np.zeros(len(sizes) + 1, dtype=np.int32)
+    np.cumsum(sizes, out=at[1:])
+    return pa.BinaryArray.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(at.tobytes()), pa.py_buffer(data.tobytes())])
+
+
+def encode(docs: DataFrame, path: str = RANKS) -> DataFrame:
     """doc_id and ids (array of int) of every row's whole text; null is the empty text, which has no ids.
 
-    One pass, no shuffle.  Rows given twice come out twice; other columns are not read.
+    One pass, no shuffle.  Rows given twice come out twice; an empty table gives no rows; other columns are
+    not read.  A very long text is encoded whole, in a batch of its own; its parts longer than CACHE_UNIT
+    without white space are not cached.  Pre-tokens are those of public_tokenizers.PATTERN.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(path, pattern)
+        c = codec(path)
         for b in slices(batches, "text", 2 << 20):
-            made = c.encode([t or "" for t in b.column("text").to_pylist()])
-            sizes = np.fromiter(map(len, made), np.int64, len(made)) // 4
-            ids = lists(np.frombuffer(b"".join(made), dtype="<i4"), sizes, pa.int32())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), ids], ["doc_id", "ids"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), _encoded(c, b.column("text"))], ["doc_id", "ids"])
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, ids array<int>")
 
 
-def decode(encoded: DataFrame, path: str = RANKS, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
-    """doc_id, ids and the decoded bytes of every row; null ids decode to nothing."""
+def decode(encoded: DataFrame, path: str = RANKS) -> DataFrame:
+    """doc_id, ids and the decoded bytes of every row; null ids decode to nothing; an empty table gives no rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(path, pattern)
+        c = codec(path)
         for b in batches:
-            column = b.column("ids")
-            counts = pc.list_value_length(column).fill_null(0).to_numpy(zero_copy_only=False)
-            data, sizes = c.decode(column.flatten().to_numpy(zero_copy_only=False), counts)
-            at = np.zeros(len(sizes) + 1, dtype=np.int32)
-            np.cumsum(sizes, out=at[1:])
-            out = pa.BinaryArray.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(at.tobytes()), pa.py_buffer(data.tobytes())])
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), column, out], ["doc_id", "ids", "decoded"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("ids"), _decoded(c, b.column("ids"))], ["doc_id", "ids", "decoded"])
 
     e = encoded.select("doc_id", "ids")
     return e.mapInArrow(run, f"doc_id {dict(e.dtypes)['doc_id']}, ids array<int>, decoded binary")
 
 
+def round_trip(docs: DataFrame, path: str = RANKS) -> DataFrame:
+    """doc_id, ids and the bytes decoded from them: encode() and decode() in one Python worker for each task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = codec(path)
+        for b in slices(batches, "text", 2 << 20):
+            ids = _encoded(c, b.column("text"))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), ids, _decoded(c, ids)], ["doc_id", "ids", "decoded"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, ids array<int>, decoded binary")
+
+
 def round_trip_digests(docs: DataFrame, path: str = RANKS) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every row: encoded, decoded again, digested."""
-    return decode(encode(docs, path), path).select(
+    return round_trip(docs, path).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")).cast("binary"), 256).alias("ids_sha256"),

@@ -28,23 +28,52 @@ def tuned(spark: SparkSession) -> SparkSession:
     return spark
 
 
+#: Folders that staged() has written and clean() has not yet removed.
+_STAGED: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A new folder name under spark.checkpoint.dir, which driver and executors share.
 
-    Only where the session has none (tests, a laptop) a temporary folder is made and kept for the session.
+    Only on one machine (tests, a laptop) a session without it gets a temporary folder, kept for the session.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.telemill.scratch", None)
     if not base:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="telemill-")
         spark.conf.set("spark.telemill.scratch", base)
     return f"{base.rstrip('/')}/telemill-{uuid.uuid4().hex}"
 
 
-def staged(df: DataFrame) -> DataFrame:
-    """The same rows, written to the shared folder and read again: cuts the lineage and survives lost executors."""
+def removed(spark: SparkSession, path: str) -> None:
+    """Deletes a folder, wherever it is."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def written(df: DataFrame) -> tuple[DataFrame, str]:
+    """The same rows, written to the shared folder and read again, and the folder's name."""
     path = shared_dir(df.sparkSession)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def staged(df: DataFrame) -> DataFrame:
+    """The same rows, written to the shared folder and read again: cuts the lineage and survives lost executors.
+
+    The folder stays until clean(), as the rows may be read at any later time.
+    """
+    out, path = written(df)
+    _STAGED.append(path)
+    return out
+
+
+def clean(spark: SparkSession) -> None:
+    """Removes what staged() has written so far: to be called when the results of these operators are written."""
+    while _STAGED:
+        removed(spark, _STAGED.pop())
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -185,11 +214,14 @@ def labelled(linked: np.ndarray) -> np.ndarray:
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of edges (a, b): the component is its least node.
 
-    Alternating large-star and small-star rounds; every step groups by node with partial sums and joins
-    back, so a node with very many neighbours is spread over tasks.  Rounds grow with the logarithm of the
-    longest path.  An edge from a node to itself, or with a null end, is left out; no edges give no rows.
+    Alternating large-star and small-star rounds.  Least neighbours are partial sums; where a round joins
+    them back, the side of the least has one row for each node, so a node with very many neighbours is a
+    skewed join that adaptive execution splits (or a broadcast, where the written sides are small).  Rounds
+    grow with the logarithm of the longest path.  An edge from a node to itself, or with a null end, is left
+    out; no edges give no rows.
     """
-    now = staged(
+    spark = edges.sparkSession
+    now, path = written(
         edges.filter("a is not null and b is not null and a <> b")
         .select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
         .distinct()
@@ -201,11 +233,14 @@ def connected_components(edges: DataFrame) -> DataFrame:
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = staged(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+        old = path
+        now, path = written(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+        removed(spark, old)
         state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == seen:
             break
         seen = state
+    _STAGED.append(path)
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
         now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     )

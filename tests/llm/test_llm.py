@@ -130,7 +130,7 @@ def test_byte_bpe(docs, empty, spark):
         got = byte_bpe.decode(byte_bpe.encode(df)).collect()
         assert len(got) == df.count() and all(list(r.ids) == want[r.doc_id] for r in got)
         assert {(r.doc_id, bytes(r.decoded).decode()) for r in got} == {(i, t or "") for i, t in texts}
-    c = byte_bpe.codec(byte_bpe.RANKS, P.PATTERN)
+    c = byte_bpe.codec(byte_bpe.RANKS)
     odd = ["a  b", " \n b", "x\n\n  y ", "it's 's", "a.,b", "٣٤ ۵", "՘࢏ x", "tab\tx", "é,", "<|endoftext|>"]
     assert [np.frombuffer(b, "<i4").tolist() for b in c.encode(odd)] == [encode(t) for t in odd]
     assert byte_bpe.round_trip_digests(empty).count() == 0
@@ -168,15 +168,68 @@ def test_jaccard_join_of_a_large_group(spark):
     base = phrase(9, 150)
     texts = {i: " ".join(base[:i] + [f"w{i}"] + base[i + 1 :]) for i in range(149)}
     df = common.tuned(spark).createDataFrame(list(texts.items()), "doc_id long, text string")
-    assert {r.doc_id: (r.class_id, r.n_links) for r in lsh_forest.jaccard_join(df).collect()} == linked(texts)
-    assert lsh_forest.matching_depth(0.8, 40, 10, 0.9999) == 7
+    want = linked(texts)
+    joined = lsh_forest.jaccard_join(df)
+    assert {r.doc_id: (r.class_id, r.n_links) for r in joined.collect()} == want
+    # more than a block of them, and some that hang together only by a chain: spanning links are enough for classes
+    assert {r.doc_id: r.class_id for r in lsh_forest.near_copy_classes(df).collect()} == {i: k for i, (k, _) in want.items()}
+    recall = lsh_forest.measured_recall(df, joined, sample=40).first()
+    assert recall.n_sample == 40 and recall.n_found == recall.n_true == sum(n for i, (_, n) in want.items() if i in {r.doc_id for r in df.orderBy(F.xxhash64("doc_id"), "doc_id").limit(40).collect()})
+
+
+def test_jaccard_join_of_a_large_chain(spark, monkeypatch):
+    monkeypatch.setattr(lsh_forest, "BLOCK", 8)
+    base, other = phrase(9, 300), phrase(10, 300)
+    texts = {i: " ".join(base[i : i + 100]) for i in range(0, 60, 2)} | {100 + i: " ".join(other[: 100 - i // 4]) for i in range(40)}
+    df = common.tuned(spark).createDataFrame([(i, t) for i, t in texts.items()], "doc_id long, text string")
+    want = linked(texts)
+    assert {r.doc_id: (r.class_id, r.n_links) for r in lsh_forest.jaccard_join(df).collect()} == want
+    assert {r.doc_id: r.class_id for r in lsh_forest.near_copy_classes(df).collect()} == {i: k for i, (k, _) in want.items()}
+
+
+def test_forest_shortens_prefixes_for_each_document(spark, monkeypatch):
+    """Pairs at about 0.8 are met only by shorter prefixes; members of a large group of near copies stop before."""
+    assert lsh_forest.last_depth(0.8, 40, 10, 0.9999) == 7
+    need = [lsh_forest.enough(0.8, d, 40, 0.9999) for d in (10, 9, 8, 7)]
+    assert need == sorted(need, reverse=True) and need[0] > 100 and need[-1] == 0
+    calls = []
+    spanning = lsh_forest.spanning
+    monkeypatch.setattr(lsh_forest, "spanning", lambda members, link: calls.append({r.cid for r in members.select("cid").distinct().collect()}) or spanning(members, link))
+    monkeypatch.setattr(lsh_forest, "BLOCK", 100)
+    texts, k = {}, 0
+    for seed in range(60):  # 96 shingles of 101: a similarity of 0.81
+        base = phrase(1000 + seed, 110)
+        for t in (base, base[:50] + ["x"] + base[51:105] + ["y", "z"]):
+            texts[k := k + 1] = " ".join(t)
+    base = phrase(999, 120)
+    texts |= {1000 + i: " ".join([*base, f"w{i}"]) for i in range(150)}
+    df = common.tuned(spark).createDataFrame(list(texts.items()), "doc_id long, text string")
+    want = linked(texts)
+    got = {r.doc_id: (r.class_id, r.n_links) for r in lsh_forest.jaccard_join(df).collect()}
+    # one level after another, of the crowd only; what has stopped is compared no more with its own
+    assert len(calls) == 4 and len(calls[0]) == len(calls[1]) >= 145 and len(calls[-1]) < len(calls[0])
+    deep = {r.doc_id: (r.class_id, r.n_links) for r in lsh_forest.jaccard_join(df, recall=0.5).collect()}
+    assert got == want
+    # with a low target the prefixes stay long, and pairs at the threshold are lost while the near copies are not
+    assert lsh_forest.last_depth(0.8, 40, 10, 0.5) == 10
+    assert all(deep[i] == want[i] for i in texts if i >= 1000) and sum(n for _, n in deep.values()) <= sum(n for _, n in want.values())
 
 
 def test_jaccard_join_loses_few_links_at_the_threshold():
-    met = lsh_forest.met(0.8, lsh_forest.matching_depth(0.8, 40, 10, 0.9999), 40)
-    same = np.random.default_rng(0).binomial(lsh_forest.SKETCH, 0.8 + 0.2 / 256, 2_000_000)
-    kept = (same >= lsh_forest.SKETCH_CUT * lsh_forest.SKETCH).mean()
-    assert 1 - met * kept < 1e-4 and abs(lsh_forest.sketched(0.8) - kept) < 1e-5
+    last = lsh_forest.last_depth(0.8, 40, 10, 0.9999)
+    size = 40 * (10 - last)
+    cut = lsh_forest.sketch_cut(0.8, size)
+    same = np.random.default_rng(0).binomial(size, 0.8 + 0.2 / 256, 2_000_000)
+    assert 1 - lsh_forest.met(0.8, last, 40) * (same >= cut).mean() < 1e-4 and lsh_forest.sketched(0.8, size, cut) >= 1 - lsh_forest.SKETCH_LOSS
+
+
+def test_shingles_are_numbered_exactly():
+    texts = [" ".join(phrase(k, n)) for k, n in ((1, 300), (2, 7), (3, 4), (4, 0), (5, 5))] + ["a a a a a a a"] * 2 + [" ".join(f"v{i}" for i in range(9000))]
+    text, shingle = lsh_forest.numbered_shingles([t.encode() for t in texts])
+    sets = [set(zip(*(t.split()[k:] for k in range(5)))) if len(t.split()) > 4 else {tuple(t.split())} if t else set() for t in texts]
+    assert np.bincount(text, minlength=len(texts)).tolist() == [len(s) for s in sets]
+    matrix = lsh_forest.similar(0.8)([t.encode() for t in texts])
+    assert matrix.tolist() == [[i != j and bool(a and b) and len(a & b) >= 0.8 * len(a | b) for j, b in enumerate(sets)] for i, a in enumerate(sets)]
 
 
 def test_components(spark):
