@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from telemill.llm import byte_bpe, decontaminate, line_frequency, lsh_forest, rule_ensemble
-from telemill.llm.common import shared_dir
+from telemill.llm.common import clean, shared_dir
 from telemill.llm.queries import table
 
 
@@ -24,9 +24,13 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     exact copies count as one even without a shingle.
     """
     own = F.concat_ws(" ", F.xxhash64("text"), F.xxhash64(F.lit(7), "text"))
-    linked = lsh_forest.jaccard_join(docs).filter("n_links > 0").groupBy("doc_id").agg(F.min("class_id").alias("__class"))
-    told = docs.join(linked.withColumnRenamed("doc_id", "__id"), F.col("doc_id").cast("long") == F.col("__id"), "left")
-    told = told.withColumn("__content", F.coalesce(F.col("__class").cast("string"), own)).drop("__id", "__class")
+    classes = lsh_forest.near_copy_classes(docs).filter("class_id is not null")
+    told = classes.groupBy("doc_id", "h").agg(F.min("class_id").alias("__class"))
+    # only a class of several rows needs to be told
+    several = classes.groupBy("class_id").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("class_id").alias("__class"))
+    told = told.join(several, "__class", "left_semi").select(F.col("doc_id").alias("__id"), F.col("h").alias("__h"), "__class")
+    told = docs.join(told, (F.col("doc_id") == F.col("__id")) & (F.xxhash64("text") == F.col("__h")), "left")
+    told = told.withColumn("__content", F.coalesce(F.concat(F.lit("class "), F.col("__class").cast("string")), own)).drop("__id", "__h", "__class")
     return line_frequency.document_lines(told, content="__content").drop("__content")
 
 
@@ -42,7 +46,7 @@ def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, ids and their digests: encoded and decoded again."""
-    out = byte_bpe.decode(byte_bpe.encode(docs))
+    out = byte_bpe.round_trip(docs)
     return out.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
@@ -67,4 +71,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             path = shared_dir(spark)
             docs.write.parquet(path)
             docs = spark.read.parquet(path)
+            clean(spark)
     return docs
