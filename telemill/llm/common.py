@@ -18,13 +18,14 @@ from pyspark.sql import functions as F
 
 #: ASCII white space; every other byte belongs to a word.
 WHITE = b" \t\n\x0b\x0c\r"
-#: Rows in an Arrow batch: bounds what a Python worker holds where texts are long.
-BATCH_ROWS = "512"
+#: Rows and bytes in an Arrow batch: bound what a task and its Python worker hold where texts are long.
+BATCH_ROWS, BATCH_BYTES = "512", "8m"
 
 
 def tuned(spark: SparkSession) -> SparkSession:
     """The session, with Arrow batches small enough for long texts."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     return spark
 
 

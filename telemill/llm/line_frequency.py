@@ -39,68 +39,90 @@ def text_lines(text: Column) -> Column:
     return F.split(text, "\n")
 
 
+def least_run(text: Column) -> Column:
+    """The least hash of a text's runs of five words: equal for copies, and mostly for near copies.
+
+    Texts of fewer words and the runs at a text's end are hashed as they are; without words it is null.
+    """
+    words = F.filter(F.split(text, "[\\t-\\r ]+"), lambda w: w != "")
+    return F.array_min(F.transform(words, lambda w, i: F.xxhash64(w, *[F.get(words, i + k) for k in range(1, 5)])))
+
+
 def _key(line: Column) -> Column:
     # two seeds of a 64-bit hash stand for the line: 128 bits
     return F.struct(F.xxhash64(line).alias("a"), F.xxhash64(F.lit(7), line).alias("b"))
 
 
-def boilerplate(pages: DataFrame, host: str, lines: str, ratio: float, min_pages: int, content: str | None = None) -> DataFrame:
-    """host and the array of its boilerplate lines' keys.
+def boilerplate(pages: DataFrame, ratio: float, min_pages: int, by_content: bool) -> DataFrame:
+    """host and the array of its boilerplate lines' keys, of pages (host, lines, and content where asked).
 
     A page counts once for a line however often it has it.  An array holds at most (mean lines of a page) /
-    ratio keys, whatever the site's size, as each line in it takes up `ratio` of the site's pages.  With
-    `content` the pages of a site that agree in it count as one, in a line's share and in the total, and a
-    line needs MIN_CONTENTS contents in place of a site of `min_pages` pages.
+    ratio keys, whatever the site's size, as each line in it takes up `ratio` of the site's pages.  By content
+    the pages of a site that agree in it count as one, in a line's share and in the total, and a line needs
+    MIN_CONTENTS contents in place of a site of `min_pages` pages.  A host of any size is counted by partial
+    sums, and lines that are too rare for any site are dropped before totals are joined.
     """
-    full = F.filter(lines, lambda x: _trimmed(x) != "")
-    if content is not None:
-        total = pages.groupBy(host, content).agg(F.lit(1).alias("__one")).groupBy(host).agg(F.count("*").alias("__pages"))
-        per_page = pages.select(host, content, F.explode(F.array_distinct(F.transform(full, _key))).alias("__key")).distinct()
-        counts = per_page.groupBy(host, "__key").agg(F.count("*").alias("__n")).filter(F.col("__n") >= MIN_CONTENTS)
-        often = counts.join(total, host).filter(F.col("__n") > ratio * F.col("__pages"))
-        return often.groupBy(host).agg(F.collect_set("__key").alias("__often"))
-    total = pages.groupBy(host).agg(F.count("*").alias("__pages"))
-    per_page = pages.select(host, F.explode(F.array_distinct(F.transform(full, _key))).alias("__key"))
-    counts = per_page.groupBy(host, "__key").agg(F.count("*").alias("__n"))
-    often = counts.join(total, host).filter((F.col("__pages") >= min_pages) & (F.col("__n") > ratio * F.col("__pages")))
-    return often.groupBy(host).agg(F.collect_set("__key").alias("__often"))
+    full = F.filter("lines", lambda x: _trimmed(x) != "")
+    keys = F.explode(F.array_distinct(F.transform(full, _key))).alias("key")
+    if by_content:
+        total = pages.select("host", "content").distinct().groupBy("host").agg(F.count("*").alias("pages"))
+        per_page = pages.select("host", "content", keys).distinct()
+        least, enough = MIN_CONTENTS - 1, F.lit(True)
+    else:
+        total = pages.groupBy("host").agg(F.count("*").alias("pages"))
+        per_page = pages.select("host", keys)
+        least, enough = ratio * min_pages, F.col("pages") >= min_pages
+    counts = per_page.groupBy("host", "key").agg(F.count("*").alias("n")).filter(F.col("n") > least)
+    # one row for each host: staged, so that the optimizer knows when it is small
+    often = counts.join(staged(total), "host").filter(enough & (F.col("n") > ratio * F.col("pages")))
+    return often.groupBy("host").agg(F.collect_set("key").alias("often"))
 
 
 def drop_boilerplate(
-    pages: DataFrame, host: Column, lines: Column, ratio: float = RATIO, min_pages: int = MIN_PAGES, content: str | None = None
+    pages: DataFrame, host: Column, lines: Column, ratio: float = RATIO, min_pages: int = MIN_PAGES, content: Column | None = None
 ) -> DataFrame:
-    """All columns, with __host, __lines and __kept (lines that stay; null where __lines is null).
+    """row (all columns as a struct), host, lines and kept (lines that stay; null where lines is null).
 
     A row whose host is null belongs to no site and keeps its lines.  Rows given twice count as two pages,
-    or as one where a column `content` tells which rows are copies.  Blank lines neither count nor go.  An
-    empty table gives no rows.
+    or as one where `content` tells which rows are copies (a null one tells nothing: its rows are one).
+    Blank lines neither count nor go.  An empty table gives no rows.  A very long text is one array of lines.
     """
-    work = pages.withColumn("__host", host).withColumn("__lines", lines)
-    counted = work.select("__host", "__lines", *[content] * (content is not None)).filter("__host is not null and __lines is not null")
-    often = staged(boilerplate(counted, "__host", "__lines", ratio, min_pages, content))
+    row = F.struct(*[F.col(f"`{c}`") for c in pages.columns]).alias("row")
+    work = pages.select(row, host.alias("host"), lines.alias("lines"))
+    counted = pages.select(host.alias("host"), lines.alias("lines"), *([content.alias("content")] if content is not None else []))
+    often = staged(boilerplate(counted.filter("host is not null and lines is not null"), ratio, min_pages, content is not None))
     # the written table's size is known, so the optimizer broadcasts it only where it is small
-    joined = work.join(often.withColumnRenamed("__host", "__site"), F.col("__host") == F.col("__site"), "left").drop("__site")
-    stays = lambda x: (_trimmed(x) == "") | ~F.array_contains(F.col("__often"), _key(x))
-    return joined.withColumn("__kept", F.when(F.col("__often").isNull(), F.col("__lines")).otherwise(F.filter("__lines", stays))).drop("__often")
+    joined = work.join(often, "host", "left")
+    stays = lambda x: (_trimmed(x) == "") | ~F.array_contains(F.col("often"), _key(x))
+    return joined.select("row", "host", "lines", F.when(F.col("often").isNull(), F.col("lines")).otherwise(F.filter("lines", stays)).alias("kept"))
 
 
 def page_lines(pages: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
-    """page_id, host, n_lines, n_dropped and text (the lines that stay) of every page."""
+    """page_id, host, n_lines, n_dropped and text (the lines that stay) of every page.
+
+    A null page has null text and no lines, an empty one empty text; a page given twice counts as two; a page
+    whose url is null or has no host keeps all its lines.
+    """
     # the lines are needed twice and their patterns are the work: they are extracted once and written
     lines = staged(pages.select("page_id", host_of(F.col("url")).alias("host"), html_lines(F.col("html")).alias("lines")))
     made = drop_boilerplate(lines, F.col("host"), F.col("lines"), ratio, min_pages)
     size = lambda c: F.coalesce(F.size(c), F.lit(0)).cast("long")
     return made.select(
-        "page_id",
-        F.col("__host").alias("host"),
-        size("__lines").alias("n_lines"),
-        (size("__lines") - size("__kept")).alias("n_dropped"),
-        F.array_join("__kept", "\n").alias("text"),
+        "row.page_id",
+        "host",
+        size("lines").alias("n_lines"),
+        (size("lines") - size("kept")).alias("n_dropped"),
+        F.array_join("kept", "\n").alias("text"),
     )
 
 
-def document_lines(docs: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAGES, content: str | None = None) -> DataFrame:
-    """The documents with their source's boilerplate lines taken out of text; n_chars follows; all columns."""
+def document_lines(docs: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAGES, content: Column | None = None) -> DataFrame:
+    """The documents with their source's boilerplate lines taken out of text; n_chars follows; all columns.
+
+    A null text stays null, an empty one empty; a row given twice counts as two documents unless `content`
+    tells copies; a row without a source keeps its lines.
+    """
     made = drop_boilerplate(docs, F.col("source"), text_lines(F.col("text")), ratio, min_pages, content)
-    out = made.withColumn("text", F.array_join("__kept", "\n")).drop("__host", "__lines", "__kept")
-    return out.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"])) if "n_chars" in docs.columns else out
+    text = F.array_join("kept", "\n")
+    new = {"text": text, "n_chars": F.length(text).cast(dict(docs.dtypes).get("n_chars", "long"))}
+    return made.select(*[new[c].alias(c) if c in new else F.col("row")[c].alias(c) for c in docs.columns])
