@@ -18,20 +18,11 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents without their source's boilerplate lines; linked near copies count as one document.
+    """The documents without their source's boilerplate lines; copies, and most near copies, count as one document.
 
-    The links are those of the next stage.  A row without links or doc_id is told by its own text's hash, so
-    exact copies count as one even without a shingle.
+    They are told by the least hash of their five-word runs.  All in SQL functions.
     """
-    own = F.concat_ws(" ", F.xxhash64("text"), F.xxhash64(F.lit(7), "text"))
-    classes = lsh_forest.near_copy_classes(docs).filter("class_id is not null")
-    told = classes.groupBy("doc_id", "h").agg(F.min("class_id").alias("__class"))
-    # only a class of several rows needs to be told
-    several = classes.groupBy("class_id").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("class_id").alias("__class"))
-    told = told.join(several, "__class", "left_semi").select(F.col("doc_id").alias("__id"), F.col("h").alias("__h"), "__class")
-    told = docs.join(told, (F.col("doc_id") == F.col("__id")) & (F.xxhash64("text") == F.col("__h")), "left")
-    told = told.withColumn("__content", F.coalesce(F.concat(F.lit("class "), F.col("__class").cast("string")), own)).drop("__id", "__h", "__class")
-    return line_frequency.document_lines(told, content="__content").drop("__content")
+    return line_frequency.document_lines(docs, content=line_frequency.least_run(F.col("text")))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
