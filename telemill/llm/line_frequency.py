@@ -39,13 +39,14 @@ def text_lines(text: Column) -> Column:
     return F.split(text, "\n")
 
 
-def least_run(text: Column) -> Column:
-    """The least hash of a text's runs of five words: equal for copies, and mostly for near copies.
+def least_run(words: str) -> Column:
+    """The least hash of the runs of five words in an array column: equal for copies, and mostly for near copies.
 
-    Texts of fewer words and the runs at a text's end are hashed as they are; without words it is null.
+    Runs that reach over the end are hashed as they are.  `words` is a column of its own: inside a lambda an
+    expression would be made anew for each word.
     """
-    words = F.filter(F.split(text, "[\\t-\\r ]+"), lambda w: w != "")
-    return F.array_min(F.transform(words, lambda w, i: F.xxhash64(w, *[F.get(words, i + k) for k in range(1, 5)])))
+    w = F.col(words)
+    return F.array_min(F.transform(w, lambda x, i: F.xxhash64(x, *[F.get(w, i + k) for k in range(1, 5)])))
 
 
 def _key(line: Column) -> Column:
@@ -79,18 +80,21 @@ def boilerplate(pages: DataFrame, ratio: float, min_pages: int, by_content: bool
 
 
 def drop_boilerplate(
-    pages: DataFrame, host: Column, lines: Column, ratio: float = RATIO, min_pages: int = MIN_PAGES, content: Column | None = None
+    pages: DataFrame, host: Column, lines: Column, ratio: float = RATIO, min_pages: int = MIN_PAGES, words: Column | None = None
 ) -> DataFrame:
     """row (all columns as a struct), host, lines and kept (lines that stay; null where lines is null).
 
     A row whose host is null belongs to no site and keeps its lines.  Rows given twice count as two pages,
-    or as one where `content` tells which rows are copies (a null one tells nothing: its rows are one).
+    or as one where the array `words` of its text is given, by which copies and near copies are told.
     Blank lines neither count nor go.  An empty table gives no rows.  A very long text is one array of lines.
     """
     row = F.struct(*[F.col(f"`{c}`") for c in pages.columns]).alias("row")
     work = pages.select(row, host.alias("host"), lines.alias("lines"))
-    counted = pages.select(host.alias("host"), lines.alias("lines"), *([content.alias("content")] if content is not None else []))
-    often = staged(boilerplate(counted.filter("host is not null and lines is not null"), ratio, min_pages, content is not None))
+    if words is None:
+        counted = pages.select(host.alias("host"), lines.alias("lines"))
+    else:
+        counted = pages.select(host.alias("host"), lines.alias("lines"), words.alias("words")).select("host", "lines", least_run("words").alias("content"))
+    often = staged(boilerplate(counted.filter("host is not null and lines is not null"), ratio, min_pages, words is not None))
     # the written table's size is known, so the optimizer broadcasts it only where it is small
     joined = work.join(often, "host", "left")
     stays = lambda x: (_trimmed(x) == "") | ~F.array_contains(F.col("often"), _key(x))
@@ -116,13 +120,14 @@ def page_lines(pages: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAGE
     )
 
 
-def document_lines(docs: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAGES, content: Column | None = None) -> DataFrame:
+def document_lines(docs: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAGES, near_copies_as_one: bool = False) -> DataFrame:
     """The documents with their source's boilerplate lines taken out of text; n_chars follows; all columns.
 
-    A null text stays null, an empty one empty; a row given twice counts as two documents unless `content`
-    tells copies; a row without a source keeps its lines.
+    A null text stays null, an empty one empty; a row given twice counts as two documents, or as
+    one where near copies count as one; a row without a source keeps its lines.
     """
-    made = drop_boilerplate(docs, F.col("source"), text_lines(F.col("text")), ratio, min_pages, content)
+    words = F.split("text", "[\\t-\\r ]+") if near_copies_as_one else None
+    made = drop_boilerplate(docs, F.col("source"), text_lines(F.col("text")), ratio, min_pages, words)
     text = F.array_join("kept", "\n")
     new = {"text": text, "n_chars": F.length(text).cast(dict(docs.dtypes).get("n_chars", "long"))}
     return made.select(*[new[c].alias(c) if c in new else F.col("row")[c].alias(c) for c in docs.columns])
