@@ -22,7 +22,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     They are told by the least hash of their five-word runs.  All in SQL functions.
     """
-    return line_frequency.document_lines(docs, content=line_frequency.least_run(F.col("text")))
+    return line_frequency.document_lines(docs, near_copies_as_one=True)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
