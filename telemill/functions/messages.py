@@ -11,7 +11,8 @@ from pyspark.sql.types import ArrayType, StringType
 
 # What varies in a message, in the order of replacement, in a syntax common to Java and Python.
 RULES = (
-    (r"\"(?:[^\"\\]|\\.)*\"|'(?:[^'\\]|\\.)*'|`[^`]*`", "<str>"),
+    # possessive: a quoted string of any length neither recurses nor backtracks
+    (r"\"[^\"\\]*+(?:\\.[^\"\\]*+)*+\"|'[^'\\]*+(?:\\.[^'\\]*+)*+'|`[^`]*+`", "<str>"),
     (r"(?i)\b[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}\b", "<uuid>"),
     (r"(?i)\b[a-z][a-z0-9+.-]*://[^\s'\"<>()]+", "<url>"),
     (r"(?<=^|[\s(\[{=,:;])(?:~?/[^\s'\"()\[\]{},;:]+|[A-Za-z]:[\\/][^\s'\"()\[\]{},;:]*|\\\\[^\s'\"()\[\]{},;:]+)", "<path>"),

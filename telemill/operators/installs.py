@@ -105,7 +105,7 @@ def version_change_series(changes: DataFrame, installs: DataFrame, f: Filters, g
     out = rows.groupBy(bucket_of(grain, F.col("changed_at")).alias("bucket"), "from_version", "to_version", "direction").agg(
         F.count("*").alias("changes"), F.count_distinct("install_id").alias("installs")
     )
-    return f.page(out, F.col("bucket").asc(), F.col("changes").desc(), F.col("from_version").asc(), F.col("to_version").asc())
+    return f.page(out, F.col("bucket").asc(), F.col("from_version").asc(), F.col("to_version").asc(), F.col("direction").asc())
 
 
 def install_coverage(logs: DataFrame, f: Filters, grain: str) -> DataFrame:

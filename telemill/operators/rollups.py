@@ -51,10 +51,17 @@ class Rollup:
         return stored.filter(F.col("bucket") < edge).unionByName(self.build(facts.filter(F.col("time") >= edge)))
 
     def refresh(self, facts: DataFrame, path: str, first: date, last: date) -> None:
-        """Builds the dates from first to before last anew, and overwrites just their partitions."""
+        """Builds the dates from first to before last anew, and overwrites just their partitions; dates without rows go."""
         inside = facts.filter((F.col("time") >= F.lit(first).cast("timestamp")) & (F.col("time") < F.lit(last).cast("timestamp")))
         made = self.build(inside).withColumn("date", F.to_date("bucket"))
         made.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date").parquet(path)
+        # a date whose rows have all gone has no partition to overwrite it with
+        spark = facts.sparkSession
+        have = {r.date for r in spark.read.parquet(path).select("date").filter((F.col("date") >= F.lit(first)) & (F.col("date") < F.lit(last))).distinct().collect()} if first < last else set()
+        full = {r.date for r in inside.filter(self.takes).select(F.to_date("time").alias("date")).distinct().collect()}
+        for day in have - full:
+            place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/date={day.isoformat()}")
+            place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def _sum(c: Column) -> tuple[Column, Callable[[str], Column]]:
@@ -82,7 +89,7 @@ def _install() -> dict:
 
 def _histogram(bounds: tuple[int, ...]) -> dict:
     return {
-        "n": _count(), "total": _sum(F.col("obs")), "least": (F.min("obs"), lambda k: F.min(k)), "most": (F.max("obs"), lambda k: F.max(k)),
+        "points": _count(), "n": _sum(F.col("n")), "total": _sum(F.col("total")), "least": (F.min("least"), lambda k: F.min(k)), "most": (F.max("most"), lambda k: F.max(k)),
         **{f"b{i}": _sum(F.col(f"b{i}")) for i in range(len(bounds) + 1)}, **_install(),
     }
 

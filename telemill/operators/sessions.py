@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..plans.buckets import bucket_of
-from ..plans.scope import Filters, all_of, facts
+from ..plans.scope import Filters, all_of, attribute, facts, json_number
 from .installs import DONE
 
 GAP, LONGEST, MOST_WINDOW = 30 * 60, 5, 3600
@@ -129,10 +129,23 @@ def terminal_value(is_tty: Column) -> Column:
     return F.when(is_tty, "tty").when(~is_tty, "piped")
 
 
-def runtime_value(name: str, version: str) -> Column:
-    return F.concat(text_value(name), F.lit(" "), text_value(version))
 
+def environment_values() -> dict[str, Column]:
+    """Each dimension's value of a session, from its attributes; null where it was not reported."""
+    text = lambda k: F.nullif(attribute(k), F.lit(""))
+    return {
+        "shell": text("cli.shell"),
+        "terminal": text("cli.terminal"),
+        "stdout": terminal_value(F.when(attribute("cli.stdout.is_tty") == "true", True).when(attribute("cli.stdout.is_tty") == "false", False)),
+        "runtime": text("cli.runtime.name"),
+        # a version means nothing without its runtime
+        "runtime_version": F.concat(text("cli.runtime.name"), F.lit(" "), text("cli.runtime.version")),
+        "config": count_band(json_number("cli.config.customized_count")),
+        "auth": text("cli.auth.state"),
+    }
 
-def count_band(c: str) -> Column:
+
+def count_band(c: str | Column) -> Column:
     """0, 1-2, 3-5 or 6+; a negative count is none."""
-    return F.when(F.col(c) < 0, None).when(F.col(c) == 0, "0").when(F.col(c) <= 2, "1-2").when(F.col(c) <= 5, "3-5").when(F.col(c) > 5, "6+")
+    c = F.col(c) if isinstance(c, str) else c
+    return F.when(c < 0, None).when(c == 0, "0").when(c <= 2, "1-2").when(c <= 5, "3-5").when(c > 5, "6+")

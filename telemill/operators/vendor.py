@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.sketches import MEASURE_BOUNDS, VALUE_BOUNDS, histogram_quantile, merge_distinct, read_distinct
 from ..plans.buckets import rebucket
 from ..plans.scope import Filters, all_of, dimension, rollup
 
+#: Days in which an undeclared metric counts as seen.
+DISCOVERY_DAYS = 30
 DIMS = ("service_name", "cli_version", "os", "arch", "is_ci", "command_name")
 
 
@@ -20,7 +22,7 @@ def _rows(rolled: DataFrame, f: Filters, name: str | None = None, labelled: bool
 
 def counters(rolled: DataFrame, f: Filters) -> DataFrame:
     out = _rows(rolled, f).groupBy("name").agg(F.sum("total").alias("total"), F.sum("points").alias("points"), F.count_distinct("label").alias("labels"))
-    return f.page(out, F.col("name").asc())
+    return f.page(out, F.col("total").desc(), F.col("name").asc())
 
 
 def counter_series(rolled: DataFrame, f: Filters, name: str, grain: str) -> DataFrame:
@@ -34,13 +36,66 @@ def counter_labels(rolled: DataFrame, f: Filters, name: str) -> DataFrame:
     return f.page(out, F.col("total").desc(), F.col("label").asc_nulls_last())
 
 
-def counter_groups(rolled: DataFrame, f: Filters, name: str, grain: str, dims: tuple[str, ...]) -> DataFrame:
-    """Series by up to two dimensions of the label."""
+def _keys(dims: tuple[str, ...]) -> list[Column]:
     if not 0 < len(dims) <= 2:
         raise ValueError("one or two dimensions")
-    keys = [dimension(F.col("label"), d).alias(f"d{i}") for i, d in enumerate(dims)]
-    out = _rows(rolled, f, name).groupBy(*keys, F.date_trunc(grain, "bucket").alias("bucket")).agg(F.sum("total").alias("total"))
-    return out.orderBy(*(F.col(f"d{i}").asc_nulls_last() for i in range(len(dims))), "bucket")
+    return [dimension(F.col("label"), d).alias(f"d{i}") for i, d in enumerate(dims)]
+
+
+def _ranked(rows: DataFrame, f: Filters, dims: tuple[str, ...], by: str) -> DataFrame:
+    """d0, d1 and the rank of the page's groups: the largest sum of a state first, then by dimensions."""
+    names = [f"d{i}" for i in range(len(dims))]
+    page = f.page(rows.groupBy(*_keys(dims)).agg(F.sum(by).alias("sum")), F.col("sum").desc(), *(F.col(n).asc_nulls_last() for n in names))
+    order = Window.orderBy(F.col("sum").desc(), *(F.col(n).asc_nulls_last() for n in names))  # at most a page of groups
+    return page.select(*names, F.row_number().over(order).alias("rank"))
+
+
+def _group_rows(rolled: DataFrame, f: Filters, name: str, dims: tuple[str, ...], by: str) -> DataFrame:
+    """The rows of the page's groups, with d0, d1 and rank."""
+    rows = _rows(rolled, f, name)
+    top = F.broadcast(_ranked(rows, f, dims, by))  # at most a page
+    names = [f"d{i}" for i in range(len(dims))]
+    keyed = rows.select("*", *_keys(dims)).join(top.withColumnsRenamed({n: f"t_{n}" for n in names}), all_of([F.col(n).eqNullSafe(F.col(f"t_{n}")) for n in names]))
+    return keyed.drop(*(f"t_{n}" for n in names))
+
+
+def counter_groups(rolled: DataFrame, f: Filters, name: str, grain: str, dims: tuple[str, ...]) -> DataFrame:
+    """Series by up to two dimensions of the label, of the page's groups by total."""
+    keys = [f"d{i}" for i in range(len(dims))]
+    rows = _group_rows(rolled, f, name, dims, "total")
+    out = rows.groupBy("rank", *keys, F.date_trunc(grain, "bucket").alias("bucket")).agg(F.sum("total").alias("total"))
+    return out.orderBy("rank", "bucket").select(*keys, "bucket", "total")
+
+
+def measure_groups(rolled: DataFrame, f: Filters, name: str, grain: str, dims: tuple[str, ...]) -> DataFrame:
+    """As counter_groups for a measure: the groups of most observations."""
+    keys = [f"d{i}" for i in range(len(dims))]
+    rows = _group_rows(rolled, f, name, dims, "n").withColumn("bucket", F.date_trunc(grain, "bucket"))
+    out = rows.groupBy("rank", *keys, "bucket").agg(*_merged(MEASURE_BOUNDS)).orderBy("rank", "bucket")
+    return out.select(*keys, "bucket", "n", "total", "least", "most", *_read(MEASURE_BOUNDS, (0.5, 0.95, 0.99)))
+
+
+def value_groups(rolled: DataFrame, f: Filters, name: str, grain: str, dims: tuple[str, ...]) -> DataFrame:
+    """As counter_groups for a value: the groups of most observations."""
+    keys = [f"d{i}" for i in range(len(dims))]
+    rows = _group_rows(rolled, f, name, dims, "n").withColumn("bucket", F.date_trunc(grain, "bucket"))
+    return rows.groupBy("rank", *keys, "bucket").agg(*_merged(VALUE_BOUNDS)).orderBy("rank", "bucket").select(*keys, "bucket", *_value_columns())
+
+
+def measure_labels(rolled: DataFrame, f: Filters, name: str) -> DataFrame:
+    """Observations by label, whatever dimensions are asked for; most first."""
+    out = _rows(rolled, f, name, labelled=False).groupBy("label").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
+    return f.page(out, F.col("n").desc(), F.col("label").asc_nulls_last())
+
+
+value_labels = measure_labels
+
+
+def reach_groups(rolled: DataFrame, f: Filters, name: str, dims: tuple[str, ...], by: str = "total") -> DataFrame:
+    """Installs behind each of the page's groups."""
+    keys = [f"d{i}" for i in range(len(dims))]
+    out = _group_rows(rolled, f, name, dims, by).groupBy("rank", *keys).agg(merge_distinct(F.col("reach")).alias("s"))
+    return out.orderBy("rank").select(*keys, read_distinct(F.col("s")).alias("reached"))
 
 
 def _merged(bounds: tuple[int, ...]) -> list[Column]:
@@ -54,7 +109,7 @@ def _read(bounds: tuple[int, ...], qs: tuple[float, ...]) -> list[Column]:
 
 def measures(rolled: DataFrame, f: Filters) -> DataFrame:
     out = _rows(rolled, f).groupBy("name").agg(*_merged(MEASURE_BOUNDS), F.count_distinct("label").alias("labels"))
-    return f.page(out.select("name", "n", "total", "least", "most", "labels", *_read(MEASURE_BOUNDS, (0.5, 0.95, 0.99))), F.col("name").asc())
+    return f.page(out.select("name", "n", "total", "least", "most", "labels", *_read(MEASURE_BOUNDS, (0.5, 0.95, 0.99))), F.col("n").desc(), F.col("name").asc())
 
 
 def measure_series(rolled: DataFrame, f: Filters, name: str, grain: str) -> DataFrame:
@@ -69,7 +124,7 @@ def _value_columns() -> list[Column]:
 
 def values(rolled: DataFrame, f: Filters) -> DataFrame:
     out = _rows(rolled, f).groupBy("name").agg(*_merged(VALUE_BOUNDS), F.count_distinct("label").alias("labels"))
-    return f.page(out.select("name", "labels", *_value_columns()), F.col("name").asc())
+    return f.page(out.select("name", "labels", *_value_columns()), F.col("n").desc(), F.col("name").asc())
 
 
 def value_series(rolled: DataFrame, f: Filters, name: str, grain: str) -> DataFrame:
@@ -115,9 +170,12 @@ def vendor_services(kinds: dict[str, DataFrame], f: Filters) -> DataFrame:
 
 
 def metric_definitions(declared: DataFrame, seen: DataFrame, f: Filters) -> DataFrame:
-    """Declared definitions, and metrics seen but never declared (never `other`)."""
+    """Declared definitions, and metrics that a service has sent but never declared (never `other`, none without a service).
+
+    `f` bounds the days in which metrics count as sent; DISCOVERY_DAYS before now is the usual window.
+    """
     known = declared.filter(f.tenant()).select("service_name", "name", "kind", F.lit(True).alias("declared"), F.col("deprecated_at").isNotNull().alias("deprecated"))
-    fresh = rollup(seen, f).filter("name <> 'other'").select("service_name", "name", "kind").distinct()
+    fresh = rollup(seen, f).filter("name <> 'other' and service_name is not null").select("service_name", "name", "kind").distinct()
     k = known.select(*(F.col(c).alias(f"k_{c}") for c in ("service_name", "name", "kind")))
     same = all_of([F.col(c).eqNullSafe(F.col(f"k_{c}")) for c in ("service_name", "name", "kind")])
     extra = fresh.join(k, same, "left_anti").select("*", F.lit(False).alias("declared"), F.lit(False).alias("deprecated"))

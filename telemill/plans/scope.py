@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 from datetime import datetime, timedelta
 from functools import reduce
@@ -19,9 +20,17 @@ def attribute(name: str, column: str = "attributes") -> Column:
     return F.get_json_object(column, "$['" + name.replace("'", "\\'") + "']")
 
 
+def json_number(name: str, column: str = "attributes") -> Column:
+    """A JSON attribute as a double where it is a number; null for a numeric string, any other type or none."""
+    value = F.variant_get(F.try_parse_json(column), "$['" + name.replace("'", "\\'") + "']", "variant")
+    return F.when(F.schema_of_variant(value).rlike("^(?:BIGINT|DOUBLE|FLOAT|DECIMAL)"), F.try_variant_get(value, "$", "double"))
+
+
 def dimension(label: Column, key: str) -> Column:
     """A key's value in a label k1=v1;k2=v2: 'other' is other for every key, a label without '=' is dimension label."""
-    found = F.regexp_extract(label, "(?:^|;)" + key.replace(".", "\\.") + "=([^;]*)", 1)
+    if not key or any(c in key for c in "=;"):
+        raise ValueError(f"not a dimension: {key!r}")
+    found = F.regexp_extract(label, "(?:^|;)" + re.escape(key) + "=([^;]*)", 1)
     plain = F.when(F.lit(key == "label") & ~F.contains(label, F.lit("=")) & (label != ""), label)
     return F.when(label == "other", "other").otherwise(F.coalesce(plain, F.nullif(found, F.lit(""))))
 

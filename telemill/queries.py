@@ -12,7 +12,7 @@ from .functions.messages import fingerprint, normalised
 from .functions.versions import version_order
 from .operators import commands, errors, installs, maintenance, sessions, vendor, vocabulary
 from .operators.rollups import rollups
-from .plans.scope import Filters
+from .plans.scope import Filters, attribute, json_number
 from .sources import telemetry
 
 START, END = datetime(2024, 1, 1), datetime(2024, 2, 1)
@@ -176,6 +176,18 @@ _query("q24_environment_shell", _environment_sql("nullif(shell, '')", 2))(lambda
 _query("q24_environment_config", _environment_sql("CASE WHEN customized_count < 0 THEN NULL WHEN customized_count = 0 THEN '0' WHEN customized_count <= 2 THEN '1-2' WHEN customized_count <= 5 THEN '3-5' ELSE '6+' END", 10))(
     lambda d: sessions.session_environment(d.logs(), ALL, sessions.count_band("customized_count"), 10)
 )
+_ENVIRONMENT = {
+    "terminal": "nullif(command_name, '')", "stdout": "CASE WHEN is_ci THEN 'tty' WHEN NOT is_ci THEN 'piped' END", "runtime": "nullif(install_method, '')",
+    "runtime_version": "CASE WHEN install_method IS NOT NULL AND cli_version IS NOT NULL THEN concat(install_method, ' ', cli_version) END", "auth": "nullif(service_name, '')",
+}
+for _name, _value in _ENVIRONMENT.items():
+    _query(f"q24_environment_{_name}", _environment_sql(_value, 2))(lambda d, n=_name: sessions.session_environment(d.logs(), ALL, sessions.environment_values()[n], 2))
+_query("f13_typed_json", f"SELECT CASE WHEN customized_count < 0 THEN 'negative' ELSE 'number' END AS kind, count(*) AS n, CAST(sum(customized_count) AS DOUBLE) AS total FROM tel WHERE {_SCOPE} AND customized_count IS NOT NULL GROUP BY 1 UNION ALL SELECT 'text', count(*), 0 FROM tel WHERE {_SCOPE} AND shell IS NOT NULL")(
+    lambda d: d.logs().filter(ALL.tenant() & ALL.time("time")).select(F.explode(F.array(
+        F.struct(F.when(json_number("cli.config.customized_count") < 0, "negative").when(json_number("cli.config.customized_count").isNotNull(), "number").alias("kind"), json_number("cli.config.customized_count").alias("v")),
+        F.struct(F.when(json_number("cli.shell").isNull() & attribute("cli.shell").isNotNull(), "text").alias("kind"), F.lit(0.0).alias("v")),
+    )).alias("x")).filter("x.kind is not null").groupBy("x.kind").agg(F.count("*").alias("n"), F.sum("x.v").alias("total"))
+)
 _query("q25_unknown_commands", f"SELECT coalesce(a.bucket, i.bucket) AS bucket, coalesce(a.n, 0) AS attempts, coalesce(i.n, 0) AS invocations, CASE WHEN coalesce(i.n, 0) > 0 THEN round(coalesce(a.n, 0) / i.n, 6) ELSE 0 END AS attempt_rate FROM (SELECT {_B('day')}, count(*) AS n FROM tel WHERE {_SCOPE} AND event_name = 'cli.command.unknown' GROUP BY ALL) a FULL JOIN (SELECT {_B('day')}, count(*) AS n {_SPAN} GROUP BY ALL) i ON a.bucket = i.bucket")(
     lambda d: _rounded(commands.unknown_commands(d.logs(), d.rolled("command_stats", "day"), ALL, "day"))
 )
@@ -207,6 +219,16 @@ _query("q32_counter_groups", f"SELECT CASE WHEN label = 'other' THEN 'other' ELS
 )
 
 
+_query("q32_counter_top_group", f"SELECT * FROM (WITH g AS (SELECT CASE WHEN label = 'other' THEN 'other' ELSE nullif(regexp_extract(label, '(?:^|;)check=([^;]*)', 1), '') END AS d0, {_B('week')}, obs {_MET('cli.counter')} AND name = 'vulns.found'), top AS (SELECT d0 FROM g GROUP BY d0 ORDER BY sum(obs) DESC, d0 NULLS LAST LIMIT 1) SELECT d0, bucket, sum(obs) AS total FROM g WHERE d0 IS NOT DISTINCT FROM (SELECT d0 FROM top) GROUP BY ALL)")(
+    lambda d: vendor.counter_groups(d.rolled("counters", "day"), Filters("t0", START, END, limit=1), "vulns.found", "week", ("check",))
+)
+_query("q33_measure_labels", f"SELECT label, count(*) AS n, sum(obs) AS total {_MET('cli.measure')} AND name = 'vulns.found' GROUP BY label")(lambda d: vendor.measure_labels(d.rolled("measures", "day"), ALL, "vulns.found"))
+_query("q34_value_labels", f"SELECT label, count(*) AS n, sum(obs) AS total {_MET('cli.value')} AND name = 'vulns.found' GROUP BY label")(lambda d: vendor.value_labels(d.rolled("values", "day"), ALL, "vulns.found"))
+_query("q35_reach_groups", f"SELECT CASE WHEN label = 'other' THEN 'other' ELSE nullif(regexp_extract(label, '(?:^|;)severity=([^;]*)', 1), '') END AS d0, count(DISTINCT install_id) AS reached {_MET('cli.counter')} AND name = 'vulns.found' GROUP BY 1")(
+    lambda d: vendor.reach_groups(d.rolled("counters", "day"), ALL, "vulns.found", ("severity",))
+)
+
+
 def _histogram_sql(metric: str, bounds: tuple[int, ...], qs: tuple[float, ...], key: str, more: str, where: str = "") -> str:
     """Quantiles of bucketed observations: each key's first bucket at which the running count meets the rank."""
     at = " + ".join(f"CASE WHEN obs > {b} THEN 1 ELSE 0 END" for b in bounds)
@@ -224,6 +246,13 @@ _query("q33_measures", _histogram_sql("cli.measure", telemetry.MEASURE_BOUNDS, (
 _query("q33_measure_series", _histogram_sql("cli.measure", telemetry.MEASURE_BOUNDS, (0.5, 0.95, 0.99), "date_trunc('week', t)", "key AS bucket", "AND name = 'vulns.found'"))(
     lambda d: _rounded(vendor.measure_series(d.rolled("measures", "day"), ALL, "vulns.found", "week"))
 )
+_SEVERITY = "CASE WHEN label = 'other' THEN 'other' ELSE nullif(regexp_extract(label, '(?:^|;)severity=([^;]*)', 1), '') END"
+_query("q33_measure_groups", _histogram_sql("cli.measure", telemetry.MEASURE_BOUNDS, (0.5, 0.95, 0.99), f"concat(coalesce({_SEVERITY}, '-'), '|', CAST(date_trunc('week', t) AS VARCHAR))", "nullif(split_part(key, '|', 1), '-') AS d0, CAST(split_part(key, '|', 2) AS TIMESTAMP) AS bucket", "AND name = 'vulns.found'"))(
+    lambda d: _rounded(vendor.measure_groups(d.rolled("measures", "day"), ALL, "vulns.found", "week", ("severity",)))
+)
+_query("q34_value_groups", _histogram_sql("cli.value", telemetry.VALUE_BOUNDS, (0.5, 0.9, 0.99), f"concat(coalesce({_SEVERITY}, '-'), '|', CAST(date_trunc('week', t) AS VARCHAR))", "nullif(split_part(key, '|', 1), '-') AS d0, CAST(split_part(key, '|', 2) AS TIMESTAMP) AS bucket, round(total / n, 6) AS mean, round(1 - b0 / n, 6) AS hit_rate", "AND name = 'vulns.found'"))(
+    lambda d: _rounded(vendor.value_groups(d.rolled("values", "day"), ALL, "vulns.found", "week", ("severity",)))
+)
 _query("q34_values", _histogram_sql("cli.value", telemetry.VALUE_BOUNDS, (0.5, 0.9, 0.99), "name", "key AS name, labels, round(total / n, 6) AS mean, round(1 - b0 / n, 6) AS hit_rate"))(lambda d: _rounded(vendor.values(d.rolled("values", "day"), ALL)))
 _query("q34_value_series")(lambda d: _rounded(vendor.value_series(d.rolled("values", "day"), ALL, "vulns.found", "week")))
 _query("q35_reach", f"SELECT (SELECT count(DISTINCT install_id) {_MET('cli.counter')} AND name = 'vulns.found') AS reached, (SELECT count(DISTINCT install_id) {_STARTED}) AS active, (SELECT round(count(install_id) / count(*), 6) {_MET('cli.counter')} AND name = 'vulns.found') AS reported_share, round((SELECT count(DISTINCT install_id) {_MET('cli.counter')} AND name = 'vulns.found') / (SELECT count(DISTINCT install_id) {_STARTED}), 6) AS active_share")(
@@ -242,7 +271,7 @@ _query("q36_ratio", f"SELECT bucket, coalesce(sum(a), 0) AS numerator, coalesce(
 _query("q37_vendor_services", "SELECT service_name, count(DISTINCT name) FILTER (metric_name = 'cli.counter') AS counters, count(DISTINCT name) FILTER (metric_name = 'cli.measure') AS measures, count(DISTINCT name) FILTER (metric_name = 'cli.value') AS \"values\" FROM met WHERE tenant_id = 't0' GROUP BY service_name")(
     lambda d: vendor.vendor_services({k: d.rolled(k, "day") for k in ("counters", "measures", "values")}, ALL)
 )
-_query("q38_metric_definitions", "SELECT DISTINCT service_name, name, 'counter' AS kind, coalesce(name = 'vulns.found' AND service_name = 'alpha', false) AS declared, false AS deprecated FROM met WHERE tenant_id = 't0' AND metric_name = 'cli.counter' AND name <> 'other'")(
+_query("q38_metric_definitions", "SELECT DISTINCT service_name, name, 'counter' AS kind, coalesce(name = 'vulns.found' AND service_name = 'alpha', false) AS declared, false AS deprecated FROM met WHERE tenant_id = 't0' AND metric_name = 'cli.counter' AND name <> 'other' AND service_name IS NOT NULL")(
     lambda d: vendor.metric_definitions(
         d.metrics().filter("name = 'vulns.found' and service_name = 'alpha'").select("tenant_id", "service_name", "name", F.lit("counter").alias("kind"), F.lit(None).cast("timestamp").alias("deprecated_at")).distinct(),
         d.rolled("counters", "day").withColumn("kind", F.lit("counter")), ALL,

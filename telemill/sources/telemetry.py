@@ -79,7 +79,11 @@ def logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log events, one row each: time, id, dimensions, and an `attributes` JSON beside the promoted columns."""
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
     tel = spark.sql(LOGS.replace("<SRC>", SPARK_SOURCE).replace("<STR>", "STRING"), events=events)
-    attributes = F.to_json(F.struct(F.col("shell").alias("cli.shell"), F.col("suggestion").alias("cli.suggestion"), F.col("customized_count").alias("cli.config.customized_count")))
+    given = {
+        "cli.shell": "shell", "cli.suggestion": "suggestion", "cli.config.customized_count": "customized_count", "cli.terminal": "command_name",
+        "cli.stdout.is_tty": "is_ci", "cli.runtime.name": "install_method", "cli.runtime.version": "cli_version", "cli.auth.state": "service_name",
+    }
+    attributes = F.to_json(F.struct(*(F.col(c).alias(k) for k, c in given.items())))
     return tel.withColumnsRenamed({"t": "time", "event_id": "id"}).withColumn("attributes", attributes)
 
 
@@ -96,4 +100,5 @@ def metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     met = spark.sql(METRICS.replace("<TEL>", tel), events=events).withColumnsRenamed({"t": "time", "event_id": "id"})
     bounds = lambda of: sum((F.when(F.col("obs") > b, 1).otherwise(0) for b in of), F.lit(0))
     at = F.when(F.col("metric_name") == "cli.measure", bounds(MEASURE_BOUNDS)).when(F.col("metric_name") == "cli.value", bounds(VALUE_BOUNDS))
-    return met.withColumn("at", at).select("*", *one_hot(F.col("at"), len(VALUE_BOUNDS) + 1)).drop("at")
+    one = [F.lit(1).cast("long").alias("n"), *(F.col("obs").alias(c) for c in ("total", "least", "most"))]
+    return met.withColumn("at", at).select("*", *one, *one_hot(F.col("at"), len(VALUE_BOUNDS) + 1)).drop("at")
