@@ -6,7 +6,7 @@ a few hundred entries by nature, and become literals of the plan.  A record that
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -24,7 +24,10 @@ PLAUSIBLE = {
     "peak_rss_bytes": (1, 2**40), "cpu_time_ms": (1, 31 * 24 * 3600 * 1000 * 1024), "binary_size_bytes": (1, 4 * 2**30), "startup_ms": (0, 3_600_000),
 }
 PROMOTED = {"cli_version": "service.version", "os": "os.type", "arch": "host.arch", "command_name": "cli.command.name", "install_id": "cli.install_id", "service_name": "service.name"}
-TIER_KEY = "cli.analytics.tier"
+TIER_KEY, DIM_PREFIX = "cli.analytics.tier", "cli.dim."
+#: Vendor instruments: where their points carry name and label.
+INSTRUMENTS = ("cli.counter", "cli.measure", "cli.value")
+MOST_DIMS = 3
 
 
 @dataclass(frozen=True)
@@ -56,7 +59,8 @@ class Rules:
     tiers: tuple[str, ...]
     attributes: dict[str, Attribute]
     events: dict[str, Event]
-    families: dict[str, str] = field(default_factory=dict)  # prefix -> pattern of the rest of the key
+    #: prefix -> its attribute, whose pattern is of the rest of the key; an event allows the family as prefix + "*"
+    families: dict[str, Attribute] = field(default_factory=dict)
     standard: tuple[str, ...] = ("service.name", "service.version", "os.type", "host.arch")
 
 
@@ -97,11 +101,15 @@ def valid(value: Column, rule: Attribute) -> Column:
 
 
 def _kept(key: Column, value: Column, rules: Rules, event: Column, rank: Column) -> Column:
-    """May an attribute stay: standard ones always, others by event, tier and validity."""
-    allowed = reduce(lambda c, e: c.when(event == e, F.array_contains(F.array(*map(F.lit, rules.events[e].allowed)).cast("array<string>"), key)), rules.events, F.when(F.lit(False), False))
+    """May an attribute stay: standard ones always, others, families too, by event, tier and validity."""
+    listed = lambda name: F.coalesce(reduce(lambda c, e: c.when(event == e, F.array_contains(F.array(*map(F.lit, rules.events[e].allowed)).cast("array<string>"), name)), rules.events, F.when(F.lit(False), False)), F.lit(False))
     known = [(key == k) & (rank >= rules.tiers.index(r.tier)) & valid(value, r) for k, r in rules.attributes.items()]
-    family = [key.startswith(p) & F.substring(key, len(p) + 1, 1 << 20).rlike(f"^(?:{rest})$") & value["s"].isNotNull() for p, rest in rules.families.items()]
-    return key.isin(list(rules.standard)) | (F.coalesce(allowed, F.lit(False)) & _any(known)) | _any(family)
+    family = [
+        key.startswith(p) & ~key.isin(list(rules.attributes)) & F.substring(key, len(p) + 1, 1 << 20).rlike(f"^(?:{r.pattern or '.+'})$")
+        & listed(F.lit(f"{p}*")) & (rank >= rules.tiers.index(r.tier)) & valid(value, replace(r, pattern=None))
+        for p, r in rules.families.items()
+    ]
+    return key.isin(list(rules.standard)) | (listed(key) & _any(known)) | _any(family)
 
 
 def evaluated(records: DataFrame, rules: Rules, name: Column, tenants: DataFrame, now: Column) -> DataFrame:
@@ -116,6 +124,8 @@ def evaluated(records: DataFrame, rules: Rules, name: Column, tenants: DataFrame
     said = tier_rank(F.coalesce(F.col("rec")[TIER_KEY]["s"], F.col("res")[TIER_KEY]["s"]), rules)
     ceiling = tier_rank(F.col("tier_ceiling"), rules)
     rows = rows.withColumn("said", said).withColumn("ceiling", ceiling).withColumn("rank", F.least("said", "ceiling"))
+    # what the record itself carried, and how many dimensions were sent, before anything is stripped
+    rows = rows.withColumn("own_keys", F.map_keys("rec")).withColumn("dims_sent", F.size(F.filter(F.map_keys(merged(F.col("res"), F.col("rec"))), lambda k: k.startswith(DIM_PREFIX))))
     rows = rows.withColumn("attrs", F.map_filter(merged(F.col("res"), F.col("rec")), lambda k, v: _kept(k, v, rules, F.col("rule"), F.col("rank"))))
     need = [(F.col("rule") == e) & _any([~F.map_contains_key("attrs", k) for k in r.required]) for e, r in rules.events.items() if r.required]
     low = [(F.col("rule") == e) & (F.col("rank") < rules.tiers.index(r.tier)) for e, r in rules.events.items()]
@@ -154,7 +164,18 @@ def promoted(rows: DataFrame) -> DataFrame:
     sizes = {"peak_rss_bytes": "cli.peak_rss_bytes", "cpu_time_ms": "cli.cpu_time_ms", "binary_size_bytes": "cli.binary_size_bytes", "startup_ms": "cli.startup_ms"}
     out = out.select("*", *(plausible(number(k), c).alias(c) for c, k in sizes.items()))
     gone = [*PROMOTED.values(), "cli.exit_code", "cli.is_ci", *sizes.values()]
-    return out.withColumn("attributes", F.to_json(F.map_filter("attrs", lambda k, _: ~k.isin(gone))))
+    plain = lambda v: F.coalesce(v["s"], v["i"].cast("string"), v["d"].cast("string"), v["b"].cast("string"), F.to_json(v["a"]))
+    quoted = lambda v: F.when(v["s"].isNotNull(), F.to_json(F.array(v["s"]))).otherwise(F.concat(F.lit("["), plain(v), F.lit("]")))
+
+    def document(kept: Column) -> Column:
+        # numbers and booleans stay what they are in the JSON text
+        pairs = F.transform(F.map_entries(kept), lambda e: F.concat(F.substr(F.to_json(F.array(e["key"])), F.lit(2), F.length(F.to_json(F.array(e["key"]))) - 2), F.lit(":"), F.substr(quoted(e["value"]), F.lit(2), F.length(quoted(e["value"])) - 2)))
+        return F.concat(F.lit("{"), F.array_join(pairs, ","), F.lit("}"))
+
+    left = F.map_filter("attrs", lambda k, _: ~k.isin(gone))
+    own = lambda k: F.array_contains("own_keys", k)
+    out = out.withColumn("attributes", document(F.map_filter(left, lambda k, _: own(k)))).withColumn("resource_attributes", document(F.map_filter(left, lambda k, _: ~own(k))))
+    return out.drop("own_keys")
 
 
 def span_rows(records: DataFrame, rules: Rules, tenants: DataFrame, now: Column) -> DataFrame:
@@ -163,7 +184,7 @@ def span_rows(records: DataFrame, rules: Rules, tenants: DataFrame, now: Column)
                        nanos(F.col("record.endTimeUnixNano")).alias("end_time"), *(F.col(f"record.{a}").alias(b) for a, b in (("traceId", "trace_id"), ("spanId", "span_id"), ("parentSpanId", "parent_span_id"), ("name", "span_name"), ("kind", "span_kind"))),
                        F.col("record.status.code").alias("status_code"), F.col("record.status.message").alias("status_message"))
     r = r.withColumn("duration_ms", (F.unix_micros("end_time") - F.unix_micros("time")) / 1000.0)
-    return promoted(evaluated(r, rules, F.col("span_name"), tenants, now))
+    return promoted(evaluated(r, rules, F.col("span_name"), tenants, now)).withColumn("id", F.xxhash64("trace_id", "span_id")).drop("dims_sent")
 
 
 def log_rows(records: DataFrame, rules: Rules, tenants: DataFrame, now: Column) -> DataFrame:
@@ -179,8 +200,18 @@ def log_rows(records: DataFrame, rules: Rules, tenants: DataFrame, now: Column)
     full = rules.tiers.index("full") if "full" in rules.tiers else len(rules.tiers)
     rows = rows.withColumn("body", F.when((F.col("rank") >= full) & ~F.coalesce(F.col("rule").isin(drops), F.lit(False)), F.nullif("body", F.lit(""))))
     raised = F.col("event_name") == "cli.error.raised"
-    frames = F.when(raised & _text("cli.error.stack").isNotNull(), frames_of(_text("cli.error.stack")))
-    return rows.withColumn("error_fingerprint", F.when(raised, fingerprint(_text("cli.error.message"), frames)))
+    stack = _text("cli.error.stacktrace")
+    rows = rows.withColumn("frames", F.when(raised & stack.isNotNull(), frames_of(stack)))
+    message = F.when(raised, _text("cli.error.message"))
+    by_stack = F.coalesce(F.size("frames"), F.lit(0)) > 0
+    columns = {
+        "error_message": message, "error_type": _text("cli.error.type"), "error_reason": _text("cli.error.reason"), "error_fingerprint": F.when(raised, fingerprint(message, F.col("frames"))),
+        "top_frame": F.get("frames", 0), "suggestion": _text("cli.command.suggestion"), "feature": _text("cli.activation.feature"), "flags": F.col("attrs")["cli.flag.names"]["a"],
+        "install_method": _text("cli.install.method"),
+    }
+    rows = rows.withColumns(columns).withColumn("error_source", F.when(F.col("error_fingerprint").isNotNull(), F.when(by_stack, "stack").otherwise("message")))
+    # equal records get equal ids: an id only breaks ties of time
+    return rows.withColumn("id", F.xxhash64("tenant_id", "time", "event_name", "install_id", "attributes", "body")).drop("frames", "dims_sent")
 
 
 def metric_rows(records: DataFrame, rules: Rules, tenants: DataFrame, now: Column) -> DataFrame:
@@ -206,19 +237,32 @@ def metric_rows(records: DataFrame, rules: Rules, tenants: DataFrame, now: Colum
         F.when((F.col("metric_type") != "gauge") & ~F.col("temporality").eqNullSafe(1), "temporality").when(F.coalesce(_any(unit), F.lit(False)), "unit").when(F.coalesce(_any(shape), F.lit(False)), "bounds")
         .when((F.col("metric_type") == "histogram") & ~F.coalesce(histogram, F.lit(False)), "histogram").when(F.col("monotonic") & ~F.coalesce(F.col("value").isNotNull() & finite("value"), F.lit(False)), "value")
     )
-    return promoted(rows.withColumn("reason", F.coalesce("reason", bad)))
-
-
-def folded_dims(attrs: Column, most: int = 4) -> tuple[Column, Column]:
-    """Dimensions cli.dim.* and a plain label as one label, and whether they are invalid (too many, empty, a clash)."""
-    prefix = "cli.dim."
-    given = F.map_filter(attrs, lambda k, v: k.startswith(prefix) & v["s"].isNotNull())
-    dims = F.map_from_entries(F.transform(F.map_entries(given), lambda e: F.struct(F.substring(e["key"], len(prefix) + 1, 1 << 20).alias("key"), e["value"]["s"].alias("value"))))
-    plain = F.nullif(attrs["cli.metric.label"]["s"], F.lit(""))
+    rows = promoted(rows.withColumn("reason", F.coalesce("reason", bad)))
+    # vendor instruments: name and label, dimensions folded into it; a histogram point brings all its observations
+    named = reduce(lambda c, i: c.when(F.col("metric_name") == i, _text(f"{i}.name")), INSTRUMENTS, F.when(F.lit(False), ""))
+    given = reduce(lambda c, i: c.when(F.col("metric_name") == i, _text(f"{i}.label")), INSTRUMENTS, F.when(F.lit(False), ""))
+    label, wrong = folded_dims(F.col("attrs"), given, F.col("dims_sent"))
+    vendor = F.col("metric_name").isin(list(INSTRUMENTS))
+    rows = rows.withColumn("name", named).withColumn("label", F.when(vendor, label)).withColumn("reason", F.coalesce("reason", F.when(vendor & wrong, "dimensions")))
+    at = [F.coalesce(F.get("counts", i), F.lit(0)).cast("long").alias(f"b{i}") for i in range(len(VALUE_BOUNDS) + 1)]
+    rows = rows.withColumn("unit", F.coalesce(_text("cli.value.unit"), "unit")).withColumn("obs", F.col("value"))
+    return rows.select("*", *at, F.xxhash64("tenant_id", "time", "metric_name", "name", "label", "install_id", "attributes").alias("id")).drop("dims_sent")
+
+
+def folded_dims(attrs: Column, plain: Column, sent: Column, most: int = MOST_DIMS) -> tuple[Column, Column]:
+    """Dimensions cli.dim.* and a plain label as one label, and whether they are invalid.
+
+    They are where a dimension that was sent did not stay, where there are more than `most`, where a value or
+    key would break the label, or where cli.dim.label stands beside a label.  Without dimensions the label is
+    the plain one.
+    """
+    given = F.map_filter(attrs, lambda k, v: k.startswith(DIM_PREFIX) & v["s"].isNotNull())
+    dims = F.map_from_entries(F.transform(F.map_entries(given), lambda e: F.struct(F.substring(e["key"], len(DIM_PREFIX) + 1, 1 << 20).alias("key"), e["value"]["s"].alias("value"))))
     clash = plain.isNotNull() & F.map_contains_key(dims, "label")
     every = F.when(plain.isNull() | clash, dims).otherwise(F.map_concat(dims, F.create_map(F.lit("label"), plain)))
-    wrong = F.exists(F.map_entries(dims), lambda e: (e["value"] == "") | e["value"].rlike("[;=]") | e["key"].rlike("[;=]"))
-    return label_of(every), clash | wrong | (F.size(every) > most)
+    broken = F.exists(F.map_entries(dims), lambda e: (e["value"] == "") | e["value"].rlike("[;=]") | e["key"].rlike("[;=]"))
+    wrong = (F.size(dims) < sent) | ((F.size(dims) > 0) & (clash | broken | (F.size(every) > most)))
+    return F.when(F.size(dims) > 0, label_of(every)).otherwise(plain), wrong
 
 
 def checked_catalogue(points: DataFrame, declared: DataFrame, tenants: DataFrame, rank: Column | None = None) -> DataFrame:
@@ -238,10 +282,16 @@ def checked_catalogue(points: DataFrame, declared: DataFrame, tenants: DataFrame
     return rows.withColumn("reason", reason).withColumn("label", label).drop("d_service", "d_name", "d_kind", "dims", "min_rank", "strict_metrics")
 
 
-def append(rows: DataFrame, path: str, tenant_buckets: int = 8) -> None:
-    """Accepted rows added to a fact table by date and tenant bucket, sorted for narrow reads."""
-    out = rows.withColumn("date", F.to_date("time")).withColumn("tenant_bucket", F.pmod(F.hash("tenant_id"), F.lit(tenant_buckets)))
-    out.sortWithinPartitions("date", "tenant_bucket", "tenant_id", "time").write.mode("append").partitionBy("date", "tenant_bucket").parquet(path)
+def append(rows: DataFrame, path: str, batch: int = -1, tenant_buckets: int = 8) -> None:
+    """Accepted rows added to a fact table: date=.../tenant_bucket=.../batch=..., sorted for narrow reads.
+
+    A micro-batch overwrites just its own partitions, so the same batch twice leaves one copy; without a
+    number rows are added.  Date comes first, so retention drops whole folders.
+    """
+    out = rows.withColumn("date", F.to_date("time")).withColumn("tenant_bucket", F.pmod(F.hash("tenant_id"), F.lit(tenant_buckets))).withColumn("batch", F.lit(batch))
+    sorted_rows = out.sortWithinPartitions("date", "tenant_bucket", "tenant_id", "time")
+    writer = sorted_rows.write.mode("append") if batch < 0 else sorted_rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy("date", "tenant_bucket", "batch").parquet(path)
 
 
 #: What declared histograms must look like.

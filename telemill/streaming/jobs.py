@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.sketches import distinct_sketch, merge_distinct, merge_quantiles, quantile_sketch
-from ..operators.ingest import accepted, reject_counts
+from ..operators.ingest import accepted, append, reject_counts
 
 LATE = "1 day"
 
@@ -17,15 +17,15 @@ LATE = "1 day"
 def ingest(records: DataFrame, build: Callable[[DataFrame], DataFrame], path: str, rejected: str, checkpoint: str, after: Callable[[DataFrame, int], None] | None = None) -> StreamingQuery:
     """Each micro-batch validated, then appended whole; rejects counted beside it; derived state afterwards.
 
-    A batch that runs again after a failure would append again, so the batch number is a partition of its own
-    that is overwritten: the same batch twice leaves one copy.
+    A batch that runs again after a failure would append again, so the batch number is the last partition
+    column and overwritten: the same batch twice leaves one copy.
     """
 
     def write(batch: DataFrame, number: int) -> None:
         rows = build(batch)
         rows.persist()
         try:
-            accepted(rows).withColumn("date", F.to_date("time")).write.mode("overwrite").partitionBy("date").parquet(f"{path}/batch={number}")
+            append(accepted(rows), path, number)
             reject_counts(rows).write.mode("overwrite").parquet(f"{rejected}/batch={number}")
             if after:
                 after(accepted(rows), number)

@@ -222,3 +222,96 @@ def test_definitions(spark):
     stored = spark.createDataFrame([("t", "s", "a", "counter", "1", None), ("t", "s", "b", "value", "1", None), ("t", "s", "c", "value", "1", None)], cols + ", deprecated_at timestamp")
     new = spark.createDataFrame([("t", "s", "a", "counter", "1"), ("t", "s", "b", "value", "2"), ("t", "s", "d", "ratio", "1")], cols)
     assert {r.name: r.change for r in vendor.sync_definitions(stored, new).collect()} == {"a": "unchanged", "b": "updated", "c": "deprecated", "d": "created"}
+
+
+def exported(at):
+    """One export file for each signal, of a tool's runs, an error with its trace, and vendor metrics."""
+    text = lambda k, v: {"key": k, "value": {"stringValue": v}}
+    tier, service = text("cli.analytics.tier", "full"), [text("service.name", "svc"), text("service.version", "1.2.0"), text("os.type", "linux")]
+    stack = 'Traceback (most recent call last):\n  File "/a/main.py", line 3, in main\n    run()\n  File "/b/run.py", line 9, in run\n    boom()'
+    logs = [
+        {"timeUnixNano": at(1), "eventName": "cli.error.raised", "attributes": [tier, text("cli.error.message", 'open "/x/1": denied'), text("cli.error.stacktrace", stack), text("cli.error.type", "io")]},
+        {"timeUnixNano": at(2), "eventName": "cli.feature.activated", "attributes": [tier, text("cli.activation.feature", "export"), text("cli.install_id", "i1"), {"key": "cli.config.customized_count", "value": {"intValue": "4"}}]},
+    ]
+    spans = [{"traceId": "t1", "spanId": "s1", "name": "cli.command.build", "startTimeUnixNano": at(3), "endTimeUnixNano": str(int(at(3)) + 1_500_000), "attributes": [tier, text("cli.command.name", "build")]}]
+    dims = lambda **d: [text(f"cli.dim.{k}", v) for k, v in d.items()]
+    counts = [0, 30, 20] + [0] * 9
+    points = [
+        ("cli.counter", {"sum": {"aggregationTemporality": 1, "isMonotonic": True, "dataPoints": [
+            {"timeUnixNano": at(1), "asInt": "5", "attributes": [tier, text("cli.counter.name", "found"), text("cli.counter.label", "plain"), *dims(check="jwt")]},
+            {"timeUnixNano": at(1), "asInt": "2", "attributes": [tier, text("cli.counter.name", "found"), text("cli.counter.label", "x"), *dims(label="y")]},
+            {"timeUnixNano": at(1), "asInt": "7", "attributes": [tier, text("cli.counter.name", "found"), *dims(**{"BAD KEY": "y"})]}]}}),
+        ("cli.measure", {"histogram": {"aggregationTemporality": 1, "dataPoints": [
+            {"timeUnixNano": at(1), "count": "50", "sum": 900.0, "min": 3.0, "max": 40.0, "bucketCounts": [str(c) for c in counts], "explicitBounds": list(sketches.MEASURE_BOUNDS), "attributes": [tier, text("cli.measure.name", "scan")]}]}}),
+    ]
+    resource = {"attributes": service}
+    return {
+        "logs": {"resourceLogs": [{"resource": resource, "scopeLogs": [{"scope": {"name": "s"}, "logRecords": logs}]}]},
+        "traces": {"resourceSpans": [{"resource": resource, "scopeSpans": [{"scope": {"name": "s"}, "spans": spans}]}]},
+        "metrics": {"resourceMetrics": [{"resource": resource, "scopeMetrics": [{"scope": {"name": "s"}, "metrics": [{"name": n, "unit": "1", **kind} for n, kind in points]}]}]},
+    }
+
+
+def test_exported_records_reach_the_queries(spark, tmp_path):
+    from telemill.operators import commands, errors, sessions
+    from telemill.plans.scope import json_number
+
+    now = datetime(2024, 1, 1, 12)
+    at = lambda h: str(int((now - timedelta(hours=h) - datetime(1970, 1, 1)).total_seconds()) * 10**9)
+    any_text = ingest.Attribute(max_length=4096)
+    names = "cli.command.name cli.error.message cli.error.stacktrace cli.error.type cli.activation.feature cli.install_id cli.counter.name cli.counter.label cli.measure.name".split()
+    rules = ingest.Rules(
+        ("anonymous", "basic", "full"), {n: any_text for n in names} | {"cli.config.customized_count": ingest.Attribute("int")},
+        {
+            "cli.error.raised": ingest.Event(("cli.error.message", "cli.error.stacktrace", "cli.error.type")), "cli.feature.activated": ingest.Event(("cli.activation.feature", "cli.install_id", "cli.config.customized_count")),
+            "cli.command.*": ingest.Event(("cli.command.name",)), "cli.counter": ingest.Event(("cli.counter.name", "cli.counter.label", "cli.dim.*")), "cli.measure": ingest.Event(("cli.measure.name",), bounds=tuple(sketches.MEASURE_BOUNDS)),
+        },
+        families={"cli.dim.": ingest.Attribute(pattern="[a-z]+")},
+    )
+    tenants = spark.createDataFrame([("t0", "full", "strip")], "tenant_id string, tier_ceiling string, mode string")
+    made = {}
+    for signal, body in exported(at).items():
+        (tmp_path / f"{signal}.json").write_text(json.dumps(body))
+        records = otlp.read(spark, signal, str(tmp_path / f"{signal}.json")).withColumn("tenant_id", F.lit("t0"))
+        build = {"logs": ingest.log_rows, "traces": ingest.span_rows, "metrics": ingest.metric_rows}[signal]
+        rows = build(records, rules, tenants, F.lit(now))
+        made[signal] = rows
+        ingest.append(ingest.accepted(rows), str(tmp_path / signal), 7)
+        ingest.append(ingest.accepted(rows), str(tmp_path / signal), 7)
+    facts = {s: spark.read.parquet(str(tmp_path / s)) for s in made}
+    assert {s: f.count() for s, f in facts.items()} == {"logs": 2, "traces": 1, "metrics": 2}
+    assert sorted(str(r.reason) for r in made["metrics"].collect()) == ["None", "None", "dimensions", "dimensions"]
+    assert len(maintenance.expired_dates(spark, str(tmp_path / "logs"), date(2024, 3, 1), 30)) == 1
+    f = Filters("t0", datetime(2024, 1, 1), datetime(2024, 1, 2))
+    rolled = {k: r.merge(r.build(facts[r.fact]), "day") for k, r in rollups().items() if k in ("counters", "measures", "command_stats")}
+    assert [tuple(r) for r in vendor.counters(rolled["counters"], f).collect()] == [("found", 5.0, 1, 1)]
+    assert vendor.counter_groups(rolled["counters"], f, "found", "day", ("check",)).first().d0 == "jwt" and rolled["counters"].first().label == "check=jwt;label=plain"
+    m = vendor.measures(rolled["measures"], f).first()
+    assert (m.name, m.n, m.total, m.least, m.most) == ("scan", 50, 900.0, 3.0, 40.0)
+    e = facts["logs"].filter("event_name = 'cli.error.raised'").first()
+    assert (e.error_source, e.top_frame, e.error_type, len(e.error_fingerprint)) == ("stack", "run run.py", "io", 16)
+    assert facts["logs"].filter(json_number("cli.config.customized_count") == 4).count() == 1 and facts["logs"].filter(F.col("feature") == "export").first().install_id == "i1"
+    assert commands.list_traces(facts["traces"], f).count() == 1 and facts["traces"].first().duration_ms == 1.5
+    assert errors.error_types(facts["logs"], f, "day").first().error_type == "io"
+    assert sessions.environment_values().keys() >= {"shell", "auth", "config"}
+
+
+def test_long_quoted_messages(spark):
+    text = 'say "' + "a\\\\" * 100_000 + '" and \'' + "b" * 100_000 + "'"
+    assert spark.createDataFrame([(text,)], "m string").select(messages.normalised(F.col("m"))).first()[0] == "say <str> and <str>" == messages._plain(text, messages._python_rules())
+
+
+def test_refresh_clears_dates_without_rows(spark, tmp_path):
+    r = rollups()["exit_codes"]
+    cols = "time timestamp, tenant_id string, span_name string, cli_version string, os string, arch string, is_ci boolean, command_name string, exit_code int"
+    facts = spark.createDataFrame([(datetime(2024, 1, d, 5), "t", "cli.command.x", None, None, None, None, "x", 0) for d in (1, 2)], cols)
+    r.refresh(facts, str(tmp_path / "r"), date(2024, 1, 1), date(2024, 1, 3))
+    r.refresh(facts.filter(F.col("time") < "2024-01-02"), str(tmp_path / "r"), date(2024, 1, 1), date(2024, 1, 3))
+    assert [str(x.date) for x in spark.read.parquet(str(tmp_path / "r")).collect()] == ["2024-01-01"]
+
+
+def test_typed_json(spark):
+    from telemill.plans.scope import json_number
+
+    df = spark.createDataFrame([('{"a.b":3}',), ('{"a.b":"3"}',), ('{"a.b":2.5}',), ('{"a.b":null}',), ('{"a.b":true}',), ("not json",), (None,)], "attributes string")
+    assert [r[0] for r in df.select(json_number("a.b")).collect()] == [3.0, None, 2.5, None, None, None, None]
