@@ -22,7 +22,7 @@ from .common import Words, lists, slices, staged
 
 WINDOW = 10
 #: Test texts handled in one pass over the index; more are handled in further passes.
-PASS_BYTES = 32 << 20
+PASS_BYTES = 1 << 20
 
 
 def _separators() -> np.ndarray:
@@ -44,7 +44,7 @@ def words_of(texts: pa.Array) -> Words:
 
 
 def index(docs: DataFrame, terms: np.ndarray) -> DataFrame:
-    """For each row doc_id, n_words, and for the given terms (sorted word hashes) that it has: terms, counts, positions."""
+    """For each row doc_id, two hashes of its text, n_words, and for the given terms (sorted word hashes) that it has: terms, counts, positions."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
@@ -62,6 +62,8 @@ def index(docs: DataFrame, terms: np.ndarray) -> DataFrame:
             per_doc = np.bincount(doc, minlength=b.num_rows)
             columns = {
                 "doc_id": b.column("doc_id"),
+                "h1": b.column("h1"),
+                "h2": b.column("h2"),
                 "n_words": pa.array(words.counts.astype(np.int64)),
                 "terms": lists((run_key[first] % max(len(terms), 1)).astype(np.int32), per_doc, pa.int32()),
                 "counts": lists(n.astype(np.int32), per_doc, pa.int32()),
@@ -70,7 +72,8 @@ def index(docs: DataFrame, terms: np.ndarray) -> DataFrame:
             yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_words long, terms array<int>, counts array<int>, positions array<int>")
+    told = docs.select("doc_id", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(7), "text").alias("h2"), "text")
+    return told.mapInArrow(run, f"doc_id {kind}, h1 long, h2 long, n_words long, terms array<int>, counts array<int>, positions array<int>")
 
 
 def _passes(items: list[tuple], most: int) -> Iterator[list[tuple]]:
@@ -93,20 +96,25 @@ def _windows(hashes: list[int], size: int) -> set[tuple[int, ...]]:
 
 
 class Phrases:
-    """Windows by their rarest term, each with the other terms' offsets, rarest first."""
+    """Windows by their rarest term.  The other terms' order, rarest first, is made where the rarest is found."""
 
     def __init__(self, names: list[str], items: list[list[int]], size: int, frequency: dict[int, int]) -> None:
-        self.names = names
+        self.names, self.frequency = names, frequency
         owners: dict[tuple[int, ...], list[int]] = defaultdict(list)
         for i, terms in enumerate(items):
             for w in _windows(terms, size):
                 owners[w].append(i)
         self.by_anchor: dict[int, list] = defaultdict(list)
         for window, of in owners.items():
-            order = sorted(range(len(window)), key=lambda k: (frequency.get(window[k], 0), k))
-            self.by_anchor[window[order[0]]].append((order[0], [(k, window[k]) for k in order[1:]], len(window), of))
+            first = min(range(len(window)), key=lambda k: (frequency.get(window[k], 0), k))
+            self.by_anchor[window[first]].append((first, window, tuple(of)))
         self.anchors = np.array(sorted(self.by_anchor), dtype=np.int32)
 
+    def others(self, window: tuple[int, ...], first: int) -> list[tuple[int, int]]:
+        """(offset, term) of a window's other words, rarest first."""
+        order = sorted(range(len(window)), key=lambda k: (self.frequency.get(window[k], 0), k))
+        return [(k, window[k]) for k in order if k != first]
+
     def exact(self, postings: dict[int, np.ndarray]) -> Iterator[tuple[int, int, int]]:
         """(item, first word, words) of every occurrence in a document of these postings."""
         sets: dict[int, set[int]] = {}
@@ -117,9 +125,10 @@ class Phrases:
             return sets[term]
 
         for anchor in postings.keys() & self.by_anchor.keys():
-            for offset, others, length, owners in self.by_anchor[anchor]:
+            for offset, window, owners in self.by_anchor[anchor]:
+                length = len(window)
                 starts = [p - offset for p in postings[anchor].tolist()]
-                for k, term in others:
+                for k, term in self.others(window, offset):
                     have = having(term)
                     starts = [s for s in starts if s + k in have]
                     if not starts:
@@ -129,12 +138,12 @@ class Phrases:
                         yield i, s, length
 
     def near(self, postings: dict[int, np.ndarray], slack: int) -> Iterator[tuple[int, int, int]]:
-        """(item, first word, words) where all of a window's words stand within its length plus slack, in any order."""
+        """(item, first word, words) of each least stretch that has all of a window's words, within its length plus slack, in any order."""
         for anchor in postings.keys() & self.by_anchor.keys():
-            for _, others, length, owners in self.by_anchor[anchor]:
+            for _, window, owners in self.by_anchor[anchor]:
+                length = len(window)
                 need: dict[int, int] = defaultdict(int)
-                need[anchor] += 1
-                for _, term in others:
+                for term in window:
                     need[term] += 1
                 if any(t not in postings or len(postings[t]) < n for t, n in need.items()):
                     continue
@@ -147,7 +156,7 @@ class Phrases:
                         missing += have[at[lo][1]] == need[at[lo][1]]
                         have[at[lo][1]] -= 1
                         lo += 1
-                    if not missing:
+                    if not missing and have[t] == need[t]:  # without its last word it would lack one
                         for i in owners:
                             yield i, at[lo][0], p - at[lo][0] + 1
 
@@ -176,8 +185,8 @@ def _search(phrases: Phrases, slack: int | None):
                         own.append([s, s + n])
                 found[d] = [{"item_id": phrases.names[i], "start": s, "stop": e} for i, own in spans.items() for s, e in own]
             kind = pa.list_(pa.struct([("item_id", pa.string()), ("start", pa.int32()), ("stop", pa.int32())]))
-            columns = [b.column("doc_id"), b.column("n_words"), pa.array(found, type=kind), b.column("row")]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_words", "spans", "row"])
+            columns = [*(b.column(c) for c in ("doc_id", "h1", "h2", "n_words")), pa.array(found, type=kind), b.column("row")]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "h1", "h2", "n_words", "spans", "row"])
 
     return run
 
@@ -193,6 +202,10 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, slack:
     to tasks at once are bounded by `pass_bytes` of text, and a larger benchmark takes several passes over the
     index.  The index is written once, so the hashes of all items' distinct words are shipped with it.
     """
+    return _matches(docs, benchmark, window, slack, pass_bytes).select("doc_id", "n_words", "spans")
+
+
+def _matches(docs: DataFrame, benchmark: DataFrame, window: int, slack: int | None, pass_bytes: int) -> DataFrame:
     items = [(str(r[0]), r[1] or "") for r in benchmark.select("item_id", "text").filter("item_id is not null").distinct().orderBy("item_id", "text").toLocalIterator()]
     spark = docs.sparkSession
     kind = dict(docs.dtypes)["doc_id"]
@@ -209,14 +222,14 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, slack:
         ids = np.searchsorted(terms, hashes).tolist()
         phrases = spark.sparkContext.broadcast(Phrases([i for i, _ in part], [ids[a:b] for a, b in zip(w.bounds, w.bounds[1:])], window, frequency))
         run = lambda batches, p=phrases: _search(p.value, slack)(batches)
-        out.append(stored.mapInArrow(run, f"doc_id {kind}, n_words long, spans array<struct<item_id:string,start:int,stop:int>>, row long"))
+        out.append(stored.mapInArrow(run, f"doc_id {kind}, h1 long, h2 long, n_words long, spans array<struct<item_id:string,start:int,stop:int>>, row long"))
     if len(out) == 1:
         return out[0].drop("row")
     found = [got.filter("size(spans) > 0").select("row", F.lit(k).alias("pass"), "spans") for k, got in enumerate(out)]
     every = reduce(DataFrame.unionByName, found).groupBy("row").agg(F.array_sort(F.collect_list(F.struct("pass", "spans"))).alias("passes"))
     none = F.array().cast(out[0].schema["spans"].dataType)
     spans = F.coalesce(F.flatten(F.transform("passes", lambda p: p["spans"])), none).alias("spans")
-    return stored.select("row", "doc_id", "n_words").join(every, "row", "left").select("doc_id", "n_words", spans)
+    return stored.select("row", "doc_id", "h1", "h2", "n_words").join(every, "row", "left").select("doc_id", "h1", "h2", "n_words", spans)
 
 
 def report(matched: DataFrame) -> DataFrame:
@@ -240,7 +253,8 @@ def report(matched: DataFrame) -> DataFrame:
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The documents without any occurrence of a test window; all columns.
 
-    Rows with a null doc_id are judged by their own text through no key and stay.
+    Every row is judged by its own text, also where doc_id is null or repeated.
     """
-    hit = matches(docs, benchmark, window).filter("size(spans) > 0").select(F.col("doc_id").alias("__hit")).distinct()
-    return docs.join(hit, F.col("doc_id") == F.col("__hit"), "left_anti")
+    hit = _matches(docs, benchmark, window, None, PASS_BYTES).filter("size(spans) > 0").select(F.col("h1").alias("__h1"), F.col("h2").alias("__h2")).distinct()
+    same = (F.xxhash64("text") == F.col("__h1")) & (F.xxhash64(F.lit(7), F.col("text")) == F.col("__h2"))
+    return docs.join(staged(hit), same, "left_anti")

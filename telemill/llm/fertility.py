@@ -26,7 +26,8 @@ MODEL = public_tokenizers.path("piece_bpe_32k.model")
 MEASURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_tokens long, chars_per_token double, byte_share double, entropy double"
 _SPACE, _NOT_LINE = separators(WHITE), separators(b"\n")
 _SYMBOL = separators(b"#*$%&|<>")
-_CACHE_WORDS = 1_500_000
+#: What a worker's cache of words holds at most, in bytes, and the longest word that it keeps.
+CACHE_BYTES, CACHE_WORD, _ENTRY = 96 << 20, 64, 230
 #: Distinct texts that set a band, at least; a language that has fewer sets its bands by all it has.
 SUPPORT = 20
 
@@ -38,16 +39,20 @@ class _Pieces:
         self.model = sentencepiece.SentencePieceProcessor(model_file=model)
         self.fallback = np.array([self.model.is_byte(i) for i in range(self.model.get_piece_size())])
         self.known: dict[bytes, bytes] = {}
+        self.held = 0
 
     def of(self, texts: list[list[bytes]]) -> list[bytes]:
         """The ids of each text's words, as 32-bit integers."""
-        if len(self.known) > _CACHE_WORDS:
-            self.known.clear()
+        if self.held > CACHE_BYTES:
+            self.known, self.held = {}, 0
         missing = list(set().union(*texts).difference(self.known))
         made = self.model.encode([w.decode("utf-8", "replace") for w in missing], num_threads=1) if missing else []
-        self.known.update(zip(missing, (struct.pack(f"{len(x)}i", *x) for x in made)))
+        new = dict(zip(missing, (struct.pack(f"{len(x)}i", *x) for x in made)))
+        long = {w: x for w, x in new.items() if len(w) > CACHE_WORD}  # of texts without spaces: used here, not kept
+        self.known.update(new if not long else {w: x for w, x in new.items() if w not in long})
+        self.held += _ENTRY * (len(new) - len(long))
         get = self.known.__getitem__
-        return [b"".join(map(get, words)) for words in texts]
+        return [b"".join([long[w] if w in long else get(w) for w in words] if long else map(get, words)) for words in texts]
 
 
 @lru_cache(maxsize=2)

@@ -101,7 +101,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int
     from pyspark.ml.functions import array_to_vector
 
     lasso = LogisticRegression(featuresCol="x", labelCol="__label", regParam=LASSO, elasticNetParam=1.0, maxIter=60, standardization=False)
-    model = lasso.fit(fired.select("__label", array_to_vector("rules").alias("x")).cache())
+    data = fired.select("__label", array_to_vector("rules").alias("x")).cache()
+    model = lasso.fit(data)
+    data.unpersist()
     kept = tuple(Rule(p, float(w)) for p, w in zip(paths, model.coefficients.toArray()) if abs(w) > 1e-6)
     return Ensemble(float(model.intercept), kept)
 
@@ -111,20 +113,25 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
+def _scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """row (all columns), held_out and score; a projection over the texts."""
+    model = fit(docs, labels.filter(~held_out(F.col("doc_id"))))
+    stats = F.struct(*(c.alias(k) for k, c in statistics(F.col("text")).items()))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), stats.alias("stats"), held_out(F.col("doc_id")).alias("held_out"))
+    return rows.select("row", "held_out", "stats.*").select("row", "held_out", model.score().alias("score"))
+
+
 def scored(docs: DataFrame, labels: DataFrame, cut: float = CUT) -> DataFrame:
-    """All columns, with __held_out, __score and __predicted.
+    """All columns, with __held_out, __score and __predicted (columns of these names are replaced).
 
     Learns from labels of documents that are not held out.  Null and empty texts are scored by their zeros;
-    rows given twice are scored twice; no column but text enters a score.
+    rows given twice are scored twice; an empty table gives no rows; no column but text enters a score.
     """
-    model = fit(docs, labels.filter(~held_out(F.col("doc_id"))))
-    stats = F.struct(*(c.alias(k) for k, c in statistics(F.col("text")).items()))
-    names = docs.columns
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("__row"), stats.alias("__stats"), held_out(F.col("doc_id")).alias("__held_out"))
-    rows = rows.select("__row", "__held_out", "__stats.*").withColumn("__score", model.score())
-    return rows.select("__row.*", "__held_out", "__score", (F.col("__score") >= cut).cast("int").alias("__predicted"))
+    added = {"__held_out": F.col("held_out"), "__score": F.col("score"), "__predicted": (F.col("score") >= cut).cast("int")}
+    kept = [F.col("row")[c].alias(c) for c in docs.columns if c not in added]
+    return _scored(docs, labels).select(*kept, *(c.alias(k) for k, c in added.items()))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, cut: float = CUT) -> DataFrame:
-    """The documents of a score of at least the cut; all columns."""
-    return scored(docs, labels, cut).filter("__predicted = 1").select(*docs.columns)
+    """The documents of a score of at least the cut; all columns, whatever their names; an empty table gives no rows."""
+    return _scored(docs, labels).filter(F.col("score") >= cut).select(*[F.col("row")[c].alias(c) for c in docs.columns])

@@ -28,7 +28,10 @@ from .common import shared_dir, slices, staged
 TOKENIZER, END = public_tokenizers.path("word_bpe_49k.json"), 2
 #: The sample that the dictionary is trained on (documents, and ids of each), the dictionary's size, a file row's size.
 SAMPLE, SAMPLE_IDS, DICTIONARY_BYTES, ROW_BYTES = 512, 4096, 64 << 10, 4 << 20
-_CACHE = 2_000_000
+#: What a worker's cache of chunks holds at most, in bytes, and the longest chunk that it keeps.
+CACHE_BYTES, CACHE_CHUNK, _ENTRY = 192 << 20, 64, 180
+#: A row group of the files: a few rows, so that one of them is read without the others.
+GROUP_BYTES = 8 << 20
 
 
 class _Encoder:
@@ -40,18 +43,22 @@ class _Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[bytes, bytes] = {}
+        self.held = 0
         self.type = np.dtype("<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
 
     def encode(self, texts: list[bytes], end: int) -> list[bytes]:
         # the tokenizer lowers case itself; to lower A-Z before makes more chunks equal (not near special tokens' marks)
         chunks = [(t if b"<|" in t else t.lower()).split() for t in texts]
-        if len(self.known) > _CACHE:
-            self.known.clear()
+        if self.held > CACHE_BYTES:
+            self.known, self.held = {}, 0
         missing = list(set().union(*chunks).difference(self.known))
         made = self.tokenizer.encode_batch_fast([c.decode() for c in missing], add_special_tokens=False) if missing else []
-        self.known.update((c, np.array(e.ids, dtype=self.type).tobytes()) for c, e in zip(missing, made))
+        new = dict(zip(missing, (np.array(e.ids, dtype=self.type).tobytes() for e in made)))
+        long = {c: x for c, x in new.items() if len(c) > CACHE_CHUNK}  # of texts without spaces: used here, not kept
+        self.known.update(new if not long else {c: x for c, x in new.items() if c not in long})
+        self.held += _ENTRY * (len(new) - len(long))
         get, tail = self.known.__getitem__, np.array([end], dtype=self.type).tobytes()
-        return [b"".join([*map(get, c), tail]) for c in chunks]
+        return [b"".join([*([long[x] if x in long else get(x) for x in c] if long else map(get, c)), tail]) for c in chunks]
 
 
 @lru_cache(maxsize=2)
@@ -84,7 +91,8 @@ def train_dictionary(docs: DataFrame, path: str, end: int, sample: int = SAMPLE)
 def write(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, end: int = END) -> None:
     """Writes every row's whole text as ids, the end id after it; null is an empty text.
 
-    Two tables at `path`: files and dictionary.  Rows with a null doc_id come first; rows of one doc_id stand
+    Three tables at `path`: files, dictionary, and index (doc_id, part and row of its file row, first byte,
+    bytes; sorted by doc_id).  Rows with a null doc_id come first; rows of one doc_id stand
     together; an empty table gives empty files.  Other columns are not read.
     """
     spark = docs.sparkSession
@@ -102,7 +110,7 @@ def write(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, end: int = END
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), n, pa.array([z.compress(m) for m in made], pa.binary())], ["doc_id", "n", "frame"])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, before, width = TaskContext.get().partitionId(), 0, encoder(tokenizer).type.itemsize
+        part, number, before, width = TaskContext.get().partitionId(), 0, 0, encoder(tokenizer).type.itemsize
         ids: list = []
         counts: list[int] = []
         frames: list[bytes] = []
@@ -111,7 +119,7 @@ def write(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, end: int = END
         def row() -> pa.RecordBatch:
             sizes = [len(f) for f in frames]
             columns = {
-                "part": pa.array([part], pa.int32()), "before": pa.array([before], pa.int64()), "tokens": pa.array([sum(counts)], pa.int64()),
+                "part": pa.array([part], pa.int32()), "row": pa.array([number], pa.int32()), "before": pa.array([before], pa.int64()), "tokens": pa.array([sum(counts)], pa.int64()),
                 "width": pa.array([width], pa.int32()), "dictionary": pa.array([name]), "doc_ids": pa.array([ids], pa.list_(kinds)),
                 "n": pa.array([counts], pa.list_(pa.int64())), "offsets": pa.array([np.cumsum([0, *sizes]).tolist()], pa.list_(pa.int64())),
                 "data": pa.array([b"".join(frames)], pa.binary()),
@@ -127,7 +135,7 @@ def write(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, end: int = END
                 size += len(f)
                 if size >= ROW_BYTES:
                     yield row()
-                    before += sum(counts)
+                    number, before = number + 1, before + sum(counts)
                     ids, counts, frames, size = [], [], [], 0
         if ids:
             yield row()
@@ -135,8 +143,12 @@ def write(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, end: int = END
     frames = staged(docs.select("doc_id", "text").mapInArrow(compress, f"doc_id {kind}, n long, frame binary"))
     # the frames are written first: dealing by range looks at its input twice
     ordered = frames.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "n", "frame")
-    files = f"part int, before long, tokens long, width int, dictionary string, doc_ids array<{kind}>, n array<long>, offsets array<long>, data binary"
-    ordered.mapInArrow(pack, files).write.option("compression", "none").parquet(f"{path}/files")
+    files = f"part int, row int, before long, tokens long, width int, dictionary string, doc_ids array<{kind}>, n array<long>, offsets array<long>, data binary"
+    ordered.mapInArrow(pack, files).write.option("compression", "none").option("parquet.block.size", GROUP_BYTES).parquet(f"{path}/files")
+    made = spark.read.parquet(f"{path}/files").select("part", "row", F.posexplode("doc_ids").alias("at", "doc_id"), "offsets")
+    first, last = F.get("offsets", F.col("at")), F.get("offsets", F.col("at") + 1)
+    # the files stand in order of doc_id already, and so do their rows in here
+    made.select("doc_id", "part", "row", first.alias("first"), (last - first).alias("bytes")).write.parquet(f"{path}/index")
 
 
 def _dictionary_at(spark: SparkSession, path: str) -> tuple[str, bytes]:
@@ -178,18 +190,23 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                     ["doc_id", "part", "before", "n_tokens", "ids_crc32"],
                 )
 
-    rows = files.drop("tokens").mapInArrow(run, f"doc_id {kind}, part int, before long, n_tokens long, ids_crc32 long")
+    rows = files.drop("tokens", "row").mapInArrow(run, f"doc_id {kind}, part int, before long, n_tokens long, ids_crc32 long")
     return rows.join(total, "part").select("doc_id", (F.col("first") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def fetch(spark: SparkSession, path: str, doc_id: int) -> list[int]:
-    """One document's ids: only its file row is read, only its frame decompressed; [] if it isn't there."""
+    """One document's ids; [] if it isn't there.
+
+    Its entry is looked up in the index, whose row groups of other ids are skipped; of the files only the row
+    group that holds its row is read, and only its frame is decompressed.
+    """
     _, raw = _dictionary_at(spark, path)
-    at = F.array_position("doc_ids", F.lit(doc_id)).cast("int")
-    row = spark.read.parquet(f"{path}/files").filter(F.array_contains("doc_ids", doc_id)).select(
-        "width", F.substring(F.col("data"), F.element_at("offsets", at).cast("int") + 1, (F.element_at("offsets", at + 1) - F.element_at("offsets", at)).cast("int"))
-    ).first()
-    return _ids(bytes(row[1]), row[0], zstandard.ZstdDecompressor(dict_data=_dictionary(raw))).tolist() if row else []
+    entry = spark.read.parquet(f"{path}/index").filter(F.col("doc_id") == doc_id).first()
+    if entry is None:
+        return []
+    row = spark.read.parquet(f"{path}/files").filter((F.col("part") == entry.part) & (F.col("row") == entry.row))
+    width, frame = row.select("width", F.substring(F.col("data"), F.lit(entry["first"] + 1).cast("int"), F.lit(entry.bytes).cast("int"))).first()
+    return _ids(bytes(frame), width, zstandard.ZstdDecompressor(dict_data=_dictionary(raw))).tolist()
 
 
 def round_trip(docs: DataFrame, tokenizer: str = TOKENIZER, end: int = END) -> DataFrame:

@@ -292,6 +292,33 @@ def test_decontamination_in_passes_keeps_rows(docs, spark):
     assert asked(decontaminate.report(decontaminate.matches(df, bench, pass_bytes=1)), *COLUMNS) == contamination([tuple(r) for r in df.collect()], items)
 
 
+def test_decontamination_judges_rows_without_id(spark):
+    df = spark.createDataFrame([(None, "one two three", 1), (None, "else", 2), (5, "else", 3), (5, "one two three four", 4)], "doc_id long, text string, h1 int")
+    bench = spark.createDataFrame([(1, "two three")], "item_id long, text string")
+    assert sorted((r.text, r.h1) for r in decontaminate.drop_contaminated(df, bench).collect()) == [("else", 2), ("else", 3)]
+
+
+def test_proximity_by_brute_force(spark):
+    r = np.random.default_rng(3)
+    docs = [(i, " ".join(r.choice(list("abcdefgh"), 30))) for i in range(40)]
+    items = [(k, " ".join(r.choice(list("abcdefgh"), 5))) for k in range(20)]
+    got = decontaminate.matches(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), slack=1)
+
+    def covered(text, item):
+        w, need, out = text.split(), Counter(item.split()), set()
+        for a in range(len(w)):
+            for b in range(a + 1, min(len(w), a + len(item.split()) + 1) + 1):
+                inside = Counter(w[a:b])
+                # a least stretch: without its first or its last word it lacks one
+                if not need - inside and need - Counter(w[a + 1 : b]) and need - Counter(w[a : b - 1]):
+                    out |= set(range(a, b))
+        return out
+
+    for row in got.collect():
+        want = {(str(k), p) for k, t in items for p in covered(dict(docs)[row.doc_id], t)}
+        assert {(s.item_id, p) for s in row.spans for p in range(s.start, s.stop)} == want
+
+
 def test_proximity(spark):
     docs = spark.createDataFrame([(1, "b x a c"), (2, "a b x x x x c"), (3, "a b")], "doc_id long, text string")
     got = decontaminate.matches(docs, spark.createDataFrame([(1, "a b c")], "item_id long, text string"), slack=1)
