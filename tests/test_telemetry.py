@@ -1,4 +1,4 @@
-"""Hand-computed cases; a second tenant's rows must never show."""
+"""Hand-computed cases, and fixed vectors where forms must agree; a second tenant's rows must never show."""
 
 import json
 from datetime import date, datetime, timedelta
@@ -40,13 +40,11 @@ def test_sessions(spark):
 
 
 def test_retries(spark):
-    runs = [("deploy", "a", "F0 S5"), ("build", "b", "F0 S10"), ("build", "c", "F0 S10.02"), ("test", "d", "F0 F3 F6 S8"), ("test", "e", "F1 F4 F7"), ("test", "f", "F0 F2"), ("push", "g", "F0 S2"),
-            ("pull", "g", "F1 F3"), ("lint-chain", "h", "F0 F8 F16 F24"), ("lint-burst", "i", "F0 F5 F10"), ("flaky", "j", "S0 F5"), ("fine", "j", "S0 S1")]
+    runs = [("sync", "q1", "F0 F4 S7"), ("fetch", "q2", "F0 S10.5"), ("fetch", "q3", "S0 F3"), ("fetch", "q4", "F20 S30"), ("pack", "q4", "F0 F1 F2 F3"), ("sign", "q5", "S0 S1")]
     rows = [log(n, i, c, float(x[1:]), int(x[0] == "F")) for n, (c, i, x) in enumerate((c, i, x) for c, i, xs in runs for x in xs.split())]
-    df = frame(spark, rows + [log(90, "a", "none", 0, None), log(91, None, "none", 0, 1), log(92, "a", "none", 0, 1, tenant="leak")])
+    df = frame(spark, rows + [log(90, "q1", "none", 0, None), log(91, None, "none", 0, 1), log(92, "q1", "none", 0, 1, tenant="leak")])
     got = {r.command_name: (r.failed, r.retried, r.sequences, r.recovered, r.repeated_installs) for r in sessions.retries(df, ALL).collect()}
-    assert list(got)[0] == "test"
-    assert got == {"deploy": (1, 1, 1, 1, 0), "build": (2, 1, 1, 1, 0), "test": (8, 6, 3, 1, 2), "push": (1, 1, 1, 1, 0), "pull": (2, 1, 1, 0, 0), "lint-chain": (4, 3, 1, 0, 0), "lint-burst": (3, 2, 1, 0, 1), "flaky": (1, 0, 0, 0, 0)}
+    assert got == {"sync": (2, 2, 1, 1, 0), "fetch": (3, 1, 1, 1, 0), "pack": (4, 3, 1, 0, 1)}
     with pytest.raises(ValueError):
         sessions.retries(df, ALL, 7200)
 
@@ -80,15 +78,15 @@ def test_versions(spark, a, b, want):
     assert spark.range(1).select(versions.compare(F.lit(a), F.lit(b))).first()[0] == want
 
 
-@pytest.mark.parametrize("counts,least,most,q,want", [({}, None, None, 0.5, None), ({5: 100}, None, None, 0.5, 300), ({5: 100}, None, None, 0.95, 480), ({5: 100}, None, None, 1, 500), ({5: 100}, 150.0, 200.0, 0.99, 200),
-                                                      ({5: 100}, 450.0, 480.0, 0.01, 450), ({2: 50, 8: 50}, None, None, 0.5, 10), ({2: 50, 8: 50}, None, None, 0.99, 9900), ({0: 10}, None, None, 0.5, 0.5), ({0: 10}, 0.2, 1.0, 0.5, 0.6),
-                                                      ({11: 10}, None, None, 0.5, 300000), ({11: 10}, 400000.0, 900000.0, 0.5, 600000)])
+@pytest.mark.parametrize("counts,least,most,q,want", [({}, None, None, 0.9, None), ({3: 40}, None, None, 0.25, 20), ({4: 10}, None, None, 0.9, 95), ({1: 20, 6: 20}, None, None, 0.75, 750), ({3: 40}, 12.0, 25.0, 0.5, 25),
+                                                      ({3: 40}, 33.0, 45.0, 0.1, 33), ({11: 4}, 350000.0, 500000.0, 0.5, 400000)])
 def test_histogram_quantile(spark, counts, least, most, q, want):
     df = spark.range(1).select(*[F.lit(counts.get(i, 0)).alias(f"b{i}") for i in range(12)], F.lit(least).cast("double").alias("least"), F.lit(most).cast("double").alias("most"))
     got = df.select(sketches.histogram_quantile(q, sketches.MEASURE_BOUNDS, F.col("least"), F.col("most"))).first()[0]
     assert got == want if want is None else abs(got - want) < 1e-6
 
 
+# Messages and the form that their fingerprint must be made of.
 MESSAGES = {
     "open /home/alice/.config/tool/config.yaml: permission denied": "open <path>: permission denied", r"open C:\Users\Bob\AppData\Local\Temp\x.json: access denied": "open <path>: access denied",
     r"cannot reach \\fileserver\share\x": "cannot reach <path>", "invalid read/write mode": "invalid read/write mode", 'unknown flag "--frobnicate"': "unknown flag <str>",
