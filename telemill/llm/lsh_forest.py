@@ -297,12 +297,14 @@ def candidate_groups(classes: DataFrame, threshold: float, trees: int, depth: in
         if settled is not None:
             rows = rows.join(settled.withColumn("old", F.lit(1)), "cid", "left")
         is_open = F.lit(True) if settled is None else F.col("old").isNull()
-        nodes = rows.groupBy("key").agg(F.count("*").alias("n"), F.count_if(is_open).alias("n_open")).filter("n > 1 and n_open > 0").select("key", "n")
+        nodes = rows.groupBy("key").agg(F.count("*").alias("n"), F.count_if(is_open).alias("n_open"), F.min("cid").alias("hub")).filter("n > 1 and n_open > 0").select("key", "n", "hub")
         meet = rows.select("key", "cid").join(nodes, "key")
         fresh = few(meet.filter(F.col("n") <= BLOCK))
         fresh = staged(fresh if seen is None else fresh.join(seen, ["key", "least"], "left_anti"))
         seen = fresh.select("key", "least") if seen is None else seen.unionByName(fresh.select("key", "least"))
-        members = fresh.select("key", F.explode("ids").alias("cid")).unionByName(meet.filter(F.col("n") > BLOCK).select(F.xxhash64("key").alias("key"), "cid"))
+        # large nodes of one least member, from all trees, are one: each of their members is compared with it once
+        wide = meet.filter(F.col("n") > BLOCK).select(F.col("hub").alias("key"), "cid").distinct()
+        members = fresh.select("key", F.explode("ids").alias("cid")).unionByName(wide)
         found = spanning(staged(members.join(sketches, "cid").select("key", "cid", "size", "value")), link)
         edges.append(found)
         if d > last:
