@@ -83,7 +83,7 @@ class Rollup:
         if self.committed(batch):
             return False
         trial = f"{self.path}/trials/{uuid.uuid4().hex}"
-        deltas(changes).coalesce(1).write.parquet(trial)
+        deltas(changes).write.parquet(trial)
         self._fs.mkdirs(self._path(f"{self.path}/batches"))
         if self.committed(batch) or not self._fs.rename(self._path(trial), self._path(self._place(batch))):
             self._fs.delete(self._path(trial), True)
