@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import date, datetime
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,7 +18,8 @@ from .sources import telemetry
 
 START, END = datetime(2024, 1, 1), datetime(2024, 2, 1)
 WATERMARK = datetime(2024, 1, 20, 12)
-ALL = Filters("t0", START, END, limit=1000)
+#: Every tenant of the facts; a query is one tenant's, and the registered one holds each tenant's rows.
+TENANTS = ("t0", "t1")
 Query = Callable[[SparkSession, str], DataFrame]
 
 _WITH = f"WITH tel AS ({telemetry.duckdb_logs()}), met AS ({telemetry.duckdb_metrics()}),"
@@ -35,12 +37,17 @@ sem AS (SELECT DISTINCT cli_version AS v, CASE WHEN cli_version = 'dev' THEN NUL
 changes AS (SELECT tenant_id, install_id, t AS changed_at, before_v AS from_version, cli_version AS to_version, CASE WHEN a.k < b.k THEN 'upgrade' ELSE 'downgrade' END AS direction
   FROM seen JOIN sem a ON a.v = before_v JOIN sem b ON b.v = cli_version WHERE before_v <> cli_version AND t > before_t AND a.k <> b.k),
 found AS (SELECT tenant_id, install_id, 'feature' AS kind, feature AS name, min(t) AS first_at FROM ev WHERE event_name = 'cli.feature.activated' AND feature <> '' GROUP BY ALL),
-cohort AS (SELECT * FROM installs WHERE tenant_id = 't0' AND first_seen >= TIMESTAMP '2024-01-01' AND first_seen < TIMESTAMP '2024-02-01'),
+"""
+_COHORT = """cohort AS (SELECT * FROM installs WHERE tenant_id = 't0' AND first_seen >= TIMESTAMP '2024-01-01' AND first_seen < TIMESTAMP '2024-02-01'),
 """
 
 
-def _sql(body: str, state: bool = False) -> str:
-    return f"{_WITH}{_INSTALLS if state else ''} q AS ({body}) SELECT * FROM q"
+def _sql(body: str, state: bool = False, scoped: bool = False) -> str:
+    given = f"{_WITH}{_INSTALLS if state else ''}"
+    if not scoped:
+        return f"{given} q AS ({body}) SELECT * FROM q"
+    one = f"(WITH {_COHORT if state else ''} q AS ({body}) SELECT 't0' AS tenant_id, * FROM q)"
+    return f"{given[:-1] if given.endswith(',') else given.rstrip()[:-1]} " + " UNION ALL ".join(f"SELECT * FROM {one}".replace("'t0'", f"'{t}'") for t in TENANTS)
 
 
 def _rounded(df: DataFrame) -> DataFrame:
@@ -50,10 +57,14 @@ def _rounded(df: DataFrame) -> DataFrame:
 class _Data:
     """The facts, rollups and states of one folder of tables, each made when asked for."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str) -> None:
+    def __init__(self, spark: SparkSession, sf_dir: str, tenant: str = TENANTS[0]) -> None:
+        self.tenant = tenant
         self.logs, self.traces, self.metrics = (lambda f=f: f(spark, sf_dir) for f in (telemetry.logs, telemetry.traces, telemetry.metrics))
         self.rules = rollups()
 
+    def scope(self, limit: int = 1000, **more) -> Filters:
+        return Filters(self.tenant, START, END, limit=limit, **more)
+
     def rolled(self, name: str, grain: str | None = None) -> DataFrame:
         r = self.rules[name]
         made = r.build(getattr(self, r.fact)())
@@ -70,11 +81,16 @@ _QUERIES: dict[str, Callable[[_Data], DataFrame]] = {}
 _ORACLES: dict[str, str] = {}
 
 
+def _scoped(name: str) -> bool:
+    """Is a query one tenant's, as against a table of all tenants?"""
+    return name.startswith(("q", "f"))
+
+
 def _query(name: str, sql: str | None = None, state: bool = False):
     def keep(f: Callable[[_Data], DataFrame]):
         _QUERIES[name] = f
         if sql:
-            _ORACLES[name] = _sql(sql, state)
+            _ORACLES[name] = _sql(sql, state, _scoped(name))
         return f
 
     return keep
@@ -85,62 +101,62 @@ _RUN = f"FROM tel WHERE {_SCOPE} AND event_type IN ('click', 'error')"
 _SPAN = f"FROM tel WHERE {_SCOPE} AND event_type IN ('click', 'error') AND concat('cli.command.', coalesce(command_name, '')) LIKE 'cli.command.%'"
 
 _query("q1_list_traces", f"SELECT event_id AS id, t AS time, span, duration_ms FROM (SELECT *, concat('cli.command.', coalesce(command_name, '')) AS span, value AS duration_ms {_RUN} AND os IN ('linux', 'darwin') AND shell LIKE '%sh%' AND regexp_matches(shell, '^(ba|z)sh$')) ORDER BY t DESC, event_id LIMIT 100")(
-    lambda d: commands.list_traces(d.traces(), Filters("t0", START, END, systems=("linux", "darwin"), contains={"cli.shell": "sh"}, matches={"cli.shell": "^(ba|z)sh$"})).select("id", "time", F.col("span_name").alias("span"), "duration_ms")
+    lambda d: commands.list_traces(d.traces(), d.scope(100, systems=("linux", "darwin"), contains={"cli.shell": "sh"}, matches={"cli.shell": "^(ba|z)sh$"})).select("id", "time", F.col("span_name").alias("span"), "duration_ms")
 )
-_query("q2_latency_percentiles")(lambda d: commands.latency_percentiles(d.rolled("command_stats", "day"), ALL, "week"))
+_query("q2_latency_percentiles")(lambda d: commands.latency_percentiles(d.rolled("command_stats", "day"), d.scope(), "week"))
 _query("q2_latency_exact", f"SELECT {_B('week')}, command_name, count(*) AS invocations, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.99), 6) AS p99 {_SPAN} GROUP BY ALL")(
-    lambda d: _rounded(commands.exact_latency_percentiles(d.traces(), ALL, "week"))
+    lambda d: _rounded(commands.exact_latency_percentiles(d.traces(), d.scope(), "week"))
 )
 _query("q3_error_rate", f"SELECT {_B('day')}, command_name, count(*) AS invocations, count(*) FILTER (exit_code IS DISTINCT FROM 0) AS errors, round(count(*) FILTER (exit_code IS DISTINCT FROM 0) / count(*), 6) AS error_rate {_SPAN} GROUP BY ALL")(
-    lambda d: _rounded(commands.error_rate(d.rolled("command_stats", "day"), ALL, "day"))
+    lambda d: _rounded(commands.error_rate(d.rolled("command_stats", "day"), d.scope(), "day"))
 )
 _query("q4_command_frequency", f"SELECT {_B('hour')}, command_name, count(*) AS invocations {_SPAN} AND os = 'linux' GROUP BY ALL ORDER BY 1, 2 NULLS LAST LIMIT 1000")(
-    lambda d: commands.command_frequency(d.rolled("command_stats"), Filters("t0", START, END, systems=("linux",), limit=1000), "hour")
+    lambda d: commands.command_frequency(d.rolled("command_stats"), d.scope(systems=("linux",), limit=1000), "hour")
 )
-_query("q5_ci_split", f"SELECT {_B('month')}, is_ci, count(*) AS invocations {_SPAN} GROUP BY ALL")(lambda d: commands.ci_split(d.rolled("command_stats", "day"), ALL, "month"))
-_query("q6_exit_codes", f"SELECT {_B('week')}, command_name, exit_code, count(*) AS invocations {_SPAN} GROUP BY ALL")(lambda d: commands.exit_codes(d.rolled("exit_codes"), ALL, "week"))
+_query("q5_ci_split", f"SELECT {_B('month')}, is_ci, count(*) AS invocations {_SPAN} GROUP BY ALL")(lambda d: commands.ci_split(d.rolled("command_stats", "day"), d.scope(), "month"))
+_query("q6_exit_codes", f"SELECT {_B('week')}, command_name, exit_code, count(*) AS invocations {_SPAN} GROUP BY ALL")(lambda d: commands.exit_codes(d.rolled("exit_codes"), d.scope(), "week"))
 _STARTED = f"FROM tel WHERE {_SCOPE} AND event_name = 'cli.session.started'"
-_query("q7_session_cohort", f"SELECT {_B('week')}, cli_version, os, arch, count(*) AS sessions {_STARTED} GROUP BY ALL")(lambda d: installs.session_cohort(d.rolled("session_activity"), ALL, "week"))
-_query("q8_active_installs", f"SELECT {_B('day')}, count(DISTINCT install_id) AS installs {_STARTED} GROUP BY ALL")(lambda d: installs.active_installs(d.rolled("session_activity"), ALL, "day"))
+_query("q7_session_cohort", f"SELECT {_B('week')}, cli_version, os, arch, count(*) AS sessions {_STARTED} GROUP BY ALL")(lambda d: installs.session_cohort(d.rolled("session_activity"), d.scope(), "week"))
+_query("q8_active_installs", f"SELECT {_B('day')}, count(DISTINCT install_id) AS installs {_STARTED} GROUP BY ALL")(lambda d: installs.active_installs(d.rolled("session_activity"), d.scope(), "day"))
 _query("q9_retention", f"""SELECT cohort, period, count(*) AS installs, first_value(count(*)) OVER (PARTITION BY cohort ORDER BY period) AS cohort_size FROM
   (SELECT install_id, min(p) OVER (PARTITION BY install_id) AS cohort, date_diff('day', min(p) OVER (PARTITION BY install_id), p) // 7 AS period FROM
-   (SELECT DISTINCT install_id, date_trunc('week', t) AS p {_STARTED} AND install_id IS NOT NULL)) GROUP BY cohort, period""")(lambda d: installs.retention(d.logs(), ALL, "week"))
+   (SELECT DISTINCT install_id, date_trunc('week', t) AS p {_STARTED} AND install_id IS NOT NULL)) GROUP BY cohort, period""")(lambda d: installs.retention(d.logs(), d.scope(), "week"))
 _query("q10_list_dimensions", f"SELECT dimension, value FROM (SELECT DISTINCT unnest(['cli_version', 'os', 'arch', 'command_name']) AS dimension, unnest([cli_version, os, arch, command_name]) AS value FROM tel WHERE tenant_id = 't0' AND event_type IN ('click', 'error')) WHERE value IS NOT NULL")(
-    lambda d: commands.list_dimensions(d.rolled("command_stats", "day"), "t0")
+    lambda d: commands.list_dimensions(d.rolled("command_stats", "day"), d.tenant)
 )
-_query("q11_resource_usage")(lambda d: commands.resource_usage(d.rolled("command_resources", "day"), ALL, "month"))
+_query("q11_resource_usage")(lambda d: commands.resource_usage(d.rolled("command_resources", "day"), d.scope(), "month"))
 _query("q11_resource_reports", f"SELECT {_B('month')}, command_name, cli_version, count(peak_rss_bytes) AS rss_reported, count(cpu_time_ms) AS cpu_reported {_SPAN} GROUP BY ALL")(
-    lambda d: commands.resource_usage(d.rolled("command_resources", "day"), ALL, "month").select("bucket", "command_name", "cli_version", "rss_reported", "cpu_reported")
+    lambda d: commands.resource_usage(d.rolled("command_resources", "day"), d.scope(), "month").select("bucket", "command_name", "cli_version", "rss_reported", "cpu_reported")
 )
-_query("q12_version_footprint")(lambda d: installs.version_footprint(d.rolled("session_footprint"), ALL))
+_query("q12_version_footprint")(lambda d: installs.version_footprint(d.rolled("session_footprint"), d.scope()))
 _query("q12_version_sizes", f"SELECT cli_version, count(*) AS sessions, count(binary_size_bytes) AS size_reported, min(binary_size_bytes) AS least_size, max(binary_size_bytes) AS most_size, count(startup_ms) AS startup_reported, count(DISTINCT install_id) FILTER (binary_size_bytes IS NOT NULL) AS size_installs, count(DISTINCT install_id) FILTER (startup_ms IS NOT NULL) AS startup_installs {_STARTED} GROUP BY ALL")(
-    lambda d: installs.version_footprint(d.rolled("session_footprint"), ALL).drop("size_p50", "startup_p50", "startup_p95")
+    lambda d: installs.version_footprint(d.rolled("session_footprint"), d.scope()).drop("size_p50", "startup_p50", "startup_p95")
 )
-_query("q13_install_funnel", f"SELECT {_B('day', 'first_seen')}, count(*) AS installs, count(first_command_at) AS ran_command, count(first_success_at) AS succeeded FROM cohort GROUP BY ALL", True)(lambda d: installs.install_funnel(d.installs(), ALL, "day"))
+_query("q13_install_funnel", f"SELECT {_B('day', 'first_seen')}, count(*) AS installs, count(first_command_at) AS ran_command, count(first_success_at) AS succeeded FROM cohort GROUP BY ALL", True)(lambda d: installs.install_funnel(d.installs(), d.scope(), "day"))
 _SECS = "(epoch_us(first_success_at) - epoch_us(first_seen)) / 1e6"
 _query("q14_install_activation", f"SELECT {_B('day', 'first_seen')}, count(*) AS cohort_size, count(first_success_at) AS activated, round(quantile_cont({_SECS}, 0.5), 6) AS p50_seconds, round(quantile_cont({_SECS}, 0.9), 6) AS p90_seconds FROM cohort GROUP BY ALL", True)(
-    lambda d: _rounded(installs.install_activation(d.installs(), ALL, "day"))
+    lambda d: _rounded(installs.install_activation(d.installs(), d.scope(), "day"))
 )
 _query("q15_version_changes", f"SELECT {_B('week', 'changed_at')}, from_version, to_version, direction, count(*) AS changes, count(DISTINCT install_id) AS installs FROM changes JOIN installs USING (tenant_id, install_id) WHERE tenant_id = 't0' AND changed_at < TIMESTAMP '2024-02-01' AND last_os IN ('linux', 'darwin') GROUP BY ALL", True)(
-    lambda d: installs.version_change_series(d.changes(), d.installs(), Filters("t0", START, END, systems=("linux", "darwin"), limit=1000), "week")
+    lambda d: installs.version_change_series(d.changes(), d.installs(), d.scope(systems=("linux", "darwin"), limit=1000), "week")
 )
-_query("q16_install_coverage", f"SELECT {_B('day')}, count(*) AS sessions, count(install_id) AS with_install {_STARTED} GROUP BY ALL")(lambda d: installs.install_coverage(d.logs(), ALL, "day"))
-_query("q17_install_methods", f"SELECT {_B('day', 'first_seen')}, install_method, count(*) AS installs FROM cohort GROUP BY ALL", True)(lambda d: installs.install_methods(d.installs(), ALL, "day"))
+_query("q16_install_coverage", f"SELECT {_B('day')}, count(*) AS sessions, count(install_id) AS with_install {_STARTED} GROUP BY ALL")(lambda d: installs.install_coverage(d.logs(), d.scope(), "day"))
+_query("q17_install_methods", f"SELECT {_B('day', 'first_seen')}, install_method, count(*) AS installs FROM cohort GROUP BY ALL", True)(lambda d: installs.install_methods(d.installs(), d.scope(), "day"))
 _query("q18_new_vs_returning", f"SELECT a.bucket, count(*) FILTER (date_trunc('day', first_seen) = a.bucket) AS new, count(*) FILTER (date_trunc('day', first_seen) < a.bucket) AS returning FROM (SELECT DISTINCT tenant_id, install_id, {_B('day')} {_STARTED} AND install_id IS NOT NULL) a JOIN installs USING (tenant_id, install_id) GROUP BY ALL", True)(
-    lambda d: installs.new_vs_returning(d.logs(), d.installs(), ALL, "day")
+    lambda d: installs.new_vs_returning(d.logs(), d.installs(), d.scope(), "day")
 )
 _FOUND = "greatest((epoch_us(first_at) - epoch_us(first_seen)) / 1e6, 0)"
 _query("q19_feature_discovery", f"SELECT kind, name, (SELECT count(*) FROM cohort) AS cohort_size, count(*) AS installs, count(*) FILTER ({_FOUND} <= 86400) AS within_1d, count(*) FILTER ({_FOUND} <= 7 * 86400) AS within_7d, count(*) FILTER ({_FOUND} <= 30 * 86400) AS within_30d, round(quantile_cont({_FOUND}, 0.5), 6) AS median_seconds FROM found JOIN cohort USING (tenant_id, install_id) GROUP BY kind, name", True)(
-    lambda d: _rounded(installs.feature_discovery(d.installs(), installs.discoveries(d.logs()), ALL))
+    lambda d: _rounded(installs.feature_discovery(d.installs(), installs.discoveries(d.logs()), d.scope()))
 )
 _SESSION = f"""(SELECT *, sum(n) OVER (PARTITION BY install_id ORDER BY t, event_id) AS s FROM (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY install_id ORDER BY t, event_id) > INTERVAL 30 MINUTE THEN 1 ELSE 0 END AS n
   FROM tel WHERE {_SCOPE} AND event_name = 'cli.command.completed' AND install_id IS NOT NULL))"""
 _query("q20_session_lengths", f"""SELECT l.length, coalesce(sessions, 0) AS sessions, CASE WHEN l.length IS NULL THEN round(median_seconds, 6) END AS median_seconds FROM (SELECT unnest(['0', '<1m', '1-5m', '5-15m', '15-30m', '30m+', NULL]) AS length) l LEFT JOIN
   (SELECT length, count(*) AS sessions, quantile_cont(secs, 0.5) AS median_seconds FROM (SELECT secs, CASE WHEN secs = 0 THEN '0' WHEN secs < 60 THEN '<1m' WHEN secs < 300 THEN '1-5m' WHEN secs < 900 THEN '5-15m' WHEN secs < 1800 THEN '15-30m' ELSE '30m+' END AS length
-   FROM (SELECT (epoch_us(max(t)) - epoch_us(min(t))) / 1e6 AS secs FROM {_SESSION} GROUP BY install_id, s)) GROUP BY GROUPING SETS ((length), ())) c ON l.length IS NOT DISTINCT FROM c.length""")(lambda d: _rounded(sessions.session_lengths(d.logs(), ALL)))
+   FROM (SELECT (epoch_us(max(t)) - epoch_us(min(t))) / 1e6 AS secs FROM {_SESSION} GROUP BY install_id, s)) GROUP BY GROUPING SETS ((length), ())) c ON l.length IS NOT DISTINCT FROM c.length""")(lambda d: _rounded(sessions.session_lengths(d.logs(), d.scope())))
 _query("q21_session_sequences", f"""SELECT array_to_string(commands, ' > ') AS commands, count(*) AS sessions FROM (SELECT install_id, s, list(command_name ORDER BY t, event_id)[1:5] AS commands FROM
   (SELECT *, lag(command_name) OVER (PARTITION BY install_id, s ORDER BY t, event_id) AS b FROM {_SESSION} WHERE command_name IS NOT NULL) WHERE b IS DISTINCT FROM command_name GROUP BY install_id, s) WHERE len(commands) >= 1 GROUP BY commands ORDER BY sessions DESC, commands LIMIT 1000""")(
-    lambda d: sessions.session_sequences(d.logs(), ALL).select(F.array_join("commands", " > ").alias("commands"), "sessions")
+    lambda d: sessions.session_sequences(d.logs(), d.scope()).select(F.array_join("commands", " > ").alias("commands"), "sessions")
 )
 
 
@@ -155,14 +171,14 @@ def _retries_sql(seconds: int) -> str:
    GROUP BY ALL) WHERE failures > 0 GROUP BY command_name"""
 
 
-_query("q22_retries", _retries_sql(600))(lambda d: _rounded(sessions.retries(d.logs(), ALL)))
-_query("q22_retries_hour", _retries_sql(3600))(lambda d: _rounded(sessions.retries(d.logs(), ALL, 3600)))
+_query("q22_retries", _retries_sql(600))(lambda d: _rounded(sessions.retries(d.logs(), d.scope())))
+_query("q22_retries_hour", _retries_sql(3600))(lambda d: _rounded(sessions.retries(d.logs(), d.scope(), 3600)))
 _query("q23_cold_warm_latency", f"""SELECT date_trunc('week', t) AS bucket, command_name, count(*) FILTER (cold) AS cold_runs, {', '.join(f"round(quantile_cont(value, {q}) FILTER (cold), 6) AS cold_p{int(q * 100)}" for q in (.5, .95, .99))},
   count(*) FILTER (NOT cold) AS warm_runs, {', '.join(f"round(quantile_cont(value, {q}) FILTER (NOT cold), 6) AS warm_p{int(q * 100)}" for q in (.5, .95, .99))} FROM
   (SELECT r.*, event_id IN (SELECT cold_id FROM (SELECT r2.event_id AS cold_id FROM changes c, LATERAL (SELECT event_id FROM ev e WHERE e.tenant_id = c.tenant_id AND e.install_id = c.install_id AND event_name = 'cli.command.completed' AND e.t >= c.changed_at ORDER BY e.t, e.event_id LIMIT 1) r2 WHERE c.tenant_id = 't0'
     UNION ALL SELECT min(event_id) FROM ev e JOIN installs i USING (tenant_id, install_id) WHERE tenant_id = 't0' AND event_name = 'cli.command.completed' AND e.t = i.first_command_at GROUP BY install_id)) AS cold
    FROM ev r WHERE {_SCOPE} AND event_name = 'cli.command.completed' AND command_name IS NOT NULL AND value >= 0) GROUP BY ALL""", True)(
-    lambda d: _rounded(sessions.cold_warm_latency(d.logs(), d.installs(), d.changes(), ALL, "week"))
+    lambda d: _rounded(sessions.cold_warm_latency(d.logs(), d.installs(), d.changes(), d.scope(), "week"))
 )
 
 
@@ -172,60 +188,64 @@ def _environment_sql(value: str, most: int) -> str:
   UNION ALL SELECT 'reported', NULL, count(*), CAST(coalesce(sum(n), 0) AS BIGINT) FROM c UNION ALL SELECT 'total', NULL, count(DISTINCT value), count(*) FROM v)"""
 
 
-_query("q24_environment_shell", _environment_sql("nullif(shell, '')", 2))(lambda d: sessions.session_environment(d.logs(), ALL, sessions.text_value("shell"), 2))
+_query("q24_environment_shell", _environment_sql("nullif(shell, '')", 2))(lambda d: sessions.session_environment(d.logs(), d.scope(), sessions.text_value("shell"), 2))
 _query("q24_environment_config", _environment_sql("CASE WHEN customized_count < 0 THEN NULL WHEN customized_count = 0 THEN '0' WHEN customized_count <= 2 THEN '1-2' WHEN customized_count <= 5 THEN '3-5' ELSE '6+' END", 10))(
-    lambda d: sessions.session_environment(d.logs(), ALL, sessions.count_band("customized_count"), 10)
+    lambda d: sessions.session_environment(d.logs(), d.scope(), sessions.count_band("customized_count"), 10)
 )
 _ENVIRONMENT = {
     "terminal": "nullif(command_name, '')", "stdout": "CASE WHEN is_ci THEN 'tty' WHEN NOT is_ci THEN 'piped' END", "runtime": "nullif(install_method, '')",
     "runtime_version": "CASE WHEN install_method IS NOT NULL AND cli_version IS NOT NULL THEN concat(install_method, ' ', cli_version) END", "auth": "nullif(service_name, '')",
 }
 for _name, _value in _ENVIRONMENT.items():
-    _query(f"q24_environment_{_name}", _environment_sql(_value, 2))(lambda d, n=_name: sessions.session_environment(d.logs(), ALL, sessions.environment_values()[n], 2))
+    _query(f"q24_environment_{_name}", _environment_sql(_value, 2))(lambda d, n=_name: sessions.session_environment(d.logs(), d.scope(), sessions.environment_values()[n], 2))
 _query("f13_typed_json", f"SELECT CASE WHEN customized_count < 0 THEN 'negative' ELSE 'number' END AS kind, count(*) AS n, CAST(sum(customized_count) AS DOUBLE) AS total FROM tel WHERE {_SCOPE} AND customized_count IS NOT NULL GROUP BY 1 UNION ALL SELECT 'text', count(*), 0 FROM tel WHERE {_SCOPE} AND shell IS NOT NULL")(
-    lambda d: d.logs().filter(ALL.tenant() & ALL.time("time")).select(F.explode(F.array(
+    lambda d: d.logs().filter(d.scope().tenant() & d.scope().time("time")).select(F.explode(F.array(
         F.struct(F.when(json_number("cli.config.customized_count") < 0, "negative").when(json_number("cli.config.customized_count").isNotNull(), "number").alias("kind"), json_number("cli.config.customized_count").alias("v")),
         F.struct(F.when(json_number("cli.shell").isNull() & attribute("cli.shell").isNotNull(), "text").alias("kind"), F.lit(0.0).alias("v")),
     )).alias("x")).filter("x.kind is not null").groupBy("x.kind").agg(F.count("*").alias("n"), F.sum("x.v").alias("total"))
 )
 _query("q25_unknown_commands", f"SELECT coalesce(a.bucket, i.bucket) AS bucket, coalesce(a.n, 0) AS attempts, coalesce(i.n, 0) AS invocations, CASE WHEN coalesce(i.n, 0) > 0 THEN round(coalesce(a.n, 0) / i.n, 6) ELSE 0 END AS attempt_rate FROM (SELECT {_B('day')}, count(*) AS n FROM tel WHERE {_SCOPE} AND event_name = 'cli.command.unknown' GROUP BY ALL) a FULL JOIN (SELECT {_B('day')}, count(*) AS n {_SPAN} GROUP BY ALL) i ON a.bucket = i.bucket")(
-    lambda d: _rounded(commands.unknown_commands(d.logs(), d.rolled("command_stats", "day"), ALL, "day"))
+    lambda d: _rounded(commands.unknown_commands(d.logs(), d.rolled("command_stats", "day"), d.scope(), "day"))
 )
 _query("q26_unknown_suggestions", f"SELECT * FROM (WITH a AS (SELECT nullif(suggestion, '') AS s, count(*) AS n FROM tel WHERE {_SCOPE} AND event_name = 'cli.command.unknown' AND suggestion <> '' GROUP BY 1), l AS (SELECT * FROM a WHERE s IN (SELECT command_name {_SPAN}) ORDER BY n DESC, s LIMIT 1) SELECT 'value' AS kind, s AS suggestion, n AS attempts, CAST(1 AS BIGINT) AS suggestions FROM l UNION ALL SELECT 'other', NULL, CAST((SELECT sum(n) FROM a) - (SELECT sum(n) FROM l) AS BIGINT), (SELECT count(*) FROM a) - (SELECT count(*) FROM l))")(
-    lambda d: commands.unknown_suggestions(d.logs(), d.rolled("command_stats", "day"), Filters("t0", START, END, limit=1))
+    lambda d: commands.unknown_suggestions(d.logs(), d.rolled("command_stats", "day"), d.scope(limit=1))
 )
 _query("q27_friction", f"SELECT coalesce(a.bucket, h.bucket) AS bucket, CASE WHEN a.bucket IS NULL THEN h.command_name ELSE a.command_name END AS command_name, coalesce(invocations, 0) AS invocations, coalesce(interrupted, 0) AS interrupted, coalesce(help_views, 0) AS help_views FROM (SELECT {_B('week')}, command_name, count(*) AS invocations, count(*) FILTER (exit_code = 130) AS interrupted {_SPAN} GROUP BY ALL) a FULL JOIN (SELECT {_B('week')}, command_name, count(*) AS help_views FROM tel WHERE {_SCOPE} AND event_name = 'cli.help.viewed' GROUP BY ALL) h ON a.bucket = h.bucket AND a.command_name IS NOT DISTINCT FROM h.command_name")(
-    lambda d: commands.friction(d.rolled("exit_codes"), d.logs(), ALL, "week")
+    lambda d: commands.friction(d.rolled("exit_codes"), d.logs(), d.scope(), "week")
 )
 _RAISED = f"FROM tel WHERE {_SCOPE} AND event_name = 'cli.error.raised'"
-_query("q28_error_types", f"SELECT {_B('week')}, command_name, error_type, count(*) AS errors {_RAISED} GROUP BY ALL")(lambda d: errors.error_types(d.logs(), ALL, "week"))
-_query("q29_error_reasons", f"SELECT {_B('month')}, command_name, error_type, error_reason, count(*) AS errors {_RAISED} GROUP BY ALL")(lambda d: errors.error_reasons(d.logs(), ALL, "month"))
+_query("q28_error_types", f"SELECT {_B('week')}, command_name, error_type, count(*) AS errors {_RAISED} GROUP BY ALL")(lambda d: errors.error_types(d.logs(), d.scope(), "week"))
+_query("q29_error_reasons", f"SELECT {_B('month')}, command_name, error_type, error_reason, count(*) AS errors {_RAISED} GROUP BY ALL")(lambda d: errors.error_reasons(d.logs(), d.scope(), "month"))
 _PLAIN = "CASE k % 3 WHEN 0 THEN 'dial tcp <n>: connection refused' WHEN 1 THEN 'open <path>: permission denied' ELSE 'retry <n> of <n> failed after <n>' END"
 _query("q30_error_fingerprints", f"""SELECT fp, events, installs, first_seen, last_seen, commands, sample FROM (SELECT left(sha256(concat('v1', chr(10), 'message', chr(10), {_PLAIN})), 16) AS fp, count(*) AS events, count(DISTINCT install_id) AS installs, min(t) AS first_seen, max(t) AS last_seen,
   coalesce(array_to_string(list_sort(list(DISTINCT command_name) FILTER (command_name IS NOT NULL)), ','), '') AS commands, min({_PLAIN}) AS sample {_RAISED} AND consent_tier IN ('anonymous', 'basic') GROUP BY 1)""")(
-    lambda d: errors.error_fingerprints(d.logs(), ALL, "week", "basic", fingerprint(F.col("error_message"), F.array().cast("array<string>"))).select("fp", "events", "installs", "first_seen", "last_seen", "commands", "sample")
+    lambda d: errors.error_fingerprints(d.logs(), d.scope(), "week", "basic", fingerprint(F.col("error_message"), F.array().cast("array<string>"))).select("fp", "events", "installs", "first_seen", "last_seen", "commands", "sample")
 )
-_query("q30_error_trends")(lambda d: errors.error_fingerprints(d.logs(), ALL, "week", "full", fingerprint(F.col("error_message"), F.array().cast("array<string>"))))
+_FP = f"left(sha256(concat('v1', chr(10), 'message', chr(10), {_PLAIN})), 16)"
+_query("q30_error_trends", f"""SELECT p.*, trend, versions FROM
+  (SELECT {_FP} AS fp, count(*) AS events, count(DISTINCT install_id) AS installs, min(t) AS first_seen, max(t) AS last_seen, coalesce(array_to_string(list_sort(list(DISTINCT command_name) FILTER (command_name IS NOT NULL)), ','), '') AS commands, min({_PLAIN}) AS sample {_RAISED} GROUP BY 1) p
+  JOIN (SELECT fp, string_agg(concat(strftime(b, '%Y-%m-%d %H'), ':', n, ':', i), ';' ORDER BY b) AS trend FROM (SELECT {_FP} AS fp, date_trunc('week', t) AS b, count(*) AS n, count(DISTINCT install_id) AS i {_RAISED} GROUP BY 1, 2) GROUP BY fp) USING (fp)
+  JOIN (SELECT fp, string_agg(v, ',' ORDER BY sem.k NULLS LAST) AS versions FROM (SELECT DISTINCT {_FP} AS fp, cli_version AS v {_RAISED}) JOIN sem USING (v) GROUP BY fp) USING (fp)""", True)(lambda d: errors.error_fingerprints(d.logs(), d.scope(), "week", "full", fingerprint(F.col("error_message"), F.array().cast("array<string>"))))
 _query("s21_normalised_messages", f"SELECT {_PLAIN} AS message, count(*) AS n FROM tel GROUP BY 1")(lambda d: d.logs().groupBy(normalised(F.col("error_message")).alias("message")).agg(F.count("*").alias("n")))
 
 _MET = lambda m: f"FROM met WHERE {_SCOPE} AND metric_name = '{m}'"
-_query("q31_counters", f"SELECT name, sum(obs) AS total, count(*) AS points, count(DISTINCT label) AS labels {_MET('cli.counter')} GROUP BY name")(lambda d: vendor.counters(d.rolled("counters", "day"), ALL))
+_query("q31_counters", f"SELECT name, sum(obs) AS total, count(*) AS points, count(DISTINCT label) AS labels {_MET('cli.counter')} GROUP BY name")(lambda d: vendor.counters(d.rolled("counters", "day"), d.scope()))
 _query("q32_counter_series", f"SELECT {_B('day')}, sum(obs) AS total, count(*) AS points {_MET('cli.counter')} AND name = 'vulns.found' AND regexp_extract(label, '(?:^|;)check=([^;]*)', 1) = 'bola' GROUP BY ALL")(
-    lambda d: vendor.counter_series(d.rolled("counters", "day"), Filters("t0", START, END, where={"check": ("bola",)}), "vulns.found", "day")
+    lambda d: vendor.counter_series(d.rolled("counters", "day"), d.scope(where={"check": ("bola",)}), "vulns.found", "day")
 )
-_query("q32_counter_labels", f"SELECT label, sum(obs) AS total, count(*) AS points {_MET('cli.counter')} AND name = 'vulns.found' GROUP BY label")(lambda d: vendor.counter_labels(d.rolled("counters", "day"), ALL, "vulns.found"))
+_query("q32_counter_labels", f"SELECT label, sum(obs) AS total, count(*) AS points {_MET('cli.counter')} AND name = 'vulns.found' GROUP BY label")(lambda d: vendor.counter_labels(d.rolled("counters", "day"), d.scope(), "vulns.found"))
 _query("q32_counter_groups", f"SELECT CASE WHEN label = 'other' THEN 'other' ELSE nullif(regexp_extract(label, '(?:^|;)check=([^;]*)', 1), '') END AS d0, CASE WHEN label = 'other' THEN 'other' ELSE nullif(regexp_extract(label, '(?:^|;)severity=([^;]*)', 1), '') END AS d1, {_B('week')}, sum(obs) AS total {_MET('cli.counter')} AND name = 'vulns.found' GROUP BY ALL")(
-    lambda d: vendor.counter_groups(d.rolled("counters", "day"), ALL, "vulns.found", "week", ("check", "severity"))
+    lambda d: vendor.counter_groups(d.rolled("counters", "day"), d.scope(), "vulns.found", "week", ("check", "severity"))
 )
 
 
 _query("q32_counter_top_group", f"SELECT * FROM (WITH g AS (SELECT CASE WHEN label = 'other' THEN 'other' ELSE nullif(regexp_extract(label, '(?:^|;)check=([^;]*)', 1), '') END AS d0, {_B('week')}, obs {_MET('cli.counter')} AND name = 'vulns.found'), top AS (SELECT d0 FROM g GROUP BY d0 ORDER BY sum(obs) DESC, d0 NULLS LAST LIMIT 1) SELECT d0, bucket, sum(obs) AS total FROM g WHERE d0 IS NOT DISTINCT FROM (SELECT d0 FROM top) GROUP BY ALL)")(
-    lambda d: vendor.counter_groups(d.rolled("counters", "day"), Filters("t0", START, END, limit=1), "vulns.found", "week", ("check",))
+    lambda d: vendor.counter_groups(d.rolled("counters", "day"), d.scope(limit=1), "vulns.found", "week", ("check",))
 )
-_query("q33_measure_labels", f"SELECT label, count(*) AS n, sum(obs) AS total {_MET('cli.measure')} AND name = 'vulns.found' GROUP BY label")(lambda d: vendor.measure_labels(d.rolled("measures", "day"), ALL, "vulns.found"))
-_query("q34_value_labels", f"SELECT label, count(*) AS n, sum(obs) AS total {_MET('cli.value')} AND name = 'vulns.found' GROUP BY label")(lambda d: vendor.value_labels(d.rolled("values", "day"), ALL, "vulns.found"))
+_query("q33_measure_labels", f"SELECT label, count(*) AS n, sum(obs) AS total {_MET('cli.measure')} AND name = 'vulns.found' GROUP BY label")(lambda d: vendor.measure_labels(d.rolled("measures", "day"), d.scope(), "vulns.found"))
+_query("q34_value_labels", f"SELECT label, count(*) AS n, sum(obs) AS total {_MET('cli.value')} AND name = 'vulns.found' GROUP BY label")(lambda d: vendor.value_labels(d.rolled("values", "day"), d.scope(), "vulns.found"))
 _query("q35_reach_groups", f"SELECT CASE WHEN label = 'other' THEN 'other' ELSE nullif(regexp_extract(label, '(?:^|;)severity=([^;]*)', 1), '') END AS d0, count(DISTINCT install_id) AS reached {_MET('cli.counter')} AND name = 'vulns.found' GROUP BY 1")(
-    lambda d: vendor.reach_groups(d.rolled("counters", "day"), ALL, "vulns.found", ("severity",))
+    lambda d: vendor.reach_groups(d.rolled("counters", "day"), d.scope(), "vulns.found", ("severity",))
 )
 
 
@@ -242,39 +262,40 @@ def _histogram_sql(metric: str, bounds: tuple[int, ...], qs: tuple[float, ...],
   SELECT {more}, n, total, least, most, {reads} FROM a JOIN c USING (key) GROUP BY ALL)"""
 
 
-_query("q33_measures", _histogram_sql("cli.measure", telemetry.MEASURE_BOUNDS, (0.5, 0.95, 0.99), "name", "key AS name, labels"))(lambda d: _rounded(vendor.measures(d.rolled("measures", "day"), ALL)))
+_query("q33_measures", _histogram_sql("cli.measure", telemetry.MEASURE_BOUNDS, (0.5, 0.95, 0.99), "name", "key AS name, labels"))(lambda d: _rounded(vendor.measures(d.rolled("measures", "day"), d.scope())))
 _query("q33_measure_series", _histogram_sql("cli.measure", telemetry.MEASURE_BOUNDS, (0.5, 0.95, 0.99), "date_trunc('week', t)", "key AS bucket", "AND name = 'vulns.found'"))(
-    lambda d: _rounded(vendor.measure_series(d.rolled("measures", "day"), ALL, "vulns.found", "week"))
+    lambda d: _rounded(vendor.measure_series(d.rolled("measures", "day"), d.scope(), "vulns.found", "week"))
 )
 _SEVERITY = "CASE WHEN label = 'other' THEN 'other' ELSE nullif(regexp_extract(label, '(?:^|;)severity=([^;]*)', 1), '') END"
 _query("q33_measure_groups", _histogram_sql("cli.measure", telemetry.MEASURE_BOUNDS, (0.5, 0.95, 0.99), f"concat(coalesce({_SEVERITY}, '-'), '|', CAST(date_trunc('week', t) AS VARCHAR))", "nullif(split_part(key, '|', 1), '-') AS d0, CAST(split_part(key, '|', 2) AS TIMESTAMP) AS bucket", "AND name = 'vulns.found'"))(
-    lambda d: _rounded(vendor.measure_groups(d.rolled("measures", "day"), ALL, "vulns.found", "week", ("severity",)))
+    lambda d: _rounded(vendor.measure_groups(d.rolled("measures", "day"), d.scope(), "vulns.found", "week", ("severity",)))
 )
 _query("q34_value_groups", _histogram_sql("cli.value", telemetry.VALUE_BOUNDS, (0.5, 0.9, 0.99), f"concat(coalesce({_SEVERITY}, '-'), '|', CAST(date_trunc('week', t) AS VARCHAR))", "nullif(split_part(key, '|', 1), '-') AS d0, CAST(split_part(key, '|', 2) AS TIMESTAMP) AS bucket, round(total / n, 6) AS mean, round(1 - b0 / n, 6) AS hit_rate", "AND name = 'vulns.found'"))(
-    lambda d: _rounded(vendor.value_groups(d.rolled("values", "day"), ALL, "vulns.found", "week", ("severity",)))
+    lambda d: _rounded(vendor.value_groups(d.rolled("values", "day"), d.scope(), "vulns.found", "week", ("severity",)))
 )
-_query("q34_values", _histogram_sql("cli.value", telemetry.VALUE_BOUNDS, (0.5, 0.9, 0.99), "name", "key AS name, labels, round(total / n, 6) AS mean, round(1 - b0 / n, 6) AS hit_rate"))(lambda d: _rounded(vendor.values(d.rolled("values", "day"), ALL)))
-_query("q34_value_series")(lambda d: _rounded(vendor.value_series(d.rolled("values", "day"), ALL, "vulns.found", "week")))
+_query("q34_values", _histogram_sql("cli.value", telemetry.VALUE_BOUNDS, (0.5, 0.9, 0.99), "name", "key AS name, labels, round(total / n, 6) AS mean, round(1 - b0 / n, 6) AS hit_rate"))(lambda d: _rounded(vendor.values(d.rolled("values", "day"), d.scope())))
+_SERIES = lambda key, bucket: _histogram_sql("cli.value", telemetry.VALUE_BOUNDS, (0.5, 0.9, 0.99), key, f"{bucket} AS bucket, round(total / n, 6) AS mean, round(1 - b0 / n, 6) AS hit_rate", "AND name = 'vulns.found'")
+_query("q34_value_series", _SERIES("date_trunc('week', t)", "key") + " UNION ALL " + _SERIES("0", "CAST(NULL AS TIMESTAMP)"))(lambda d: _rounded(vendor.value_series(d.rolled("values", "day"), d.scope(), "vulns.found", "week")))
 _query("q35_reach", f"SELECT (SELECT count(DISTINCT install_id) {_MET('cli.counter')} AND name = 'vulns.found') AS reached, (SELECT count(DISTINCT install_id) {_STARTED}) AS active, (SELECT round(count(install_id) / count(*), 6) {_MET('cli.counter')} AND name = 'vulns.found') AS reported_share, round((SELECT count(DISTINCT install_id) {_MET('cli.counter')} AND name = 'vulns.found') / (SELECT count(DISTINCT install_id) {_STARTED}), 6) AS active_share")(
-    lambda d: _rounded(vendor.reach(d.rolled("counters", "day"), d.rolled("session_activity"), ALL, "vulns.found"))
+    lambda d: _rounded(vendor.reach(d.rolled("counters", "day"), d.rolled("session_activity"), d.scope(), "vulns.found"))
 )
-_query("q35_reach_series", f"SELECT {_B('day')}, count(DISTINCT install_id) AS reached {_MET('cli.counter')} AND name = 'vulns.found' GROUP BY ALL")(lambda d: vendor.reach_series(d.rolled("counters", "day"), ALL, "vulns.found", "day"))
+_query("q35_reach_series", f"SELECT {_B('day')}, count(DISTINCT install_id) AS reached {_MET('cli.counter')} AND name = 'vulns.found' GROUP BY ALL")(lambda d: vendor.reach_series(d.rolled("counters", "day"), d.scope(), "vulns.found", "day"))
 _query("q36_ratio", f"SELECT bucket, coalesce(sum(a), 0) AS numerator, coalesce(sum(b), 0) AS denominator, round(CASE WHEN coalesce(sum(b), 0) <> 0 THEN coalesce(sum(a), 0) / sum(b) * 100 END, 6) AS value FROM (SELECT {_B('day')}, obs AS a, NULL AS b {_MET('cli.counter')} AND name = 'vulns.found' UNION ALL SELECT {_B('day')}, NULL, CAST(1 AS DOUBLE) {_STARTED}) GROUP BY GROUPING SETS ((bucket), ())")(
     lambda d: _rounded(
         vendor.ratio(
-            vendor.operand(vendor._rows(d.rolled("counters", "day"), ALL, "vulns.found"), "total", "day", "day"),
-            vendor.operand(d.rolled("session_activity").filter("tenant_id = 't0'"), "sessions", "day", "day"),
+            vendor.operand(vendor._rows(d.rolled("counters", "day"), d.scope(), "vulns.found"), "total", "day", "day"),
+            vendor.operand(d.rolled("session_activity").filter(d.scope().tenant()), "sessions", "day", "day"),
             100.0,
         )
     )
 )
 _query("q37_vendor_services", "SELECT service_name, count(DISTINCT name) FILTER (metric_name = 'cli.counter') AS counters, count(DISTINCT name) FILTER (metric_name = 'cli.measure') AS measures, count(DISTINCT name) FILTER (metric_name = 'cli.value') AS \"values\" FROM met WHERE tenant_id = 't0' GROUP BY service_name")(
-    lambda d: vendor.vendor_services({k: d.rolled(k, "day") for k in ("counters", "measures", "values")}, ALL)
+    lambda d: vendor.vendor_services({k: d.rolled(k, "day") for k in ("counters", "measures", "values")}, d.scope())
 )
 _query("q38_metric_definitions", "SELECT DISTINCT service_name, name, 'counter' AS kind, coalesce(name = 'vulns.found' AND service_name = 'alpha', false) AS declared, false AS deprecated FROM met WHERE tenant_id = 't0' AND metric_name = 'cli.counter' AND name <> 'other' AND service_name IS NOT NULL")(
     lambda d: vendor.metric_definitions(
         d.metrics().filter("name = 'vulns.found' and service_name = 'alpha'").select("tenant_id", "service_name", "name", F.lit("counter").alias("kind"), F.lit(None).cast("timestamp").alias("deprecated_at")).distinct(),
-        d.rolled("counters", "day").withColumn("kind", F.lit("counter")), ALL,
+        d.rolled("counters", "day").withColumn("kind", F.lit("counter")), d.scope(),
     )
 )
 
@@ -363,8 +384,15 @@ def _positions(versions: DataFrame) -> DataFrame:
     return versions.withColumn("position", F.row_number().over(W.orderBy(*version_order(F.col("cli_version")))))
 
 
+def _registered(name: str, f: Callable[[_Data], DataFrame]) -> Query:
+    if not _scoped(name):
+        return lambda spark, sf_dir: f(_Data(spark, sf_dir))
+    of = lambda spark, sf_dir, t: f(_Data(spark, sf_dir, t)).select(F.lit(t).alias("tenant_id"), "*")
+    return lambda spark, sf_dir: reduce(DataFrame.unionByName, (of(spark, sf_dir, t) for t in TENANTS))
+
+
 def queries() -> dict[str, Query]:
-    return {name: (lambda spark, sf_dir, f=f: f(_Data(spark, sf_dir))) for name, f in _QUERIES.items()}
+    return {name: _registered(name, f) for name, f in _QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:

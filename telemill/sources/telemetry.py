@@ -8,13 +8,13 @@ from pyspark.sql import functions as F
 from ..functions.sketches import MEASURE_BOUNDS, VALUE_BOUNDS, one_hot
 
 SPARK_SOURCE = """
-SELECT event_id, user_id % 20 AS u, event_type, value,
+SELECT event_id, user_id AS u, event_type, value,
   CAST(get_json_object(props, '$.k') AS INT) AS k,
   timestamp_micros(unix_micros(date_trunc('day', ts)) + (unix_micros(CAST(ts AS TIMESTAMP)) - unix_micros(date_trunc('day', ts))) div 12) AS t
 FROM {events}
 """
 DUCKDB_SOURCE = """
-SELECT event_id, user_id % 20 AS u, event_type, value,
+SELECT event_id, user_id AS u, event_type, value,
   CAST(json_extract_string(props, '$.k') AS INT) AS k,
   make_timestamp(epoch_us(date_trunc('day', ts)) + (epoch_us(ts) - epoch_us(date_trunc('day', ts))) // 12) AS t
 FROM events

@@ -10,6 +10,19 @@ def test_agrees_with_sql(name, agree):
     agree(queries.queries()[name], SQL[name])
 
 
+@pytest.mark.parametrize("name, column", [("q12_version_sizes", "size_installs"), ("q12_version_sizes", "startup_installs"), ("q35_reach", "reached"), ("q35_reach", "active")])
+def test_distinct_sketches_are_near_exact_counts(name, column, spark, duck):
+    """1,500 installs: a sketch's standard error is about 1 %, so 4 % is met."""
+    sf = "/root/testdata/sf0.1"
+    key = [c for c in ("tenant_id", "cli_version") if c in queries.queries()[name](spark, sf).columns]
+    got = {tuple(r[k] for k in key): r[column] for r in queries.queries()[name](spark, sf).collect()}
+    cursor = duck.execute(SQL[name].replace("FROM events", f"FROM '{sf}/events.parquet'"))
+    names = [d[0] for d in cursor.description]
+    want = {tuple(r[k] for k in key): r[column] for r in (dict(zip(names, x)) for x in cursor.fetchall())}
+    assert got.keys() == want.keys() and max(want.values()) > 500
+    assert all(abs(got[k] - n) <= max(1, 0.04 * n) for k, n in want.items())
+
+
 @pytest.mark.parametrize("name", sorted(set(queries.queries()) - set(SQL)))
 def test_runs(name, spark):
     out = queries.queries()[name](spark, "/root/testdata/sf0.001")
