@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontaminate, fertility, line_frequency, lsh_forest, rule_ensemble, substring_dedup, surrogates, token_files, token_rollup
+from . import (
+    byte_bpe, decontaminate, fertility, line_frequency, lsh_forest, periodic_runs, rule_ensemble, source_mix, spelling, substring_dedup, surrogates,
+    token_files, token_rollup,
+)
 from .common import shared_dir, staged, tuned
 
 #: A key for surrogates over the test tables; a deployment passes its own secret.
@@ -72,6 +75,18 @@ def op10_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("__held_out").alias("held_out"), F.col("__score").alias("score"), F.col("__predicted").alias("predicted"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spelling.vocabulary(spelling.with_slips(spelling.letter_runs(table(spark, sf_dir, "documents")))))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.report(periodic_runs.with_repeats(table(spark, sf_dir, "documents")))
+
+
+def op13_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_mix.taken(table(spark, sf_dir, "documents"))
+
+
 _WORDS_SQL = """
 WITH c AS (SELECT doc_id, source, lang, text, len(regexp_extract_all(coalesce(text, ''), '[^ \\t\\n\\x0B\\f\\r]+')) AS n FROM documents),
 m AS (SELECT *, row_number() OVER (PARTITION BY text ORDER BY doc_id) > 1 AS copy FROM c)
@@ -112,6 +127,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
         op1_tokenizer_fertility, op2_token_rollup, token_rollup_words, op3_byte_bpe, op4_ngram_jaccard_join, op5_benchmark_decontamination,
         op6_substring_dedup, op7_line_frequency, line_frequency_documents, op8_token_files, op9_pii_surrogates, op10_rule_ensemble,
+        op11_spelling_variants, op12_periodic_runs, op13_source_mix,
     )
     return {f.__name__: f for f in every}
 
