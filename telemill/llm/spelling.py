@@ -20,8 +20,8 @@ from .common import _Powers, mix64, signed, staged
 SYMBOLS = 8
 #: A word's least length and number; a form is at least so many times as frequent.
 LEAST_LETTERS, LEAST_COUNT, TIMES = 5, 3, 2
-#: Neighbours in one Arrow batch.
-BATCH = 1 << 18
+#: Neighbours in one Arrow batch; log2 of the bits that tell, before the shuffle, which reduced words there are (8 MB).
+BATCH, MAP_BITS = 1 << 18, 26
 
 LETTERS = r"[A-Za-zÀ-ÿ]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -112,24 +112,38 @@ def _pieces(batches: Iterator[pa.RecordBatch], symbols: int) -> Iterator[pa.Reco
         yield from (b.slice(lo, hi - lo) for lo, hi in zip(cuts, cuts[1:]) if hi > lo)
 
 
+def _held(keys: DataFrame) -> np.ndarray:
+    """A bit for each first MAP_BITS bits of a key: of a fixed size, so with very many words it rules out less and loses nothing."""
+    bit = keys.select(F.shiftrightunsigned("key", 64 - MAP_BITS).alias("bit"))
+    rows = bit.groupBy(F.expr("bit div 32768").alias("bucket")).agg(F.bitmap_construct_agg(F.expr("bit % 32768")).alias("bits"))
+    bits = np.zeros(1 << (MAP_BITS - 3), dtype=np.uint8)
+    for bucket, part in rows.toLocalIterator():
+        bits[bucket * 4096 : (bucket + 1) * 4096] = np.frombuffer(part, dtype=np.uint8)
+    return bits
+
+
 def near_words(words: DataFrame, symbols: int = SYMBOLS) -> DataFrame:
     """(word, near, near_n) for each two words of (word, n) that are one inserted, deleted or replaced letter apart.
 
-    Each pair comes once in either direction.  Work and rows follow the vocabulary: (2 symbols + 1) rows for a
-    letter, whatever its words' counts.  A very long word is generated by itself, in time linear in its letters.
+    Each pair comes once in either direction.  Work follows the vocabulary: (2 symbols + 1) neighbours for a letter,
+    whatever its words' counts; those that are no word's reduced word are mostly dropped before the shuffle.  A very long word is generated by itself, in time linear in its letters.
     """
 
     def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _pieces(batches, symbols):
             key, of = neighbour_keys(b.column("word"), symbols)
+            bit = key >> np.uint64(64 - MAP_BITS)
+            there = (known.value[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1 == 1
+            key, of = key[there], of[there]
             yield pa.RecordBatch.from_arrays([pa.array(signed(key)), b.column("word").take(pa.array(of))], ["key", "word"])
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _pieces(batches, symbols):
             yield pa.RecordBatch.from_arrays([pa.array(signed(own_keys(b.column("word"), symbols))), b.column("word"), b.column("n")], ["key", "near", "near_n"])
 
+    right = staged(words.mapInArrow(own, "key long, near string, near_n long"))
+    known = words.sparkSession.sparkContext.broadcast(_held(right))
     left = words.select("word").mapInArrow(neighbours, "key long, word string")
-    right = words.mapInArrow(own, "key long, near string, near_n long")
     one = F.levenshtein(left["word"], right["near"], 1) == 1
     return left.join(right.hint("shuffle_hash"), (left["key"] == right["key"]) & one).select("word", "near", "near_n")
 
