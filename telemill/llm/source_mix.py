@@ -1,8 +1,8 @@
 """Mixing sources to target weights: a low-discrepancy schedule of slots, each one block of a source's shuffled words.
 
 A source's documents, shuffled by a hash, stand end to end and are cut into blocks of as many words.  Its target
-asks for a number of slots.  Slot j's point is frac(j g / M) for M slots and the g coprime to M that is nearest
-to the golden section of M: the golden-ratio sequence, brought to M equal steps so that each is met once.
+asks for a number of slots.  Slot j's point is frac(j g / M) for M slots and a g coprime to M beside the golden
+section of M: the golden-ratio sequence, brought to M equal steps so that each is met once.
 Points go through the sources' cumulative slots, so every source gets exactly its slots, spread evenly.  The r-th
 slot of a source takes its r-th block, beginning again after the last one; its last slot is cut to the target.
 """
@@ -67,6 +67,22 @@ def targets(work: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
     return s.select("sid", "source", "source_size", F.least(most * F.col("source_size"), level * F.col("weight")).cast("double").alias("target"))
 
 
+def golden_step(m: int) -> int:
+    """A number coprime to m beside m's golden section: of those within 32 the one whose steps stay the most even.
+
+    How even they are is told by the greatest partial quotient of its continued fraction, which is 1 for the golden ratio.
+    """
+    near, best = round(m * GOLDEN), (m, m, 1)
+    for g in range(max(1, near - 32), min(m, near + 33)):
+        a, b, quotients = m, g, []
+        while b:
+            quotients.append(a // b)
+            a, b = b, a % b
+        if a == 1:
+            best = min(best, (max([*quotients[:-1], quotients[-1] - 1]), abs(g - near), g))
+    return best[2]
+
+
 def schedule(sources: DataFrame, block: int = BLOCK) -> DataFrame:
     """(slot, sid, block, take): which block of which source each slot takes, and how many words of it.
 
@@ -79,15 +95,12 @@ def schedule(sources: DataFrame, block: int = BLOCK) -> DataFrame:
     s = s.withColumn("need", F.col("passes") * F.col("blocks") + F.ceil(F.col("rest") / block).cast("long")).filter("need > 0")
     s = staged(running(s, [F.col("sid")], F.col("need")).drop("number"))
     m = s.agg(F.sum("need")).first()[0] or 1
-    g = max(1, round(m * GOLDEN))
-    while math.gcd(g, m) != 1:
-        g += 1
     stretch = math.isqrt(m) + 1
     whole = lambda c: c.cast("decimal(19,0)")
     # two steps, so that a source with very many slots is neither one array nor one task
     low = s.withColumn("low", F.explode(F.sequence(F.lit(0).cast("long"), F.col("need") - 1, F.lit(CHUNK).cast("long")))).repartition("sid", "low")
     point = low.withColumn("point", F.explode(F.sequence("low", F.least(F.col("low") + CHUNK, "need") - 1))).withColumn("point", F.col("before") + F.col("point"))
-    slot = ((whole(F.col("point")) * whole(F.lit(pow(g, -1, m)))) % whole(F.lit(m))).cast("long")
+    slot = ((whole(F.col("point")) * whole(F.lit(pow(golden_step(m), -1, m)))) % whole(F.lit(m))).cast("long")
     slots = staged(point.select(slot.alias("slot"), "sid", "source_size", "blocks", "passes", "rest").withColumn("stretch", F.floor(F.col("slot") / stretch).cast("long")))
     earlier = slots.groupBy("sid", "stretch").agg(F.count("*").alias("n"))
     earlier = earlier.select("sid", "stretch", (F.sum("n").over(W.partitionBy("sid").orderBy("stretch")) - F.col("n")).alias("earlier"))
