@@ -6,9 +6,12 @@ words by a 64-bit hash of its word hashes; two different ones agree with a proba
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +32,39 @@ def tuned(spark: SparkSession) -> SparkSession:
     return spark
 
 
-#: Folders that staged() has written and clean() has not yet removed.
-_STAGED: list[str] = []
+#: Folders of the scope that is open, if any, and those that lazy results may still read.
+_OWNED: ContextVar[list[str] | None] = ContextVar("telemill_owned", default=None)
+_KEPT: list[str] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Owns the folders that are staged inside: its end removes them, and no others.
+
+    To be put around work whose results are written inside too.
+    """
+    own: list[str] = []
+    outer = _OWNED.set(own)
+    try:
+        yield
+    finally:
+        _OWNED.reset(outer)
+        for path in own:
+            removed(spark, path)
+
+
+def owned(path: str) -> str:
+    """A folder that goes with the open scope; without one it stays while the session lives, as lazy results read it."""
+    own = _OWNED.get()
+    (_KEPT if own is None else own).append(path)
+    return path
+
+
+@atexit.register
+def _end() -> None:
+    spark = SparkSession.getActiveSession()
+    while spark is not None and _KEPT:
+        removed(spark, _KEPT.pop())
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -62,21 +96,12 @@ def written(df: DataFrame) -> tuple[DataFrame, str]:
 
 
 def staged(df: DataFrame) -> DataFrame:
-    """The same rows, written to the shared folder and read again: cuts the lineage and survives lost executors.
-
-    The folder stays until clean(), as the rows may be read at any later time.
-    """
+    """The same rows, written to the shared folder and read again: cuts the lineage and survives lost executors."""
     out, path = written(df)
-    _STAGED.append(path)
+    owned(path)
     return out
 
 
-def clean(spark: SparkSession) -> None:
-    """Removes what staged() has written so far: to be called when the results of these operators are written."""
-    while _STAGED:
-        removed(spark, _STAGED.pop())
-
-
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of 64-bit integers."""
     with np.errstate(over="ignore"):
@@ -241,7 +266,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         if state == seen:
             break
         seen = state
-    _STAGED.append(path)
+    owned(path)
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
         now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     )

@@ -18,7 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import WHITE, Words, lists, mix64, runs_of, separators, signed, slices, span_hashes, staged
@@ -117,28 +117,33 @@ def cells_of(keys: DataFrame) -> DataFrame:
     return keys.select("key").mapInArrow(run, "cell long")
 
 
+def _own() -> Column:
+    """Tells the rows of one id by their text."""
+    return F.xxhash64("text")
+
+
 def suspects(docs: DataFrame, maps: Broadcast, window: int = WINDOW, windows: bool = False) -> DataFrame:
-    """The runs whose minimizer the bitmaps hold: key, span, doc_id, start, n, and with `windows` their windows' hashes."""
-    columns = f"key long, span long, doc_id {dict(docs.dtypes)['doc_id']}, start int, n int" + ", windows array<long>" * windows
+    """The runs whose minimizer the bitmaps hold: key, span, doc_id, own (a hash of the row's text), start, n, and with `windows` their windows' hashes."""
+    columns = f"key long, span long, doc_id {dict(docs.dtypes)['doc_id']}, own long, start int, n int" + ", windows array<long>" * windows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
             r = runs(Words(b.column("text"), _SPACE), window)
             held = _in(r["key"], maps.value)
-            ids = b.column("doc_id").take(pa.array(r["doc"][held]))
+            row = pa.array(r["doc"][held])
             out = {
-                "key": pa.array(signed(r["key"][held])), "span": pa.array(signed(r["span"][held])), "doc_id": ids,
+                "key": pa.array(signed(r["key"][held])), "span": pa.array(signed(r["span"][held])), "doc_id": b.column("doc_id").take(row), "own": b.column("own").take(row),
                 "start": pa.array(r["start"][held].astype(np.int32)), "n": pa.array(r["n"][held].astype(np.int32)),
             }
             if windows:
                 out["windows"] = lists(signed(r["windows"][np.repeat(held, r["n"])]), r["n"][held], pa.int64())
             yield pa.RecordBatch.from_arrays(list(out.values()), list(out))
 
-    return docs.select("doc_id", "text").filter("doc_id is not null").mapInArrow(run, columns)
+    return docs.select("doc_id", "text", _own().alias("own")).filter("doc_id is not null").mapInArrow(run, columns)
 
 
 def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """doc_id and spans (array of start, stop in words) that windows of a smaller doc_id's text cover."""
+    """doc_id, own and spans (array of start, stop in words) that windows of a smaller doc_id's text cover, for each id and text."""
     share = docs.sparkSession.sparkContext.broadcast  # bitmaps of a fixed size
     found = staged(suspects(docs, share(bitmaps(sketch(docs, window).filter("n >= 2"))), window))
     runs_seen = staged(found.groupBy("key", "span").agg(F.min("doc_id").alias("earliest"), F.max("doc_id").alias("latest")))
@@ -149,13 +154,13 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     mixed = staged(runs_seen.groupBy("key").agg(F.count("*").alias("kinds")).filter("kinds > 1").select("key"))
     opened = suspects(docs, share(bitmaps(cells_of(mixed))), window, windows=True)
     firsts = opened.join(runs_seen.join(mixed, "key").select("key", "span", "earliest"), ["key", "span"]).filter("doc_id = earliest")
-    single = staged(firsts.select("key", "doc_id", "start", F.posexplode("windows").alias("at", "w")))
+    single = staged(firsts.select("key", "doc_id", "own", "start", F.posexplode("windows").alias("at", "w")))
     seen = single.groupBy("key", "w").agg(F.min("doc_id").alias("earliest"), F.max("doc_id").alias("latest")).filter("latest > earliest")
     later = single.join(seen.drop("latest"), ["key", "w"]).filter("doc_id > earliest")
-    spans = whole.select("doc_id", "start", (F.col("start") + F.col("n") - 1 + window).alias("stop")).unionByName(
-        later.select("doc_id", (F.col("start") + F.col("at")).alias("start"), (F.col("start") + F.col("at") + window).alias("stop"))
+    spans = whole.select("doc_id", "own", "start", (F.col("start") + F.col("n") - 1 + window).alias("stop")).unionByName(
+        later.select("doc_id", "own", (F.col("start") + F.col("at")).alias("start"), (F.col("start") + F.col("at") + window).alias("stop"))
     )
-    return spans.groupBy("doc_id").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
+    return spans.groupBy("doc_id", "own").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
 
 
 def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -163,9 +168,9 @@ def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
     A word goes if a window that covers it also starts in a document with a smaller doc_id, judged on the
     input.  Null, empty and short texts lose nothing (null is kept as an empty text).  Rows with a null
-    doc_id neither lose words nor count as earlier.  Rows of one doc_id count as one document: their windows
-    do not remove each other's, and what is repeated in one of them is taken from each at the same places.
-    An empty table gives no rows; other columns are not read.
+    doc_id neither lose words nor count as earlier.  Rows of one doc_id do not remove each other's windows, and
+    each loses what is repeated in its own text.  Of rows alike in windows and id all lose alike.  A very long text is taken whole, as a piece of
+    its own.  An empty table gives no rows; other columns are not read.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,8 +194,8 @@ def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 ["doc_id", "n_words", "n_removed", "kept"],
             )
 
-    spans = repeated_spans(docs, window).withColumnRenamed("doc_id", "__id")
-    joined = docs.select("doc_id", "text").join(spans.hint("shuffle_hash"), F.col("doc_id") == F.col("__id"), "left").select("doc_id", "text", "spans")
+    spans = repeated_spans(docs, window).withColumnsRenamed({"doc_id": "__id", "own": "__own"})
+    joined = docs.select("doc_id", "text").join(spans.hint("shuffle_hash"), (F.col("doc_id") == F.col("__id")) & (_own() == F.col("__own")), "left").select("doc_id", "text", "spans")
     return joined.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, n_words long, n_removed long, kept string")
 
 

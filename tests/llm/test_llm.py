@@ -346,6 +346,32 @@ def test_substring_dedup(docs, empty, spark):
     assert substring_dedup.digests(docs).count() == len(rows()) and substring_dedup.digests(empty).count() == 0
 
 
+def test_substring_dedup_of_repeated_ids(spark):
+    """Rows of one id: each loses what is repeated in its own text, and they do not remove each other's."""
+    p, a, b = phrase(50, 60), phrase(51, 40), phrase(52, 100)
+    made = [(1, p), (2, p + a), (2, b), (2, b), (3, b[:70]), (3, a + p[:55])]
+    got = substring_dedup.digests(common.tuned(spark).createDataFrame([(i, " ".join(w), "n") for i, w in made], "doc_id long, text string, own string")).collect()
+    assert sorted((r.doc_id, r.n_words, r.n_removed) for r in got) == [(1, 60, 0), (2, 100, 0), (2, 100, 0), (2, 100, 60), (3, 70, 70), (3, 95, 55)]
+
+
+def test_folders_go_with_their_scope(spark, tmp_path):
+    import os
+
+    from corpus_pipeline import run
+
+    here = lambda: {d for d in os.listdir(base) if d.startswith("telemill-")}
+    base = os.path.dirname(common.shared_dir(spark))
+    lazy = queries.op4_ngram_jaccard_join(spark, SF)
+    held = here()
+    out = run(spark, SF)
+    # one stage's rows are left, which the lazy result reads; what another operator has staged is untouched
+    assert len(here() - held) == 1 and held <= here()
+    assert lazy.count() == 200 and out.count() > 0
+    with common.scratch(spark):
+        assert common.staged(spark.range(3)).count() == 3 and len(here() - held) == 2
+    assert len(here() - held) == 1
+
+
 def test_lines(docs, empty, agree, spark):
     agree(queries.op7_line_frequency, queries.oracle_sql()["op7_line_frequency"])
     agree(queries.line_frequency_documents, queries.oracle_sql()["line_frequency_documents"])
