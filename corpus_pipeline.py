@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from telemill.llm import byte_bpe, decontaminate, line_frequency, lsh_forest, rule_ensemble
-from telemill.llm.common import clean, shared_dir
+from telemill.llm.common import owned, removed, scratch, shared_dir
 from telemill.llm.queries import table
 
 
@@ -54,13 +54,19 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each one's rows written as Parquet and read again by the next."""
-    docs = table(spark, sf_dir, "documents")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            path = shared_dir(spark)
-            docs.write.parquet(path)
-            docs = spark.read.parquet(path)
-            clean(spark)
-    return docs
+    """All stages over documents, each one's rows written as Parquet and read again by the next.
+
+    A stage owns the folders that it stages; they go once its rows are written, and those rows once the next stage's are.
+    Null and empty texts, an empty table, repeated rows and further columns pass as in the stages' operators: nothing is
+    learned from an empty text, which has no lines, no near copies and no tokens.
+    """
+    docs, before = table(spark, sf_dir, "documents"), None
+    for _, stage in STAGES[:-1]:
+        path = owned(shared_dir(spark))
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+        if before is not None:
+            removed(spark, before)
+        before = path
+    return STAGES[-1][1](spark, docs, sf_dir)
