@@ -42,6 +42,7 @@ def _plain(text: str, rules: list[tuple[re.Pattern, str]]) -> str:
     return text.strip()
 
 
+# How runtimes print a place and a frame, which equal fingerprints depend on.
 _PLACE = r"(?P<dir>[^\s()'\"]*?)(?P<file>[^\s()'\"/\\]+\.[A-Za-z0-9]+):\d+(?::\d+)?"
 #: Shapes of a frame on one line: the function and the file, either of which may be missing.
 SHAPES = tuple(

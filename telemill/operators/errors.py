@@ -26,15 +26,27 @@ def error_reasons(logs: DataFrame, f: Filters, grain: str) -> DataFrame:
     return error_types(logs, f, grain, "error_reason")
 
 
-def error_fingerprints(logs: DataFrame, f: Filters, grain: str, ceiling: str | None, fingerprint: Column) -> DataFrame:
-    """Errors by cause, most installs first: counts, first and last time, commands, versions, trend, latest sample.
+def tier_rank(tier: Column) -> Column:
+    """A consent tier's rank; null for an unknown one."""
+    return F.coalesce(*[F.when(tier == t, r) for t, r in TIERS.items()])
+
+
+def readable(logs: DataFrame, tenants: DataFrame) -> DataFrame:
+    """Events whose tier is within their own tenant's present ceiling (tenant_id, tier_ceiling).
+
+    A tenant without configuration, or an unknown tier on either side, reads nothing.
+    """
+    ceilings = tenants.select("tenant_id", tier_rank(F.col("tier_ceiling")).alias("__ceiling"))
+    return logs.join(ceilings, "tenant_id").filter(tier_rank(F.col("consent_tier")) <= F.col("__ceiling")).drop("__ceiling")
+
+
+def error_fingerprints(logs: DataFrame, tenants: DataFrame, f: Filters, grain: str) -> DataFrame:
+    """Errors by their stored fingerprint, most installs first: counts, first and last time, commands, versions, trend, and
+    the latest event's source (stack or message), message without its variable parts, and top frame.
 
-    Only events whose tier is within the tenant's present ceiling are read; no or an unknown ceiling reads none.
     The page is ranked first; trend and samples are made for that page only.
     """
-    rank = TIERS.get(ceiling or "", -1)
-    readable = [t for t, r in TIERS.items() if r <= rank]
-    rows = facts(logs, f, *DIMS, events=RAISED).filter(F.col("consent_tier").isin(readable) if readable else F.lit(False)).withColumn("fp", fingerprint).filter("fp is not null")
+    rows = readable(facts(logs, f, *DIMS, events=RAISED), tenants).withColumn("fp", F.col("error_fingerprint")).filter("fp is not null")
     ranked = rows.groupBy("fp").agg(
         F.count("*").alias("events"), F.count_distinct("install_id").alias("installs"), F.min("time").alias("first_seen"), F.max("time").alias("last_seen"),
         F.array_join(F.array_sort(F.collect_set("command_name")), ",").alias("commands"),
@@ -45,5 +57,7 @@ def error_fingerprints(logs: DataFrame, f: Filters, grain: str, ceiling: str | N
     trend = detail.groupBy("fp", bucket_of(grain, F.col("time")).alias("b")).agg(F.count("*").alias("n"), F.count_distinct("install_id").alias("i"))
     line = F.concat_ws(":", F.date_format("b", "yyyy-MM-dd HH"), F.col("n").cast("string"), F.col("i").cast("string"))
     trends = trend.groupBy("fp").agg(F.array_join(F.array_sort(F.collect_list(line)), ";").alias("trend"))
-    samples = detail.groupBy("fp").agg(shortened(normalised(F.max_by("error_message", F.struct("time", "id"))), SAMPLE).alias("sample"))
+    last = detail.groupBy("fp").agg(F.max_by(F.struct("error_source", "error_message", "top_frame"), F.struct("time", "id")).alias("s"))
+    short = lambda c: F.nullif(shortened(c, SAMPLE), F.lit(""))
+    samples = last.select("fp", F.col("s.error_source").alias("source"), short(normalised(F.col("s.error_message"))).alias("message"), short(F.col("s.top_frame")).alias("top_frame"))
     return page.join(trends, "fp").join(samples, "fp").orderBy(F.col("installs").desc(), F.col("events").desc(), "fp")

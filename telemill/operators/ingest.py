@@ -10,11 +10,12 @@ from dataclasses import dataclass, field, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.labels import dims_of, label_of
 from ..functions.messages import fingerprint, frames_of
-from ..functions.sketches import MEASURE_BOUNDS, VALUE_BOUNDS
+from ..functions.sketches import VALUE_BOUNDS
 from ..sources.otlp import attributes, merged, nanos, too_many
 
 PAST, FUTURE = "interval 24 hours", "interval 5 minutes"
@@ -265,21 +266,35 @@ def folded_dims(attrs: Column, plain: Column, sent: Column, most: int = MOST_DIM
     return F.when(F.size(dims) > 0, label_of(every)).otherwise(plain), wrong
 
 
-def checked_catalogue(points: DataFrame, declared: DataFrame, tenants: DataFrame, rank: Column | None = None) -> DataFrame:
-    """Points with reason and label after the tenant's catalogue.
+def definition_versions(log: DataFrame) -> DataFrame:
+    """Versions of definitions, each valid from its change to the next one of its metric.
 
-    declared: tenant_id, service_name, name, kind, dims (array), min_rank, deprecated.  A declared metric of another
-    kind or below its tier is rejected; dimensions that it does not declare go; where the tenant is strict an
-    undeclared metric is rejected; a deprecated one counts as undeclared.
+    log: tenant_id, service_name, name, kind, dims (array), min_rank, changed_at, deprecated; one row a change, those of
+    one metric few.  A deprecation ends a version and begins none.
     """
-    d = declared.filter("not deprecated").select("tenant_id", F.col("service_name").alias("d_service"), F.col("name").alias("d_name"), F.col("kind").alias("d_kind"), "dims", "min_rank")
-    rows = points.join(tenants.select("tenant_id", "strict_metrics"), "tenant_id", "left")
-    rows = rows.join(d, (rows["tenant_id"] == d["tenant_id"]) & rows["service_name"].eqNullSafe(d["d_service"]) & (rows["name"] == d["d_name"]), "left").drop(d["tenant_id"])
-    rank = F.col("rank") if rank is None else rank
-    reason = F.when(F.col("d_kind").isNull(), F.when(F.col("strict_metrics"), "undeclared")).when(F.col("d_kind") != F.col("kind"), "kind").when(rank < F.col("min_rank"), "tier")
+    w = W.partitionBy("tenant_id", "service_name", "name").orderBy("changed_at")
+    rows = log.withColumn("valid_to", F.lead("changed_at").over(w)).withColumnRenamed("changed_at", "valid_from")
+    return rows.filter(~F.coalesce("deprecated", F.lit(False))).drop("deprecated")
+
+
+def checked_catalogue(points: DataFrame, declared: DataFrame, tenants: DataFrame, time: str = "time") -> DataFrame:
+    """Points with reason and label after the tenant's catalogue as it stood at each point's time.
+
+    declared: definition_versions.  A declared metric of another kind or below its tier is rejected; dimensions that
+    it does not declare go; where the tenant is strict an undeclared metric is rejected, and one that is deprecated at
+    the time counts as undeclared.  Points without kind, and those already rejected, are not looked up.
+    """
+    d = declared.select("tenant_id", F.col("service_name").alias("d_service"), F.col("name").alias("d_name"), F.col("kind").alias("d_kind"), "dims", "min_rank", "valid_from", "valid_to")
+    strict = tenants.select("tenant_id", F.col("strict_metrics") if "strict_metrics" in tenants.columns else F.lit(False).alias("strict_metrics"))
+    rows = points.join(strict, "tenant_id", "left")
+    known = (rows["tenant_id"] == d["tenant_id"]) & rows["service_name"].eqNullSafe(d["d_service"]) & (rows["name"] == d["d_name"])
+    then = (rows[time] >= d["valid_from"]) & (d["valid_to"].isNull() | (rows[time] < d["valid_to"]))
+    rows = rows.join(d, known & then & rows["kind"].isNotNull(), "left").drop(d["tenant_id"])
+    said = F.when(F.col("d_kind").isNull(), F.when(F.col("strict_metrics") & F.col("kind").isNotNull(), "undeclared")).when(F.col("d_kind") != F.col("kind"), "kind").when(F.col("rank") < F.col("min_rank"), "tier")
     kept = F.map_filter(dims_of(F.col("label")), lambda k, _: F.array_contains(F.col("dims"), k))
-    label = F.when(F.col("dims").isNull() | F.col("label").isNull(), F.col("label")).otherwise(label_of(kept))
-    return rows.withColumn("reason", reason).withColumn("label", label).drop("d_service", "d_name", "d_kind", "dims", "min_rank", "strict_metrics")
+    label = F.when(F.col("dims").isNull() | F.col("label").isNull(), F.col("label")).otherwise(F.nullif(label_of(kept), F.lit("")))
+    reason = F.coalesce("reason", said) if "reason" in points.columns else said
+    return rows.withColumn("reason", reason).withColumn("label", label).drop("d_service", "d_name", "d_kind", "dims", "min_rank", "strict_metrics", "valid_from", "valid_to")
 
 
 def append(rows: DataFrame, path: str, batch: int = -1, tenant_buckets: int = 8) -> None:
@@ -292,7 +307,3 @@ def append(rows: DataFrame, path: str, batch: int = -1, tenant_buckets: int = 8)
     sorted_rows = out.sortWithinPartitions("date", "tenant_bucket", "tenant_id", "time")
     writer = sorted_rows.write.mode("append") if batch < 0 else sorted_rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
     writer.partitionBy("date", "tenant_bucket", "batch").parquet(path)
-
-
-#: What declared histograms must look like.
-HISTOGRAM_BOUNDS = {"cli.measure": MEASURE_BOUNDS, "cli.value": VALUE_BOUNDS}

@@ -35,25 +35,60 @@ def install_states(logs: DataFrame) -> DataFrame:
     )
 
 
-def merge_install_states(old: DataFrame, new: DataFrame) -> DataFrame:
-    """A stored state and a later batch's, merged by the same rules: for incremental upkeep."""
-    both = old.unionByName(new)
-    last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("last_seen"))).alias(c)
-    return both.groupBy("tenant_id", "install_id").agg(
-        F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"), F.min_by("first_version", "first_seen").alias("first_version"),
-        *map(last, ("last_version", "last_os", "last_arch", "install_method")), F.min("first_command_at").alias("first_command_at"), F.min("first_success_at").alias("first_success_at"),
+#: What an install's state holds so that states merge: values stand with the place (time, id) that they come from.
+MARKS = (
+    "tenant_id string, install_id string, first_seen timestamp, last_seen timestamp, first struct<time:timestamp,id:bigint,value:string>, "
+    + ", ".join(f"{c} struct<time:timestamp,id:bigint,value:string>" for c in ("version", "os", "arch", "method"))
+    + ", first_command_at timestamp, first_success_at timestamp"
+)
+
+
+def install_marks(logs: DataFrame) -> DataFrame:
+    """install_states with the place of each value: marks of parts of the events merge to those of all, in any order."""
+    known = lambda c: F.struct("time", F.col("id").cast("bigint").alias("id"), F.col(c).alias("value"))
+    done = F.col("event_name") == DONE
+    latest = (("cli_version", "version"), ("os", "os"), ("arch", "arch"), ("install_method", "method"))
+    return logs.filter("install_id is not null").groupBy("tenant_id", "install_id").agg(
+        F.min("time").alias("first_seen"), F.max("time").alias("last_seen"), F.min(known("cli_version")).alias("first"),
+        *(F.max(F.when(F.col(c).isNotNull() & ((F.col(c) != "") | F.lit(c != "install_method")), known(c))).alias(n) for c, n in latest),
+        F.min(F.when(done, F.col("time"))).alias("first_command_at"), F.min(F.when(done & (F.col("exit_code") == 0), F.col("time"))).alias("first_success_at"),
     )
 
 
-def version_changes(logs: DataFrame) -> DataFrame:
-    """Where an install's known version differs from the last one known before, strictly later in time."""
-    w = W.partitionBy("tenant_id", "install_id").orderBy("time", "id")
-    before = w.rowsBetween(W.unboundedPreceding, -1)
-    rows = logs.filter("install_id is not null").select(
-        "tenant_id", "install_id", "time", "cli_version",
-        F.last("cli_version", ignorenulls=True).over(before).alias("from_version"), F.max("time").over(before).alias("seen"),
+def merge_marks(*parts: DataFrame) -> DataFrame:
+    """Marks of several parts of the events as those of all."""
+    every = parts[0]
+    for p in parts[1:]:
+        every = every.unionByName(p)
+    least, most = ("first_seen", "first", "first_command_at", "first_success_at"), ("last_seen", "version", "os", "arch", "method")
+    return every.groupBy("tenant_id", "install_id").agg(*(F.min(c).alias(c) for c in least), *(F.max(c).alias(c) for c in most))
+
+
+def states_of(marks: DataFrame) -> DataFrame:
+    """install_states from marks."""
+    return marks.select(
+        "tenant_id", "install_id", "first_seen", "last_seen", F.col("first.value").alias("first_version"), F.col("version.value").alias("last_version"),
+        F.col("os.value").alias("last_os"), F.col("arch.value").alias("last_arch"), F.col("method.value").alias("install_method"), "first_command_at", "first_success_at",
     )
-    moved = rows.filter("cli_version is not null and from_version <> cli_version and time > seen").withColumn("c", compare(F.col("from_version"), F.col("cli_version")))
+
+
+def version_changes(logs: DataFrame, before: DataFrame | None = None) -> DataFrame:
+    """Where an install's known version differs from the last one known before, strictly later in time.
+
+    before: marks of earlier events, of which one row an install stands before its events here.  An event older than
+    what is marked neither changes a version nor is one to change from.
+    """
+    w = W.partitionBy("tenant_id", "install_id").orderBy("__new", "time", "id")
+    earlier = w.rowsBetween(W.unboundedPreceding, -1)
+    rows = logs.filter("install_id is not null").select("tenant_id", "install_id", "time", F.col("id").cast("bigint").alias("id"), "cli_version", F.lit(True).alias("__new"))
+    if before is not None:
+        asked = before.join(rows.select("tenant_id", "install_id").distinct(), ["tenant_id", "install_id"], "left_semi")
+        old = asked.select("tenant_id", "install_id", F.col("last_seen").alias("time"), F.lit(None).cast("bigint").alias("id"), F.col("version.value").alias("cli_version"), F.lit(False).alias("__new"))
+        rows = rows.unionByName(old)
+    rows = rows.withColumn("seen", F.max("time").over(earlier))
+    rows = rows.withColumn("cli_version", F.when(F.col("seen").isNull() | (F.col("time") >= F.col("seen")), F.col("cli_version")))
+    rows = rows.withColumn("from_version", F.last("cli_version", ignorenulls=True).over(earlier))
+    moved = rows.filter("__new and cli_version is not null and from_version <> cli_version and time > seen").withColumn("c", compare(F.col("from_version"), F.col("cli_version")))
     return moved.filter("c <> 0").select(
         "tenant_id", "install_id", F.col("time").alias("changed_at"), "from_version", F.col("cli_version").alias("to_version"), F.when(F.col("c") < 0, "upgrade").otherwise("downgrade").alias("direction")
     )

@@ -42,6 +42,17 @@ class Rollup:
         rolled = rolled.withColumn("bucket", F.date_trunc(grain, "bucket")) if grain else rolled
         return rolled.groupBy("bucket", *self.dims).agg(*(merge(k).alias(k) for k, (_, merge) in self.states.items()))
 
+    def stream(self, facts: DataFrame, late: str = "1 day") -> DataFrame:
+        """The rollup's days of a stream of facts: its hours by one window, merged to days by a second one; a day's rollup by one.
+
+        A day is emitted (append mode) once the watermark has passed it.
+        """
+        taken = facts.filter(self.takes).withWatermark("time", late)
+        out = taken.groupBy(F.window("time", f"1 {self.grain}"), *self.dims).agg(*(made.alias(k) for k, (made, _) in self.states.items()))
+        if self.grain != "day":
+            out = out.groupBy(F.window(F.window_time("window"), "1 day"), *self.dims).agg(*(merge(k).alias(k) for k, (_, merge) in self.states.items()))
+        return out.select(F.col("window.start").alias("bucket"), *self.dims, *self.states)
+
     def live(self, stored: DataFrame, facts: DataFrame, watermark: datetime) -> DataFrame:
         """Stored buckets before the watermark, and later facts rolled up now.
 
@@ -112,6 +123,6 @@ def rollups() -> dict[str, Rollup]:
                 "size_installs": _distinct(F.when(has("binary_size_bytes"), F.col("install_id"))), "startup_installs": _distinct(F.when(has("startup_ms"), F.col("install_id")))}),
         Rollup("counters", "metrics", "metric_name = 'cli.counter'", _VENDOR, "hour", {"total": _sum(F.col("obs")), "points": _count(), **_install()}),
         Rollup("measures", "metrics", "metric_name = 'cli.measure'", _VENDOR, "hour", _histogram(MEASURE_BOUNDS)),
-        Rollup("values", "metrics", "metric_name = 'cli.value'", _VENDOR, "hour", _histogram(VALUE_BOUNDS)),
+        Rollup("values", "metrics", "metric_name = 'cli.value'", _VENDOR, "hour", _histogram(VALUE_BOUNDS) | {"unit": (F.max(F.coalesce("unit", F.lit("1"))), lambda k: F.max(k))}),
     ]
     return {r.name: r for r in both}

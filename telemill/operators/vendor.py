@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from datetime import datetime, timedelta
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.sketches import MEASURE_BOUNDS, VALUE_BOUNDS, histogram_quantile, merge_distinct, read_distinct
-from ..plans.buckets import rebucket
+from ..plans.buckets import GRAINS, rebucket
 from ..plans.scope import Filters, all_of, dimension, rollup
 
 #: Days in which an undeclared metric counts as seen.
@@ -17,7 +21,8 @@ DIMS = ("service_name", "cli_version", "os", "arch", "is_ci", "command_name")
 def _rows(rolled: DataFrame, f: Filters, name: str | None = None, labelled: bool = True) -> DataFrame:
     rows = rollup(rolled, f, *DIMS)
     rows = rows.filter(F.col("name") == name) if name is not None else rows
-    return rows.filter(all_of(f.dimensions("label"))) if labelled else rows
+    rows = rows.filter(F.col("label") == f.label) if labelled and f.label is not None else rows
+    return rows.filter(all_of(f.dimensions("label")))
 
 
 def counters(rolled: DataFrame, f: Filters) -> DataFrame:
@@ -25,13 +30,22 @@ def counters(rolled: DataFrame, f: Filters) -> DataFrame:
     return f.page(out, F.col("total").desc(), F.col("name").asc())
 
 
+def overflow(folds: DataFrame, f: Filters, kind: str) -> DataFrame:
+    """Points that the caps have folded, beside the list of a kind: one row of names, labels and dimension values.
+
+    folds: tenant_id, kind, cap, date, n; days that begin in the range count.
+    """
+    rows = folds.filter(f.tenant() & (F.col("kind") == kind) & f.time("date"))
+    return rows.agg(*(F.coalesce(F.sum(F.when(F.col("cap") == c, F.col("n"))), F.lit(0)).alias(f"{c}_folded") for c in ("names", "labels", "dim_values")))
+
+
 def counter_series(rolled: DataFrame, f: Filters, name: str, grain: str) -> DataFrame:
     out = _rows(rolled, f, name).groupBy(F.date_trunc(grain, "bucket").alias("bucket")).agg(F.sum("total").alias("total"), F.sum("points").alias("points"))
     return out.orderBy("bucket")
 
 
 def counter_labels(rolled: DataFrame, f: Filters, name: str) -> DataFrame:
-    """Totals by label, whatever dimensions are asked for; most first, no label last among equals."""
+    """Totals by label within the asked dimensions, whatever label is asked for; most first, no label last among equals."""
     out = _rows(rolled, f, name, labelled=False).groupBy("label").agg(F.sum("total").alias("total"), F.sum("points").alias("points"))
     return f.page(out, F.col("total").desc(), F.col("label").asc_nulls_last())
 
@@ -83,7 +97,7 @@ def value_groups(rolled: DataFrame, f: Filters, name: str, grain: str, dims: tup
 
 
 def measure_labels(rolled: DataFrame, f: Filters, name: str) -> DataFrame:
-    """Observations by label, whatever dimensions are asked for; most first."""
+    """Observations by label within the asked dimensions, whatever label is asked for; most first."""
     out = _rows(rolled, f, name, labelled=False).groupBy("label").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
     return f.page(out, F.col("n").desc(), F.col("label").asc_nulls_last())
 
@@ -100,7 +114,8 @@ def reach_groups(rolled: DataFrame, f: Filters, name: str, dims: tuple[str, ...]
 
 def _merged(bounds: tuple[int, ...]) -> list[Column]:
     sums = [F.sum(c).alias(c) for c in ("n", "total", *(f"b{i}" for i in range(len(bounds) + 1)))]
-    return [*sums, F.min("least").alias("least"), F.max("most").alias("most")]
+    unit = [F.max("unit").alias("unit")] if bounds == VALUE_BOUNDS else []
+    return [*sums, F.min("least").alias("least"), F.max("most").alias("most"), *unit]
 
 
 def _read(bounds: tuple[int, ...], qs: tuple[float, ...]) -> list[Column]:
@@ -119,7 +134,7 @@ def measure_series(rolled: DataFrame, f: Filters, name: str, grain: str) -> Data
 
 def _value_columns() -> list[Column]:
     some = F.col("n") > 0
-    return ["n", "total", "least", "most", F.when(some, F.col("total") / F.col("n")).alias("mean"), *_read(VALUE_BOUNDS, (0.5, 0.9, 0.99)), F.when(some, 1 - F.col("b0") / F.col("n")).alias("hit_rate")]
+    return ["unit", "n", "total", "least", "most", F.when(some, F.col("total") / F.col("n")).alias("mean"), *_read(VALUE_BOUNDS, (0.5, 0.9, 0.99)), F.when(some, 1 - F.col("b0") / F.col("n")).alias("hit_rate")]
 
 
 def values(rolled: DataFrame, f: Filters) -> DataFrame:
@@ -148,18 +163,52 @@ def reach_series(rolled: DataFrame, f: Filters, name: str, grain: str) -> DataFr
     return out.select("bucket", read_distinct(F.col("s")).alias("reached")).orderBy("bucket")
 
 
-def operand(rows: DataFrame, value: str, grain: str, stored: str) -> DataFrame:
-    """A ratio's side: bucket and its additive value, from rollup rows in scope."""
-    return rows.groupBy(rebucket(grain, F.col("bucket"), stored).alias("bucket")).agg(F.sum(value).cast("double").alias("v"))
+def operand(rows: DataFrame, value: str, grain: str, stored: str, kind: str = "sum") -> DataFrame:
+    """A ratio's side from rollup rows in scope: bucket and the merged state of `value`, a sum or a sketch of installs."""
+    state = F.sum(value).cast("double") if kind == "sum" else merge_distinct(F.col(value))
+    return rows.groupBy(rebucket(grain, F.col("bucket"), stored).alias("bucket")).agg(state.alias("v"))
 
 
-def ratio(above: DataFrame, below: DataFrame, scale: float) -> DataFrame:
-    """Two operands by bucket, and in the row without one their totals; a missing side is 0, over 0 is null."""
+#: What a ratio can be of: the rollup, its state, the state's kind and the least bucket.
+OPERANDS = {
+    "counter_sum": ("counters", "total", "sum", "hour"), "duration_count": ("measures", "n", "sum", "hour"), "value_sum": ("values", "total", "sum", "hour"), "value_count": ("values", "n", "sum", "hour"),
+    "invocations": ("command_stats", "invocations", "sum", "hour"), "sessions": ("session_activity", "sessions", "sum", "day"), "active_installs": ("session_activity", "installs", "distinct", "day"),
+}
+
+
+def side(rolled: Callable[[str, str], DataFrame], f: Filters, kind: str, grain: str, name: str | None = None) -> tuple[DataFrame, str]:
+    """An operand by its kind, of the named metric where it is one; rolled: (rollup, bucket size) -> its rows.
+
+    Hours of what is only kept by day are an error.
+    """
+    of, state, how, least = OPERANDS[kind]
+    if GRAINS.index(grain) < GRAINS.index(least):
+        raise ValueError(f"{kind} has no {grain} buckets")
+    metric = of in ("counters", "measures", "values")
+    if metric and name is None:
+        raise ValueError(f"{kind} needs a metric's name")
+    dims = ("cli_version", "os", "arch", "is_ci") if of == "session_activity" else ("cli_version", "os", "arch", "is_ci", "command_name")
+    rows = _rows(rolled(of, grain), f, name) if metric else rollup(rolled(of, grain), f, *dims)
+    return operand(rows, state, grain, "hour" if grain == "hour" else "day", how), how
+
+
+def ratio(above: DataFrame, below: DataFrame, scale: float, kinds: tuple[str, str] = ("sum", "sum")) -> DataFrame:
+    """Two operands by bucket, and in the row without one their totals; a missing side is 0, over 0 is null.
+
+    Totals are merged from the buckets' states: of sums the sum, of installs the distinct number of the whole range.
+    """
     both = above.withColumnRenamed("v", "numerator").join(below.withColumnRenamed("v", "denominator"), "bucket", "full_outer")
-    sums = both.groupingSets([["bucket"], []], "bucket").agg(*(F.coalesce(F.sum(c), F.lit(0.0)).alias(c) for c in ("numerator", "denominator")))
+    merged = lambda c, kind: F.coalesce(F.sum(c), F.lit(0.0)) if kind == "sum" else read_distinct(merge_distinct(F.col(c))).cast("double")
+    sums = both.groupingSets([["bucket"], []], "bucket").agg(*(merged(c, k).alias(c) for c, k in zip(("numerator", "denominator"), kinds)))
     return sums.withColumn("value", F.when(F.col("denominator") != 0, F.col("numerator") / F.col("denominator") * scale)).orderBy(F.col("bucket").asc_nulls_last())
 
 
+def ratio_of(rolled: Callable[[str, str], DataFrame], f: Filters, above: tuple[str, str | None], below: tuple[str, str | None], grain: str, scale: float = 1.0) -> DataFrame:
+    """The ratio of two operands, each a kind and its metric's name (null where it has none)."""
+    (a, ka), (b, kb) = side(rolled, f, above[0], grain, above[1]), side(rolled, f, below[0], grain, below[1])
+    return ratio(a, b, scale, (ka, kb))
+
+
 def vendor_services(kinds: dict[str, DataFrame], f: Filters) -> DataFrame:
     """Per service how many counters, measures and values it has sent."""
     parts = [d.filter(f.tenant()).select("service_name", "name", F.lit(k).alias("kind")).distinct() for k, d in kinds.items()]
@@ -169,6 +218,16 @@ def vendor_services(kinds: dict[str, DataFrame], f: Filters) -> DataFrame:
     return every.groupBy("service_name").agg(*(F.count_if(F.col("kind") == k).alias(k) for k in kinds)).orderBy(F.col("service_name").asc_nulls_last())
 
 
+#: Kinds of a definition and the rollups that show them in use: a measure is a duration.
+KINDS = {"counter": "counters", "duration": "measures", "value": "values"}
+
+
+def metrics_in_use(rolled: dict[str, DataFrame], now: datetime) -> DataFrame:
+    """tenant_id, bucket, service_name, name and kind of what was sent in the last DISCOVERY_DAYS; rolled: the rollups by name."""
+    rows = [rolled[of].filter(F.col("bucket") >= F.lit(now - timedelta(days=DISCOVERY_DAYS))).select("tenant_id", "bucket", "service_name", "name", F.lit(k).alias("kind")).distinct() for k, of in KINDS.items()]
+    return reduce(DataFrame.unionByName, rows)
+
+
 def metric_definitions(declared: DataFrame, seen: DataFrame, f: Filters) -> DataFrame:
     """Declared definitions, and metrics that a service has sent but never declared (never `other`, none without a service).
 

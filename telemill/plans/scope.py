@@ -59,6 +59,7 @@ class Filters:
     among: dict[str, tuple[str, ...]] = field(default_factory=dict)
     exists: tuple[str, ...] = ()
     where: dict[str, tuple[str, ...]] = field(default_factory=dict)
+    label: str | None = None
     limit: int = 0
     offset: int = 0
 

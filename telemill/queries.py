@@ -9,10 +9,12 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.messages import fingerprint, normalised
+from .functions.messages import normalised
 from .functions.versions import version_order
 from .operators import commands, errors, installs, maintenance, sessions, vendor, vocabulary
 from .operators.rollups import rollups
+from .operators.stored import Stored
+from .plans.buckets import stored_grain
 from .plans.scope import Filters, attribute, json_number
 from .sources import telemetry
 
@@ -57,8 +59,8 @@ def _rounded(df: DataFrame) -> DataFrame:
 class _Data:
     """The facts, rollups and states of one folder of tables, each made when asked for."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str, tenant: str = TENANTS[0]) -> None:
-        self.tenant = tenant
+    def __init__(self, spark: SparkSession, sf_dir: str, tenant: str = TENANTS[0], stored: Stored | None = None) -> None:
+        self.spark, self.tenant, self.stored = spark, tenant, stored
         self.logs, self.traces, self.metrics = (lambda f=f: f(spark, sf_dir) for f in (telemetry.logs, telemetry.traces, telemetry.metrics))
         self.rules = rollups()
 
@@ -67,6 +69,8 @@ class _Data:
 
     def rolled(self, name: str, grain: str | None = None) -> DataFrame:
         r = self.rules[name]
+        if self.stored is not None:
+            return self.stored.read(name, grain or r.grain, START, END)
         made = r.build(getattr(self, r.fact)())
         return r.merge(made, grain) if grain and grain != r.grain else made
 
@@ -217,15 +221,27 @@ _RAISED = f"FROM tel WHERE {_SCOPE} AND event_name = 'cli.error.raised'"
 _query("q28_error_types", f"SELECT {_B('week')}, command_name, error_type, count(*) AS errors {_RAISED} GROUP BY ALL")(lambda d: errors.error_types(d.logs(), d.scope(), "week"))
 _query("q29_error_reasons", f"SELECT {_B('month')}, command_name, error_type, error_reason, count(*) AS errors {_RAISED} GROUP BY ALL")(lambda d: errors.error_reasons(d.logs(), d.scope(), "month"))
 _PLAIN = "CASE k % 3 WHEN 0 THEN 'dial tcp <n>: connection refused' WHEN 1 THEN 'open <path>: permission denied' ELSE 'retry <n> of <n> failed after <n>' END"
-_query("q30_error_fingerprints", f"""SELECT fp, events, installs, first_seen, last_seen, commands, sample FROM (SELECT left(sha256(concat('v1', chr(10), 'message', chr(10), {_PLAIN})), 16) AS fp, count(*) AS events, count(DISTINCT install_id) AS installs, min(t) AS first_seen, max(t) AS last_seen,
-  coalesce(array_to_string(list_sort(list(DISTINCT command_name) FILTER (command_name IS NOT NULL)), ','), '') AS commands, min({_PLAIN}) AS sample {_RAISED} AND consent_tier IN ('anonymous', 'basic') GROUP BY 1)""")(
-    lambda d: errors.error_fingerprints(d.logs(), d.scope(), "week", "basic", fingerprint(F.col("error_message"), F.array().cast("array<string>"))).select("fp", "events", "installs", "first_seen", "last_seen", "commands", "sample")
-)
-_FP = f"left(sha256(concat('v1', chr(10), 'message', chr(10), {_PLAIN})), 16)"
-_query("q30_error_trends", f"""SELECT p.*, trend, versions FROM
-  (SELECT {_FP} AS fp, count(*) AS events, count(DISTINCT install_id) AS installs, min(t) AS first_seen, max(t) AS last_seen, coalesce(array_to_string(list_sort(list(DISTINCT command_name) FILTER (command_name IS NOT NULL)), ','), '') AS commands, min({_PLAIN}) AS sample {_RAISED} GROUP BY 1) p
-  JOIN (SELECT fp, string_agg(concat(strftime(b, '%Y-%m-%d %H'), ':', n, ':', i), ';' ORDER BY b) AS trend FROM (SELECT {_FP} AS fp, date_trunc('week', t) AS b, count(*) AS n, count(DISTINCT install_id) AS i {_RAISED} GROUP BY 1, 2) GROUP BY fp) USING (fp)
-  JOIN (SELECT fp, string_agg(v, ',' ORDER BY sem.k NULLS LAST) AS versions FROM (SELECT DISTINCT {_FP} AS fp, cli_version AS v {_RAISED}) JOIN sem USING (v) GROUP BY fp) USING (fp)""", True)(lambda d: errors.error_fingerprints(d.logs(), d.scope(), "week", "full", fingerprint(F.col("error_message"), F.array().cast("array<string>"))))
+_FP = f"left(sha256(CASE WHEN error_frames IS NOT NULL THEN concat('v1', chr(10), 'stack', chr(10), error_frames) ELSE concat('v1', chr(10), 'message', chr(10), {_PLAIN}) END), 16)"
+#: Each tenant's own ceiling.
+CEILINGS = {"t0": "basic", "t1": "full"}
+
+
+def _fingerprints(d: _Data) -> DataFrame:
+    tenants = d.spark.createDataFrame(list(CEILINGS.items()), "tenant_id string, tier_ceiling string")
+    return errors.error_fingerprints(d.logs(), tenants, d.scope(), "week")
+
+
+_READ = f"{_RAISED} AND (consent_tier IN ('anonymous', 'basic') OR tenant_id = 't1' AND consent_tier = 'full')"
+_query("q30_error_fingerprints", f"""SELECT {_FP} AS fp, count(*) AS events, count(DISTINCT install_id) AS installs, min(t) AS first_seen, max(t) AS last_seen,
+  coalesce(array_to_string(list_sort(list(DISTINCT command_name) FILTER (command_name IS NOT NULL)), ','), '') AS commands, CASE WHEN any_value(error_frames) IS NULL THEN 'message' ELSE 'stack' END AS source,
+  arg_max({_PLAIN}, (t, event_id)) AS message, split_part(any_value(error_frames), chr(10), 1) AS top_frame {_READ} GROUP BY 1""")(
+    lambda d: _fingerprints(d).select("fp", "events", "installs", "first_seen", "last_seen", "commands", "source", "message", "top_frame")
+)
+_query("q30_error_trends", f"""SELECT p.*, trend, versions FROM (SELECT {_FP} AS fp, count(*) AS events, count(DISTINCT install_id) AS installs {_READ} GROUP BY 1) p
+  JOIN (SELECT fp, string_agg(concat(strftime(b, '%Y-%m-%d %H'), ':', n, ':', i), ';' ORDER BY b) AS trend FROM (SELECT {_FP} AS fp, date_trunc('week', t) AS b, count(*) AS n, count(DISTINCT install_id) AS i {_READ} GROUP BY 1, 2) GROUP BY fp) USING (fp)
+  JOIN (SELECT fp, string_agg(v, ',' ORDER BY sem.k NULLS LAST) AS versions FROM (SELECT DISTINCT {_FP} AS fp, cli_version AS v {_READ}) JOIN sem USING (v) GROUP BY fp) USING (fp)""", True)(
+    lambda d: _fingerprints(d).select("fp", "events", "installs", "trend", "versions")
+)
 _query("s21_normalised_messages", f"SELECT {_PLAIN} AS message, count(*) AS n FROM tel GROUP BY 1")(lambda d: d.logs().groupBy(normalised(F.col("error_message")).alias("message")).agg(F.count("*").alias("n")))
 
 _MET = lambda m: f"FROM met WHERE {_SCOPE} AND metric_name = '{m}'"
@@ -234,6 +250,18 @@ _query("q32_counter_series", f"SELECT {_B('day')}, sum(obs) AS total, count(*) A
     lambda d: vendor.counter_series(d.rolled("counters", "day"), d.scope(where={"check": ("bola",)}), "vulns.found", "day")
 )
 _query("q32_counter_labels", f"SELECT label, sum(obs) AS total, count(*) AS points {_MET('cli.counter')} AND name = 'vulns.found' GROUP BY label")(lambda d: vendor.counter_labels(d.rolled("counters", "day"), d.scope(), "vulns.found"))
+_query("q32_counter_labels_within", f"SELECT label, sum(obs) AS total, count(*) AS points {_MET('cli.counter')} AND name = 'vulns.found' AND regexp_extract(label, '(?:^|;)check=([^;]*)', 1) = 'bola' GROUP BY label")(
+    lambda d: vendor.counter_labels(d.rolled("counters", "day"), d.scope(where={"check": ("bola",)}, label="bearer"), "vulns.found")
+)
+_query("q32_counter_label_series", f"SELECT {_B('day')}, sum(obs) AS total, count(*) AS points {_MET('cli.counter')} AND name = 'vulns.found' AND label = 'bearer' GROUP BY ALL")(
+    lambda d: vendor.counter_series(d.rolled("counters", "day"), d.scope(label="bearer"), "vulns.found", "day")
+)
+_query("q33_measure_labels_within", f"SELECT label, count(*) AS n, sum(obs) AS total {_MET('cli.measure')} AND name = 'vulns.found' AND regexp_extract(label, '(?:^|;)severity=([^;]*)', 1) IN ('high', 'low') GROUP BY label")(
+    lambda d: vendor.measure_labels(d.rolled("measures", "day"), d.scope(where={"severity": ("high", "low")}), "vulns.found")
+)
+_query("q34_value_labels_within", f"SELECT label, count(*) AS n, sum(obs) AS total {_MET('cli.value')} AND name = 'vulns.found' AND regexp_extract(label, '(?:^|;)severity=([^;]*)', 1) = 'info' GROUP BY label")(
+    lambda d: vendor.value_labels(d.rolled("values", "day"), d.scope(where={"severity": ("info",)}), "vulns.found")
+)
 _query("q32_counter_groups", f"SELECT CASE WHEN label = 'other' THEN 'other' ELSE nullif(regexp_extract(label, '(?:^|;)check=([^;]*)', 1), '') END AS d0, CASE WHEN label = 'other' THEN 'other' ELSE nullif(regexp_extract(label, '(?:^|;)severity=([^;]*)', 1), '') END AS d1, {_B('week')}, sum(obs) AS total {_MET('cli.counter')} AND name = 'vulns.found' GROUP BY ALL")(
     lambda d: vendor.counter_groups(d.rolled("counters", "day"), d.scope(), "vulns.found", "week", ("check", "severity"))
 )
@@ -256,8 +284,8 @@ def _histogram_sql(metric: str, bounds: tuple[int, ...], qs: tuple[float, ...],
     lo = f"CASE WHEN i = 0 THEN least ELSE {lows}[i] END"
     hi = f"CASE WHEN i = {len(bounds)} THEN greatest(most, {bounds[-1]}) ELSE {highs}[i + 1] END"
     reads = ", ".join(f"round(max(CASE WHEN cum >= {q} * n AND cum - c < {q} * n THEN greatest(least, least(most, {lo} + ({hi} - {lo}) * ({q} * n - (cum - c)) / c)) END), 6) AS p{int(q * 100)}".replace("least(most", "least(most") for q in qs)
-    return f"""SELECT * FROM (WITH p AS (SELECT {key} AS key, {at} AS i, obs, label {_MET(metric)} {where}),
-  a AS (SELECT key, count(*) AS n, sum(obs) AS total, min(obs) AS least, max(obs) AS most, count(DISTINCT label) AS labels, count(*) FILTER (i = 0) AS b0 FROM p GROUP BY key),
+    return f"""SELECT * FROM (WITH p AS (SELECT {key} AS key, {at} AS i, obs, label, coalesce(unit, '1') AS unit {_MET(metric)} {where}),
+  a AS (SELECT key, max(unit) AS unit, count(*) AS n, sum(obs) AS total, min(obs) AS least, max(obs) AS most, count(DISTINCT label) AS labels, count(*) FILTER (i = 0) AS b0 FROM p GROUP BY key),
   c AS (SELECT key, i, c, sum(c) OVER (PARTITION BY key ORDER BY i) AS cum FROM (SELECT key, i, count(*) AS c FROM p GROUP BY key, i))
   SELECT {more}, n, total, least, most, {reads} FROM a JOIN c USING (key) GROUP BY ALL)"""
 
@@ -270,11 +298,11 @@ _SEVERITY = "CASE WHEN label = 'other' THEN 'other' ELSE nullif(regexp_extract(l
 _query("q33_measure_groups", _histogram_sql("cli.measure", telemetry.MEASURE_BOUNDS, (0.5, 0.95, 0.99), f"concat(coalesce({_SEVERITY}, '-'), '|', CAST(date_trunc('week', t) AS VARCHAR))", "nullif(split_part(key, '|', 1), '-') AS d0, CAST(split_part(key, '|', 2) AS TIMESTAMP) AS bucket", "AND name = 'vulns.found'"))(
     lambda d: _rounded(vendor.measure_groups(d.rolled("measures", "day"), d.scope(), "vulns.found", "week", ("severity",)))
 )
-_query("q34_value_groups", _histogram_sql("cli.value", telemetry.VALUE_BOUNDS, (0.5, 0.9, 0.99), f"concat(coalesce({_SEVERITY}, '-'), '|', CAST(date_trunc('week', t) AS VARCHAR))", "nullif(split_part(key, '|', 1), '-') AS d0, CAST(split_part(key, '|', 2) AS TIMESTAMP) AS bucket, round(total / n, 6) AS mean, round(1 - b0 / n, 6) AS hit_rate", "AND name = 'vulns.found'"))(
+_query("q34_value_groups", _histogram_sql("cli.value", telemetry.VALUE_BOUNDS, (0.5, 0.9, 0.99), f"concat(coalesce({_SEVERITY}, '-'), '|', CAST(date_trunc('week', t) AS VARCHAR))", "nullif(split_part(key, '|', 1), '-') AS d0, CAST(split_part(key, '|', 2) AS TIMESTAMP) AS bucket, unit, round(total / n, 6) AS mean, round(1 - b0 / n, 6) AS hit_rate", "AND name = 'vulns.found'"))(
     lambda d: _rounded(vendor.value_groups(d.rolled("values", "day"), d.scope(), "vulns.found", "week", ("severity",)))
 )
-_query("q34_values", _histogram_sql("cli.value", telemetry.VALUE_BOUNDS, (0.5, 0.9, 0.99), "name", "key AS name, labels, round(total / n, 6) AS mean, round(1 - b0 / n, 6) AS hit_rate"))(lambda d: _rounded(vendor.values(d.rolled("values", "day"), d.scope())))
-_SERIES = lambda key, bucket: _histogram_sql("cli.value", telemetry.VALUE_BOUNDS, (0.5, 0.9, 0.99), key, f"{bucket} AS bucket, round(total / n, 6) AS mean, round(1 - b0 / n, 6) AS hit_rate", "AND name = 'vulns.found'")
+_query("q34_values", _histogram_sql("cli.value", telemetry.VALUE_BOUNDS, (0.5, 0.9, 0.99), "name", "key AS name, unit, labels, round(total / n, 6) AS mean, round(1 - b0 / n, 6) AS hit_rate"))(lambda d: _rounded(vendor.values(d.rolled("values", "day"), d.scope())))
+_SERIES = lambda key, bucket: _histogram_sql("cli.value", telemetry.VALUE_BOUNDS, (0.5, 0.9, 0.99), key, f"{bucket} AS bucket, unit, round(total / n, 6) AS mean, round(1 - b0 / n, 6) AS hit_rate", "AND name = 'vulns.found'")
 _query("q34_value_series", _SERIES("date_trunc('week', t)", "key") + " UNION ALL " + _SERIES("0", "CAST(NULL AS TIMESTAMP)"))(lambda d: _rounded(vendor.value_series(d.rolled("values", "day"), d.scope(), "vulns.found", "week")))
 _query("q35_reach", f"SELECT (SELECT count(DISTINCT install_id) {_MET('cli.counter')} AND name = 'vulns.found') AS reached, (SELECT count(DISTINCT install_id) {_STARTED}) AS active, (SELECT round(count(install_id) / count(*), 6) {_MET('cli.counter')} AND name = 'vulns.found') AS reported_share, round((SELECT count(DISTINCT install_id) {_MET('cli.counter')} AND name = 'vulns.found') / (SELECT count(DISTINCT install_id) {_STARTED}), 6) AS active_share")(
     lambda d: _rounded(vendor.reach(d.rolled("counters", "day"), d.rolled("session_activity"), d.scope(), "vulns.found"))
@@ -289,16 +317,52 @@ _query("q36_ratio", f"SELECT bucket, coalesce(sum(a), 0) AS numerator, coalesce(
         )
     )
 )
+
+
+def _ratio_sql(above: tuple[str, str], below: tuple[str, str], grain: str, scale: int) -> str:
+    side = lambda x: f"SELECT coalesce(CAST(bucket AS VARCHAR), '') AS k, bucket, CAST({x[0]} AS DOUBLE) AS v FROM (SELECT *, date_trunc('{grain}', t) AS bucket {x[1]}) GROUP BY GROUPING SETS ((bucket), ())"
+    return f"SELECT coalesce(a.bucket, b.bucket) AS bucket, coalesce(a.v, 0) AS numerator, coalesce(b.v, 0) AS denominator, round(CASE WHEN coalesce(b.v, 0) <> 0 THEN coalesce(a.v, 0) / b.v * {scale} END, 6) AS value FROM ({side(above)}) a FULL JOIN ({side(below)}) b USING (k)"
+
+
+_NAMED = lambda m: f"{_MET(m)} AND name = 'vulns.found'"
+#: kind -> its aggregate and rows, in SQL
+_SIDES = {
+    "counter_sum": ("sum(obs)", _NAMED("cli.counter")), "duration_count": ("count(*)", _NAMED("cli.measure")), "value_sum": ("sum(obs)", _NAMED("cli.value")), "value_count": ("count(*)", _NAMED("cli.value")),
+    "invocations": ("count(*)", _SPAN), "sessions": ("count(*)", _STARTED), "active_installs": ("count(DISTINCT install_id)", _STARTED),
+}
+for _name, _above, _below, _grain, _scale in (
+    ("counter_per_install", "counter_sum", "active_installs", "week", 1), ("installs_per_session", "active_installs", "sessions", "day", 100),
+    ("mean_value", "value_sum", "value_count", "hour", 1), ("timed_invocations", "duration_count", "invocations", "day", 1000), ("invocations_per_install", "invocations", "active_installs", "month", 1),
+):
+    _query(f"q36_{_name}", _ratio_sql(_SIDES[_above], _SIDES[_below], _grain, _scale))(
+        lambda d, a=_above, b=_below, g=_grain, x=_scale: _rounded(vendor.ratio_of(lambda n, g: d.rolled(n, stored_grain(g)), d.scope(), (a, "vulns.found"), (b, "vulns.found"), g, float(x)))
+    )
 _query("q37_vendor_services", "SELECT service_name, count(DISTINCT name) FILTER (metric_name = 'cli.counter') AS counters, count(DISTINCT name) FILTER (metric_name = 'cli.measure') AS measures, count(DISTINCT name) FILTER (metric_name = 'cli.value') AS \"values\" FROM met WHERE tenant_id = 't0' GROUP BY service_name")(
     lambda d: vendor.vendor_services({k: d.rolled(k, "day") for k in ("counters", "measures", "values")}, d.scope())
 )
-_query("q38_metric_definitions", "SELECT DISTINCT service_name, name, 'counter' AS kind, coalesce(name = 'vulns.found' AND service_name = 'alpha', false) AS declared, false AS deprecated FROM met WHERE tenant_id = 't0' AND metric_name = 'cli.counter' AND name <> 'other' AND service_name IS NOT NULL")(
+_query("q38_metric_definitions", "SELECT DISTINCT service_name, name, CASE metric_name WHEN 'cli.counter' THEN 'counter' WHEN 'cli.measure' THEN 'duration' ELSE 'value' END AS kind, coalesce(name = 'vulns.found' AND service_name = 'alpha' AND metric_name = 'cli.counter', false) AS declared, false AS deprecated FROM met WHERE tenant_id = 't0' AND t >= TIMESTAMP '2024-01-02' AND name <> 'other' AND service_name IS NOT NULL")(
     lambda d: vendor.metric_definitions(
         d.metrics().filter("name = 'vulns.found' and service_name = 'alpha'").select("tenant_id", "service_name", "name", F.lit("counter").alias("kind"), F.lit(None).cast("timestamp").alias("deprecated_at")).distinct(),
-        d.rolled("counters", "day").withColumn("kind", F.lit("counter")), d.scope(),
+        vendor.metrics_in_use({k: d.rolled(k, "day") for k in vendor.KINDS.values()}, END), d.scope(),
     )
 )
 
+
+def _folds(d: _Data) -> DataFrame:
+    points = d.metrics().filter("metric_name = 'cli.counter'").select("tenant_id", "name", "label", "time")
+    rows, _, _ = vocabulary.capped_metrics(points, points.select("tenant_id", "name").limit(0), points.select("tenant_id", "name", "label").limit(0), 1, 2)
+    cap = F.explode(F.array(F.when(F.col("name_folded"), F.lit("names")), F.when(F.col("label_folded"), F.lit("labels")))).alias("cap")
+    return rows.select("tenant_id", F.lit("counter").alias("kind"), cap, F.to_date("time").alias("date")).filter("cap is not null").groupBy("tenant_id", "kind", "cap", "date").agg(F.count("*").alias("n"))
+
+
+_query("q31_counter_overflow", """SELECT * FROM (WITH m AS (SELECT * FROM met WHERE metric_name = 'cli.counter'),
+  nv AS (SELECT tenant_id AS vt, name AS vn FROM (SELECT tenant_id, name, row_number() OVER (PARTITION BY tenant_id ORDER BY count(*) DESC, name) AS r FROM m WHERE name <> 'other' GROUP BY 1, 2) WHERE r <= 1),
+  named AS (SELECT m.*, vn IS NULL AND name <> 'other' AS nf, CASE WHEN vn IS NOT NULL THEN label END AS kept FROM m LEFT JOIN nv ON vt = tenant_id AND vn = name),
+  lv AS (SELECT tenant_id AS lt, kept AS ll FROM (SELECT tenant_id, kept, row_number() OVER (PARTITION BY tenant_id ORDER BY count(*) DESC, kept) AS r FROM named WHERE kept <> 'other' GROUP BY 1, 2) WHERE r <= 2)
+  SELECT count(*) FILTER (nf) AS names_folded, count(*) FILTER (kept IS NOT NULL AND kept <> 'other' AND ll IS NULL) AS labels_folded, CAST(0 AS BIGINT) AS dim_values_folded FROM named LEFT JOIN lv ON lt = tenant_id AND ll = kept WHERE tenant_id = 't0' AND t >= TIMESTAMP '2024-01-01' AND t < TIMESTAMP '2024-02-01')""")(
+    lambda d: vendor.overflow(_folds(d), d.scope(), "counter")
+)
+
 _DIMS = "tenant_id, cli_version, os, arch, is_ci"
 _query("r1_command_stats_hourly", f"SELECT {_B('hour')}, {_DIMS}, command_name, count(*) AS invocations, count(*) FILTER (exit_code IS DISTINCT FROM 0) AS errors FROM tel WHERE event_type IN ('click', 'error') GROUP BY ALL")(lambda d: d.rolled("command_stats").drop("durations"))
 _query("r2_command_stats_daily", f"SELECT {_B('day')}, {_DIMS}, command_name, count(*) AS invocations, count(*) FILTER (exit_code IS DISTINCT FROM 0) AS errors FROM tel WHERE event_type IN ('click', 'error') GROUP BY ALL")(lambda d: d.rolled("command_stats", "day").drop("durations"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.messages import fingerprint
 from ..functions.sketches import MEASURE_BOUNDS, VALUE_BOUNDS, one_hot
 
 SPARK_SOURCE = """
@@ -48,6 +49,7 @@ SELECT event_id, t, event_type, value, k, u,
   CASE k % 3 WHEN 0 THEN concat('dial tcp 10.0.0.', CAST(k AS <STR>), ':443: connection refused')
              WHEN 1 THEN concat('open /home/u', CAST(u AS <STR>), '/x.yaml: permission denied')
              ELSE concat('retry ', CAST(k AS <STR>), ' of 5 failed after 30s') END AS error_message,
+  CASE WHEN k % 7 = 0 THEN concat('run', CAST(k % 2 AS <STR>), ' run.go', chr(10), 'main main.go') END AS error_frames,
   CASE u % 4 WHEN 0 THEN 'bash' WHEN 1 THEN 'zsh' WHEN 2 THEN 'fish' ELSE '' END AS shell,
   k % 9 - 1 AS customized_count,
   CASE k % 5 WHEN 0 THEN 'build' WHEN 1 THEN 'test' WHEN 2 THEN 'hunter2' WHEN 3 THEN '' END AS suggestion,
@@ -61,6 +63,7 @@ SELECT event_id, t, tenant_id, install_id, service_name, command_name, cli_versi
   CASE k % 3 WHEN 0 THEN 'vulns.found' WHEN 1 THEN 'scan.findings' ELSE 'other' END AS name,
   CASE WHEN k % 3 = 2 THEN NULL WHEN k % 7 = 0 THEN NULL WHEN k % 7 = 1 THEN 'bearer' WHEN k % 7 = 2 THEN 'other'
        ELSE concat('check=', CASE k % 2 WHEN 0 THEN 'bola' ELSE 'jwt' END, ';severity=', CASE k % 5 WHEN 0 THEN 'high' WHEN 1 THEN 'low' ELSE 'info' END) END AS label,
+  CASE k % 4 WHEN 0 THEN 'findings' WHEN 1 THEN 'hosts' END AS unit,
   CASE WHEN event_type = 'signup' THEN CAST(FLOOR(k / 10) * 3 AS DOUBLE) ELSE CAST(FLOOR(value) AS DOUBLE) END AS obs
 FROM (<TEL>) tel
 WHERE event_type IN ('click', 'view', 'signup')
@@ -84,7 +87,12 @@ def logs(spark: SparkSession, sf_dir: str) -> DataFrame:
         "cli.stdout.is_tty": "is_ci", "cli.runtime.name": "install_method", "cli.runtime.version": "cli_version", "cli.auth.state": "service_name",
     }
     attributes = F.to_json(F.struct(*(F.col(c).alias(k) for k, c in given.items())))
-    return tel.withColumnsRenamed({"t": "time", "event_id": "id"}).withColumn("attributes", attributes)
+    frames, raised = F.coalesce(F.split("error_frames", "\n"), F.array().cast("array<string>")), F.col("event_name") == "cli.error.raised"
+    stored = {
+        "attributes": attributes, "top_frame": F.when(raised, F.get(frames, 0)), "error_fingerprint": F.when(raised, fingerprint(F.col("error_message"), frames)),
+        "error_source": F.when(raised, F.when(F.size(frames) > 0, "stack").otherwise("message")),
+    }
+    return tel.withColumnsRenamed({"t": "time", "event_id": "id"}).withColumns(stored)
 
 
 def traces(spark: SparkSession, sf_dir: str) -> DataFrame:

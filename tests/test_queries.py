@@ -1,6 +1,8 @@
 import pytest
+from pyspark.sql import functions as F
 
 from telemill import queries
+from telemill.sources import telemetry
 
 SQL = queries.oracle_sql()
 
@@ -23,7 +25,40 @@ def test_distinct_sketches_are_near_exact_counts(name, column, spark, duck):
     assert all(abs(got[k] - n) <= max(1, 0.04 * n) for k, n in want.items())
 
 
-@pytest.mark.parametrize("name", sorted(set(queries.queries()) - set(SQL)))
-def test_runs(name, spark):
-    out = queries.queries()[name](spark, "/root/testdata/sf0.001")
-    assert out.count() > 0 and len(set(out.columns)) == len(out.columns)
+SKETCHED = {
+    "q2_latency_percentiles": ("traces", "week", ("command_name",), {"p50": ("duration_ms", 0.5), "p95": ("duration_ms", 0.95), "p99": ("duration_ms", 0.99)}),
+    "q11_resource_usage": ("traces", "month", ("command_name", "cli_version"), {"rss_p50": ("peak_rss_bytes", 0.5), "rss_p95": ("peak_rss_bytes", 0.95), "cpu_p50": ("cpu_time_ms", 0.5), "cpu_p95": ("cpu_time_ms", 0.95)}),
+    "q12_version_footprint": ("logs", None, ("cli_version",), {"size_p50": ("binary_size_bytes", 0.5), "startup_p50": ("startup_ms", 0.5), "startup_p95": ("startup_ms", 0.95)}),
+}
+
+
+def test_every_query_has_sql_or_is_a_sketch():
+    assert set(queries.queries()) - set(SQL) == set(SKETCHED)
+
+
+@pytest.mark.parametrize("name", sorted(SKETCHED))
+def test_sketched_percentiles_stand_at_their_ranks(name, spark):
+    """In each group as many of the facts as the percentile says lie below it, within 3 % and two rows."""
+    from collections import defaultdict
+    from datetime import datetime
+
+    fact, grain, dims, columns = SKETCHED[name]
+    sf = "/root/testdata/sf0.01"
+    facts = getattr(telemetry, fact)(spark, sf).filter((F.col("time") >= F.lit(datetime(2024, 1, 1))) & (F.col("time") < F.lit(datetime(2024, 2, 1))))
+    facts = facts.filter("event_name = 'cli.session.started'") if fact == "logs" else facts
+    keys = ["tenant_id", *dims] + ([F.date_trunc(grain, "time").alias("bucket")] if grain else [])
+    held = defaultdict(list)
+    used = sorted({c for c, _ in columns.values()})
+    for r in facts.select(*keys, *used).collect():
+        held[tuple(r[k] for k in ("tenant_id", *dims, *(["bucket"] if grain else [])))].append(r)
+    out = queries.queries()[name](spark, sf).collect()
+    assert len(out) == len(held)
+    for r in out:
+        group = held[tuple(r[k] for k in ("tenant_id", *dims, *(["bucket"] if grain else [])))]
+        for c, (of, q) in columns.items():
+            values = [x[of] for x in group if x[of] is not None]
+            if not values:
+                assert r[c] is None
+                continue
+            below, upto, slack = sum(v < r[c] for v in values), sum(v <= r[c] for v in values), 2 + 0.03 * len(values)
+            assert below - slack <= q * len(values) <= upto + slack, (c, r)

@@ -27,36 +27,35 @@ def frame(spark, rows):
 
 
 def test_sessions(spark):
-    runs = {"a": [("deploy", 0), ("deploy", 10), ("status", 40), ("logs", 71)], "b": [("init", 5), ("deploy", 8)], "c": [("deploy", 20)],
-            "d": [(f"cmd{k}", k - 1) for k in range(1, 8)], "e": [("init", 100), ("deploy", 101)]}
-    rows = [log(n, i, c, m) for n, (i, c, m) in enumerate((i, c, m) for i, cs in runs.items() for c, m in cs)]
-    df = frame(spark, rows + [log(90, None, "deploy", 1), log(91, "z", "deploy", 1, tenant="leak")])
+    # exactly half an hour is one session, a second more is two; equal commands in a row are one step
+    runs = [("red", "pull", 0), ("red", "pull", 30), ("red", "push", 60.02), ("blue", "plan", 3), ("blue", "apply", 3.5), ("blue", "check", 200), ("blue", "check", 212), ("green", "scan", 1), ("green", "scan", 17)]
+    df = frame(spark, [log(n, i, c, m) for n, (i, c, m) in enumerate(runs)] + [log(90, None, "scan", 5), log(91, "red", "scan", 5, tenant="leak"), log(92, "red", "scan", 5, event="cli.help.viewed")])
     got = {r.length: (r.sessions, r.median_seconds) for r in sessions.session_lengths(df, ALL).collect()}
-    assert {k: v[0] for k, v in got.items()} == {"0": 2, "<1m": 0, "1-5m": 2, "5-15m": 1, "15-30m": 0, "30m+": 1, None: 6}
-    assert got[None][1] == 120
-    seqs = [(tuple(r.commands), r.sessions) for r in sessions.session_sequences(df, ALL).collect()]
-    assert seqs == [(("init", "deploy"), 2), (("cmd1", "cmd2", "cmd3", "cmd4", "cmd5"), 1), (("deploy",), 1), (("deploy", "status"), 1), (("logs",), 1)]
-    assert len(sessions.session_sequences(df, ALL, 2).collect()) == 3
+    assert {k: v[0] for k, v in got.items()} == {"0": 1, "<1m": 1, "1-5m": 0, "5-15m": 1, "15-30m": 1, "30m+": 1, None: 5} and got[None][1] == 720
+    steps = lambda *more: [(" ".join(r.commands), r.sessions) for r in sessions.session_sequences(df, ALL, *more).collect()]
+    assert steps() == [("check", 1), ("plan apply", 1), ("pull", 1), ("push", 1), ("scan", 1)] and steps(2) == [("plan apply", 1)]
 
 
 def test_retries(spark):
-    runs = [("sync", "q1", "F0 F4 S7"), ("fetch", "q2", "F0 S10.5"), ("fetch", "q3", "S0 F3"), ("fetch", "q4", "F20 S30"), ("pack", "q4", "F0 F1 F2 F3"), ("sign", "q5", "S0 S1")]
+    runs = [("sync", "q1", "F0 F4 S7"), ("fetch", "q2", "F0 S10.5"), ("fetch", "q3", "S0 F3"), ("fetch", "q4", "F20 S30"), ("pack", "q4", "F0 F1 F2 F3"), ("sign", "q5", "S0 S1"), ("edge", "q6", "F0 F10 F20.1"), ("slow", "q7", "F0 F9 F18 F27")]
     rows = [log(n, i, c, float(x[1:]), int(x[0] == "F")) for n, (c, i, x) in enumerate((c, i, x) for c, i, xs in runs for x in xs.split())]
     df = frame(spark, rows + [log(90, "q1", "none", 0, None), log(91, None, "none", 0, 1), log(92, "q1", "none", 0, 1, tenant="leak")])
     got = {r.command_name: (r.failed, r.retried, r.sequences, r.recovered, r.repeated_installs) for r in sessions.retries(df, ALL).collect()}
-    assert got == {"sync": (2, 2, 1, 1, 0), "fetch": (3, 1, 1, 1, 0), "pack": (4, 3, 1, 0, 1)}
+    assert got == {"sync": (2, 2, 1, 1, 0), "fetch": (3, 1, 1, 1, 0), "pack": (4, 3, 1, 0, 1),
+                   # ten minutes to the second are within the window; a streak of four is no burst where three failures take longer
+                   "edge": (3, 1, 1, 0, 0), "slow": (4, 3, 1, 0, 0)}
     with pytest.raises(ValueError):
         sessions.retries(df, ALL, 7200)
 
 
 def test_cold_and_warm(spark):
-    rows = [log(0, "a", "build", 0, value=1000.0), log(1, "a", "test", 1, value=100.0), log(2, "a", "build", 2, value=200.0), log(3, "a", "test", 10, version="1.1.0", value=800.0), log(4, "a", "test", 11, version="1.1.0", value=120.0),
-            log(5, "b", "test", 0, value=600.0), log(6, "b", "test", 1, value=None), log(7, "b", "test", 2, value=140.0), log(8, "d", "lint", 0, value=300.0), log(9, "x", "lint", 0, tenant="leak")]
+    # an install's first command is cold, and its first one after each change of version
+    k1 = [("render", 0, "3.0.0"), ("render", 1, "3.0.0"), ("export", 5, "3.1.0"), ("export", 6, "3.1.0"), ("render", 7, "3.1.0"), ("render", 9, "3.0.0")]
+    rows = [log(n, "k1", c, m, version=v, value=50.0 * (n + 1)) for n, (c, m, v) in enumerate(k1)] + [log(20, "k2", "render", 4, version="3.1.0"), log(21, "k2", "export", 8, version="3.1.0", value=None), log(22, "k1", "render", 2, tenant="leak")]
     df = frame(spark, rows)
-    ask = lambda f: {r.command_name: (r.cold_runs, r.warm_runs) for r in sessions.cold_warm_latency(df, installs.install_states(df), installs.version_changes(df), f, "day").collect()}
-    assert ask(ALL) == {"build": (1, 1), "test": (2, 3), "lint": (1, 0)}
-    assert ask(Filters("t0", ALL.start, ALL.end, versions=("1.1.0",))) == {"test": (1, 1)}
-    assert ask(Filters("t0", ALL.start, ALL.end, commands=("test",))) == {"test": (2, 3)}
+    ask = lambda **f: {r.command_name: (r.cold_runs, r.warm_runs) for r in sessions.cold_warm_latency(df, installs.install_states(df), installs.version_changes(df), Filters("t0", ALL.start, ALL.end, **f), "day").collect()}
+    assert ask() == {"render": (3, 2), "export": (1, 1)}
+    assert ask(versions=("3.1.0",)) == {"render": (1, 1), "export": (1, 1)} and ask(commands=("export",)) == {"export": (1, 1)}
 
 
 def test_install_states_and_changes(spark):
@@ -67,9 +66,6 @@ def test_install_states_and_changes(spark):
     assert [(r.direction, r.to_version) for r in installs.version_changes(df).orderBy("changed_at").collect()] == [("downgrade", "1.9.0"), ("upgrade", "1.9.1-rc.1"), ("upgrade", "1.9.1")]
     b = installs.install_states(df).filter("install_id = 'b'").first()
     assert (b.first_version, b.last_version, b.first_command_at, b.first_success_at) == ("1.0.0", "dev", T0 + timedelta(minutes=1), T0 + timedelta(minutes=2))
-    early, late = installs.install_states(df.filter("id < 2")), installs.install_states(df.filter("id >= 2"))
-    key = lambda d: sorted(map(str, d.select(*sorted(d.columns)).collect()))
-    assert key(installs.merge_install_states(early, late)) == key(installs.install_states(df))
 
 
 @pytest.mark.parametrize("a,b,want", [("1.9.0", "1.10.0", -1), ("1.0.0", "v1.0.0", 0), ("1.2", "1.2.0", 0), ("1.0.0-rc.1", "1.0.0", -1), ("1.0.0-rc.2", "1.0.0-rc.10", -1), ("1.0.0-alpha", "1.0.0-alpha.1", -1),
@@ -79,7 +75,8 @@ def test_versions(spark, a, b, want):
 
 
 @pytest.mark.parametrize("counts,least,most,q,want", [({}, None, None, 0.9, None), ({3: 40}, None, None, 0.25, 20), ({4: 10}, None, None, 0.9, 95), ({1: 20, 6: 20}, None, None, 0.75, 750), ({3: 40}, 12.0, 25.0, 0.5, 25),
-                                                      ({3: 40}, 33.0, 45.0, 0.1, 33), ({11: 4}, 350000.0, 500000.0, 0.5, 400000)])
+                                                      ({3: 40}, 33.0, 45.0, 0.1, 33), ({11: 4}, 350000.0, 500000.0, 0.5, 400000),
+                                                      ({0: 10}, 0.5, None, 0.5, 0.75), ({0: 10}, None, None, 0.2, 0.2), ({2: 8, 3: 8}, None, None, 0.5, 10), ({11: 4}, None, None, 0.5, 300000)])
 def test_histogram_quantile(spark, counts, least, most, q, want):
     df = spark.range(1).select(*[F.lit(counts.get(i, 0)).alias(f"b{i}") for i in range(12)], F.lit(least).cast("double").alias("least"), F.lit(most).cast("double").alias("most"))
     got = df.select(sketches.histogram_quantile(q, sketches.MEASURE_BOUNDS, F.col("least"), F.col("most"))).first()[0]
@@ -112,24 +109,24 @@ def test_frames():
 
 
 def test_labels(spark):
-    dims = {"severity": "high", "check": "bola", "label": "x"}
-    df = spark.createDataFrame([(dims,)], "d map<string,string>").select(labels.label_of(F.col("d")).alias("l"))
-    assert df.first().l == "check=bola;label=x;severity=high"
-    assert df.select(labels.dims_of(F.col("l"))).first()[0] == dims
+    df = spark.createDataFrame([({"zone": "eu", "plan": "pro"},)], "d map<string,string>").select(labels.label_of(F.col("d")).alias("l"))
+    assert df.first().l == "plan=pro;zone=eu" and df.select(labels.dims_of(F.col("l"))).first()[0] == {"plan": "pro", "zone": "eu"}
     get = lambda label, key: spark.range(1).select(dimension(F.lit(label), key)).first()[0]
-    assert [get("check=bola;severity=high", "target"), get("bearer", "label"), get("bearer", "severity"), get("other", "severity"), get("", "severity")] == [None, "bearer", None, "other", None]
+    # a key that is only the end of another one's name is not found; a plain label is its own dimension; other is other for all
+    assert [get("plan=pro;timezone=eu", "zone"), get("plan=pro", "plan"), get("nightly", "label"), get("nightly", "plan"), get("other", "plan"), get("", "label"), get(None, "plan")] == [None, "pro", "nightly", None, "other", None, None]
+    with pytest.raises(ValueError):
+        get("plan=pro", "pl;an")
 
 
 def test_vocabulary(spark):
-    rows = lambda xs: spark.createDataFrame([("t", "n", k, v) for k, v, n in xs for _ in range(n)], "tenant_id string, name string, key string, value string")
-    batch = rows([("check", "bola", 5), ("check", "jwt", 3), ("check", "cors", 1), ("check", "other", 4), ("severity", "high", 9)])
-    keys = ["tenant_id", "name", "key"]
+    rows = lambda **n: spark.createDataFrame([("t", "n", "zone", v) for v, k in n.items() for _ in range(k)], "tenant_id string, name string, key string, value string")
+    batch, keys = rows(us=4, eu=4, ap=2, other=7), ["tenant_id", "name", "key"]
     known = vocabulary.admitted(batch, batch.limit(0), keys, "value", 2)
-    assert sorted((r.key, r.value) for r in known.collect()) == [("check", "bola"), ("check", "jwt"), ("severity", "high")]
+    assert sorted(r.value for r in known.collect()) == ["eu", "us"] and [r.value for r in vocabulary.admitted(batch, batch.limit(0), keys, "value", 1).collect()] == ["eu"]
     out = vocabulary.capped(batch, known, keys, "value")
-    assert (out.filter("__folded").count(), out.filter("value = 'other'").count()) == (1, 5)
-    again = vocabulary.admitted(rows([("check", "xss", 7), ("check", "jwt", 1)]), known, keys, "value", 2)
-    assert again.filter("value = 'xss'").count() == 0
+    assert (out.filter("__folded").count(), out.filter("value = 'other'").count()) == (2, 9)
+    later = rows(af=9, ap=1, us=3)
+    assert [sorted(r.value for r in vocabulary.admitted(later, known, keys, "value", cap).collect()) for cap in (2, 3, 4)] == [["eu", "us"], ["af", "eu", "us"], ["af", "ap", "eu", "us"]]
 
 
 def test_two_level_vocabulary(spark):
@@ -201,20 +198,6 @@ def test_log_ingest(spark, tmp_path):
     assert "cli.shell" not in by["build"].attributes and by["test"].install_id is None and by["full"].consent_tier == "basic"
 
 
-def test_stream_rollup(spark, tmp_path):
-    from telemill.sources import telemetry
-    from telemill.streaming import jobs
-
-    telemetry.traces(spark, "/root/testdata/sf0.001").select("time", "tenant_id", "command_name", "exit_code", "duration_ms", "install_id").write.parquet(str(tmp_path / "in"))
-    schema = spark.read.parquet(str(tmp_path / "in")).schema
-    stream = jobs.command_stats(spark.readStream.schema(schema).parquet(str(tmp_path / "in")))
-    q = stream.writeStream.format("memory").queryName("daily").outputMode("append").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c")).start()
-    q.awaitTermination(120)
-    got = {(r.bucket, r.tenant_id, r.command_name): r.invocations for r in spark.table("daily").collect()}
-    want = telemetry.traces(spark, "/root/testdata/sf0.001").groupBy(F.date_trunc("day", "time").alias("b"), "tenant_id", "command_name").count().collect()
-    assert got and all({(r.b, r.tenant_id, r.command_name): r["count"] for r in want}[k] == v for k, v in got.items())
-
-
 def test_definitions(spark):
     cols = "tenant_id string, service_name string, name string, kind string, spec string"
     stored = spark.createDataFrame([("t", "s", "a", "counter", "1", None), ("t", "s", "b", "value", "1", None), ("t", "s", "c", "value", "1", None)], cols + ", deprecated_at timestamp")
@@ -313,3 +296,76 @@ def test_typed_json(spark):
 
     df = spark.createDataFrame([('{"a.b":3}',), ('{"a.b":"3"}',), ('{"a.b":2.5}',), ('{"a.b":null}',), ('{"a.b":true}',), ("not json",), (None,)], "attributes string")
     assert [r[0] for r in df.select(json_number("a.b")).collect()] == [3.0, None, 2.5, None, None, None, None]
+
+
+def test_attributes_out_of_bounds_are_left_out(spark):
+    def pair(key, **value):
+        return f'{{"key": "{key}", "value": {json.dumps(value)}}}'
+
+    given = [pair("a", stringValue="x"), pair("k" * 128, stringValue="long key"), pair("k" * 129, stringValue="y"), pair("v", stringValue="v" * 4096), pair("w", stringValue="w" * 4097), pair("twice", intValue="1"), pair("twice", stringValue="last"),
+             pair("map", kvlistValue="{}"), pair("bytes", bytesValue="AA"), pair("mixed", arrayValue={"values": [{"stringValue": "p"}, {}]}), pair("list", arrayValue={"values": [{"stringValue": "p"}, {"stringValue": "q"}]}),
+             pair("b", boolValue=True), pair("d", doubleValue=2.5), pair("bad", intValue="12x")]
+    df = spark.createDataFrame([("[" + ",".join(given) + "]",), (None,)], "j string").select(F.from_json("j", otlp.KEYS).alias("p"))
+    got = [r[0] for r in df.select(otlp.attributes(F.col("p"))).collect()]
+    assert sorted(got[0]) == sorted(["a", "k" * 128, "v", "twice", "list", "b", "d", "bad"]) and got[1] == {}
+    assert (got[0]["twice"].s, got[0]["twice"].i, got[0]["list"].a, got[0]["d"].d, got[0]["b"].b, got[0]["bad"].i) == ("last", None, ["p", "q"], 2.5, True, None)
+    many = lambda n: spark.createDataFrame([("[" + ",".join(pair(f"a{k}", stringValue="x") for k in range(n)) + "]",)], "j string").select(otlp.too_many(F.from_json("j", otlp.KEYS))).first()[0]
+    assert (many(64), many(65)) == (False, True)
+
+
+@pytest.mark.parametrize("name, kept, dropped", [("peak_rss_bytes", (1, 2**40), (0, -5, 2**40 + 1)), ("binary_size_bytes", (1, 4 * 2**30), (0, 4 * 2**30 + 1)), ("startup_ms", (0, 3_600_000), (-1, 3_600_001)), ("cpu_time_ms", (1,), (0, 2**52))])
+def test_plausible_numbers(spark, name, kept, dropped):
+    df = spark.createDataFrame([(v,) for v in (*kept, *dropped)], "v long")
+    assert [r[0] for r in df.select(ingest.plausible(F.col("v"), name)).collect()] == [*kept, *[None] * len(dropped)]
+
+
+def test_metric_points_that_are_refused(spark, tmp_path):
+    now = datetime(2024, 1, 1, 12)
+    at = str(int((now - datetime(1970, 1, 1)).total_seconds()) * 10**9)
+    tier = {"key": "cli.analytics.tier", "value": {"stringValue": "full"}}
+    rules = ingest.Rules(("anonymous", "basic", "full"), {}, {"sized": ingest.Event((), unit="By"), "timed": ingest.Event((), bounds=(1, 10)), "free": ingest.Event(()), "must": ingest.Event((), tier="full")})
+    point = lambda **more: {"timeUnixNano": at, "attributes": [tier], **more}
+    total = lambda name, unit="By", temporality=1, monotonic=True, **more: {"name": name, "unit": unit, "sum": {"aggregationTemporality": temporality, "isMonotonic": monotonic, "dataPoints": [point(**more)]}}
+    spread = lambda counts, n, bounds=(1, 10), temporality=1, **more: {"name": "timed", "unit": "ms", "histogram": {"aggregationTemporality": temporality, "dataPoints": [point(count=str(n), bucketCounts=[str(c) for c in counts], explicitBounds=list(bounds), **({"sum": 5.0} | more))]}}
+    sent = [
+        (total("sized", asInt="5"), None), (total("sized", unit="ms", asInt="5"), "unit"), (total("sized", temporality=2, asInt="5"), "temporality"), (total("sized", asDouble=-1.0), "value"), (total("sized"), "value"), (total("sized", monotonic=False, asDouble=-1.0), None),
+        (spread([1, 2, 0], 3), None), (spread([1, 2, 0], 4), "histogram"), (spread([1, 2], 3), "histogram"), (spread([1, 2, 0], 3, bounds=(1, 20)), "bounds"), (spread([1, 2, 0], 3, temporality=2), "temporality"), (spread([1, 2, 0], 3, min=-2.0), "histogram"), (spread([1, 2, 0], 3, sum=-1.0), "histogram"),
+        ({"name": "free", "gauge": {"dataPoints": [point(asDouble=-3.0)]}}, None), ({"name": "unknown", "gauge": {"dataPoints": [point(asDouble=1.0)]}}, "event"),
+    ]
+    for n, (metric, _) in enumerate(sent):
+        metric["description"] = str(n)
+    resource = lambda n: {"attributes": [{"key": "service.name", "value": {"stringValue": str(n)}}]}
+    (tmp_path / "m.json").write_text(json.dumps({"resourceMetrics": [{"resource": resource(n), "scopeMetrics": [{"scope": {"name": "s"}, "metrics": [m]}]} for n, (m, _) in enumerate(sent)]}))
+    records = otlp.read(spark, "metrics", str(tmp_path / "m.json")).withColumn("tenant_id", F.lit("t0"))
+    rows = ingest.metric_rows(records, rules, spark.createDataFrame([("t0", "full", "reject")], "tenant_id string, tier_ceiling string, mode string"), F.lit(now)).persist()
+    assert {int(r.service_name): r.reason for r in rows.collect()} == {n: why for n, (_, why) in enumerate(sent)}
+    counted = {r.reason: (r.n, r.sample) for r in ingest.reject_counts(rows).collect()}
+    assert {k: v[0] for k, v in counted.items()} == {None: 4, "unit": 1, "temporality": 2, "value": 2, "histogram": 4, "bounds": 1, "event": 1} and counted["unit"][1] == "sized" and counted["event"][1] is None
+    # mode reject: a tier over the ceiling is refused, not lowered
+    low = spark.createDataFrame([("t0", "basic", "reject")], "tenant_id string, tier_ceiling string, mode string")
+    assert {r.reason for r in ingest.metric_rows(records, rules, low, F.lit(now)).collect()} == {"consent", "event"}
+
+
+def test_filters_on_attributes_and_exit_codes(spark):
+    from telemill.plans.scope import all_of, facts
+
+    rows = [(n, "t0", T0, code, ci, attributes) for n, (code, ci, attributes) in enumerate([(0, True, '{"cli.shell":"zsh","x.y":"1"}'), (1, False, '{"cli.shell":"bash"}'), (130, None, '{"cli.shell":"fish","x.y":null}'), (None, True, "{}"), (1, True, None)])]
+    df = spark.createDataFrame(rows, "id int, tenant_id string, time timestamp, exit_code int, is_ci boolean, attributes string")
+
+    def ids(**more):
+        f = Filters("t0", ALL.start, ALL.end, **more)
+        return sorted(r.id for r in facts(df, f, "exit_code", "is_ci").filter(all_of(f.attributes())).collect())
+
+    assert [ids(exit_code=1), ids(exit_code=0), ids(is_ci=True), ids(is_ci=False), ids(exit_code=1, is_ci=True)] == [[1, 4], [0], [0, 3, 4], [1], [4]]
+    assert [ids(equals={"cli.shell": "zsh"}), ids(among={"cli.shell": ("zsh", "fish")}), ids(exists=("cli.shell",)), ids(exists=("x.y",)), ids(equals={"cli.shell": "zsh", "x.y": "2"})] == [[0], [0, 2], [0, 1, 2], [0], []]
+    assert [ids(contains={"cli.shell": "s"}), ids(matches={"cli.shell": "^.{4}$"})] == [[0, 1, 2], [1, 2]]
+
+
+def test_quantile_sketches_keep_their_rank_error(spark):
+    """Fifty merged sketches of 2,000 values each, of a skewed distribution: ranks within 2 %."""
+    df = spark.range(100_000).select((F.col("id") % 50).alias("part"), F.pow(F.lit(1.0001), F.pmod(F.hash("id"), F.lit(100_000))).alias("v"))
+    one = df.groupBy("part").agg(sketches.quantile_sketch(F.col("v")).alias("s")).agg(sketches.merge_quantiles(F.col("s")).alias("s"))
+    qs = (0.01, 0.5, 0.9, 0.99)
+    read = one.select(*[sketches.read_quantile(F.col("s"), F.lit(1), q).alias(f"q{k}") for k, q in enumerate(qs)]).first()
+    rank = df.agg(*[F.avg((F.col("v") <= x).cast("int")) for x in read]).first()
+    assert all(abs(r - q) < 0.02 for r, q in zip(rank, qs))
