@@ -42,11 +42,6 @@ def one_hot(bucket: Column, n: int) -> list[Column]:
     return [F.when(bucket == i, 1).otherwise(0).cast("long").alias(f"b{i}") for i in range(n)]
 
 
-def bucket_for(value: Column, bounds: tuple[int, ...]) -> Column:
-    """The bucket (b[i-1], b[i]] of a value."""
-    return sum((F.when(value > b, 1).otherwise(0) for b in bounds), F.lit(0))
-
-
 def histogram_quantile(q: float, bounds: tuple[int, ...], least: Column, most: Column, prefix: str = "b") -> Column:
     """A quantile of bucket counts b0.. by linear interpolation.
 

@@ -18,7 +18,7 @@ SAMPLE = 512
 
 def error_types(logs: DataFrame, f: Filters, grain: str, *more: str) -> DataFrame:
     keys = ("command_name", "error_type", *more)
-    out = facts(logs, f, *DIMS, events=RAISED).groupBy(bucket_of(grain, F.col("time")).alias("bucket"), *keys).agg(F.count("*").alias("errors"))
+    out = facts(logs, f, *DIMS, events=RAISED).groupBy(*f.keys, bucket_of(grain, F.col("time")).alias("bucket"), *keys).agg(F.count("*").alias("errors"))
     return f.page(out, F.col("bucket").asc(), *(F.col(k).asc_nulls_last() for k in keys))
 
 
@@ -47,17 +47,19 @@ def error_fingerprints(logs: DataFrame, tenants: DataFrame, f: Filters, grain: s
     The page is ranked first; trend and samples are made for that page only.
     """
     rows = readable(facts(logs, f, *DIMS, events=RAISED), tenants).withColumn("fp", F.col("error_fingerprint")).filter("fp is not null")
-    ranked = rows.groupBy("fp").agg(
+    by = [*f.keys, "fp"]
+    ranked = rows.groupBy(*by).agg(
         F.count("*").alias("events"), F.count_distinct("install_id").alias("installs"), F.min("time").alias("first_seen"), F.max("time").alias("last_seen"),
         F.array_join(F.array_sort(F.collect_set("command_name")), ",").alias("commands"),
         F.array_join(F.transform(F.array_sort(F.collect_set(version_struct(F.col("cli_version")))), lambda v: v["version"]), ",").alias("versions"),
     )
     page = f.page(ranked, F.col("installs").desc(), F.col("events").desc(), F.col("fp").asc())
-    detail = rows.join(F.broadcast(page.select("fp")), "fp", "left_semi")  # a page of at most 1000
-    trend = detail.groupBy("fp", bucket_of(grain, F.col("time")).alias("b")).agg(F.count("*").alias("n"), F.count_distinct("install_id").alias("i"))
+    top = page.select(*by)
+    detail = rows.join(top if f.keys else F.broadcast(top), by, "left_semi")  # a page of at most 1000, of each tenant where it is every one
+    trend = detail.groupBy(*by, bucket_of(grain, F.col("time")).alias("b")).agg(F.count("*").alias("n"), F.count_distinct("install_id").alias("i"))
     line = F.concat_ws(":", F.date_format("b", "yyyy-MM-dd HH"), F.col("n").cast("string"), F.col("i").cast("string"))
-    trends = trend.groupBy("fp").agg(F.array_join(F.array_sort(F.collect_list(line)), ";").alias("trend"))
-    last = detail.groupBy("fp").agg(F.max_by(F.struct("error_source", "error_message", "top_frame"), F.struct("time", "id")).alias("s"))
+    trends = trend.groupBy(*by).agg(F.array_join(F.array_sort(F.collect_list(line)), ";").alias("trend"))
+    last = detail.groupBy(*by).agg(F.max_by(F.struct("error_source", "error_message", "top_frame"), F.struct("time", "id")).alias("s"))
     short = lambda c: F.nullif(shortened(c, SAMPLE), F.lit(""))
-    samples = last.select("fp", F.col("s.error_source").alias("source"), short(normalised(F.col("s.error_message"))).alias("message"), short(F.col("s.top_frame")).alias("top_frame"))
-    return page.join(trends, "fp").join(samples, "fp").orderBy(F.col("installs").desc(), F.col("events").desc(), "fp")
+    samples = last.select(*by, F.col("s.error_source").alias("source"), short(normalised(F.col("s.error_message"))).alias("message"), short(F.col("s.top_frame")).alias("top_frame"))
+    return page.join(trends, by).join(samples, by).orderBy(F.col("installs").desc(), F.col("events").desc(), "fp")

@@ -118,7 +118,7 @@ def seconds(later: Column, earlier: Column) -> Column:
 
 
 def install_funnel(installs: DataFrame, f: Filters, grain: str) -> DataFrame:
-    rows = cohort(installs, f).groupBy(bucket_of(grain, F.col("first_seen")).alias("bucket"))
+    rows = cohort(installs, f).groupBy(*f.keys, bucket_of(grain, F.col("first_seen")).alias("bucket"))
     return rows.agg(F.count("*").alias("installs"), F.count("first_command_at").alias("ran_command"), F.count("first_success_at").alias("succeeded")).orderBy("bucket")
 
 
@@ -126,7 +126,7 @@ def install_activation(installs: DataFrame, f: Filters, grain: str) -> DataFrame
     """Per cohort its size, how many reached a first success, and p50 and p90 of the seconds it took."""
     rows = cohort(installs, f).withColumn("secs", seconds(F.col("first_success_at"), F.col("first_seen")))
     at = lambda q: F.expr(f"percentile_cont({q}) within group (order by secs)")
-    out = rows.groupBy(bucket_of(grain, F.col("first_seen")).alias("bucket")).agg(
+    out = rows.groupBy(*f.keys, bucket_of(grain, F.col("first_seen")).alias("bucket")).agg(
         F.count("*").alias("cohort_size"), F.count("first_success_at").alias("activated"), at(0.5).alias("p50_seconds"), at(0.9).alias("p90_seconds")
     )
     return out.orderBy("bucket")
@@ -137,7 +137,7 @@ def version_change_series(changes: DataFrame, installs: DataFrame, f: Filters, g
     if f.systems or f.archs:
         rows = rows.join(installs.select("tenant_id", "install_id", "last_os", "last_arch"), ["tenant_id", "install_id"], "left")
         rows = rows.filter(all_of([F.col(c).isin(list(v)) for c, v in (("last_os", f.systems), ("last_arch", f.archs)) if v]))
-    out = rows.groupBy(bucket_of(grain, F.col("changed_at")).alias("bucket"), "from_version", "to_version", "direction").agg(
+    out = rows.groupBy(*f.keys, bucket_of(grain, F.col("changed_at")).alias("bucket"), "from_version", "to_version", "direction").agg(
         F.count("*").alias("changes"), F.count_distinct("install_id").alias("installs")
     )
     return f.page(out, F.col("bucket").asc(), F.col("from_version").asc(), F.col("to_version").asc(), F.col("direction").asc())
@@ -145,11 +145,11 @@ def version_change_series(changes: DataFrame, installs: DataFrame, f: Filters, g
 
 def install_coverage(logs: DataFrame, f: Filters, grain: str) -> DataFrame:
     rows = facts(logs, f, "cli_version", "os", "arch", "is_ci", events=("cli.session.started",))
-    return rows.groupBy(bucket_of(grain, F.col("time")).alias("bucket")).agg(F.count("*").alias("sessions"), F.count("install_id").alias("with_install")).orderBy("bucket")
+    return rows.groupBy(*f.keys, bucket_of(grain, F.col("time")).alias("bucket")).agg(F.count("*").alias("sessions"), F.count("install_id").alias("with_install")).orderBy("bucket")
 
 
 def install_methods(installs: DataFrame, f: Filters, grain: str) -> DataFrame:
-    out = cohort(installs, f).groupBy(bucket_of(grain, F.col("first_seen")).alias("bucket"), "install_method").agg(F.count("*").alias("installs"))
+    out = cohort(installs, f).groupBy(*f.keys, bucket_of(grain, F.col("first_seen")).alias("bucket"), "install_method").agg(F.count("*").alias("installs"))
     return f.page(out, F.col("bucket").asc(), F.col("install_method").asc_nulls_last())
 
 
@@ -158,42 +158,42 @@ def new_vs_returning(logs: DataFrame, installs: DataFrame, f: Filters, grain: st
     rows = facts(logs, f, "cli_version", "os", "arch", "is_ci", events=("cli.session.started",), install=True)
     active = rows.select("tenant_id", "install_id", bucket_of(grain, F.col("time")).alias("bucket")).distinct()
     joined = active.join(installs.select("tenant_id", "install_id", bucket_of(grain, F.col("first_seen")).alias("born")), ["tenant_id", "install_id"])
-    return joined.groupBy("bucket").agg(F.count_if(F.col("born") == F.col("bucket")).alias("new"), F.count_if(F.col("born") < F.col("bucket")).alias("returning")).orderBy("bucket")
+    return joined.groupBy(*f.keys, "bucket").agg(F.count_if(F.col("born") == F.col("bucket")).alias("new"), F.count_if(F.col("born") < F.col("bucket")).alias("returning")).orderBy("bucket")
 
 
 def feature_discovery(installs: DataFrame, found: DataFrame, f: Filters) -> DataFrame:
     """Per feature or flag the cohort's installs that used it, within 1, 7 and 30 days, and the median seconds."""
     members = cohort(installs, f).select("tenant_id", "install_id", "first_seen")
     rows = found.join(members, ["tenant_id", "install_id"]).withColumn("secs", F.greatest(seconds(F.col("first_at"), F.col("first_seen")), F.lit(0.0)))
-    out = rows.groupBy("kind", "name").agg(
+    out = rows.groupBy(*f.keys, "kind", "name").agg(
         F.count("*").alias("installs"), *(F.count_if(F.col("secs") <= d * 86400).alias(f"within_{d}d") for d in (1, 7, 30)),
         F.expr("percentile_cont(0.5) within group (order by secs)").alias("median_seconds"),
     )
-    ranked = out.withColumn("rank", F.row_number().over(W.partitionBy("kind").orderBy(F.col("installs").desc(), "name")))
-    size = members.agg(F.count("*").alias("cohort_size"))  # one row
+    ranked = out.withColumn("rank", F.row_number().over(W.partitionBy(*f.keys, "kind").orderBy(F.col("installs").desc(), "name")))
+    size = f.whole(members, F.count("*").alias("cohort_size"))
     page = ranked.filter((F.col("rank") > f.offset) & (F.col("rank") <= f.offset + f.rows))
-    return page.crossJoin(size).orderBy("kind", "rank").drop("rank")
+    return f.beside(page, size).orderBy("kind", "rank").drop("rank")
 
 
 def session_cohort(activity: DataFrame, f: Filters, grain: str) -> DataFrame:
-    rows = rollup(activity, f, "cli_version", "os", "arch", "is_ci").groupBy(F.date_trunc(grain, "bucket").alias("bucket"), "cli_version", "os", "arch")
+    rows = rollup(activity, f, "cli_version", "os", "arch", "is_ci").groupBy(*f.keys, F.date_trunc(grain, "bucket").alias("bucket"), "cli_version", "os", "arch")
     return f.page(rows.agg(F.sum("sessions").alias("sessions")), F.col("bucket").asc(), *(F.col(c).asc_nulls_last() for c in ("cli_version", "os", "arch")))
 
 
 def active_installs(activity: DataFrame, f: Filters, grain: str) -> DataFrame:
     """Distinct installs per bucket, from merged sketches: never a sum of counts."""
-    rows = rollup(activity, f, "cli_version", "os", "arch", "is_ci").groupBy(F.date_trunc(grain, "bucket").alias("bucket"))
-    return rows.agg(merge_distinct(F.col("installs")).alias("s")).select("bucket", read_distinct(F.col("s")).alias("installs")).orderBy("bucket")
+    rows = rollup(activity, f, "cli_version", "os", "arch", "is_ci").groupBy(*f.keys, F.date_trunc(grain, "bucket").alias("bucket"))
+    return rows.agg(merge_distinct(F.col("installs")).alias("s")).select(*f.keys, "bucket", read_distinct(F.col("s")).alias("installs")).orderBy("bucket")
 
 
 def retention(logs: DataFrame, f: Filters, grain: str) -> DataFrame:
     """Installs active in each period after the one they first appeared in, over all history before the end."""
     conditions = [f.tenant(), F.col("time") < F.lit(f.end), F.col("event_name") == "cli.session.started", F.col("install_id").isNotNull(), *f.any_of("cli_version", "os", "arch", "is_ci")]
-    active = logs.filter(all_of(conditions)).select("install_id", bucket_of(grain, F.col("time")).alias("period")).distinct()
-    born = active.groupBy("install_id").agg(F.min("period").alias("cohort"))
+    active = logs.filter(all_of(conditions)).select(*f.keys, "install_id", bucket_of(grain, F.col("time")).alias("period")).distinct()
+    born = active.groupBy(*f.keys, "install_id").agg(F.min("period").alias("cohort"))
     kept = born.filter(F.col("cohort") >= F.date_trunc(grain, F.lit(f.start)))
-    counts = active.join(kept, "install_id").groupBy("cohort", periods_between(grain, F.col("cohort"), F.col("period")).alias("period")).agg(F.count("*").alias("installs"))
-    size = F.first("installs").over(W.partitionBy("cohort").orderBy("period"))
+    counts = active.join(kept, [*f.keys, "install_id"]).groupBy(*f.keys, "cohort", periods_between(grain, F.col("cohort"), F.col("period")).alias("period")).agg(F.count("*").alias("installs"))
+    size = F.first("installs").over(W.partitionBy(*f.keys, "cohort").orderBy("period"))
     return counts.withColumn("cohort_size", size).orderBy("cohort", "period")
 
 
@@ -202,12 +202,12 @@ def version_footprint(footprint: DataFrame, f: Filters) -> DataFrame:
     from ..functions.sketches import merge_quantiles, read_quantile
     from ..functions.versions import version_order
 
-    rows = rollup(footprint, f, "cli_version", "os", "arch", "is_ci").groupBy("cli_version").agg(
+    rows = rollup(footprint, f, "cli_version", "os", "arch", "is_ci").groupBy(*f.keys, "cli_version").agg(
         *(F.sum(c).alias(c) for c in ("sessions", "size_reported", "startup_reported")), F.min("least_size").alias("least_size"), F.max("most_size").alias("most_size"),
         merge_quantiles(F.col("sizes")).alias("s"), merge_quantiles(F.col("startups")).alias("t"), merge_distinct(F.col("size_installs")).alias("i"), merge_distinct(F.col("startup_installs")).alias("j"),
     )
     out = rows.select(
-        "cli_version", "sessions", "size_reported", "least_size", "most_size", "startup_reported", read_quantile(F.col("s"), F.col("size_reported"), 0.5).alias("size_p50"),
+        *f.keys, "cli_version", "sessions", "size_reported", "least_size", "most_size", "startup_reported", read_quantile(F.col("s"), F.col("size_reported"), 0.5).alias("size_p50"),
         *(read_quantile(F.col("t"), F.col("startup_reported"), q).alias(f"startup_p{int(100 * q)}") for q in (0.5, 0.95)),
         read_distinct(F.col("i")).alias("size_installs"), read_distinct(F.col("j")).alias("startup_installs"),
     )

@@ -34,10 +34,13 @@ def session_lengths(logs: DataFrame, f: Filters) -> DataFrame:
     for (name, _, _), (_, _, upper) in zip(LENGTHS[1:], [*LENGTHS[2:], ("", 0, 1 << 40)]):
         kind = kind.when(F.col("secs") < upper, name)
     rows = secs.withColumn("length", kind)
-    counted = rows.groupingSets([["length"], []], "length").agg(F.count("*").alias("sessions"), F.expr("percentile_cont(0.5) within group (order by secs)").alias("median_seconds"))
-    every = logs.sparkSession.createDataFrame([(n, k) for n, k, _ in LENGTHS] + [(None, 7)], "l string, position int")
-    out = F.broadcast(every).join(counted, F.col("l").eqNullSafe(F.col("length")), "left")  # seven rows
-    return out.select(F.col("l").alias("length"), F.coalesce("sessions", F.lit(0)).alias("sessions"), F.when(F.col("l").isNull(), F.col("median_seconds")).alias("median_seconds"), "position").orderBy("position").drop("position")
+    counted = rows.groupingSets([[*f.keys, "length"], [*f.keys]], *f.keys, "length").agg(F.count("*").alias("sessions"), F.expr("percentile_cont(0.5) within group (order by secs)").alias("median_seconds"))
+    lengths = F.inline(F.array(*[F.struct(F.lit(n).cast("string").alias("l"), F.lit(k).alias("position")) for n, k in (*((n, k) for n, k, _ in LENGTHS), (None, 7))]))
+    # seven rows, of each tenant where it is every one
+    every = (counted.select(*f.keys).distinct() if f.keys else logs.sparkSession.range(1)).select(*(F.col(k).alias(f"l_{k}") for k in f.keys), lengths)
+    same = all_of([F.col("l").eqNullSafe(F.col("length")), *(F.col(k) == F.col(f"l_{k}") for k in f.keys)])
+    out = every.join(counted, same, "left").drop(*f.keys).withColumnsRenamed({f"l_{k}": k for k in f.keys})
+    return out.select(*f.keys, F.col("l").alias("length"), F.coalesce("sessions", F.lit(0)).alias("sessions"), F.when(F.col("l").isNull(), F.col("median_seconds")).alias("median_seconds"), "position").orderBy("position").drop("position")
 
 
 def session_sequences(logs: DataFrame, f: Filters, least: int = 1) -> DataFrame:
@@ -47,7 +50,7 @@ def session_sequences(logs: DataFrame, f: Filters, least: int = 1) -> DataFrame:
     changed = runs.withColumn("b", F.lag("command_name").over(w)).filter(~F.col("b").eqNullSafe(F.col("command_name")))
     numbered = changed.withColumn("n", F.row_number().over(w)).filter(F.col("n") <= LONGEST)
     joined = numbered.groupBy("tenant_id", "install_id", "session").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "command_name"))), lambda x: x["command_name"]).alias("commands"))
-    out = joined.filter(F.size("commands") >= least).groupBy("commands").agg(F.count("*").alias("sessions"))
+    out = joined.filter(F.size("commands") >= least).groupBy(*f.keys, "commands").agg(F.count("*").alias("sessions"))
     return f.page(out, F.col("sessions").desc(), F.col("commands").asc())
 
 
@@ -57,19 +60,19 @@ def retries(logs: DataFrame, f: Filters, window: int = 600) -> DataFrame:
         raise ValueError("the retry window must be within an hour")
     near = window * 1_000_000
     rows = facts(logs, f, *DIMS, events=(DONE,), install=True).filter("command_name is not null and exit_code is not null")
-    rows = rows.select("install_id", "command_name", "time", "id", (F.col("exit_code") != 0).alias("failed"), _micros(F.col("time")).alias("us"))
-    w = W.partitionBy("install_id", "command_name").orderBy("time", "id")
+    rows = rows.select(*f.keys, "install_id", "command_name", "time", "id", (F.col("exit_code") != 0).alias("failed"), _micros(F.col("time")).alias("us"))
+    w = W.partitionBy(*f.keys, "install_id", "command_name").orderBy("time", "id")
     follows = F.lag("failed").over(w) & (F.col("us") - F.lag("us").over(w) <= near)
     chained = rows.select("*", F.lead("us").over(w).alias("next"), F.when(follows, 0).otherwise(1).alias("starts")).withColumn("chain", F.sum("starts").over(w.rowsBetween(W.unboundedPreceding, 0)))
-    failures = W.partitionBy("install_id", "command_name", "chain", "failed").orderBy("time", "id")
+    failures = W.partitionBy(*f.keys, "install_id", "command_name", "chain", "failed").orderBy("time", "id")
     flagged = chained.select(
-        "install_id", "command_name", "chain", "failed", (F.col("failed") & (F.col("next") - F.col("us") <= near)).alias("retried"),
+        *f.keys, "install_id", "command_name", "chain", "failed", (F.col("failed") & (F.col("next") - F.col("us") <= near)).alias("retried"),
         (F.col("failed") & (F.lead("us", 2).over(failures) - F.col("us") <= near)).alias("repeated"),
     )
-    chains = flagged.groupBy("install_id", "command_name", "chain").agg(
+    chains = flagged.groupBy(*f.keys, "install_id", "command_name", "chain").agg(
         F.count_if("failed").alias("failures"), F.count_if("retried").alias("retried"), F.count("*").alias("runs"), F.bool_or(~F.col("failed")).alias("recovered"), F.bool_or("repeated").alias("repeated")
     ).filter("failures > 0")
-    out = chains.groupBy("command_name").agg(
+    out = chains.groupBy(*f.keys, "command_name").agg(
         F.sum("failures").alias("failed"), F.sum("retried").alias("retried"), F.count_if(F.col("runs") >= 2).alias("sequences"), F.count_if("recovered").alias("recovered"),
         F.count_distinct(F.when(F.col("repeated"), F.col("install_id"))).alias("repeated_installs"), F.max("failures").alias("longest_streak"),
     )
@@ -101,23 +104,23 @@ def cold_warm_latency(logs: DataFrame, installs: DataFrame, changes: DataFrame,
     for name, kind in (("cold", F.col("is_cold")), ("warm", ~F.col("is_cold"))):
         rows = rows.withColumn(f"__{name}", F.when(kind, F.col(duration)))
         out += [F.count(f"__{name}").alias(f"{name}_runs"), *(F.expr(f"percentile_cont({q}) within group (order by __{name})").alias(f"{name}_p{int(q * 100)}") for q in (0.5, 0.95, 0.99))]
-    return f.page(rows.groupBy(bucket_of(grain, F.col("time")).alias("bucket"), "command_name").agg(*out), F.col("bucket").asc(), F.col("command_name").asc())
+    return f.page(rows.groupBy(*f.keys, bucket_of(grain, F.col("time")).alias("bucket"), "command_name").agg(*out), F.col("bucket").asc(), F.col("command_name").asc())
 
 
 def session_environment(logs: DataFrame, f: Filters, value: Column, most: int = 10) -> DataFrame:
     """Sessions by a value of their environment: total, reported, the commonest values, and the rest as other."""
-    rows = facts(logs, f, "cli_version", "os", "arch", "is_ci", events=("cli.session.started",)).select(value.alias("value"))
-    counts = rows.groupBy("value").agg(F.count("*").alias("sessions"))
+    rows = facts(logs, f, "cli_version", "os", "arch", "is_ci", events=("cli.session.started",)).select(*f.keys, value.alias("value"))
+    counts = rows.groupBy(*f.keys, "value").agg(F.count("*").alias("sessions"))
     # one scan: everything else comes from the counts
-    ranked = counts.withColumn("rank", F.row_number().over(W.partitionBy(F.col("value").isNull()).orderBy(F.col("sessions").desc(), "value")))
+    ranked = counts.withColumn("rank", F.row_number().over(W.partitionBy(*f.keys, F.col("value").isNull()).orderBy(F.col("sessions").desc(), "value")))
     kind = F.when(F.col("value").isNull(), None).when(F.col("rank") <= most, "value").otherwise("other")
     kinds = ranked.withColumn("kind", kind)
-    listed = kinds.filter("kind = 'value'").select("kind", "value", F.lit(1).cast("long").alias("n_values"), "sessions")
-    rest = kinds.agg(F.count_if(F.col("kind") == "other").alias("n_values"), F.coalesce(F.sum(F.when(F.col("kind") == "other", F.col("sessions"))), F.lit(0)).alias("sessions"))
-    total = kinds.agg(F.count("value").alias("n_values"), F.coalesce(F.sum("sessions"), F.lit(0)).alias("sessions"))
-    reported = kinds.agg(F.count("value").alias("n_values"), F.coalesce(F.sum(F.when(F.col("value").isNotNull(), F.col("sessions"))), F.lit(0)).alias("sessions"))
+    listed = kinds.filter("kind = 'value'").select(*f.keys, "kind", "value", F.lit(1).cast("long").alias("n_values"), "sessions")
+    rest = f.whole(kinds, F.count_if(F.col("kind") == "other").alias("n_values"), F.coalesce(F.sum(F.when(F.col("kind") == "other", F.col("sessions"))), F.lit(0)).alias("sessions"))
+    total = f.whole(kinds, F.count("value").alias("n_values"), F.coalesce(F.sum("sessions"), F.lit(0)).alias("sessions"))
+    reported = f.whole(kinds, F.count("value").alias("n_values"), F.coalesce(F.sum(F.when(F.col("value").isNotNull(), F.col("sessions"))), F.lit(0)).alias("sessions"))
     for name, part in (("other", rest), ("reported", reported), ("total", total)):
-        listed = listed.unionByName(part.select(F.lit(name).alias("kind"), F.lit(None).cast("string").alias("value"), "n_values", "sessions"))
+        listed = listed.unionByName(part.select(*f.keys, F.lit(name).alias("kind"), F.lit(None).cast("string").alias("value"), "n_values", "sessions"))
     return listed
 
 

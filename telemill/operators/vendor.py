@@ -26,7 +26,7 @@ def _rows(rolled: DataFrame, f: Filters, name: str | None = None, labelled: bool
 
 
 def counters(rolled: DataFrame, f: Filters) -> DataFrame:
-    out = _rows(rolled, f).groupBy("name").agg(F.sum("total").alias("total"), F.sum("points").alias("points"), F.count_distinct("label").alias("labels"))
+    out = _rows(rolled, f).groupBy(*f.keys, "name").agg(F.sum("total").alias("total"), F.sum("points").alias("points"), F.count_distinct("label").alias("labels"))
     return f.page(out, F.col("total").desc(), F.col("name").asc())
 
 
@@ -36,17 +36,17 @@ def overflow(folds: DataFrame, f: Filters, kind: str) -> DataFrame:
     folds: tenant_id, kind, cap, date, n; days that begin in the range count.
     """
     rows = folds.filter(f.tenant() & (F.col("kind") == kind) & f.time("date"))
-    return rows.agg(*(F.coalesce(F.sum(F.when(F.col("cap") == c, F.col("n"))), F.lit(0)).alias(f"{c}_folded") for c in ("names", "labels", "dim_values")))
+    return f.whole(rows, *(F.coalesce(F.sum(F.when(F.col("cap") == c, F.col("n"))), F.lit(0)).alias(f"{c}_folded") for c in ("names", "labels", "dim_values")))
 
 
 def counter_series(rolled: DataFrame, f: Filters, name: str, grain: str) -> DataFrame:
-    out = _rows(rolled, f, name).groupBy(F.date_trunc(grain, "bucket").alias("bucket")).agg(F.sum("total").alias("total"), F.sum("points").alias("points"))
+    out = _rows(rolled, f, name).groupBy(*f.keys, F.date_trunc(grain, "bucket").alias("bucket")).agg(F.sum("total").alias("total"), F.sum("points").alias("points"))
     return out.orderBy("bucket")
 
 
 def counter_labels(rolled: DataFrame, f: Filters, name: str) -> DataFrame:
     """Totals by label within the asked dimensions, whatever label is asked for; most first, no label last among equals."""
-    out = _rows(rolled, f, name, labelled=False).groupBy("label").agg(F.sum("total").alias("total"), F.sum("points").alias("points"))
+    out = _rows(rolled, f, name, labelled=False).groupBy(*f.keys, "label").agg(F.sum("total").alias("total"), F.sum("points").alias("points"))
     return f.page(out, F.col("total").desc(), F.col("label").asc_nulls_last())
 
 
@@ -59,23 +59,24 @@ def _keys(dims: tuple[str, ...]) -> list[Column]:
 def _ranked(rows: DataFrame, f: Filters, dims: tuple[str, ...], by: str) -> DataFrame:
     """d0, d1 and the rank of the page's groups: the largest sum of a state first, then by dimensions."""
     names = [f"d{i}" for i in range(len(dims))]
-    page = f.page(rows.groupBy(*_keys(dims)).agg(F.sum(by).alias("sum")), F.col("sum").desc(), *(F.col(n).asc_nulls_last() for n in names))
-    order = Window.orderBy(F.col("sum").desc(), *(F.col(n).asc_nulls_last() for n in names))  # at most a page of groups
-    return page.select(*names, F.row_number().over(order).alias("rank"))
+    page = f.page(rows.groupBy(*f.keys, *_keys(dims)).agg(F.sum(by).alias("sum")), F.col("sum").desc(), *(F.col(n).asc_nulls_last() for n in names))
+    order = Window.partitionBy(*f.keys).orderBy(F.col("sum").desc(), *(F.col(n).asc_nulls_last() for n in names))  # at most a page of groups
+    return page.select(*f.keys, *names, F.row_number().over(order).alias("rank"))
 
 
 def _group_rows(rolled: DataFrame, f: Filters, name: str, dims: tuple[str, ...], by: str) -> DataFrame:
     """The rows of the page's groups, with d0, d1 and rank."""
     rows = _rows(rolled, f, name)
-    top = F.broadcast(_ranked(rows, f, dims, by))  # at most a page
-    names = [f"d{i}" for i in range(len(dims))]
+    ranked = _ranked(rows, f, dims, by)
+    top = ranked if f.keys else F.broadcast(ranked)  # at most a page, of each tenant where it is every one
+    names = [*f.keys, *(f"d{i}" for i in range(len(dims)))]
     keyed = rows.select("*", *_keys(dims)).join(top.withColumnsRenamed({n: f"t_{n}" for n in names}), all_of([F.col(n).eqNullSafe(F.col(f"t_{n}")) for n in names]))
     return keyed.drop(*(f"t_{n}" for n in names))
 
 
 def counter_groups(rolled: DataFrame, f: Filters, name: str, grain: str, dims: tuple[str, ...]) -> DataFrame:
     """Series by up to two dimensions of the label, of the page's groups by total."""
-    keys = [f"d{i}" for i in range(len(dims))]
+    keys = [*f.keys, *(f"d{i}" for i in range(len(dims)))]
     rows = _group_rows(rolled, f, name, dims, "total")
     out = rows.groupBy("rank", *keys, F.date_trunc(grain, "bucket").alias("bucket")).agg(F.sum("total").alias("total"))
     return out.orderBy("rank", "bucket").select(*keys, "bucket", "total")
@@ -83,7 +84,7 @@ def counter_groups(rolled: DataFrame, f: Filters, name: str, grain: str, dims: t
 
 def measure_groups(rolled: DataFrame, f: Filters, name: str, grain: str, dims: tuple[str, ...]) -> DataFrame:
     """As counter_groups for a measure: the groups of most observations."""
-    keys = [f"d{i}" for i in range(len(dims))]
+    keys = [*f.keys, *(f"d{i}" for i in range(len(dims)))]
     rows = _group_rows(rolled, f, name, dims, "n").withColumn("bucket", F.date_trunc(grain, "bucket"))
     out = rows.groupBy("rank", *keys, "bucket").agg(*_merged(MEASURE_BOUNDS)).orderBy("rank", "bucket")
     return out.select(*keys, "bucket", "n", "total", "least", "most", *_read(MEASURE_BOUNDS, (0.5, 0.95, 0.99)))
@@ -91,14 +92,14 @@ def measure_groups(rolled: DataFrame, f: Filters, name: str, grain: str, dims: t
 
 def value_groups(rolled: DataFrame, f: Filters, name: str, grain: str, dims: tuple[str, ...]) -> DataFrame:
     """As counter_groups for a value: the groups of most observations."""
-    keys = [f"d{i}" for i in range(len(dims))]
+    keys = [*f.keys, *(f"d{i}" for i in range(len(dims)))]
     rows = _group_rows(rolled, f, name, dims, "n").withColumn("bucket", F.date_trunc(grain, "bucket"))
     return rows.groupBy("rank", *keys, "bucket").agg(*_merged(VALUE_BOUNDS)).orderBy("rank", "bucket").select(*keys, "bucket", *_value_columns())
 
 
 def measure_labels(rolled: DataFrame, f: Filters, name: str) -> DataFrame:
     """Observations by label within the asked dimensions, whatever label is asked for; most first."""
-    out = _rows(rolled, f, name, labelled=False).groupBy("label").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
+    out = _rows(rolled, f, name, labelled=False).groupBy(*f.keys, "label").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
     return f.page(out, F.col("n").desc(), F.col("label").asc_nulls_last())
 
 
@@ -107,7 +108,7 @@ value_labels = measure_labels
 
 def reach_groups(rolled: DataFrame, f: Filters, name: str, dims: tuple[str, ...], by: str = "total") -> DataFrame:
     """Installs behind each of the page's groups."""
-    keys = [f"d{i}" for i in range(len(dims))]
+    keys = [*f.keys, *(f"d{i}" for i in range(len(dims)))]
     out = _group_rows(rolled, f, name, dims, by).groupBy("rank", *keys).agg(merge_distinct(F.col("reach")).alias("s"))
     return out.orderBy("rank").select(*keys, read_distinct(F.col("s")).alias("reached"))
 
@@ -123,13 +124,13 @@ def _read(bounds: tuple[int, ...], qs: tuple[float, ...]) -> list[Column]:
 
 
 def measures(rolled: DataFrame, f: Filters) -> DataFrame:
-    out = _rows(rolled, f).groupBy("name").agg(*_merged(MEASURE_BOUNDS), F.count_distinct("label").alias("labels"))
-    return f.page(out.select("name", "n", "total", "least", "most", "labels", *_read(MEASURE_BOUNDS, (0.5, 0.95, 0.99))), F.col("n").desc(), F.col("name").asc())
+    out = _rows(rolled, f).groupBy(*f.keys, "name").agg(*_merged(MEASURE_BOUNDS), F.count_distinct("label").alias("labels"))
+    return f.page(out.select(*f.keys, "name", "n", "total", "least", "most", "labels", *_read(MEASURE_BOUNDS, (0.5, 0.95, 0.99))), F.col("n").desc(), F.col("name").asc())
 
 
 def measure_series(rolled: DataFrame, f: Filters, name: str, grain: str) -> DataFrame:
-    out = _rows(rolled, f, name).groupBy(F.date_trunc(grain, "bucket").alias("bucket")).agg(*_merged(MEASURE_BOUNDS))
-    return out.select("bucket", "n", "total", "least", "most", *_read(MEASURE_BOUNDS, (0.5, 0.95, 0.99))).orderBy("bucket")
+    out = _rows(rolled, f, name).groupBy(*f.keys, F.date_trunc(grain, "bucket").alias("bucket")).agg(*_merged(MEASURE_BOUNDS))
+    return out.select(*f.keys, "bucket", "n", "total", "least", "most", *_read(MEASURE_BOUNDS, (0.5, 0.95, 0.99))).orderBy("bucket")
 
 
 def _value_columns() -> list[Column]:
@@ -138,35 +139,35 @@ def _value_columns() -> list[Column]:
 
 
 def values(rolled: DataFrame, f: Filters) -> DataFrame:
-    out = _rows(rolled, f).groupBy("name").agg(*_merged(VALUE_BOUNDS), F.count_distinct("label").alias("labels"))
-    return f.page(out.select("name", "labels", *_value_columns()), F.col("n").desc(), F.col("name").asc())
+    out = _rows(rolled, f).groupBy(*f.keys, "name").agg(*_merged(VALUE_BOUNDS), F.count_distinct("label").alias("labels"))
+    return f.page(out.select(*f.keys, "name", "labels", *_value_columns()), F.col("n").desc(), F.col("name").asc())
 
 
 def value_series(rolled: DataFrame, f: Filters, name: str, grain: str) -> DataFrame:
     """Per bucket, and in the row without one over the whole window."""
     rows = _rows(rolled, f, name).withColumn("bucket", F.date_trunc(grain, "bucket"))
-    out = rows.groupingSets([["bucket"], []], "bucket").agg(*_merged(VALUE_BOUNDS))
-    return out.select("bucket", *_value_columns()).orderBy(F.col("bucket").asc_nulls_last())
+    out = rows.groupingSets([[*f.keys, "bucket"], [*f.keys]], *f.keys, "bucket").agg(*_merged(VALUE_BOUNDS))
+    return out.select(*f.keys, "bucket", *_value_columns()).orderBy(F.col("bucket").asc_nulls_last())
 
 
 def reach(rolled: DataFrame, activity: DataFrame, f: Filters, name: str, points: str = "points") -> DataFrame:
     """Installs behind a metric, the share of its points with an install, its share of active installs."""
-    own = _rows(rolled, f, name).agg(merge_distinct(F.col("reach")).alias("s"), F.sum("reported").alias("r"), F.sum(points).alias("p"))
-    active = rollup(activity, f, "cli_version", "os", "arch", "is_ci").agg(merge_distinct(F.col("installs")).alias("a"))
-    out = own.crossJoin(active).select(read_distinct(F.col("s")).alias("reached"), read_distinct(F.col("a")).alias("active"), "r", "p")  # one row each
+    own = f.whole(_rows(rolled, f, name), merge_distinct(F.col("reach")).alias("s"), F.sum("reported").alias("r"), F.sum(points).alias("p"))
+    active = f.whole(rollup(activity, f, "cli_version", "os", "arch", "is_ci"), merge_distinct(F.col("installs")).alias("a"))
+    out = f.beside(active, own).select(*f.keys, read_distinct(F.col("s")).alias("reached"), read_distinct(F.col("a")).alias("active"), "r", "p")
     share = lambda n, of: F.when(of > 0, n / of)
-    return out.select("reached", "active", share(F.col("r"), F.col("p")).alias("reported_share"), share(F.col("reached"), F.col("active")).alias("active_share"))
+    return out.select(*f.keys, "reached", "active", share(F.col("r"), F.col("p")).alias("reported_share"), share(F.col("reached"), F.col("active")).alias("active_share"))
 
 
 def reach_series(rolled: DataFrame, f: Filters, name: str, grain: str) -> DataFrame:
-    out = _rows(rolled, f, name).groupBy(F.date_trunc(grain, "bucket").alias("bucket")).agg(merge_distinct(F.col("reach")).alias("s"))
-    return out.select("bucket", read_distinct(F.col("s")).alias("reached")).orderBy("bucket")
+    out = _rows(rolled, f, name).groupBy(*f.keys, F.date_trunc(grain, "bucket").alias("bucket")).agg(merge_distinct(F.col("reach")).alias("s"))
+    return out.select(*f.keys, "bucket", read_distinct(F.col("s")).alias("reached")).orderBy("bucket")
 
 
-def operand(rows: DataFrame, value: str, grain: str, stored: str, kind: str = "sum") -> DataFrame:
+def operand(rows: DataFrame, f: Filters, value: str, grain: str, stored: str, kind: str = "sum") -> DataFrame:
     """A ratio's side from rollup rows in scope: bucket and the merged state of `value`, a sum or a sketch of installs."""
     state = F.sum(value).cast("double") if kind == "sum" else merge_distinct(F.col(value))
-    return rows.groupBy(rebucket(grain, F.col("bucket"), stored).alias("bucket")).agg(state.alias("v"))
+    return rows.groupBy(*f.keys, rebucket(grain, F.col("bucket"), stored).alias("bucket")).agg(state.alias("v"))
 
 
 #: What a ratio can be of: the rollup, its state, the state's kind and the least bucket.
@@ -189,7 +190,7 @@ def side(rolled: Callable[[str, str], DataFrame], f: Filters, kind: str, grain:
         raise ValueError(f"{kind} needs a metric's name")
     dims = ("cli_version", "os", "arch", "is_ci") if of == "session_activity" else ("cli_version", "os", "arch", "is_ci", "command_name")
     rows = _rows(rolled(of, grain), f, name) if metric else rollup(rolled(of, grain), f, *dims)
-    return operand(rows, state, grain, "hour" if grain == "hour" else "day", how), how
+    return operand(rows, f, state, grain, "hour" if grain == "hour" else "day", how), how
 
 
 def ratio(above: DataFrame, below: DataFrame, scale: float, kinds: tuple[str, str] = ("sum", "sum")) -> DataFrame:
@@ -197,9 +198,10 @@ def ratio(above: DataFrame, below: DataFrame, scale: float, kinds: tuple[str, st
 
     Totals are merged from the buckets' states: of sums the sum, of installs the distinct number of the whole range.
     """
-    both = above.withColumnRenamed("v", "numerator").join(below.withColumnRenamed("v", "denominator"), "bucket", "full_outer")
+    keys = [k for k in ("tenant_id",) if k in above.columns]  # operands of every tenant have it
+    both = above.withColumnRenamed("v", "numerator").join(below.withColumnRenamed("v", "denominator"), [*keys, "bucket"], "full_outer")
     merged = lambda c, kind: F.coalesce(F.sum(c), F.lit(0.0)) if kind == "sum" else read_distinct(merge_distinct(F.col(c))).cast("double")
-    sums = both.groupingSets([["bucket"], []], "bucket").agg(*(merged(c, k).alias(c) for c, k in zip(("numerator", "denominator"), kinds)))
+    sums = both.groupingSets([[*keys, "bucket"], keys], *keys, "bucket").agg(*(merged(c, k).alias(c) for c, k in zip(("numerator", "denominator"), kinds)))
     return sums.withColumn("value", F.when(F.col("denominator") != 0, F.col("numerator") / F.col("denominator") * scale)).orderBy(F.col("bucket").asc_nulls_last())
 
 
@@ -211,11 +213,11 @@ def ratio_of(rolled: Callable[[str, str], DataFrame], f: Filters, above: tuple[s
 
 def vendor_services(kinds: dict[str, DataFrame], f: Filters) -> DataFrame:
     """Per service how many counters, measures and values it has sent."""
-    parts = [d.filter(f.tenant()).select("service_name", "name", F.lit(k).alias("kind")).distinct() for k, d in kinds.items()]
+    parts = [d.filter(f.tenant()).select(*f.keys, "service_name", "name", F.lit(k).alias("kind")).distinct() for k, d in kinds.items()]
     every = parts[0]
     for p in parts[1:]:
         every = every.unionByName(p)
-    return every.groupBy("service_name").agg(*(F.count_if(F.col("kind") == k).alias(k) for k in kinds)).orderBy(F.col("service_name").asc_nulls_last())
+    return every.groupBy(*f.keys, "service_name").agg(*(F.count_if(F.col("kind") == k).alias(k) for k in kinds)).orderBy(F.col("service_name").asc_nulls_last())
 
 
 #: Kinds of a definition and the rollups that show them in use: a measure is a duration.
@@ -233,10 +235,10 @@ def metric_definitions(declared: DataFrame, seen: DataFrame, f: Filters) -> Data
 
     `f` bounds the days in which metrics count as sent; DISCOVERY_DAYS before now is the usual window.
     """
-    known = declared.filter(f.tenant()).select("service_name", "name", "kind", F.lit(True).alias("declared"), F.col("deprecated_at").isNotNull().alias("deprecated"))
-    fresh = rollup(seen, f).filter("name <> 'other' and service_name is not null").select("service_name", "name", "kind").distinct()
-    k = known.select(*(F.col(c).alias(f"k_{c}") for c in ("service_name", "name", "kind")))
-    same = all_of([F.col(c).eqNullSafe(F.col(f"k_{c}")) for c in ("service_name", "name", "kind")])
+    known = declared.filter(f.tenant()).select(*f.keys, "service_name", "name", "kind", F.lit(True).alias("declared"), F.col("deprecated_at").isNotNull().alias("deprecated"))
+    fresh = rollup(seen, f).filter("name <> 'other' and service_name is not null").select(*f.keys, "service_name", "name", "kind").distinct()
+    k = known.select(*(F.col(c).alias(f"k_{c}") for c in (*f.keys, "service_name", "name", "kind")))
+    same = all_of([F.col(c).eqNullSafe(F.col(f"k_{c}")) for c in (*f.keys, "service_name", "name", "kind")])
     extra = fresh.join(k, same, "left_anti").select("*", F.lit(False).alias("declared"), F.lit(False).alias("deprecated"))
     return known.unionByName(extra).orderBy(F.col("service_name").asc_nulls_last(), "name", "kind")
 

@@ -7,11 +7,13 @@ from dataclasses import dataclass, field
 from datetime import datetime, timedelta
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 DEFAULT_LIMIT, MOST_LIMIT = 100, 1000
 LONGEST_RANGE = timedelta(days=90)
+#: In place of a tenant: every tenant at once, each one's rows for itself, told by tenant_id.
+EVERY = "*"
 MOST_PATTERNS, LONGEST_PATTERN, MOST_DIMENSIONS = 3, 128, 8
 
 
@@ -77,8 +79,13 @@ class Filters:
     def rows(self) -> int:
         return DEFAULT_LIMIT if self.limit <= 0 else min(self.limit, MOST_LIMIT)
 
+    @property
+    def keys(self) -> tuple[str, ...]:
+        """What every grouping, join and rank has beside its own keys: nothing for one tenant, tenant_id for every tenant."""
+        return ("tenant_id",) if self.tenant_id == EVERY else ()
+
     def tenant(self) -> Column:
-        return F.col("tenant_id") == self.tenant_id
+        return F.lit(True) if self.keys else F.col("tenant_id") == self.tenant_id
 
     def time(self, column: str = "time") -> Column:
         return (F.col(column) >= F.lit(self.start)) & (F.col(column) < F.lit(self.end))
@@ -105,8 +112,21 @@ class Filters:
         for p in self.matches.values():
             spark.range(1).select(F.lit("").rlike(p)).collect()
 
-    def page(self, df: DataFrame, *order: Column) -> DataFrame:
-        return df.orderBy(*order).offset(self.offset).limit(self.rows)
+    def whole(self, df: DataFrame, *aggregates: Column) -> DataFrame:
+        """One row of aggregates, or one for each tenant."""
+        return df.groupBy(*self.keys).agg(*aggregates) if self.keys else df.agg(*aggregates)
+
+    def beside(self, left: DataFrame, right: DataFrame) -> DataFrame:
+        """Rows of whole() on the right put beside those on the left: of the same tenant, or the only row."""
+        return left.join(right, list(self.keys), "left") if self.keys else left.crossJoin(right)
+
+    def page(self, df: DataFrame, *order: Column, limit: int | None = None, offset: int | None = None) -> DataFrame:
+        """The page in this order; for every tenant that of each, by its rank among the tenant's rows."""
+        skip, most = self.offset if offset is None else offset, limit or self.rows
+        if not self.keys:
+            return df.orderBy(*order).offset(skip).limit(most)
+        rank = F.row_number().over(Window.partitionBy(*self.keys).orderBy(*order))
+        return df.withColumn("__rank", rank).filter((F.col("__rank") <= skip + most) & (F.col("__rank") > skip)).drop("__rank")
 
 
 def facts(df: DataFrame, f: Filters, *dims: str, events: tuple[str, ...] = (), install: bool = False) -> DataFrame:

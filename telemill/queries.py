@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import date, datetime
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,12 +14,12 @@ from .operators import commands, errors, installs, maintenance, sessions, vendor
 from .operators.rollups import rollups
 from .operators.stored import Stored
 from .plans.buckets import stored_grain
-from .plans.scope import Filters, attribute, json_number
+from .plans.scope import EVERY, Filters, attribute, json_number
 from .sources import telemetry
 
 START, END = datetime(2024, 1, 1), datetime(2024, 2, 1)
 WATERMARK = datetime(2024, 1, 20, 12)
-#: Every tenant of the facts; a query is one tenant's, and the registered one holds each tenant's rows.
+#: Every tenant of the facts; a registered query holds each tenant's rows, as one tenant's query gives them.
 TENANTS = ("t0", "t1")
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -64,6 +63,10 @@ class _Data:
         self.logs, self.traces, self.metrics = (lambda f=f: f(spark, sf_dir) for f in (telemetry.logs, telemetry.traces, telemetry.metrics))
         self.rules = rollups()
 
+    @property
+    def keys(self) -> tuple[str, ...]:
+        return self.scope().keys
+
     def scope(self, limit: int = 1000, **more) -> Filters:
         return Filters(self.tenant, START, END, limit=limit, **more)
 
@@ -105,7 +108,7 @@ _RUN = f"FROM tel WHERE {_SCOPE} AND event_type IN ('click', 'error')"
 _SPAN = f"FROM tel WHERE {_SCOPE} AND event_type IN ('click', 'error') AND concat('cli.command.', coalesce(command_name, '')) LIKE 'cli.command.%'"
 
 _query("q1_list_traces", f"SELECT event_id AS id, t AS time, span, duration_ms FROM (SELECT *, concat('cli.command.', coalesce(command_name, '')) AS span, value AS duration_ms {_RUN} AND os IN ('linux', 'darwin') AND shell LIKE '%sh%' AND regexp_matches(shell, '^(ba|z)sh$')) ORDER BY t DESC, event_id LIMIT 100")(
-    lambda d: commands.list_traces(d.traces(), d.scope(100, systems=("linux", "darwin"), contains={"cli.shell": "sh"}, matches={"cli.shell": "^(ba|z)sh$"})).select("id", "time", F.col("span_name").alias("span"), "duration_ms")
+    lambda d: commands.list_traces(d.traces(), d.scope(100, systems=("linux", "darwin"), contains={"cli.shell": "sh"}, matches={"cli.shell": "^(ba|z)sh$"})).select(*d.keys, "id", "time", F.col("span_name").alias("span"), "duration_ms")
 )
 _query("q2_latency_percentiles")(lambda d: commands.latency_percentiles(d.rolled("command_stats", "day"), d.scope(), "week"))
 _query("q2_latency_exact", f"SELECT {_B('week')}, command_name, count(*) AS invocations, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.99), 6) AS p99 {_SPAN} GROUP BY ALL")(
@@ -126,11 +129,11 @@ _query("q9_retention", f"""SELECT cohort, period, count(*) AS installs, first_va
   (SELECT install_id, min(p) OVER (PARTITION BY install_id) AS cohort, date_diff('day', min(p) OVER (PARTITION BY install_id), p) // 7 AS period FROM
    (SELECT DISTINCT install_id, date_trunc('week', t) AS p {_STARTED} AND install_id IS NOT NULL)) GROUP BY cohort, period""")(lambda d: installs.retention(d.logs(), d.scope(), "week"))
 _query("q10_list_dimensions", f"SELECT dimension, value FROM (SELECT DISTINCT unnest(['cli_version', 'os', 'arch', 'command_name']) AS dimension, unnest([cli_version, os, arch, command_name]) AS value FROM tel WHERE tenant_id = 't0' AND event_type IN ('click', 'error')) WHERE value IS NOT NULL")(
-    lambda d: commands.list_dimensions(d.rolled("command_stats", "day"), d.tenant)
+    lambda d: commands.list_dimensions(d.rolled("command_stats", "day"), d.scope())
 )
 _query("q11_resource_usage")(lambda d: commands.resource_usage(d.rolled("command_resources", "day"), d.scope(), "month"))
 _query("q11_resource_reports", f"SELECT {_B('month')}, command_name, cli_version, count(peak_rss_bytes) AS rss_reported, count(cpu_time_ms) AS cpu_reported {_SPAN} GROUP BY ALL")(
-    lambda d: commands.resource_usage(d.rolled("command_resources", "day"), d.scope(), "month").select("bucket", "command_name", "cli_version", "rss_reported", "cpu_reported")
+    lambda d: commands.resource_usage(d.rolled("command_resources", "day"), d.scope(), "month").select(*d.keys, "bucket", "command_name", "cli_version", "rss_reported", "cpu_reported")
 )
 _query("q12_version_footprint")(lambda d: installs.version_footprint(d.rolled("session_footprint"), d.scope()))
 _query("q12_version_sizes", f"SELECT cli_version, count(*) AS sessions, count(binary_size_bytes) AS size_reported, min(binary_size_bytes) AS least_size, max(binary_size_bytes) AS most_size, count(startup_ms) AS startup_reported, count(DISTINCT install_id) FILTER (binary_size_bytes IS NOT NULL) AS size_installs, count(DISTINCT install_id) FILTER (startup_ms IS NOT NULL) AS startup_installs {_STARTED} GROUP BY ALL")(
@@ -160,7 +163,7 @@ _query("q20_session_lengths", f"""SELECT l.length, coalesce(sessions, 0) AS sess
    FROM (SELECT (epoch_us(max(t)) - epoch_us(min(t))) / 1e6 AS secs FROM {_SESSION} GROUP BY install_id, s)) GROUP BY GROUPING SETS ((length), ())) c ON l.length IS NOT DISTINCT FROM c.length""")(lambda d: _rounded(sessions.session_lengths(d.logs(), d.scope())))
 _query("q21_session_sequences", f"""SELECT array_to_string(commands, ' > ') AS commands, count(*) AS sessions FROM (SELECT install_id, s, list(command_name ORDER BY t, event_id)[1:5] AS commands FROM
   (SELECT *, lag(command_name) OVER (PARTITION BY install_id, s ORDER BY t, event_id) AS b FROM {_SESSION} WHERE command_name IS NOT NULL) WHERE b IS DISTINCT FROM command_name GROUP BY install_id, s) WHERE len(commands) >= 1 GROUP BY commands ORDER BY sessions DESC, commands LIMIT 1000""")(
-    lambda d: sessions.session_sequences(d.logs(), d.scope()).select(F.array_join("commands", " > ").alias("commands"), "sessions")
+    lambda d: sessions.session_sequences(d.logs(), d.scope()).select(*d.keys, F.array_join("commands", " > ").alias("commands"), "sessions")
 )
 
 
@@ -203,10 +206,10 @@ _ENVIRONMENT = {
 for _name, _value in _ENVIRONMENT.items():
     _query(f"q24_environment_{_name}", _environment_sql(_value, 2))(lambda d, n=_name: sessions.session_environment(d.logs(), d.scope(), sessions.environment_values()[n], 2))
 _query("f13_typed_json", f"SELECT CASE WHEN customized_count < 0 THEN 'negative' ELSE 'number' END AS kind, count(*) AS n, CAST(sum(customized_count) AS DOUBLE) AS total FROM tel WHERE {_SCOPE} AND customized_count IS NOT NULL GROUP BY 1 UNION ALL SELECT 'text', count(*), 0 FROM tel WHERE {_SCOPE} AND shell IS NOT NULL")(
-    lambda d: d.logs().filter(d.scope().tenant() & d.scope().time("time")).select(F.explode(F.array(
+    lambda d: d.logs().filter(d.scope().tenant() & d.scope().time("time")).select(*d.keys, F.explode(F.array(
         F.struct(F.when(json_number("cli.config.customized_count") < 0, "negative").when(json_number("cli.config.customized_count").isNotNull(), "number").alias("kind"), json_number("cli.config.customized_count").alias("v")),
         F.struct(F.when(json_number("cli.shell").isNull() & attribute("cli.shell").isNotNull(), "text").alias("kind"), F.lit(0.0).alias("v")),
-    )).alias("x")).filter("x.kind is not null").groupBy("x.kind").agg(F.count("*").alias("n"), F.sum("x.v").alias("total"))
+    )).alias("x")).filter("x.kind is not null").groupBy(*d.keys, "x.kind").agg(F.count("*").alias("n"), F.sum("x.v").alias("total"))
 )
 _query("q25_unknown_commands", f"SELECT coalesce(a.bucket, i.bucket) AS bucket, coalesce(a.n, 0) AS attempts, coalesce(i.n, 0) AS invocations, CASE WHEN coalesce(i.n, 0) > 0 THEN round(coalesce(a.n, 0) / i.n, 6) ELSE 0 END AS attempt_rate FROM (SELECT {_B('day')}, count(*) AS n FROM tel WHERE {_SCOPE} AND event_name = 'cli.command.unknown' GROUP BY ALL) a FULL JOIN (SELECT {_B('day')}, count(*) AS n {_SPAN} GROUP BY ALL) i ON a.bucket = i.bucket")(
     lambda d: _rounded(commands.unknown_commands(d.logs(), d.rolled("command_stats", "day"), d.scope(), "day"))
@@ -235,12 +238,12 @@ _READ = f"{_RAISED} AND (consent_tier IN ('anonymous', 'basic') OR tenant_id = '
 _query("q30_error_fingerprints", f"""SELECT {_FP} AS fp, count(*) AS events, count(DISTINCT install_id) AS installs, min(t) AS first_seen, max(t) AS last_seen,
   coalesce(array_to_string(list_sort(list(DISTINCT command_name) FILTER (command_name IS NOT NULL)), ','), '') AS commands, CASE WHEN any_value(error_frames) IS NULL THEN 'message' ELSE 'stack' END AS source,
   arg_max({_PLAIN}, (t, event_id)) AS message, split_part(any_value(error_frames), chr(10), 1) AS top_frame {_READ} GROUP BY 1""")(
-    lambda d: _fingerprints(d).select("fp", "events", "installs", "first_seen", "last_seen", "commands", "source", "message", "top_frame")
+    lambda d: _fingerprints(d).select(*d.keys, "fp", "events", "installs", "first_seen", "last_seen", "commands", "source", "message", "top_frame")
 )
 _query("q30_error_trends", f"""SELECT p.*, trend, versions FROM (SELECT {_FP} AS fp, count(*) AS events, count(DISTINCT install_id) AS installs {_READ} GROUP BY 1) p
   JOIN (SELECT fp, string_agg(concat(strftime(b, '%Y-%m-%d %H'), ':', n, ':', i), ';' ORDER BY b) AS trend FROM (SELECT {_FP} AS fp, date_trunc('week', t) AS b, count(*) AS n, count(DISTINCT install_id) AS i {_READ} GROUP BY 1, 2) GROUP BY fp) USING (fp)
   JOIN (SELECT fp, string_agg(v, ',' ORDER BY sem.k NULLS LAST) AS versions FROM (SELECT DISTINCT {_FP} AS fp, cli_version AS v {_READ}) JOIN sem USING (v) GROUP BY fp) USING (fp)""", True)(
-    lambda d: _fingerprints(d).select("fp", "events", "installs", "trend", "versions")
+    lambda d: _fingerprints(d).select(*d.keys, "fp", "events", "installs", "trend", "versions")
 )
 _query("s21_normalised_messages", f"SELECT {_PLAIN} AS message, count(*) AS n FROM tel GROUP BY 1")(lambda d: d.logs().groupBy(normalised(F.col("error_message")).alias("message")).agg(F.count("*").alias("n")))
 
@@ -311,8 +314,8 @@ _query("q35_reach_series", f"SELECT {_B('day')}, count(DISTINCT install_id) AS r
 _query("q36_ratio", f"SELECT bucket, coalesce(sum(a), 0) AS numerator, coalesce(sum(b), 0) AS denominator, round(CASE WHEN coalesce(sum(b), 0) <> 0 THEN coalesce(sum(a), 0) / sum(b) * 100 END, 6) AS value FROM (SELECT {_B('day')}, obs AS a, NULL AS b {_MET('cli.counter')} AND name = 'vulns.found' UNION ALL SELECT {_B('day')}, NULL, CAST(1 AS DOUBLE) {_STARTED}) GROUP BY GROUPING SETS ((bucket), ())")(
     lambda d: _rounded(
         vendor.ratio(
-            vendor.operand(vendor._rows(d.rolled("counters", "day"), d.scope(), "vulns.found"), "total", "day", "day"),
-            vendor.operand(d.rolled("session_activity").filter(d.scope().tenant()), "sessions", "day", "day"),
+            vendor.operand(vendor._rows(d.rolled("counters", "day"), d.scope(), "vulns.found"), d.scope(), "total", "day", "day"),
+            vendor.operand(d.rolled("session_activity").filter(d.scope().tenant()), d.scope(), "sessions", "day", "day"),
             100.0,
         )
     )
@@ -451,8 +454,8 @@ def _positions(versions: DataFrame) -> DataFrame:
 def _registered(name: str, f: Callable[[_Data], DataFrame]) -> Query:
     if not _scoped(name):
         return lambda spark, sf_dir: f(_Data(spark, sf_dir))
-    of = lambda spark, sf_dir, t: f(_Data(spark, sf_dir, t)).select(F.lit(t).alias("tenant_id"), "*")
-    return lambda spark, sf_dir: reduce(DataFrame.unionByName, (of(spark, sf_dir, t) for t in TENANTS))
+    # every tenant in one plan: each table is scanned as often as for one
+    return lambda spark, sf_dir: f(_Data(spark, sf_dir, EVERY))
 
 
 def queries() -> dict[str, Query]:

@@ -193,12 +193,23 @@ def test_stored_rollups_equal_those_of_all_facts(spark, store):
             assert rows(read(got)) == rows(read(want)), (name, bucket)
 
 
-def test_stored_reads_leave_whole_dates_alone(store):
-    plan = store.read("command_stats", "hour")._jdf.queryExecution().toString()
-    assert "rollups/command_stats/hour" in plan and "PartitionFilters" in plan
-    # of the raw facts only dates that are not stored whole are read
-    raw = [f for f in store.read("command_stats", "hour").inputFiles() if "/traces/" in f]
-    assert raw and all("date=2024-01-2" in f or "date=2024-01-3" in f for f in raw)
+def test_stored_reads_leave_whole_dates_alone(spark, store):
+    """Without the raw facts of the dates that are stored whole the result is the same."""
+    from pathlib import Path
+
+    root = Path(store.path).parent
+
+    def tail(signal):
+        days = [str(p) for p in (root / signal).iterdir() if p.name >= "date=2024-01-20"]
+        return spark.read.option("basePath", str(root / signal)).parquet(*days)
+
+    short = Stored(spark, store.path, tail)
+    for name in ("exit_codes", "session_activity"):
+        for bucket in ("hour", "week") if name == "exit_codes" else ("week",):
+            both = [rows(s.read(name, bucket).withColumnRenamed("installs", "i").drop("i")) for s in (short, store)]
+            assert both[0] == both[1] and len(both[0]) > 100
+    plan = store.read("exit_codes", "hour")._jdf.queryExecution().toString()
+    assert "PartitionFilters: [NOT date" in plan or "PartitionFilters: [isnotnull(date" in plan
 
 
 @pytest.mark.parametrize("name", ["q2_latency_exact", "q3_error_rate", "q4_command_frequency", "q6_exit_codes", "q8_active_installs", "q12_version_sizes", "q27_friction", "q33_measures", "q34_value_series", "q35_reach", "q36_ratio", "q36_counter_per_install", "q37_vendor_services"])
@@ -355,3 +366,33 @@ def test_retention_rewrites_only_partitions_of_shorter_tenants(spark, tmp_path):
     kept = {f for f in before if not any(f.startswith(p) for p in places)}
     assert kept and all(after.get(f) == before[f] for f in kept) and not [n for n in maintenance.Files(spark, path).names(path) if n.startswith("_out") or n.startswith("_new")]
     assert maintenance.drop_expired_of_tenants(spark, path, tenants, "logs_days", date(2024, 1, 21)) == []
+
+
+def test_retain_drops_expired_dates_of_every_table(spark, tmp_path):
+    tenants = spark.createDataFrame([("a", 5)], "tenant_id string, logs_days int")
+    job = Telemetry(spark, str(tmp_path / "t"), None, tenants)
+    cols = "time timestamp, tenant_id string, span_name string, cli_version string, os string, arch string, is_ci boolean, command_name string, exit_code int"
+    made = lambda *days: spark.createDataFrame([(d, t, "cli.command.x", None, None, None, None, "x", 0) for d in days for t in "ab"], cols)
+    day = lambda n: datetime(2024, 5, 31, 6) - timedelta(days=n)
+    for signal in ("logs", "traces"):
+        ingest.append(made(day(100), day(40), day(2)), f"{job.root}/facts/{signal}", 0)
+    job.rollups.rules = {"exit_codes": rollups()["exit_codes"]}
+    job.rollups.refresh([day(n).date() for n in (100, 40, 2)], datetime(2024, 5, 31))
+    job.retain(date(2024, 5, 31))
+    left = lambda signal: sorted({(r.tenant_id, (date(2024, 5, 31) - r.time.date()).days) for r in job.facts(signal).collect()})
+    # spans go after 30 days, events after 90, those of the tenant that keeps them for five after five
+    assert left("traces") == [("a", 2), ("b", 2)] and left("logs") == [("a", 2), ("b", 2), ("b", 40)]
+    kept = {(r.grain, (date(2024, 5, 31) - r.date).days) for r in job.rollups.catalogue.read().collect()}
+    assert kept == {("hour", 40), ("hour", 2), ("day", 100), ("day", 40), ("day", 2)}
+
+
+def test_sessions_of_a_stream_close_at_the_gap(spark, tmp_path):
+    from telemill.streaming.jobs import sessions
+
+    at = lambda m: datetime(2024, 1, 1, 10) + timedelta(minutes=m)
+    runs = [("t", "i", at(0)), ("t", "i", at(20)), ("t", "i", at(55)), ("t", "j", at(5)), ("u", "i", at(5)), ("t", "far", at(60 * 24 * 9))]
+    spark.createDataFrame(runs, "tenant_id string, install_id string, time timestamp").coalesce(1).write.parquet(str(tmp_path / "in"))
+    q = sessions(spark.readStream.schema("tenant_id string, install_id string, time timestamp").parquet(str(tmp_path / "in"))).writeStream.format("memory").queryName("closed").outputMode("append").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c")).start()
+    q.awaitTermination(120)
+    q.stop()
+    assert rows(spark.table("closed"), "tenant_id", "install_id", "first", "runs") == [("t", "i", at(0), 2), ("t", "i", at(55), 1), ("t", "j", at(5), 1), ("u", "i", at(5), 1)]
