@@ -19,6 +19,7 @@ import tiktoken
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.snapshots import Files
 from .common import slices
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -64,37 +65,38 @@ def deltas(changes: DataFrame) -> DataFrame:
 
 
 class Rollup:
-    """A store of batches in a folder of any file system that Spark writes; one writer for each batch number."""
+    """A store of batches in a folder of any file system that Spark writes; any number of writers.
+
+    A batch's sums are written to a folder of their own, and the batch is committed by creating the marker of its
+    number, which names that folder: of writers of one number just the first one counts, and a lost one leaves nothing.
+    """
 
     def __init__(self, spark: SparkSession, path: str) -> None:
-        self.spark, self.path = spark, path.rstrip("/")
-        jvm = spark.sparkContext._jvm
-        self._path = lambda p: jvm.org.apache.hadoop.fs.Path(p)
-        self._fs = self._path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self.spark, self.path, self.files = spark, path.rstrip("/"), Files(spark, path)
 
-    def _place(self, batch: int) -> str:
-        return f"{self.path}/batches/batch={batch:012d}"
+    def _marker(self, batch: int) -> str:
+        return f"{self.path}/batches/{batch:012d}"
 
     def committed(self, batch: int) -> bool:
-        return self._fs.exists(self._path(self._place(batch)))
+        return self.files.exists(self._marker(batch))
 
     def commit(self, batch: int, changes: DataFrame) -> bool:
         """Adds a batch; False, and nothing done, if that number is there already."""
         if self.committed(batch):
             return False
-        trial = f"{self.path}/trials/{uuid.uuid4().hex}"
-        deltas(changes).write.parquet(trial)
-        self._fs.mkdirs(self._path(f"{self.path}/batches"))
-        if self.committed(batch) or not self._fs.rename(self._path(trial), self._path(self._place(batch))):
-            self._fs.delete(self._path(trial), True)
-            return False
-        return True
+        own = uuid.uuid4().hex
+        deltas(changes).write.parquet(f"{self.path}/rows/{own}")
+        if self.files.create(self._marker(batch), own):
+            return True
+        self.files.delete(f"{self.path}/rows/{own}")
+        return False
 
     def totals(self) -> DataFrame:
         """source, lang, tokenizer, n_docs, n_tokens; groups that came back to nothing are left out."""
-        if not self._fs.exists(self._path(f"{self.path}/batches")):
+        folders = [self.files.read(f"{self.path}/batches/{n}") for n in self.files.names(f"{self.path}/batches") if n.isdigit()]
+        if not folders:
             return self.spark.createDataFrame([], "source string, lang string, tokenizer string, n_docs long, n_tokens long")
-        rows = self.spark.read.schema(DELTAS).parquet(f"{self.path}/batches")
+        rows = self.spark.read.schema(DELTAS).parquet(*[f"{self.path}/rows/{f}" for f in folders])
         sums = rows.groupBy("source", "lang", "tokenizer").agg(F.sum("docs").alias("n_docs"), F.sum("tokens").alias("n_tokens"))
         return sums.filter("n_docs <> 0 or n_tokens <> 0")
 

@@ -105,6 +105,14 @@ def test_rollup(spark, tmp_path):
     assert store.commit(3, make([])) and store.totals().count() == 2
 
 
+def test_rollup_batch_of_two_writers_counts_once(spark, tmp_path):
+    store, c, make = changed_rollup(spark, str(tmp_path / "r"))
+    late = token_rollup.Rollup(spark, store.path)
+    late.committed = lambda batch: False  # it has looked before the other one committed
+    assert store.commit(1, make([(None, c("a", "v1", 5))])) and not late.commit(1, make([(None, c("a", "v1", 5))]))
+    assert asked(store.totals(), "source", "n_docs", "n_tokens") == [("a", 1, 5)] and len(store.files.names(f"{store.path}/rows")) == 1
+
+
 def test_rollup_query(spark, agree):
     agree(queries.token_rollup_words, queries.oracle_sql()["token_rollup_words"])
     docs = queries.table(spark, SF, "documents").toPandas()
