@@ -140,23 +140,30 @@ def runs_of_documents(values: np.ndarray, counts: np.ndarray) -> tuple[np.ndarra
     return f[:3], np.bincount(f[3], minlength=len(counts))
 
 
-def _structs(f: np.ndarray, counts: np.ndarray) -> pa.Array:
+def _structs(f: np.ndarray, counts: np.ndarray, null: np.ndarray) -> pa.Array:
     at = np.zeros(len(counts) + 1, dtype=np.int32)
     np.cumsum(counts, out=at[1:])
-    return pa.ListArray.from_arrays(pa.array(at), pa.StructArray.from_arrays([pa.array(x, pa.int64()) for x in f], ["start", "end", "period"]))
+    return pa.ListArray.from_arrays(pa.array(at, mask=np.append(null, False)), pa.StructArray.from_arrays([pa.array(x, pa.int64()) for x in f], ["start", "end", "period"]))
 
 
-def _solved(digest: bool):
-    """Rows (key, doc_id, text) to (key, doc_id, n_words, runs, text, collapsed): text only where there are runs, collapsed only where not."""
+def _solved(digest: bool, tiled_bytes: int):
+    """Rows (key, doc_id, text) to (key, doc_id, n_words, runs, text, collapsed).
+
+    text only where there are runs or they are still to be found in tiles (runs is null), collapsed only where not.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
+            texts = [t or "" for t in b.column("text").to_pylist()]
+            long = np.array([len(t.encode()) > tiled_bytes for t in texts], dtype=bool)
             w = Words(b.column("text"), _SEPARATORS)
-            f, n = runs_of_documents(w.hashes, w.counts)
-            texts = b.column("text").to_pylist()
-            plain = [None if k else _made((t or "").encode().split(), digest) for k, t in zip(n, texts)]
+            f, n = runs_of_documents(w.hashes[~np.repeat(long, w.counts)], w.counts[~long])
+            every = np.zeros(len(texts), dtype=np.int64)
+            every[~long] = n
+            held = long | (every > 0)
             yield pa.RecordBatch.from_arrays(
-                [b.column("key"), b.column("doc_id"), pa.array(w.counts, pa.int64()), _structs(f, n), pa.array([t if k else None for k, t in zip(n, texts)], pa.string()), pa.array(plain, pa.string())],
+                [b.column("key"), b.column("doc_id"), pa.array(w.counts, pa.int64()), _structs(f, every, long), pa.array([t if k else None for k, t in zip(held, texts)], pa.string()),
+                 pa.array([None if k else _made(t.encode().split(), digest) for k, t in zip(held, texts)], pa.string())],
                 ["key", "doc_id", "n_words", "runs", "text", "collapsed"],
             )
 
@@ -246,14 +253,13 @@ def collapse(docs: DataFrame, digest: bool = False, tiled_bytes: int = TILED_BYT
     kind = dict(docs.dtypes)["doc_id"]
     # equal rows have one key and equal runs
     rows = docs.select(F.concat(*[F.hex(F.xxhash64(F.lit(k), "doc_id", "text")) for k in (1, 2)]).alias("key"), "doc_id", "text")
-    long = F.coalesce(F.octet_length("text"), F.lit(0)) > tiled_bytes
-    solved = staged(rows.filter(~long).mapInArrow(_solved(digest), f"key string, doc_id {kind}, n_words bigint, runs {_FRAGMENT}, text string, collapsed string"))
-    tiles = rows.filter(long).select("key", "text").mapInArrow(_tiles(segment), "key string, scale bigint, at bigint, words array<bigint>").repartition("key", "scale", "at")
-    found = solved.filter("text is not null").select("key", F.inline("runs")).unionByName(tiles.mapInArrow(_tile_fragments, "key string, start bigint, `end` bigint, period bigint"))
+    # one scan of the texts; those to be tiled, and those with runs, are carried on in the staged table
+    solved = staged(rows.mapInArrow(_solved(digest, tiled_bytes), f"key string, doc_id {kind}, n_words bigint, runs {_FRAGMENT}, text string, collapsed string"))
+    tiles = solved.filter("runs is null").select("key", "text").mapInArrow(_tiles(segment), "key string, scale bigint, at bigint, words array<bigint>").repartition("key", "scale", "at")
+    found = solved.select("key", F.inline("runs")).unionByName(tiles.mapInArrow(_tile_fragments, "key string, start bigint, `end` bigint, period bigint"))
     run = F.struct("start", "period", (F.col("end") - F.col("start")).alias("length"))
     runs = stitched(found).groupBy("key").agg(F.array_sort(F.collect_list(run)).alias("runs"))
-    counted = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"[^ \t-\r]+")).cast("bigint").alias("n_words")
-    some = solved.filter("text is not null").select("key", "doc_id", "n_words", "text").unionByName(rows.filter(long).select("key", "doc_id", counted, "text"))
+    some = solved.filter("text is not null").select("key", "doc_id", "n_words", "text")
     named = "array<struct<start:bigint,period:bigint,length:bigint>>"
     done = some.join(runs, "key", "left").select("doc_id", "n_words", F.coalesce("runs", F.array().cast(named)).alias("runs"), "text")
     done = done.mapInArrow(_collapsed(digest), f"doc_id {kind}, n_words bigint, runs {named}, collapsed string")
