@@ -142,7 +142,7 @@ class Telemetry:
         return records.writeStream.foreachBatch(lambda rows, n: self.write(signal, rows, n)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
     def retain(self, today: date) -> dict[str, list[str]]:
-        """Drops expired partitions of every fact table, and of tenants that keep theirs for a shorter time; stored rollups forget expired dates."""
+        """Drops expired partitions of every fact table, and of tenants that keep theirs for a shorter time; stored rollups forget expired dates, and old versions of state go."""
         gone = {}
         for signal in BUILD:
             path = f"{self.root}/facts/{signal}"
@@ -151,6 +151,8 @@ class Telemetry:
             gone[signal] = maintenance.drop_expired(self.spark, path, today, maintenance.DAYS[signal])
             if f"{signal}_days" in self.tenants.columns:
                 gone[signal] += maintenance.drop_expired_of_tenants(self.spark, path, self.tenants, f"{signal}_days", today)
+        for table in (self.installs, self.discoveries, self.rollups.catalogue, *(v.table for v in (self.reasons, self.names, self.labels, self.dim_values))):
+            table.prune()  # versions that no batch can ask for any more
         keep = F.when(F.col("grain") == "hour", maintenance.DAYS["hour"]).otherwise(maintenance.DAYS["day"])
         while True:
             on = self.rollups.catalogue.version()
