@@ -47,7 +47,8 @@ def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.report(decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+    stored = staged(decontaminate.index(table(spark, sf_dir, "documents")))
+    return decontaminate.near_items(decontaminate.search(stored, table(spark, sf_dir, "benchmark"), slack=decontaminate.SLACK))
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

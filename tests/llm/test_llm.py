@@ -306,27 +306,46 @@ def test_decontamination_judges_rows_without_id(spark):
     assert sorted((r.text, r.h1) for r in decontaminate.drop_contaminated(df, bench).collect()) == [("else", 2), ("else", 3)]
 
 
+def least_stretches(text, item, slack):
+    """Words inside the least stretches that have all the item's words."""
+    w, size, need, out = text.split(), len(item.split()), Counter(item.split()), set()
+    for a in range(len(w)):
+        for b in range(a + 1, min(len(w), a + size + slack) + 1):
+            # a least stretch: without its first or its last word it lacks one
+            if not need - Counter(w[a:b]) and need - Counter(w[a + 1 : b]) and need - Counter(w[a : b - 1]):
+                out |= set(range(a, b))
+    return out
+
+
 def test_proximity_by_brute_force(spark):
     r = np.random.default_rng(3)
     docs = [(i, " ".join(r.choice(list("abcdefgh"), 30))) for i in range(40)]
     items = [(k, " ".join(r.choice(list("abcdefgh"), 5))) for k in range(20)]
     got = decontaminate.matches(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), slack=1)
-
-    def covered(text, item):
-        w, need, out = text.split(), Counter(item.split()), set()
-        for a in range(len(w)):
-            for b in range(a + 1, min(len(w), a + len(item.split()) + 1) + 1):
-                inside = Counter(w[a:b])
-                # a least stretch: without its first or its last word it lacks one
-                if not need - inside and need - Counter(w[a + 1 : b]) and need - Counter(w[a : b - 1]):
-                    out |= set(range(a, b))
-        return out
-
     for row in got.collect():
-        want = {(str(k), p) for k, t in items for p in covered(dict(docs)[row.doc_id], t)}
+        want = {(str(k), p) for k, t in items for p in least_stretches(dict(docs)[row.doc_id], t, 1)}
         assert {(s.item_id, p) for s in row.spans for p in range(s.start, s.stop)} == want
 
 
+def test_one_index_serves_two_benchmarks(spark):
+    """Segments of a few texts, windows dealt to several tasks; the index is written before either benchmark is known."""
+    r = np.random.default_rng(8)
+    docs = [(i, " ".join(r.choice(list("abcdef"), int(r.integers(0, 40)))) or None) for i in range(60)]
+    stored = common.staged(decontaminate.index(common.tuned(spark).createDataFrame(docs, "doc_id long, text string").repartition(2), segment_bytes=300))
+    assert stored.select("segment").distinct().count() > 8
+    for seed, slack in ((1, 2), (2, None)):
+        r = np.random.default_rng(seed)
+        items = [(k, " ".join(r.choice(list("abcdef") + ["never"] * (k % 9 == 0), 4))) for k in range(25)] + [(99, "f"), (100, None)]
+        got = decontaminate.search(stored, spark.createDataFrame(items, "item_id long, text string"), slack=slack, pass_bytes=200).collect()
+        assert sorted(g.doc_id for g in got) == list(range(60))
+        for g in got:
+            w = (dict(docs)[g.doc_id] or "").split()
+            exact = {(str(k), p) for k, t in items if t for a in range(len(w)) if w[a : a + len(t.split())] == t.split() for p in range(a, a + len(t.split()))}
+            assert {(s.item_id, p) for s in g.spans for p in range(s.start, s.stop)} == exact
+            near = {(str(k), p) for k, t in items if t and slack for p in least_stretches(" ".join(w), t, slack)}
+            assert {(s.item_id, p) for s in g.near for p in range(s.start, s.stop)} == near
+
+
 def test_proximity(spark):
     docs = spark.createDataFrame([(1, "b x a c"), (2, "a b x x x x c"), (3, "a b")], "doc_id long, text string")
     got = decontaminate.matches(docs, spark.createDataFrame([(1, "a b c")], "item_id long, text string"), slack=1)
