@@ -66,6 +66,54 @@ def test_fertility(docs, empty):
     assert got.filter("kept and base_failed").count() == 0 and fertility.judge(empty).count() == 0
 
 
+def test_fertility_measures_and_bands_by_brute_force(spark):
+    import struct
+
+    import sentencepiece
+    import xxhash
+
+    model = sentencepiece.SentencePieceProcessor(model_file=fertility.MODEL)
+    table = queries.table(spark, SF, "documents")
+    out = {r.doc_id: r for r in queries.op1_tokenizer_fertility(spark, SF).collect()}
+    sketch = {r.doc_id: r.sketch for r in fertility.measure(table).select("doc_id", "sketch").collect()}
+    measured, texts = {}, {r.doc_id: r for r in table.collect()}
+    for i, r in texts.items():
+        ids = [t for w in WORD.findall(r.text or "") for t in model.encode(w)]
+        n, often = max(len(ids), 1), Counter(ids)
+        entropy = -sum(c / n * np.log2(c / n) for c in often.values())
+        measured[i] = (sum(map(len, WORD.findall(r.text or ""))) / n, sum(map(model.is_byte, ids)) / n, entropy)
+        assert out[i].n_tokens == len(ids) and np.allclose((out[i].chars_per_token, out[i].byte_share, out[i].entropy), measured[i], atol=1e-9)
+
+    def drawn(i):
+        """What tells which of the copies stands for them: a hash of its measures, as the query has them."""
+        seed = 42
+        for v in (out[i].chars_per_token, out[i].byte_share, out[i].entropy):
+            seed = xxhash.xxh64_intdigest(struct.pack("<d", v), seed)
+        return seed - (1 << 64) * (seed >> 63)
+
+    octave = {i: int(np.floor(np.log2(max(out[i].n_tokens, 1)))) for i in out}
+    copies = defaultdict(list)
+    for i in out:
+        if not out[i].base_failed:
+            copies[texts[i].lang, octave[i], sketch[i]].append(i)
+    distinct = defaultdict(list)
+    for (lang, o, _), ids in copies.items():
+        distinct[lang, o].append(measured[min(ids, key=drawn)])
+    bands = {}
+    for lang, o in distinct:
+        held = []
+        for d in sorted({abs(o - b) for a, b in distinct if a == lang}):
+            if len(held) < 20:
+                held += [v for a, b in distinct if a == lang and abs(o - b) == d for v in distinct[a, b]]
+        for k, slack in enumerate((0.35, 0.02, 0.5)):
+            v = sorted(x[k] for x in held)
+            low, middle, high = (v[max(0, int(np.ceil(q * len(v))) - 1)] for q in (0.25, 0.5, 0.75))
+            wide = max(4 * (high - low) / 2, slack)
+            bands[lang, o, k] = (middle - wide - 1e-9, middle + wide + 1e-9)
+    inside = lambda i: all(bands[texts[i].lang, octave[i], k][0] <= measured[i][k] <= bands[texts[i].lang, octave[i], k][1] for k in range(3))
+    assert {i for i in out if out[i].kept} == {i for i in out if not out[i].base_failed and inside(i)}
+
+
 def test_fertility_keeps_prose_and_drops_noise(spark):
     labels = queries.table(spark, SF, "labels")
     got = queries.op1_tokenizer_fertility(spark, SF).join(labels, "doc_id").filter("n_words >= 50").groupBy("quality").agg(F.avg(F.col("kept").cast("int")).alias("k"))
@@ -565,6 +613,34 @@ def test_rule_ensemble(spark, docs):
     }
 
 
+def test_rule_ensemble_by_brute_force(spark, docs):
+    """Statistics, rules and score of every document again in plain Python."""
+    import regex
+
+    def statistics(text):
+        t = text or ""
+        words, lines = [w for w in re.split(r"[\t-\r ]+", t) if w], [x for x in t.split("\n") if x.strip(" ")]
+        n, inside = len(words), lambda p: sum(len(m) for m in regex.findall(p, t))
+        share = lambda a, b: a / b if b else 0.0
+        return {
+            "n_words": n, "word_length": share(len(t) - n, n), "distinct_words": share(len(set(words)), min(n, 1000)), "distinct_lines": share(len(set(lines)), len(lines)), "line_words": share(n, len(lines)),
+            "symbols": share(inside("[#*$%&|<>]+"), len(t)), "marks": share(inside("[!?;:=_~]+"), len(t)), "capitals": share(inside(r"\p{Lu}+"), len(t)), "digits": share(inside("[0-9]+"), len(t)), "stops": share(inside("[.]+"), n),
+        }
+
+    made = docs.select("text", *(c.alias(f"s_{k}") for k, c in rule_ensemble.statistics(F.col("text")).items()))
+    for r in made.collect():
+        want = statistics(r.text)
+        assert all(np.isclose(r[f"s_{k}"], v) for k, v in want.items()), (r, want)
+    table, labels = queries.table(spark, SF, "documents"), queries.table(spark, SF, "labels")
+    model = rule_ensemble.fit(table, labels.filter(~rule_ensemble.held_out(F.col("doc_id"))))
+    assert model.rules and all(r.weight for r in model.rules)
+    got = {r.doc_id: r.score for r in queries.op10_rule_ensemble(spark, SF).collect()}
+    for r in table.select("doc_id", "text").collect():
+        s = statistics(r.text)
+        total = model.intercept + sum(rule.weight for rule in model.rules if all(s[k] <= b if low else s[k] > b for k, low, b in rule.terms))
+        assert np.isclose(got[r.doc_id], 1 / (1 + np.exp(-total)))
+
+
 def test_pipeline(spark):
     import corpus_pipeline as c
 
