@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from conftest import plain
 from telemill import queries
 from telemill.sources import telemetry
 
@@ -62,3 +63,28 @@ def test_sketched_percentiles_stand_at_their_ranks(name, spark):
                 continue
             below, upto, slack = sum(v < r[c] for v in values), sum(v <= r[c] for v in values), 2 + 0.03 * len(values)
             assert below - slack <= q * len(values) <= upto + slack, (c, r)
+
+
+EXACT = ["q12_version_sizes"]
+
+
+@pytest.fixture(scope="session")
+def many_installs(spark, tmp_path_factory):
+    """A day of 120,000 events, each of another user: more installs in a group than a sketch keeps one by one."""
+    folder = tmp_path_factory.mktemp("many")
+    rows = spark.range(120_000).select(
+        F.col("id").alias("event_id"), F.timestamp_micros(F.lit(1704067200000000) + F.col("id") * 700_000).cast("timestamp_ntz").alias("ts"), F.col("id").alias("user_id"),
+        F.when(F.pmod(F.xxhash64("id"), F.lit(2)) == 0, "signup").otherwise("click").alias("event_type"), (F.col("id") % 500).cast("double").alias("value"), F.format_string('{"k": %d}', F.col("id") % 97).alias("props"),
+    )
+    rows.coalesce(1).write.parquet(str(folder / "events.parquet"))
+    return str(folder)
+
+
+@pytest.mark.parametrize("name", EXACT)
+def test_distinct_counts_are_exact_where_sketches_estimate(name, spark, duck, many_installs):
+    df = queries.queries()[name](spark, many_installs)
+    columns = sorted(df.columns)
+    cursor = duck.execute(SQL[name].replace("FROM events", f"FROM '{many_installs}/events.parquet/*.parquet'"))
+    names = [d[0] for d in cursor.description]
+    want = [repr([plain(dict(zip(names, r))[c]) for c in columns]) for r in cursor.fetchall()]
+    assert sorted(repr([plain(r[c]) for c in columns]) for r in df.collect()) == sorted(want) and want
