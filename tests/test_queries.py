@@ -65,7 +65,7 @@ def test_sketched_percentiles_stand_at_their_ranks(name, spark):
             assert below - slack <= q * len(values) <= upto + slack, (c, r)
 
 
-EXACT = ["q12_version_sizes", "q35_reach", "q35_reach_groups", "q35_reach_series", "q36_counter_per_install", "q36_installs_per_session", "q36_invocations_per_install", "q8_active_installs"]
+EXACT = ["q12_version_sizes", "q35_reach", "q35_reach_groups", "q35_reach_series", "q36_counter_per_install", "q36_installs_per_session", "q36_invocations_per_install", "q8_active_installs", "r3_session_activity_daily"]
 
 
 @pytest.fixture(scope="session")
