@@ -88,3 +88,12 @@ def test_distinct_counts_are_exact_where_sketches_estimate(name, spark, duck, ma
     names = [d[0] for d in cursor.description]
     want = [repr([plain(dict(zip(names, r))[c]) for c in columns]) for r in cursor.fetchall()]
     assert sorted(repr([plain(r[c]) for c in columns]) for r in df.collect()) == sorted(want) and want
+
+
+def test_error_trends_count_every_raised_error(spark):
+    """Whatever its consent tier; first and last time, commands and a sample stand beside the trend."""
+    sf = "/root/testdata/sf0.001"
+    raised = telemetry.logs(spark, sf).filter("event_name = 'cli.error.raised'")
+    out = queries.queries()["q30_error_trends"](spark, sf)
+    assert out.agg(F.sum("events")).first()[0] == raised.count() > raised.filter("consent_tier <> 'full' or tenant_id = 't1'").count()
+    assert {"first_seen", "last_seen", "commands", "sample"} <= set(out.columns)
