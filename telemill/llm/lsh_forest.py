@@ -223,12 +223,17 @@ def _judged(link: Link, star: bool):
 _OUT = "key long, cid long, root long, n long"
 
 
+def _together(df: DataFrame) -> DataFrame:
+    """The same rows in at most four partitions a core, merged where they are: a small round costs no task, file and Python call for each shuffle partition."""
+    return df.coalesce(4 * df.sparkSession.sparkContext.defaultParallelism)
+
+
 def _large(members: DataFrame) -> DataFrame:
     """key, nb and hub (its least member) of the keys that need several blocks."""
     sums = members.groupBy("key").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"), F.min("cid").alias("hub"))
     parts = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int")
     # staged: the optimizer knows its size, and broadcasts it only where it is small
-    return staged(sums.filter("n > 1").select("key", parts.alias("nb"), "hub").filter("nb > 1"))
+    return staged(_together(sums.filter("n > 1").select("key", parts.alias("nb"), "hub").filter("nb > 1")))
 
 
 def _blocks(members: DataFrame, large: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -250,13 +255,13 @@ def spanning(members: DataFrame, link: Link) -> DataFrame:
     large = _large(members)
     one, many = _blocks(members, large)
     none = F.lit(None)
-    alone = one.withColumn("b", none.cast(one.schema["a"].dataType)).mapInArrow(_judged(link, False), _OUT)
+    alone = _together(one.withColumn("b", none.cast(one.schema["a"].dataType))).mapInArrow(_judged(link, False), _OUT)
     if large.isEmpty():
         return staged(alone.select("cid", "root", "n"))
-    many = staged(many)
+    many = staged(_together(many))
     hubs = many.select("key", "nb", "hub", F.explode(F.filter("members", lambda m: m["cid"] == F.col("hub"))).alias("m"))
     hubs = hubs.select("key", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("block"), F.array("m").alias("a"))
-    first = staged(hubs.join(many.select("key", "block", F.col("members").alias("b")), ["key", "block"]).select("key", "a", "b").mapInArrow(_judged(link, True), _OUT))
+    first = staged(_together(hubs.join(many.select("key", "block", F.col("members").alias("b")), ["key", "block"]).select("key", "a", "b")).mapInArrow(_judged(link, True), _OUT))
     rest = first.filter("root is null").select("key", "cid")
     found = [alone, first.filter("root is not null")]
     if not rest.isEmpty():
@@ -267,7 +272,7 @@ def spanning(members: DataFrame, link: Link) -> DataFrame:
         few = over.join(wide.select("key"), "key", "left_anti").groupBy("key").agg(F.collect_list(F.struct("cid", "value")).alias("a"))
         blocks = few.unionByName(lots.select("key", F.col("members").alias("a")))
         pairs = blocks.join(many.select("key", F.col("members").alias("b")), "key").select("key", "a", "b")
-        found.append(pairs.mapInArrow(_judged(link, False), _OUT))
+        found.append(_together(pairs).mapInArrow(_judged(link, False), _OUT))
     return staged(reduce(DataFrame.unionByName, found).select("cid", "root", "n"))
 
 
@@ -300,16 +305,16 @@ def candidate_groups(classes: DataFrame, threshold: float, trees: int, depth: in
         nodes = rows.groupBy("key").agg(F.count("*").alias("n"), F.count_if(is_open).alias("n_open"), F.min("cid").alias("hub")).filter("n > 1 and n_open > 0").select("key", "n", "hub")
         meet = rows.select("key", "cid").join(nodes, "key")
         fresh = few(meet.filter(F.col("n") <= BLOCK))
-        fresh = staged(fresh if seen is None else fresh.join(seen, ["key", "least"], "left_anti"))
+        fresh = staged(_together(fresh if seen is None else fresh.join(seen, ["key", "least"], "left_anti")))
         seen = fresh.select("key", "least") if seen is None else seen.unionByName(fresh.select("key", "least"))
         # large nodes of one least member, from all trees, are one: each of their members is compared with it once
         wide = meet.filter(F.col("n") > BLOCK).select(F.col("hub").alias("key"), "cid").distinct()
         members = fresh.select("key", F.explode("ids").alias("cid")).unionByName(wide)
-        found = spanning(staged(members.join(sketches, "cid").select("key", "cid", "size", "value")), link)
+        found = spanning(staged(_together(members.join(sketches, "cid").select("key", "cid", "size", "value"))), link)
         edges.append(found)
         if d > last:
             stops = found.groupBy("cid").agg(F.max("n").alias("n")).filter(F.col("n") >= enough(threshold, d, trees, recall)).select("cid")
-            settled = staged(stops if settled is None else settled.unionByName(stops).distinct())
+            settled = staged(_together(stops if settled is None else settled.unionByName(stops).distinct()))
     return connected_components(reduce(DataFrame.unionByName, (e.select(F.col("cid").alias("a"), F.col("root").alias("b")) for e in edges)))
 
 

@@ -676,3 +676,19 @@ def test_pipeline_lines_count_copies_once(spark):
         rows, want = rows + [(f"{n} {m}", t) for t in full], want + (bare if goes else full)
     df = common.tuned(spark).createDataFrame([(i, t, s, len(t)) for i, (s, t) in enumerate(rows)], "doc_id long, text string, source string, n_chars long")
     assert [r.text for r in c.lines(spark, df, SF).orderBy("doc_id").collect()] == want
+
+
+def test_small_rounds_take_no_task_for_each_shuffle_partition(spark):
+    """The same edges, in at most four files a core, with many shuffle partitions that are not merged by size."""
+    held = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        members = spark.range(600).selectExpr("id div 2 as key", "id as cid", "1L as size", "cast('same' as binary) as value")
+        found = lsh_forest.spanning(members, lambda values: np.ones((len(values), len(values)), dtype=bool))
+        assert sorted((r.cid, r.root) for r in found.collect()) == [(i, i - i % 2) for i in range(600)]
+        assert len(found.inputFiles()) <= 4 * spark.sparkContext.defaultParallelism
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
